@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import mixing, quality_rules, url_filter
+from lodestrata.llm import license_scan, mixing, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
 from lodestrata.llm.common import read_table
 
 
@@ -19,6 +20,29 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(read_table(spark, sf_dir, "documents")).drop("mix_key")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score_quality(docs, model, into="score")
+    predicted = (F.col("score") >= quality_classifier.POSITIVE_SCORE).cast("int")
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs).select("doc_id", "tokens.*")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).select("doc_id", "licenses.*").drop("spans")
+
+
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unit_dedup.repeated_units(docs).drop("t")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality_rules.fit_quality_trees(docs, read_table(spark, sf_dir, "labels"))
@@ -26,8 +50,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_source_mix, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op8_license_scan, op9_unit_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents")}
+    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op9_unit_dedup": unit_dedup.UNIT_SQL}
