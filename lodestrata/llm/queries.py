@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import license_scan, mixing, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
+from lodestrata.llm import license_scan, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
 from lodestrata.llm.common import read_table
 
 
@@ -33,6 +33,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs).select("doc_id", "tokens.*")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicate_classes(docs).drop("t")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs).select("doc_id", "licenses.*").drop("spans")
@@ -50,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op8_license_scan, op9_unit_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

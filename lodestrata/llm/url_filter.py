@@ -73,9 +73,9 @@ def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block.astype(np.int64), np.uint64(1) << shift
 
 
-def bloom_filter(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
+def bloom_filter(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYTES, hashed: bool = False) -> np.ndarray:
     """The filter of ``listed``'s distinct values as an array (blocks, 8) of 64-bit words."""
-    hashes = listed.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+    hashes = listed.where(F.col(column).isNotNull()).select((F.col(column) if hashed else F.xxhash64(column)).alias("h"))
     n = hashes.agg(F.approx_count_distinct("h")).first()[0]
     blocks = max(1, min(max_bytes // 64, -(-n * BITS_PER_URL // 512)))
 
@@ -95,6 +95,19 @@ def bloom_filter(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYT
     return out.view(np.uint64).reshape(blocks, 8)
 
 
+def possible_members(df: DataFrame, key: Column, keys: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``key`` may be in ``keys``' one column: all that are, and few others."""
+    words = df.sparkSession.sparkContext.broadcast(bloom_filter(keys, keys.columns[0], max_bytes, hashed=True))
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        table = words.value
+        block, bits = _bits(h.to_numpy(zero_copy_only=False), len(table))
+        return pa.array(((table[block] & bits) == bits).all(axis=1))
+
+    return df.where(maybe(key))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, into: str = "url_filter", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Judge ``pages.url``; ``listed`` has one column of canonical URLs (null or repeated values do no harm).
 
