@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import license_scan, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
+from lodestrata.llm import decontaminate, license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
 from lodestrata.llm.common import read_table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated_documents(docs, read_table(spark, sf_dir, "benchmark")).drop("t")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.feed_list(pages)).select("page_id", "url_filter.*")
@@ -33,6 +38,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs).select("doc_id", "tokens.*")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "line_dedup.*")
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicate_classes(docs).drop("t")
@@ -55,8 +65,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op6_line_dedup, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op9_unit_dedup": unit_dedup.UNIT_SQL}
+    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op6_line_dedup": line_dedup.LINE_SQL, "op9_unit_dedup": unit_dedup.UNIT_SQL}
