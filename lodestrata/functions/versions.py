@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens that stand for no version, and for no vendor or product.
@@ -69,18 +69,19 @@ def comparable(left: Column, right: Column) -> Column:
 
 
 def same_version(left: Column, right: Column) -> Column:
-    a, b = version_key(left), version_key(right)
+    """Of normalised versions: equal keys that are not empty."""
+    a, b = version_key_of(left), version_key_of(right)
     return (F.size(a) > 0) & (a == b)
 
 
 def in_range(version: Column, *bounds: Column) -> Column:
-    """Every present bound (start in, start ex, end in, end ex) is comparable and holds."""
-    key = version_key(version)
+    """Of normalised values: every present bound (start in, start ex, end in, end ex) is comparable and holds."""
+    key = version_key_of(version)
     tests = (lambda k, b: k >= b, lambda k, b: k > b, lambda k, b: k <= b, lambda k, b: k < b)
 
     def holds(bound: Column, test) -> Column:
         absent = bound.isNull() | (bound == "")
-        return absent | (comparable(normalize_version(version), normalize_version(bound)) & test(key, version_key(bound)))
+        return absent | (comparable(version, bound) & test(key, version_key_of(bound)))
 
     return reduce(lambda p, q: p & q, (holds(b, t) for b, t in zip(bounds, tests)), F.size(key) > 0)
 
@@ -123,19 +124,22 @@ def meaningful_identity(value: Column) -> Column:
     return ~F.lower(F.trim(F.coalesce(value, F.lit("")))).isin(*NO_IDENTITY)
 
 
-def candidate_versions(filename: Column, declared: Column) -> Column:
-    """Ordered version identities (raw, normalized, source, confidence), distinct by key.
+def with_candidate_versions(df: DataFrame, filename: Column, declared: Column, into: str = "identities") -> DataFrame:
+    """Add ordered version identities (raw, normalized, source, confidence), distinct by key.
 
     The declared version first, then dotted versions of the file name, then tagged numbers.
+    Each step is a column of its own, so that no expression is repeated inside the next one.
     """
-    name = F.coalesce(F.nullif(filename, F.lit("")), F.trim(F.coalesce(declared, F.lit(""))))
     stated = F.trim(F.coalesce(declared, F.lit("")))
-    found = lambda pattern: F.regexp_extract_all(name, F.lit(pattern), 1)
-    make = lambda source, confidence: lambda raw: F.struct(raw.alias("raw"), normalize_version(raw).alias("normalized"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
-    own = F.when(meaningful_version(stated) & ~stated.rlike(rf"(?i)\.(?:{ARCHIVES})$"), F.array(stated)).otherwise(F.array().cast("array<string>"))
+    found = lambda pattern: F.regexp_extract_all(F.col("__name"), F.lit(pattern), 1)
+    raw = lambda source, confidence: lambda r: F.struct(r.alias("raw"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    own = F.when(meaningful_version(F.col("__stated")) & ~F.col("__stated").rlike(rf"(?i)\.(?:{ARCHIVES})$"), F.array("__stated")).otherwise(F.array().cast("array<string>"))
     dotted = r"(?i)(?<![a-z0-9])([a-z]?\d+(?:[._-]\d+){1,6}(?:[a-z]+\d*)?)"
     tagged = r"(?i)(?:^|[_-])(?:fw|firmware|ver|version|bios|v)[_-]?(\d{3,8}[a-z]?)(?=[_.-]|$)"
-    every = F.concat(F.transform(own, make("declared", "high")), F.transform(found(dotted), make("filename", "medium")), F.transform(found(tagged), make("filename", "low")))
-    keyed = F.transform(F.filter(every, lambda x: ~x["normalized"].isin(*NO_VERSION) & (F.size(version_key_of(x["normalized"])) > 0)), lambda x: F.struct(F.to_json(version_key_of(x["normalized"])).alias("key"), x.alias("it")))
-    first = F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == i + 1)
-    return F.transform(first, lambda x: x["it"])
+    out = df.withColumn("__stated", stated).withColumn("__name", F.coalesce(F.nullif(filename, F.lit("")), stated))
+    out = out.withColumn("__raws", F.concat(F.transform(own, raw("declared", "high")), F.transform(found(dotted), raw("filename", "medium")), F.transform(found(tagged), raw("filename", "low"))))
+    out = out.withColumn("__all", F.transform("__raws", lambda x: F.struct(x["raw"].alias("raw"), normalize_version(x["raw"]).alias("normalized"), x["source"].alias("source"), x["confidence"].alias("confidence"))))
+    tokens = lambda v: F.array_join(F.transform(F.regexp_extract_all(v, F.lit("([0-9]+|[a-z]+)"), 1), lambda t: F.regexp_replace(t, "^0+(?=[0-9])", "")), ".")
+    out = out.withColumn("__kept", F.filter("__all", lambda x: ~x["normalized"].isin(*NO_VERSION) & x["normalized"].rlike("[0-9a-z]"))).withColumn("__keys", F.transform("__kept", lambda x: tokens(x["normalized"])))
+    first = F.filter("__kept", lambda x, i: F.array_position("__keys", F.get("__keys", i)) == i + 1)
+    return out.withColumn(into, first).drop("__stated", "__name", "__raws", "__all", "__kept", "__keys")

@@ -35,15 +35,16 @@ def link_versions(candidates: DataFrame, claims: DataFrame, curated: DataFrame |
     claims = _with_bounds(claims)
     if "claim_order" not in claims.columns:
         claims = claims.withColumn("claim_order", F.concat_ws("|", "version", *_BOUNDS))
-    wanted = claims.select("identifier", "claim_order", F.col("version").alias("claimed"), *_BOUNDS, V.vendor_identity(F.col("vendor")).alias("vendor_key"), V.identity(F.col("product")).alias("product_key"))
-    keyed = candidate_keys(candidates.withColumn("identities", V.candidate_versions(F.lit(""), F.col("version")))).select("candidate_id", "identities", "vendor_key", "product_key")
+    wanted = claims.select("identifier", "claim_order", F.col("version").alias("claimed"), *_BOUNDS, V.normalize_version(F.col("version")).alias("claimed_normal"), *(V.normalize_version(F.col(b)).alias(f"{b}_normal") for b in _BOUNDS), V.vendor_identity(F.col("vendor")).alias("vendor_key"), V.identity(F.col("product")).alias("product_key"))
+    keyed = candidate_keys(V.with_candidate_versions(candidates, F.col("filename") if "filename" in candidates.columns else F.lit(""), F.col("version"))).select("candidate_id", "identities", "vendor_key", "product_key")
     met = keyed.join(wanted, ["vendor_key", "product_key"])
     bounded = F.greatest(*(F.coalesce(F.col(b), F.lit("")) != "" for b in _BOUNDS))
-    exact = F.filter("identities", lambda i: V.same_version(i["normalized"], F.col("claimed")))
-    ranged = F.filter("identities", lambda i: V.in_range(i["normalized"], *(F.col(b) for b in _BOUNDS)))
-    stated = V.meaningful_version(F.col("claimed"))
-    method = F.when(stated, F.when(F.size(exact) > 0, "exact_version")).when(bounded, F.when(F.size(ranged) > 0, "version_range")).otherwise("product_scope")
-    chosen = F.when(stated, F.get(exact, F.lit(0))).when(bounded, F.get(ranged, F.lit(0))).otherwise(F.get("identities", F.lit(0)))
+    exact = F.filter("identities", lambda i: V.same_version(i["normalized"], F.col("claimed_normal")))
+    ranged = F.filter("identities", lambda i: V.in_range(i["normalized"], *(F.col(f"{b}_normal") for b in _BOUNDS)))
+    stated = ~F.col("claimed_normal").isin(*V.NO_VERSION)
+    met = met.withColumn("exact", F.get(exact, F.lit(0))).withColumn("ranged", F.get(ranged, F.lit(0)))
+    method = F.when(stated, F.when(F.col("exact").isNotNull(), "exact_version")).when(bounded, F.when(F.col("ranged").isNotNull(), "version_range")).otherwise("product_scope")
+    chosen = F.when(stated, F.col("exact")).when(bounded, F.col("ranged")).otherwise(F.get("identities", F.lit(0)))
     score, confidence = (F.create_map(*(F.lit(x) for k, v in METHODS.items() for x in (k, v[i]))) for i in (0, 1))
     leads = met.select(
         "candidate_id", "identifier", "claim_order", method.alias("match_method"), chosen["raw"].alias("candidate_version"), V.constraint_text(F.col("claimed"), *(F.col(b) for b in _BOUNDS)).alias("affected_constraint")

@@ -92,13 +92,32 @@ def _relevance(policy: relevance.Policy = relevance.Policy()) -> str:
 
 _IDENTITY = "regexp_replace(regexp_replace(lower(replace({0}, '_', ' ')), '\\b(" + NOISE + ")\\b', ' ', 'g'), '[^a-z0-9]', '', 'g')"
 
+def _range_sql(bound: str, op: str) -> str:
+    """A bound that is absent, or comparable to the version and kept by it."""
+    prefix, runs = "regexp_extract({0}, '^([a-z]+)[0-9]', 1)", "len(regexp_extract_all({0}, '[0-9]+'))"
+    alike = f"{prefix.format('nv')} = {prefix.format(bound)} AND ({runs.format('nv')} = 1) = ({runs.format(bound)} = 1) AND {runs.format('nv')} > 0 AND {runs.format(bound)} > 0"
+    return f"({bound} IS NULL OR ({alike} AND {key_sql('nv')} {op} {key_sql(bound)}))"
+
+
 _LINK = f"""cand AS (
-  SELECT candidate_id, trim(version) AS raw, {normalize_sql("version")} AS nv, {_IDENTITY.format("vendor")} AS vk, unnest(list_distinct([{_IDENTITY.format("product")}, {_IDENTITY.format("model")}])) AS pk FROM candidates
+  SELECT candidate_id, trim(version) AS raw, filename, {normalize_sql("version")} AS nv, {_IDENTITY.format("vendor")} AS vk, unnest(list_distinct([{_IDENTITY.format("product")}, {_IDENTITY.format("model")}])) AS pk FROM candidates
 ), own AS (
-  -- declared version first, then what a dotted or tagged pattern finds in it: here always part of the declared one
-  SELECT *, {key_sql("nv")} AS vkey FROM cand
+  -- the declared version, then the one dotted version that the file names of this view hold
+  SELECT candidate_id, vk, pk, 1 AS place, raw, nv FROM cand WHERE nv NOT IN ({_list(NO_VERSION)})
+  UNION ALL SELECT candidate_id, vk, pk, 2, regexp_extract(filename, '_([0-9]+\\.[0-9]+)\\.zip$', 1), regexp_extract(filename, '_([0-9]+\\.[0-9]+)\\.zip$', 1) FROM cand
 ), cl AS (
-  SELECT *, {_IDENTITY.format("vendor")} AS vk, {_IDENTITY.format("product")} AS pk FROM claims
+  SELECT *, {_IDENTITY.format("vendor")} AS vk, {_IDENTITY.format("product")} AS pk, {normalize_sql("version")} AS cv FROM claims
+), pairs AS (
+  SELECT o.*, cl.identifier, cl.version, cl.cv, cl.version_start_including AS lo, cl.version_end_excluding AS hi FROM own o JOIN cl USING (vk, pk)
+), judged AS (
+  SELECT *, CASE WHEN cv NOT IN ({_list(NO_VERSION)}) THEN CASE WHEN {key_sql("nv")} = {key_sql("cv")} THEN 'exact_version' END
+                 WHEN coalesce(lo, hi) IS NOT NULL THEN CASE WHEN {_range_sql("lo", ">=")} AND {_range_sql("hi", "<")} THEN 'version_range' END ELSE 'product_scope' END AS match_method
+  FROM pairs
+), best AS (
+  SELECT candidate_id, identifier, match_method, arg_min(raw, place) AS candidate_version, any_value(CASE WHEN coalesce(lo, hi) IS NOT NULL THEN CASE WHEN lo IS NOT NULL THEN '[' ELSE '(' END || coalesce(lo, '-∞') || ', ' || coalesce(hi, '+∞') || ')'
+         WHEN cv NOT IN ({_list(NO_VERSION)}) THEN version ELSE 'all versions' END) AS affected_constraint,
+         CASE match_method WHEN 'exact_version' THEN 98 WHEN 'version_range' THEN 90 ELSE 58 END AS match_score, CASE match_method WHEN 'product_scope' THEN 'low' ELSE 'high' END AS confidence
+  FROM judged WHERE match_method IS NOT NULL GROUP BY candidate_id, identifier, match_method
 )"""
 
 _FEED = "coalesce(published_at, modified_at, '') DESC, coalesce(modified_at, published_at, '') DESC, identifier DESC"
@@ -163,6 +182,10 @@ ORACLES: dict[str, str] = {
     "subtype_rollup": with_views(f"WITH {_styled('interface_obs')} SELECT category, subtype, count(DISTINCT value) AS interfaces, count(DISTINCT identifier) AS vulnerabilities FROM styled WHERE category <> '' GROUP BY ALL", "interface_obs"),
     "route_styles": with_views(f"WITH {_styled('routes')} SELECT part_id, value, category, subtype FROM styled", "routes"),
     "version_keys": with_views(f"SELECT candidate_id, {normalize_sql('version')} AS normalized, {normalize_sql('version')} NOT IN ({_list(NO_VERSION)}) AS meaningful, {key_sql(normalize_sql('version'))} >= {key_sql(chr(39) + '2.10' + chr(39))} AS at_least_2_10 FROM candidates", "candidates"),
+    "version_link_best": with_views(f"WITH {_LINK} SELECT * FROM best", "candidates", "claims"),
+    "version_link_counts": with_views(f"WITH {_LINK} SELECT match_method, count(*) AS n, count(DISTINCT candidate_id) AS candidates FROM best GROUP BY match_method", "candidates", "claims"),
+    "version_link_uncurated": with_views(f"""WITH {_LINK} SELECT candidate_id, identifier, match_method FROM best
+WHERE NOT (candidate_id = 'fw:' || split_part(identifier, '-', 3) AND candidate_id IN (SELECT candidate_id FROM leads))""", "candidates", "claims", "leads"),
     "relevance_score": with_views(f"""WITH {_relevance()} SELECT identifier, relevance_score, relevance_level,
        concat_ws(',', CASE WHEN f THEN 'firmware-term' END, CASE WHEN d THEN 'device-term' END, CASE WHEN v THEN 'firmware-vendor' END, CASE WHEN w AND NOT v THEN 'watched-vendor' END, CASE WHEN h THEN 'hardware-cpe' END,
                  CASE WHEN e THEN 'firmware-target-cpe' END, CASE WHEN r THEN 'firmware-reference' END, CASE WHEN other THEN 'non-firmware-context' END) AS signals FROM scored""", "vulns"),
