@@ -8,9 +8,10 @@ registers give buckets; what meets in a bucket is compared by a packed sketch of
 and then by the exact Jaccard similarity of the shingle sets.
 
 Groups of copies never become all pairs.  Texts of equal shingle sets are one node; within a
-bucket, nodes are compared with a few leaders only, and links become components.  What then is
-still in another component than its bucket's leader is compared with the whole bucket, so no
-link between components is lost, while members of one component are never compared again.
+bucket, nodes are compared with a few leaders only (the node that meets most others, and nodes
+at random), and links become components.  Nodes of buckets that still hold several components
+meet once more by their rarest shingles, so no link between components is lost, while members
+of one component are never compared again.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from lodestrata.llm.common import fresh, settle, text_digest
 from lodestrata.llm.components import connected_components
 from lodestrata.llm.url_filter import possible_members
 
-SHINGLE, SIMILARITY = 5, 0.8
+#: Words of a shingle, and the least similarity in hundredths.
+SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Bits of each register in the sketch, and the sketch's 64-bit words.
@@ -35,6 +37,8 @@ SKETCH_BITS = 4
 SKETCH_WORDS = REGISTERS * SKETCH_BITS // 64
 #: Sketches may differ in so many bits at most: 0.65 similar, over four deviations below 0.8.
 MOST_BITS = int(REGISTERS * SKETCH_BITS * (1 - 0.65) / 2)
+#: Bits of the sketch that tells how many shingles differ.
+PARITY_BITS = 1024
 #: Leaders of each bucket in the first comparison.
 LEADERS = 3
 
@@ -123,26 +127,42 @@ def sketch(text: Column) -> Column:
 
 
 def shingle_set(text: Column) -> Column:
-    """The distinct shingles as 32-bit values, for verification."""
+    """Struct: the distinct shingles as 32-bit values, and their parity sketch.
+
+    In the sketch, each shingle flips one of ``PARITY_BITS`` bits.  Two sketches never differ in
+    more bits than the sets do in shingles, so they rule pairs out for certain.
+    """
 
     def kernel(texts: pa.Array) -> pa.Array:
         d, h, _ = shingles(texts)
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(texts)))), pa.int32()), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        short = (h >> np.uint64(32)).astype(np.uint32)
+        new = np.ones(len(short), bool)
+        new[1:] = (short[1:] != short[:-1]) | (d[1:] != d[:-1])
+        d, short = d[new], short[new]
+        parity = np.zeros(len(texts) * PARITY_BITS // 64, np.uint64)
+        bit = short.astype(np.int64) % PARITY_BITS
+        np.bitwise_xor.at(parity, d * (PARITY_BITS // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(texts)))), pa.int32()), pa.array(short.view(np.int32)))
+        sketches = pa.ListArray.from_arrays(np.arange(0, len(parity) + 1, PARITY_BITS // 64, dtype=np.int32), pa.array(parity.view(np.int64)))
+        return pa.StructArray.from_arrays([sets, sketches], ["shingles", "parity"])
 
     run = _per_batch(kernel)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<shingles: array<int>, parity: array<bigint>>")
     def sets(texts: pa.Array) -> pa.Array:
         return run(texts)
 
     return sets(text)
 
 
+def _differing_bits(x: str, y: str, words: int) -> Column:
+    return reduce(lambda p, q: p + q, (F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words)))
+
+
 def _similar_sketches(x: str, y: str) -> Column:
     """Sizes and sketches leave it possible that two nodes are similar enough."""
-    differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_WORDS)))
-    sizes = F.least(f"{x}.n", f"{y}.n") >= SIMILARITY * F.greatest(f"{x}.n", f"{y}.n")
-    return sizes & (differ <= MOST_BITS)
+    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & (_differing_bits(f"{x}.sketch", f"{y}.sketch", SKETCH_WORDS) <= MOST_BITS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,7 +170,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("x_set", "y_set"))
-    return both.where(common >= SIMILARITY * (F.size("x_set") + F.size("y_set") - common)).select("x", "y")
+    return both.where(100 * common >= PERCENT * (F.size("x_set") + F.size("y_set") - common)).select("x", "y")
+
+
+def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that may be similar enough: all that are, and few others.
+
+    Sets as similar as ``PERCENT`` share one of each other's rarest shingles, as many as may
+    differ and one more.  So nodes meet by those alone, not by what a whole group has in common.
+    Where a component holds most of a shingle's nodes, they do not meet each other.
+    """
+    tokens = nodes.select("id").join(sets, "id").select("id", F.explode("shingles").alias("shingle"))
+    often = tokens.groupBy("shingle").agg(F.count("*").alias("often"))
+    rarest = tokens.join(often, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
+    length = F.size("ordered") - F.floor((F.size("ordered") * PERCENT + 99) / 100) + 1
+    prefix = F.filter(F.slice("ordered", F.lit(1), length.cast("int")), lambda x: x["often"] > 1)
+    known = nodes.join(sets.select("id", "parity"), "id")
+    keyed = settle(known.join(rarest.select("id", F.explode(prefix).alias("p")), "id").select("id", "n", "sketch", "parity", "met", "component", F.col("p.shingle").alias("shingle")))
+    mixed = keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct(-F.col("met"), "id")).alias("main")).where("low < high").select("shingle", "main")
+    rest = keyed.join(mixed, "shingle").where("component <> main")
+    others = keyed.join(mixed.select("shingle"), "shingle", "left_semi")
+    # sets of a and b shingles are similar enough if at most (100 - p) / (100 + p) of a + b differ
+    parity = (100 + PERCENT) * _differing_bits("x.parity", "y.parity", PARITY_BITS // 64) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
+    crossing = (F.col("x.component") != F.col("y.component")) & _similar_sketches("x", "y") & parity
+    meet = rest.alias("x").join(others.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & crossing)
+    return meet.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -170,9 +214,12 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     # buckets of two nodes and more, with a leader by each of a few priorities
     banded = nodes.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
-    leader = [F.min(F.struct(F.xxhash64(F.lit(k), F.col("id")).alias("p"), F.col("id"), F.col("n"), F.col("sketch"))).alias(f"l{k}") for k in range(LEADERS)]
+    leader = [F.min(F.struct((-F.col("met") if k == 0 else F.xxhash64(F.lit(k), F.col("id"))).alias("p"), F.col("id"), F.col("n"), F.col("sketch"))).alias(f"l{k}") for k in range(LEADERS)]
     full = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = settle(banded.join(full, "bucket").select("bucket", "id", "n", "sketch"))
+    shared = settle(banded.join(full, "bucket").select("bucket", "id", "n", "sketch", "members"))
+    # the text that a group of near copies was made from meets more of them than any copy does
+    central = shared.groupBy("id").agg(F.sum("members").alias("met"))
+    members = settle(shared.drop("members").join(central, "id").select("bucket", "id", "n", "sketch", "met"))
     leaders = members.groupBy("bucket").agg(*leader).select("bucket", F.array(*(f"l{k}" for k in range(LEADERS))).alias("leaders"))
     stars = (
         members.alias("m").join(leaders, "bucket").select(F.struct("m.id", "m.n", "m.sketch").alias("x"), F.explode(F.array_distinct("leaders")).alias("y"))
@@ -184,19 +231,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     wanted = members.select("id").distinct().join(nodes.select("id", "t"), "id")
     texts = docs.select(text_digest(F.col("text")).alias("t"), "text")
     possible = possible_members(texts, F.xxhash64("t"), wanted.select(F.xxhash64("t").alias("h")))
-    sets = settle(possible.join(wanted, "t").select("id", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["id"]))
+    sets = settle(possible.join(wanted, "t").dropDuplicates(["id"]).select("id", shingle_set(F.col("text")).alias("s")).select("id", "s.*"))
 
     links = settle(_verified(stars, sets))
     parts = connected_components(links)
-    # what is in another component than its bucket's first leader meets the whole bucket
-    placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    placed = settle(placed)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct(F.xxhash64(F.lit(0), F.col("id")), "id")).alias("main")).where("low < high")
-    rest = placed.join(mixed.select("bucket", "main"), "bucket").where("component <> main")
-    others = placed.join(mixed.select("bucket"), "bucket", "left_semi")
-    crossing = (F.col("x.component") != F.col("y.component")) & _similar_sketches("x", "y")
-    meet = rest.alias("x").join(others.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & crossing)
-    pairs = meet.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
+    # nodes of buckets that hold several components may still have a link between these
+    placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", "n", "sketch", "met", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    apart = settle(placed.join(mixed.select("bucket"), "bucket", "left_semi").drop("bucket").dropDuplicates(["id"]))
+    pairs = _crossing_pairs(apart, sets)
     more = settle(_verified(pairs, sets))
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
