@@ -14,8 +14,8 @@ NO_VENDOR = ("", "n/a", "na", "unknown", "unspecified")
 RELATED = ("strong", "likely")
 
 
-def is_related(level: Column = F.col("relevance_level")) -> Column:
-    return level.isin(*RELATED)
+def is_related(column: str = "relevance_level") -> Column:
+    return F.col(column).isin(*RELATED)
 
 
 def list_vulnerabilities(vulns: DataFrame, *, relevance: str | None = None, query: str | None = None, severity: str | None = None, source: str | None = None, vendor: str | None = None, kev_only: bool = False, exploit_only: bool = False, cwe: str | None = None) -> DataFrame:

@@ -19,6 +19,12 @@ def _last(value: Column, order: Column, holds: Column) -> Column:
     return F.max_by(F.when(holds, value), F.when(holds, order))
 
 
+def _united(column: str, order: str) -> Column:
+    """A key's lists in order of arrival as one list, first occurrences kept."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column])
+    return F.array_distinct(F.flatten(lists)).alias(column)
+
+
 def merge_records(records: DataFrame, order: str, key: str = "identifier") -> DataFrame:
     """One record of each key, as if its records had been merged one by one in ``order``.
 
@@ -47,7 +53,7 @@ def merge_records(records: DataFrame, order: str, key: str = "identifier") -> Da
     if "kev" in have:
         out.append(F.bool_or("kev").alias("kev"))
     out.append(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    out += [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x, c=c: x[c]))).alias(c) for c in UNION if c in have]
+    out += [_united(c, order) for c in UNION if c in have]
     return records.groupBy(key).agg(*out)
 
 
