@@ -5,18 +5,24 @@ of every text gives one hash for each mask; the hashes of the benchmark's places
 with them.  A hit names a benchmark item and a shift between it and the text; text and item are
 then laid over each other at that shift and compared word by word.
 
+The positions that all masks share are hashed first and looked up in a bitmap of the benchmark's
+places; only places that it may hold get the masks' own hashes, and only these are joined.
+
 The two masks are chosen so that a window of ``OVERLAP`` words with ``SUBSTITUTED`` of them
 substituted always holds one of them untouched (the test goes through all such windows).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.bitmap import bitmap, may_hold
 from lodestrata.llm.common import fresh, settle, text_digest
 
+WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: Positions that count.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
@@ -26,35 +32,31 @@ OVERLAP, SUBSTITUTED = 13, 2
 MOST_BROADCAST = 500_000
 
 
-def word_hashes(text: Column) -> Column:
-    """A hash of each word: runs of anything but ASCII white space, lower-cased.  Null: none."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
-
+def words_of(text: Column) -> Column:
+    """The words of a text: runs of anything but ASCII white space, lower-cased.  Null: none."""
+    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(WHITE_SPACE))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
-def seed_hashes(words: str, masks: list[tuple[int, ...]]) -> Column:
-    """For each mask in turn, the hashes at places 0 to n - span; null masks of short texts are empty."""
-    w = F.col(words)
 
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        last = F.size(w) - (mask[-1] + 1)
-        hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *(F.get(w, i + p) for p in mask)))
-        return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
+def seed_hash(words: str, place: str, k: int, mask: tuple[int, ...]) -> Column:
+    """The hash that mask ``k`` gives at a place; null where the mask reaches beyond the last word."""
+    inside = F.col(place) + mask[-1] < F.size(words)
+    return F.when(inside, F.xxhash64(F.lit(k), *(F.get(words, F.col(place) + p) for p in mask)))
 
-    return F.concat(*(of(k, m) for k, m in enumerate(masks)))
 
+def seed_places(texts: DataFrame, words: str, masks: list[tuple[int, ...]], sieve: tuple[list[tuple[int, ...]], Column] | None = None) -> DataFrame:
+    """A row (place, h) for each place and mask of each text, beside its other columns.
 
-def _place(p: Column, n: Column, masks: list[tuple[int, ...]]) -> Column:
-    """Of an index into ``seed_hashes`` of n words: the place in the text."""
-    out, before = F.lit(None).cast("int"), F.lit(0)
-    ends = []
-    for m in masks:
-        size = F.greatest(F.lit(0), n - m[-1])
-        ends.append((before, before + size))
-        before = before + size
-    for begin, end in reversed(ends):
-        out = F.when((p >= begin) & (p < end), p - begin).otherwise(out)
-    return out
+    ``sieve``: masks that count less, and a bitmap of their hashes.  Places of which it holds
+    none give no rows.
+    """
+    others = [c for c in texts.columns if c != words]
+    last = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    places = texts.select(*others, words, F.explode(last).alias("place"))
+    hashes = lambda of: [seed_hash(words, "place", k, m) for k, m in enumerate(of)]
+    if sieve:
+        places = places.where(reduce(lambda x, y: x | y, (may_hold(sieve[1], h) for h in hashes(sieve[0]))))
+    return places.select(*others, "place", F.explode(F.array(*hashes(masks))).alias("h")).where("h is not null")
 
 
 def _needed(length: Column) -> Column:
@@ -72,27 +74,26 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     overlap with nothing.  Equal texts are one t, equal items one row for each item_id.
     """
     items = settle(
-        benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).where("size(item) > 0").distinct()
+        benchmark.select("item_id", words_of(F.col("text")).alias("item")).where("size(item) > 0").distinct()
         .select("item_id", "item", F.size("item").alias("item_words"), F.xxhash64("item").alias("key"))
     )
     # one short mask for each length below the span that the benchmark has: seven at most
     short = sorted(r[0] for r in items.where(F.col("item_words") < SPAN).select("item_words").distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    seeds = (
-        items.dropDuplicates(["key", "item"]).select("key", "item_words", F.posexplode(seed_hashes("item", masks)).alias("p", "h"))
-        .select("h", "key", _place(F.col("p"), F.col("item_words"), masks).alias("item_place"))
-    )
-    seeds = settle(seeds.distinct())
+    whole = [tuple(range(n)) for n in short]
+    masks, coarse = [*MASKS, *whole], [tuple(sorted(set.intersection(*map(set, MASKS)))), *whole]
+    one_each = items.dropDuplicates(["key", "item"]).select("key", "item")
+    seeds = settle(seed_places(one_each, "item", masks).withColumnRenamed("place", "item_place").distinct())
+    sieve = settle(seed_places(one_each, "item", coarse).select("h").distinct())
     few = seeds.count() <= MOST_BROADCAST
-    words = docs.select(text_digest(F.col("text")).alias("t"), word_hashes(F.col("text")).alias("words"))
-    places = words.select("t", F.size("words").alias("n"), F.posexplode(seed_hashes("words", masks)).alias("p", "h"))
+    texts = docs.select(text_digest(F.col("text")).alias("t"), words_of(F.col("text")).alias("words"))
+    places = seed_places(texts, "words", masks, (coarse, bitmap(sieve)))
     hits = places.join(F.broadcast(seeds) if few else seeds, "h")
-    hits = settle(hits.select("t", "key", (_place(F.col("p"), F.col("n"), masks) - F.col("item_place")).alias("shift")).distinct())
+    hits = settle(hits.select("t", "key", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
 
     # texts with hits, one of each digest, beside the items they may hold
     mine = text_digest(F.col("text"))
     found = bitmap(hits.select(F.col("t.a").alias("h")))
-    texts = docs.where(may_hold(found, mine["a"])).select(mine.alias("t"), word_hashes(F.col("text")).alias("words"))
+    texts = docs.where(may_hold(found, mine["a"])).select(mine.alias("t"), words_of(F.col("text")).alias("words"))
     laid = hits.join(items, "key").join(texts.dropDuplicates(["t"]), "t")
     same = F.transform("item", lambda w, j: F.when(F.get("words", j + F.col("shift")) == w, 1).otherwise(0))
     length = F.least(F.lit(OVERLAP), F.col("item_words"))
