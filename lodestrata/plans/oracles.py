@@ -6,6 +6,7 @@ from lodestrata.functions.interfaces import CALL_KINDS, MANAGEMENT_FOLDERS, SHAR
 from lodestrata.functions.versions import ARCHIVES, NO_IDENTITY, NO_VERSION, NOISE
 from lodestrata.operators import relevance
 from lodestrata.operators.history import SUSPICIOUS
+from lodestrata.operators.review import GENERIC_TOKENS, PROPOSAL_KINDS
 from lodestrata.plans.views import with_views
 
 
@@ -279,13 +280,13 @@ SELECT identifier, category, CASE WHEN category = 'not_analyzed' THEN 'analyze_s
 SELECT identifier, CASE WHEN len(s) = 1 THEN s[1] ELSE 'partial' END AS status, 'overlay' AS origin FROM g UNION ALL SELECT 'Q' || n_nationkey, 'queued', 'queue' FROM nation""", "expectations", "observed"),
     "coverage_gate": with_views("SELECT producer_kind, scope, bool_or(required) AS required, count(*) AS results, CASE WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'partial' END AS status FROM coverage GROUP BY ALL", "coverage"),
     "required_coverage": with_views("""WITH b AS (SELECT producer_kind, scope, CASE WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'partial' END AS status FROM coverage GROUP BY ALL),
-x AS (SELECT 'c' || (c_custkey - 1) AS scope, c_custkey % 2 = 0 AS required, unnest(['frontend', 'native', 'script']) AS producer_kind FROM customer WHERE c_custkey <= 300)
+x AS (SELECT 'c' || (c_custkey - 1) AS scope, c_custkey % 2 = 0 AS required, unnest(['frontend', 'native', 'script']) AS producer_kind FROM customer)
 SELECT x.producer_kind, x.scope, coalesce(b.status, CASE WHEN required THEN 'failed' ELSE 'not_applicable' END) AS status FROM x LEFT JOIN b ON x.producer_kind = b.producer_kind AND x.scope = b.scope""", "coverage"),
     "corpus_gate": """WITH s AS (SELECT p_brand AS category, p_partkey AS n FROM part), r AS (
   SELECT category, CASE WHEN n % 4 = 0 THEN 'acquisition_gap' WHEN (n % 3 = 0 AND n % 6 = 0) OR (n % 5 = 0 AND n % 10 = 0) OR n % 7 = 0 OR n % 11 = 0 THEN 'coverage_gap' WHEN n % 4 = 1 THEN 'verified' WHEN n % 4 = 2 THEN 'derived_only' ELSE 'contract_only' END AS status FROM s)
 SELECT category, CASE WHEN bool_or(status = 'verified') THEN 'verified' WHEN bool_or(status = 'derived_only') THEN 'derived_only' WHEN bool_or(status = 'coverage_gap') THEN 'coverage_gap' WHEN bool_or(status = 'contract_only') THEN 'contract_only' ELSE 'acquisition_gap' END AS category_status,
   count(*) AS samples, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'derived_only') AS derived_only, count(*) FILTER (status = 'coverage_gap') AS coverage_gap, count(*) FILTER (status = 'contract_only') AS contract_only FROM r GROUP BY category""",
-    "budget_prefix": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_orderkey <= 3000),
+    "budget_prefix": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
 s AS (SELECT *, CAST(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM l)
 SELECT l_orderkey, l_linenumber, spent, CASE WHEN (SELECT max(spent) FROM s m WHERE m.l_orderkey = s.l_orderkey) > 60 THEN 'partial' ELSE 'completed' END AS status FROM s WHERE spent <= 60""",
     "interface_path_terms": with_views(f"""WITH c AS (SELECT part_id, lower(regexp_replace(regexp_extract(value, '[^/]*$'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS leaf, lower(regexp_replace(value, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS whole FROM routes)
@@ -293,4 +294,23 @@ SELECT part_id, array_to_string(list_sort(list_distinct([t FOR t IN regexp_extra
     "page_links": f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value, 'http_route' AS kind, '' AS component FROM pages), {_styled("h")}
 SELECT category, subtype, count(*) AS links, count(DISTINCT page_id) AS pages FROM styled GROUP BY ALL""",
     "event_properties": "SELECT event_type, count(k) AS n, count(DISTINCT k) AS kinds, max(k) AS greatest FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY event_type",
+    "semantic_overview": with_views("""WITH c AS (SELECT analysis_id FROM analyses WHERE is_current),
+d AS (SELECT count(DISTINCT identifier) AS analyzed, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM analyses WHERE is_current AND status IN ('succeeded', 'partial')),
+t AS (SELECT count(*) AS total FROM vulns WHERE relevance_level IN ('strong', 'likely'))
+SELECT total, analyzed, greatest(0, total - analyzed) AS pending, (SELECT count(*) FROM interface_obs SEMI JOIN c USING (analysis_id)) AS interfaces, (SELECT count(*) FROM parameter_obs SEMI JOIN c USING (analysis_id)) AS parameters,
+       prompt_tokens, completion_tokens FROM d, t""", "vulns", "analyses", "interface_obs", "parameter_obs"),
+    "top_parameters": with_views("SELECT p.name AS label, count(*) AS n FROM parameter_obs p JOIN analyses a USING (analysis_id) WHERE is_current GROUP BY 1 ORDER BY n DESC, label LIMIT 8", "parameter_obs", "analyses"),
+    "stage_results": """WITH r AS (SELECT 's' || (c_nationkey + 5) AS stage, c_nationkey % 3 = 0 OR c_custkey % 7 <> 0 AS whole, CASE WHEN c_custkey % 2 = 0 THEN 'd' || (c_custkey % 8) END AS code FROM customer),
+g AS (SELECT stage, bool_and(whole) AS whole, count(*) AS results, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM r GROUP BY stage)
+SELECT 's' || n_nationkey AS stage, CASE WHEN results IS NULL THEN 'not_applicable' WHEN whole THEN 'completed' ELSE 'partial' END AS status, coalesce(results, 0) AS results,
+       CASE WHEN results IS NULL THEN 'no selected sources' ELSE codes END AS diagnostics FROM nation LEFT JOIN g ON g.stage = 's' || n_nationkey""",
+    "proposal_reasons": with_views(f"""WITH j AS (SELECT CASE WHEN place >= 50000 THEN 'budget' WHEN kind NOT IN ({_list(PROPOSAL_KINDS)}) THEN 'kind' WHEN place % 30 > 24 THEN 'target'
+  WHEN CAST(substr(split_part(citations, ';', 1), 2) AS INT) > 7 OR CAST(substr(split_part(citations, ';', 2), 2) AS INT) > 7 THEN 'evidence' WHEN trim(summary) = '' THEN 'summary' WHEN lower(required_corroboration) = 'n/a' THEN 'corroboration'
+  WHEN confidence > 0.9 THEN 'confidence' END AS reason, kind, target_ref, summary, citations, confidence, run_id FROM proposals)
+SELECT reason, count(*) AS n, CASE WHEN reason IS NULL THEN count(DISTINCT (run_id, kind, target_ref, summary, list_distinct(string_split(citations, ';')), confidence)) ELSE 0 END AS ids FROM j GROUP BY reason""", "proposals"),
+    "pivot_anchors": f"""WITH t AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name || ' Status-menu_' || p_type), '[a-z0-9]+')) AS feature_token FROM part)
+SELECT feature_token, count(*) AS gates FROM t WHERE length(feature_token) >= 4 AND feature_token NOT IN ({_list(GENERIC_TOKENS)}) GROUP BY 1""",
+    "url_selectors": """WITH p AS (SELECT page_id, unnest(string_split(substr(url, instr(url, '?') + 1), '&')) AS part FROM pages WHERE contains(url, '?')),
+s AS (SELECT CASE WHEN contains(part, '=') THEN instr(part, '=') ELSE instr(part, '/') END AS mark, part FROM p), f AS (SELECT substr(part, 1, mark - 1) AS name, substr(part, mark + 1) AS value FROM s WHERE mark > 1)
+SELECT name, count(*) AS n, count(DISTINCT value) AS values FROM f WHERE value <> '' GROUP BY name""",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import interfaces as I
+from lodestrata.functions import models
 from lodestrata.functions import versions as V
-from lodestrata.operators import catalogue, correlation, exploration, graph, history, linking, merging, paging, relevance, search
+from lodestrata.operators import catalogue, correlation, exploration, graph, history, linking, merging, paging, relevance, review, search
 from lodestrata.plans.views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,7 +388,7 @@ def coverage_gate(v):
 
 @query
 def required_coverage(v):
-    scopes = v("customer").where("c_custkey <= 300").select(F.concat(F.lit("c"), F.col("c_custkey") - 1).alias("scope"), (F.col("c_custkey") % 2 == 0).alias("required"))
+    scopes = v("customer").select(F.concat(F.lit("c"), F.col("c_custkey") - 1).alias("scope"), (F.col("c_custkey") % 2 == 0).alias("required"))
     expected = scopes.withColumn("producer_kind", F.explode(F.array(F.lit("frontend"), F.lit("native"), F.lit("script"))))
     return history.required_coverage(expected, v("coverage"))
 
@@ -406,7 +407,7 @@ def corpus_gate(v):
 
 @query
 def budget_prefix(v):
-    lines = v("lineitem").where("l_orderkey <= 3000").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("size"))
+    lines = v("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("size"))
     return paging.prefix_budget(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("size")], F.col("size"), 60).select("l_orderkey", "l_linenumber", "spent", "status")
 
 
@@ -430,3 +431,41 @@ def page_links(v):
 @query
 def event_properties(v):
     return v("events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.countDistinct("k").alias("kinds"), F.max("k").alias("greatest"))
+
+
+@query
+def semantic_overview(v):
+    return review.semantic_overview(v("vulns"), v("analyses"), v("interface_obs"), v("parameter_obs"))
+
+
+@query
+def top_parameters(v):
+    return review.top_observed(v("parameter_obs"), v("analyses"), "name")
+
+
+@query
+def stage_results(v):
+    n = F.col("c_custkey")
+    results = v("customer").select(F.concat(F.lit("s"), F.col("c_nationkey") + 5).alias("stage"), F.when((F.col("c_nationkey") % 3 == 0) | (n % 7 != 0), "completed").otherwise("partial").alias("status"), F.when(n % 2 == 0, F.array(F.concat(F.lit("d"), n % 8))).otherwise(F.array().cast("array<string>")).alias("diagnostics"))
+    return review.stage_results(v("nation").select(F.concat(F.lit("s"), "n_nationkey").alias("stage")), results)
+
+
+@query
+def proposal_reasons(v):
+    proposals = v("proposals").withColumn("cited_evidence_ids", F.split("citations", ";"))
+    runs = proposals.select("run_id").distinct()
+    targets = runs.select("run_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.concat(F.lit("t"), i))).alias("target_ref"))
+    evidence = runs.select("run_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.lit("e"), i))).alias("evidence_id"))
+    judged = review.judge_proposals(proposals, targets, evidence, most=50_000)
+    return judged.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("proposal_id").alias("ids"))
+
+
+@query
+def pivot_anchors(v):
+    return review.pivot_anchors(v("part").select(F.concat(F.lit("g"), "p_partkey").alias("gate_id"), F.concat("p_name", F.lit(" Status-menu_"), "p_type").alias("ui_target_id"))).groupBy("feature_token").agg(F.count("*").alias("gates"))
+
+
+@query
+def url_selectors(v):
+    found = v("pages").select("page_id", F.explode(models.url_selectors(F.col("url"))).alias("s"))
+    return found.groupBy(F.col("s.name").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("s.value").alias("values"))

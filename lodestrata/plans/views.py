@@ -108,9 +108,9 @@ UNION ALL SELECT 'native', concat('tok', CAST(o_custkey % 900 AS STRING)), conca
 SELECT concat('f', CAST(p_partkey AS STRING)) AS candidate_id, value AS endpoint, CASE WHEN part_id % 5 = 0 THEN 'literal_prefix' ELSE 'exact_literal' END AS endpoint_shape
 FROM {routes} r JOIN {part} p ON r.part_id = p.p_partkey""",
     "hints": """
-SELECT concat('h', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS hint_id, CASE WHEN l_linenumber % 2 = 0 THEN 'endpoint_literal' ELSE 'route_token' END AS kind,
-       CASE WHEN l_linenumber % 2 = 0 THEN r.value ELSE replace(r.product, ' ', '_') END AS value
-FROM {lineitem} l JOIN {routes} r ON l.l_partkey = r.part_id WHERE l_orderkey % 20 = 0""",
+SELECT concat('h', CAST(s_suppkey AS STRING)) AS hint_id, CASE WHEN s_suppkey % 2 = 0 THEN 'endpoint_literal' ELSE 'route_token' END AS kind,
+       CASE WHEN s_suppkey % 2 = 0 THEN r.value ELSE replace(r.product, ' ', '_') END AS value
+FROM {supplier} s JOIN {routes} r ON s.s_suppkey = r.part_id""",
     "acl": """
 SELECT concat('g', CAST(n_nationkey AS STRING)) AS acl_group, CASE n_nationkey % 3 WHEN 0 THEN concat('Vendor ', CAST(n_nationkey % 10 AS STRING), '*') WHEN 1 THEN 'V?ndor 1' ELSE '*' END AS object_pattern,
        CASE WHEN n_nationkey % 2 = 0 THEN '*' ELSE concat('m', CAST(n_nationkey % 6 AS STRING)) END AS method
@@ -120,7 +120,17 @@ SELECT concat('op', CAST(c_custkey AS STRING)) AS operation_ref, concat('Vendor
     "coverage": """
 SELECT concat('c', CAST(o_custkey % 300 AS STRING)) AS scope, CASE o_orderkey % 3 WHEN 0 THEN 'frontend' WHEN 1 THEN 'native' ELSE 'config' END AS producer_kind,
        CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'completed' ELSE 'partial' END AS status, o_custkey % 2 = 0 AS required
-FROM {orders} WHERE o_orderkey % 4 = 0""",
+FROM {orders}""",
+    "analyses": """
+SELECT concat('A', CAST(o_orderkey AS STRING)) AS analysis_id, v.identifier, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status,
+       o_orderkey % 4 <> 0 AS is_current, o_custkey AS prompt_tokens, o_orderkey % 50 AS completion_tokens
+FROM {orders} o JOIN {vulns} v ON o.o_orderkey = v.vid""",
+    "proposals": """
+SELECT concat('r', CAST(o_custkey % 50 AS STRING)) AS run_id, CAST(o_orderkey AS INT) AS place, CASE o_orderkey % 6 WHEN 0 THEN 'analysis_step' WHEN 1 THEN 'guess' ELSE 'parameter_alias' END AS kind,
+       concat('t', CAST(o_orderkey % 30 AS STRING)) AS target_ref, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE 'summary' END AS summary, 'because' AS rationale,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'N/A' ELSE 'a second source' END AS required_corroboration, concat('e', CAST(o_orderkey % 10 AS STRING), ';e', CAST(o_custkey % 10 AS STRING)) AS citations,
+       CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence
+FROM {orders}""",
     "catalogs": """
 SELECT concat('cat', CAST(o_orderkey AS STRING)) AS catalog_id, concat('fw', CAST(o_custkey % 200 AS STRING)) AS firmware, substr(CAST(o_orderdate AS STRING), 1, 10) AS published_at,
        CASE WHEN o_orderkey % 3 = 0 THEN 'partial' ELSE 'completed' END AS status, concat('lib', CAST(o_orderkey % 9 AS STRING)) AS artifact,

@@ -93,10 +93,35 @@ _POST = re.compile(r"\$\.post\s*\(\s*" + _QUOTED + r"(?:\s*,\s*(?P<p>[\"'])(?P<b
 _GET_JSON = re.compile(r"\$\.getJSON\s*\(\s*" + _QUOTED + r"\s*(?P<plus>\+)?")
 _RPC = re.compile(r"rpc\.declare\s*\(\s*\{(?P<body>[^{}]*)\}")
 _SELECTORS = ("action", "cmd", "operation", "op")
+_REQUEST_SELECTORS = ("action", "cmd", "command", "method", "operation", "topicurl")
+_OBJECT_CALL = re.compile(r"(?P<name>\$\.ajax|\b[A-Za-z_$][\w$]*\.request)\s*\(\s*(?=\{)")
+_SET_DATA = re.compile(r"\$\.GetSetData\.setData\s*\(\s*" + _QUOTED + r"\s*(?P<plus>\+)?[^,()]*,\s*(?=\{)")
+_PAIR = re.compile(r"""(?P<key>[A-Za-z_$][\w$-]*|"[^"\n]*"|'[^'\n]*')\s*:\s*(?P<value>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[^,{}\[\]()]*)""")
+
+
+def _object(text: str, at: int) -> tuple[dict[str, str | None], int]:
+    """The outermost pairs of the object literal that begins at ``at``, and its end; values that are no strings are None."""
+    depth, pairs, i = 0, {}, at
+    while i < len(text):
+        c = text[i]
+        if c in "\"'" and depth != 1:
+            quoted = re.compile(r"(?:\\.|[^\\\n])*?" + c).match(text, i + 1)
+            i = quoted.end() if quoted else i + 1
+            continue
+        if depth == 1 and (m := _PAIR.match(text, i)):
+            value = m["value"].strip()
+            pairs.setdefault(m["key"].strip("\"'"), value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 else None)
+            i = m.end()
+            continue
+        depth += (c in "{[(") - (c in "}])")
+        i += 1
+        if depth == 0:
+            break
+    return pairs, i
 
 
 def _javascript(path: str, text: str) -> Iterator[Found]:
-    """jQuery posts and JSON reads, and declared RPC methods, outside comments."""
+    """jQuery posts, JSON reads and ajax calls, custom requests and declared RPC methods, outside comments."""
     masked = mask_comments(text)
     for m in _POST.finditer(masked):
         pairs = re.findall(r"(?:^|&)([A-Za-z_][\w.-]*)=([^&]*)", m["b"] or "")
@@ -104,6 +129,20 @@ def _javascript(path: str, text: str) -> Iterator[Found]:
         yield "request", m["v"], json.dumps(detail, sort_keys=True), None, "jquery.post", m.start("v"), m.end("v")
     for m in _GET_JSON.finditer(masked):
         yield "request", m["v"], json.dumps({"method": "GET", "shape": "literal_prefix" if m["plus"] else "exact_literal"}, sort_keys=True), None, "jquery.getJSON", m.start("v"), m.end("v")
+    for m in _OBJECT_CALL.finditer(masked):
+        pairs, end = _object(masked, m.end())
+        low = {k.lower(): v for k, v in pairs.items()}
+        if not low.get("url"):
+            continue
+        kind = (low.get("contenttype") or "").lower()
+        detail = {"method": (low.get("type") or low.get("method") or "").upper() or None, "representation": next((r for mark, r in (("xml", "xml"), ("json", "json"), ("x-www-form-urlencoded", "form_urlencoded")) if mark in kind), None)}
+        data = re.compile(r"""\bdata["']?\s*:\s*(?=\{)""").search(masked, m.end(), end)
+        fields = _object(masked, data.end())[0] if data else {}
+        detail |= {"parameters": list(fields), "selectors": {k: v for k, v in fields.items() if v is not None and k.lower() in _REQUEST_SELECTORS}}
+        yield "request", low["url"], json.dumps(detail, sort_keys=True), None, "jquery.ajax" if m["name"] == "$.ajax" else "custom.request", m.start(), end
+    for m in _SET_DATA.finditer(masked):
+        detail = {"method": "POST", "parameters": list(_object(masked, m.end())[0]), "shape": "literal_prefix" if m["plus"] else "exact_literal"}
+        yield "request", m["v"], json.dumps(detail, sort_keys=True), None, "custom.GetSetData.setData", m.start("v"), m.end("v")
     for m in _RPC.finditer(masked):
         named = dict(re.findall(r"""(object|method)\s*:\s*["']([^"']+)["']""", m["body"]))
         if len(named) == 2:

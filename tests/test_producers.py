@@ -26,6 +26,16 @@ def test_forms_and_calls(spark):
     assert got["jquery.getJSON"][1]["shape"] == "literal_prefix" and got["luci.rpc.declare"] == ("ubus://net/up", {"method": "POST", "parameters": ["if"]})
 
 
+def test_object_style_requests(spark):
+    script = """$.ajax({url: "/api/x", type: 'post', contentType: "application/json; x", data: {cmd: "go", v: f(1, {a: 2}), "w": 3}, success: function (d) { var q = {url: "no"}; }});
+A.request({url: '/r', method: "get"}); A.request({url: u}); $.GetSetData.setData("/goform/s" + n, {a: 1, b: "2"}); $.ajax({type: "get"}); $.ajax({"""
+    got = [(x.source_construct, x.value, json.loads(x.detail)) for x in producers.javascript_requests(files(spark, ("a.js", script))).collect()]
+    assert got == [
+        ("jquery.ajax", "/api/x", {"method": "POST", "parameters": ["cmd", "v", "w"], "representation": "json", "selectors": {"cmd": "go"}}), ("custom.request", "/r", {"method": "GET", "parameters": [], "representation": None, "selectors": {}}),
+        ("custom.GetSetData.setData", "/goform/s", {"method": "POST", "parameters": ["a", "b"], "shape": "literal_prefix"}),
+    ]
+
+
 def test_web_configurations(spark):
     light = 'server.port = 80 # no\nserver.document-root = "/www"\n$HTTP["url"] =~ "^/cgi-bin/" {\n cgi.assign = ( "" => "" )\n}\ncgi.assign = ()\n'
     got = [(x.kind, x.value, x.namespace) for x in producers.lighttpd(files(spark, ("lighttpd.conf", light))).collect()]
