@@ -19,6 +19,8 @@ from lodestrata.llm.common import fresh, settle, text_digest
 
 #: Lines of the shortest run whose later copies are deleted.
 LEAST_LINES = 2
+#: Words from which a single line is a run of its own, for callers that count by words as well.
+LONG_WORDS = 20
 _ROW = ["doc_id", "t", "at"]
 
 
@@ -31,11 +33,18 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"), F.col("at"))
 
 
-def line_sequences(docs: DataFrame) -> DataFrame:
-    """doc_id, t, at (number among the text's lines with a word), line (number among all), a, b."""
+def _long(line: Column, words: int | None) -> Column:
+    """The line has ``words`` words or more; none has if ``words`` is None."""
+    if words is None:
+        return F.lit(False)
+    return line.rlike(r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (words - 1))
+
+
+def line_sequences(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """doc_id, t, at (number among the text's lines with a word), line (number among all), a, b, long."""
     lines = F.split(F.col("text"), "\n", -1)
-    named = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), *_name(x), x.rlike(r"[^\x20\x09-\x0D]").alias("full"))), lambda x: x["full"])
-    return docs.where("text is not null").select("doc_id", text_digest(F.col("text")).alias("t"), F.posexplode(named).alias("at", "x")).select("doc_id", "t", "at", "x.line", "x.a", "x.b")
+    named = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), *_name(x), x.rlike(r"[^\x20\x09-\x0D]").alias("full"), _long(x, long_words).alias("long"))), lambda x: x["full"])
+    return docs.where("text is not null").select("doc_id", text_digest(F.col("text")).alias("t"), F.posexplode(named).alias("at", "x")).select("doc_id", "t", "at", "x.line", "x.a", "x.b", "x.long")
 
 
 def _shared(suffixes: DataFrame) -> DataFrame:
@@ -51,14 +60,15 @@ def _joined(suffixes: DataFrame, shift: int) -> DataFrame:
     return both.select("s.doc_id", "s.t", "s.at", *_name(*(F.col(c) for c in ("s.a", "s.b", "later_a", "later_b"))))
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST_LINES) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, least: int = LEAST_LINES, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The two results of the doubling.
 
     First, (doc_id, t, at, length, first): places whose ``length`` lines stand at an earlier place
-    as well, with the first of these; lengths are ``least`` and all powers of two above it.
+    as well, with the first of these; lengths are ``least`` and all powers of two above it,
+    and 1 for lines of ``long_words`` words and more.
     Second, (doc_id, t, at, line): where the repeated lines stand.
     """
-    every = line_sequences(docs)
+    every = line_sequences(docs, long_words)
     often = every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     lines = settle(every.join(often, ["a", "b"]).dropDuplicates(_ROW))
     level, length, found = lines.select(*_ROW, "a", "b"), 1, []
@@ -68,6 +78,8 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_LINES) -> tuple[DataFrame,
 
     if least == 1:
         found.append(later(_shared(level), 1))
+    elif long_words is not None:
+        found.append(later(_shared(lines.where("long").select(*_ROW, "a", "b")), 1))
     while True:
         if length < least < 2 * length:
             found.append(later(_shared(_joined(level, least - length)), least))
@@ -84,11 +96,11 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_LINES) -> tuple[DataFrame,
     return settle(out), lines.select(*_ROW, "line")
 
 
-def deleted_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+def deleted_lines(docs: DataFrame, least: int = LEAST_LINES, long_words: int | None = None) -> DataFrame:
     """doc_id, t, deleted (array of at and line, sorted) and copied (lines of the longest power of two copied at once)."""
-    runs, lines = repeated_runs(docs, least)
-    # windows of ``least`` lines cover all of every longer run
-    covered = runs.where(F.col("length") == least).select("doc_id", "t", F.explode(F.sequence(F.col("at"), F.col("at") + least - 1)).alias("at")).distinct()
+    runs, lines = repeated_runs(docs, least, long_words)
+    # windows of ``least`` lines cover all of every longer run; below these there are only long lines
+    covered = runs.where(F.col("length") <= least).select("doc_id", "t", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("at")).distinct()
     longest = runs.where(F.expr("length & (length - 1)") == 0).groupBy("doc_id", "t").agg(F.max("length").alias("copied"))
     where = lines.alias("l").join(covered.alias("c"), F.col("l.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("l.t") == F.col("c.t")) & (F.col("l.at") == F.col("c.at")))
     gone = where.groupBy("l.doc_id", "l.t").agg(F.array_sort(F.collect_list(F.struct("l.at", "l.line"))).alias("deleted"))
@@ -96,17 +108,18 @@ def deleted_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     return settle(both.select("g.doc_id", "g.t", "deleted", F.coalesce("copied", F.lit(1)).alias("copied")))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_LINES, into: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_LINES, into: str = "line_dedup", long_words: int | None = None) -> DataFrame:
     """``docs`` with deleted lines cut from ``text``, and a struct ``into``.
 
     n_lines (with a word), n_deleted, n_runs (stretches deleted), longest_run (lines of the
     longest) and copied (lines of the longest power of two copied at once; 0 where nothing is
-    deleted).  Lines without a word are no part of runs and stay.  Null and empty texts stay as
+    deleted).  With ``long_words``, a line of so many words or more is a run by itself, so each of
+    its later copies goes whatever stands beside it.  Lines without a word are no part of runs and stay.  Null and empty texts stay as
     they are.  Rows equal in doc_id and text are one document and lose the same lines.  Other
     columns pass through.
     """
     assert into == fresh(docs, into), f"{into} is a column already"
-    gone = deleted_lines(docs, least)
+    gone = deleted_lines(docs, least, long_words)
     key = fresh(docs, "text_key")
     mine = docs.withColumn(key, text_digest(F.col("text")))
     touched = may_hold(bitmap(gone.select(F.col("t.a").alias("h"))), F.col(key)["a"])
@@ -138,13 +151,13 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_LINES, into: str = "line_ded
     return wide.unionByName(rest)
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
-    """``docs`` without later copies of line runs, same columns.
+def drop_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``docs`` without later copies of line runs and of long lines, same columns.
 
     A document whose every line is a later copy is a copy as a whole and goes.
     """
     name = fresh(docs, "line_dedup")
-    out = dedup_lines(docs, least, into=name)
+    out = dedup_lines(docs, least, name, long_words)
     whole = (F.col(name)["n_deleted"] > 0) & (F.col(name)["n_deleted"] == F.col(name)["n_lines"])
     return out.where(~whole).select(*docs.columns)
 

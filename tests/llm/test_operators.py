@@ -155,6 +155,18 @@ def test_line_dedup_drops_whole_copies(spark):
     assert sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(df).collect()) == [(1, "a\nb\nc"), (3, "d"), (4, None)]
 
 
+def test_single_long_lines_are_runs(spark):
+    words = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
+    long, edge, short = words(60, "p"), words(line_dedup.LONG_WORDS, "e"), words(line_dedup.LONG_WORDS - 1, "s")
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n \t{short} \n{edge}\nd"), (3, long), (4, f"e\n{long}\nf\n{short}"), (5, f"g\n{edge}\nh\n \t{short} \ni"), (None, f"{long}\nj"), (6, f"{words(60, 'u')}\nk")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 4: f"e\nf\n{short}", 5: f"g\nh\n \t{short} \ni", None: "j", 6: rows[6][1]}
+    counts = {r.doc_id: r.line_dedup for r in line_dedup.dedup_lines(df, long_words=line_dedup.LONG_WORDS).collect()}
+    assert (counts[4].n_deleted, counts[4].n_runs, counts[4].longest_run, counts[4].copied) == (1, 1, 1, 1) and counts[1].n_deleted == 0
+    assert all(r.text == dict(rows)[r.doc_id] for r in line_dedup.dedup_lines(df).collect())  # by lines alone, as the SQL says
+
+
 def test_near_duplicates(docs, none):
     got = near_dup.near_duplicate_classes(docs).collect()
     assert len(got) == len(ROWS)
