@@ -1,17 +1,19 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Every text is a weighted set of five-word shingles.  Each shingle is a Poisson process whose
-rate is its weight; its arrivals fall into random registers, a register keeps the shingle of
-its first arrival, and a shingle stops as soon as its next arrival is later than all registers
-of its text.  Two texts share a register with their probability Jaccard similarity.  Bands of
-registers give buckets; what meets in a bucket is compared by a packed sketch of all registers
-and then by the exact Jaccard similarity of the shingle sets.
+Every text is a set of five-word shingles.  Each shingle is a Poisson process whose rate is its
+weight; its arrivals fall into random registers, a register keeps the shingle of its first
+arrival, and a shingle stops as soon as its next arrival is later than all registers of its
+text.  Two texts share a register with their probability Jaccard similarity.  All weights are
+one here, however often a shingle stands in a text, so this is the Jaccard similarity of the
+sets, the measure that links are verified by.  Bands of registers give buckets; what meets in a
+bucket is compared by a packed sketch of all registers and then by the exact Jaccard similarity.
 
 Groups of copies never become all pairs.  Texts of equal shingle sets are one node; within a
 bucket, nodes are compared with a few leaders only (the node that meets most others, and nodes
 at random), and links become components.  Nodes of buckets that still hold several components
-meet once more by their rarest shingles, so no link between components is lost, while members
-of one component are never compared again.
+meet once more by their rarest shingles, and only bounds that hold for certain rule pairs out
+there, so no link between components is lost, while members of one component are never
+compared again.
 """
 
 from __future__ import annotations
@@ -89,14 +91,14 @@ def prob_minhash(d: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, r
 
 
 def _sketch(texts: pa.Array) -> pa.Array:
-    d, h, weight = shingles(texts)
+    d, h, _ = shingles(texts)
     n = len(texts)
     sizes = np.bincount(d, minlength=n)
     with np.errstate(over="ignore"):
         a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         np.add.at(a, d, kernels.mix(h + np.uint64(1)))
         np.add.at(b, d, kernels.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        registers = kernels.mix(prob_minhash(d, h, weight.astype(float), n))
+        registers = kernels.mix(prob_minhash(d, h, np.ones(len(h)), n))
         bands = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for k in range(ROWS):
             bands = kernels.mix(bands * np.uint64(31) + registers[:, k::ROWS])
@@ -159,10 +161,14 @@ def _differing_bits(x: str, y: str, words: int) -> Column:
     return reduce(lambda p, q: p + q, (F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words)))
 
 
+def _similar_sizes(x: str, y: str) -> Column:
+    """Sizes leave it possible that two nodes are similar enough."""
+    return 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
+
+
 def _similar_sketches(x: str, y: str) -> Column:
-    """Sizes and sketches leave it possible that two nodes are similar enough."""
-    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
-    return sizes & (_differing_bits(f"{x}.sketch", f"{y}.sketch", SKETCH_WORDS) <= MOST_BITS)
+    """Sizes and sketches make it likely enough that two nodes are similar enough."""
+    return _similar_sizes(x, y) & (_differing_bits(f"{x}.sketch", f"{y}.sketch", SKETCH_WORDS) <= MOST_BITS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,13 +192,13 @@ def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     length = F.size("ordered") - F.floor((F.size("ordered") * PERCENT + 99) / 100) + 1
     prefix = F.filter(F.slice("ordered", F.lit(1), length.cast("int")), lambda x: x["often"] > 1)
     known = nodes.join(sets.select("id", "parity"), "id")
-    keyed = settle(known.join(rarest.select("id", F.explode(prefix).alias("p")), "id").select("id", "n", "sketch", "parity", "met", "component", F.col("p.shingle").alias("shingle")))
+    keyed = settle(known.join(rarest.select("id", F.explode(prefix).alias("p")), "id").select("id", "n", "parity", "met", "component", F.col("p.shingle").alias("shingle")))
     mixed = keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct(-F.col("met"), "id")).alias("main")).where("low < high").select("shingle", "main")
     rest = keyed.join(mixed, "shingle").where("component <> main")
     others = keyed.join(mixed.select("shingle"), "shingle", "left_semi")
     # sets of a and b shingles are similar enough if at most (100 - p) / (100 + p) of a + b differ
     parity = (100 + PERCENT) * _differing_bits("x.parity", "y.parity", PARITY_BITS // 64) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
-    crossing = (F.col("x.component") != F.col("y.component")) & _similar_sketches("x", "y") & parity
+    crossing = (F.col("x.component") != F.col("y.component")) & _similar_sizes("x", "y") & parity
     meet = rest.alias("x").join(others.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & crossing)
     return meet.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
 
@@ -236,7 +242,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     links = settle(_verified(stars, sets))
     parts = connected_components(links)
     # nodes of buckets that hold several components may still have a link between these
-    placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", "n", "sketch", "met", F.coalesce("component", "id").alias("component"))
+    placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", "n", "met", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     apart = settle(placed.join(mixed.select("bucket"), "bucket", "left_semi").drop("bucket").dropDuplicates(["id"]))
     pairs = _crossing_pairs(apart, sets)

@@ -177,6 +177,15 @@ def test_near_duplicates(docs, none):
     assert near_dup.near_duplicate_classes(none).count() == 0
 
 
+def test_near_copies_with_a_passage_pasted_many_times(spark):
+    rows = []
+    for n in range(6):  # ten shingles stand fifty times in the copy, whose set has few others
+        words = [f"p{n}_{i}" for i in range(304)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words + words[100:114] * 49))]
+    got = near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.kept) for r in got} == {(i, i - i % 2, i % 2 == 0) for i, _ in rows}
+
+
 def test_chains_of_near_copies_are_one_class(spark):
     words, rows = BASE.split(), []
     for n in range(12):  # each differs from the next in one word, first and last in many
