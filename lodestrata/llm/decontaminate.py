@@ -10,6 +10,8 @@ places; only places that it may hold get the masks' own hashes, and only these a
 
 The two masks are chosen so that a window of ``OVERLAP`` words with ``SUBSTITUTED`` of them
 substituted always holds one of them untouched (the test goes through all such windows).
+Items of 7 to 9 words may have one word substituted, which can spoil every place of both masks;
+they get masks that leave out one of their words each.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: Positions that count.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
+#: Lengths of items that may have a word substituted where no place of a mask stays untouched.
+LOOSE = (7, 8, 9)
 #: Words of an overlap that counts, and how many of them may be substituted.
 OVERLAP, SUBSTITUTED = 13, 2
 #: Rows of the benchmark's hashes up to which they are broadcast; beyond, both sides are shuffled.
@@ -44,16 +48,26 @@ def seed_hash(words: str, place: str, k: int, mask: tuple[int, ...]) -> Column:
     return F.when(inside, F.xxhash64(F.lit(k), *(F.get(words, F.col(place) + p) for p in mask)))
 
 
-def seed_places(texts: DataFrame, words: str, masks: list[tuple[int, ...]], sieve: tuple[list[tuple[int, ...]], Column] | None = None) -> DataFrame:
+def loose_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks of which an item of ``length`` words keeps one untouched if any word is substituted.
+
+    The first leaves out the last word, or the first word where it lies one place later.
+    """
+    return [tuple(range(length - 1)), *(tuple(i for i in range(length) if i != p) for p in range(1, length - 1))]
+
+
+def seed_places(texts: DataFrame, words: str, masks: list[tuple[int, ...]], sieve: tuple[list[tuple[int, ...]], Column] | None = None, only: list[int | None] | None = None) -> DataFrame:
     """A row (place, h) for each place and mask of each text, beside its other columns.
 
+    ``only``: for each mask, the number of words of the texts that it is for; None: of all.
     ``sieve``: masks that count less, and a bitmap of their hashes.  Places of which it holds
     none give no rows.
     """
     others = [c for c in texts.columns if c != words]
     last = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
     places = texts.select(*others, words, F.explode(last).alias("place"))
-    hashes = lambda of: [seed_hash(words, "place", k, m) for k, m in enumerate(of)]
+    mine = lambda k, h: h if only is None or only[k] is None else F.when(F.size(words) == only[k], h)
+    hashes = lambda of: [mine(k, seed_hash(words, "place", k, m)) for k, m in enumerate(of)]
     if sieve:
         places = places.where(reduce(lambda x, y: x | y, (may_hold(sieve[1], h) for h in hashes(sieve[0]))))
     return places.select(*others, "place", F.explode(F.array(*hashes(masks))).alias("h")).where("h is not null")
@@ -70,20 +84,24 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An overlap is ``OVERLAP`` consecutive words of the item (all, if it has fewer) of which at
     most two in thirteen are substituted in the text.  Of several, the one with most agreeing
     words, then the first, is reported; ``first_word`` is its place in the text, from 0.  Items
-    of fewer words than a mask spans must occur word by word.  Null or empty texts and items
+    of fewer than seven words must occur word by word, as two in thirteen are none of these.  Null or empty texts and items
     overlap with nothing.  Equal texts are one t, equal items one row for each item_id.
     """
     items = settle(
         benchmark.select("item_id", words_of(F.col("text")).alias("item")).where("size(item) > 0").distinct()
         .select("item_id", "item", F.size("item").alias("item_words"), F.xxhash64("item").alias("key"))
     )
-    # one short mask for each length below the span that the benchmark has: seven at most
-    short = sorted(r[0] for r in items.where(F.col("item_words") < SPAN).select("item_words").distinct().collect())
-    whole = [tuple(range(n)) for n in short]
-    masks, coarse = [*MASKS, *whole], [tuple(sorted(set.intersection(*map(set, MASKS)))), *whole]
+    # masks for each short length that the benchmark has: nine lengths at most
+    short = sorted(r[0] for r in items.where(F.col("item_words") <= max(LOOSE)).select("item_words").distinct().collect())
+    whole = [tuple(range(n)) for n in short if n < min(LOOSE)]
+    loose = [(n, m) for n in short if n in LOOSE for m in loose_masks(n)]
+    # with one word substituted, one half of an item is untouched
+    halves = [(n, tuple(h)) for n in short if n in LOOSE for h in (range(n // 2), range(n // 2, n))]
+    masks, coarse = [*MASKS, *whole, *(m for _, m in loose)], [tuple(sorted(set.intersection(*map(set, MASKS)))), *whole, *(h for _, h in halves)]
+    masks_for, coarse_for = ([None] * (len(of) - len(more)) + [n for n, _ in more] for of, more in ((masks, loose), (coarse, halves)))
     one_each = items.dropDuplicates(["key", "item"]).select("key", "item")
-    seeds = settle(seed_places(one_each, "item", masks).withColumnRenamed("place", "item_place").distinct())
-    sieve = settle(seed_places(one_each, "item", coarse).select("h").distinct())
+    seeds = settle(seed_places(one_each, "item", masks, only=masks_for).withColumnRenamed("place", "item_place").distinct())
+    sieve = settle(seed_places(one_each, "item", coarse, only=coarse_for).select("h").distinct())
     few = seeds.count() <= MOST_BROADCAST
     texts = docs.select(text_digest(F.col("text")).alias("t"), words_of(F.col("text")).alias("words"))
     places = seed_places(texts, "words", masks, (coarse, bitmap(sieve)))

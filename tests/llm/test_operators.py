@@ -234,6 +234,22 @@ def test_decontamination_by_definition(spark, docs, none):
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_with_a_word_substituted(spark):
+    items = [(n, " ".join(f"i{n}_{k}" for k in range(n))) for n in range(5, 14)]
+    rows = []
+    for n, x in items:
+        w = x.split()
+        for p in range(n):
+            one = [*w[:p], "no", *w[p + 1 :]]
+            two = [*one[: (p + 3) % n], "no", *one[(p + 3) % n + 1 :]]
+            rows += [" ".join(["a", "b", *one, "c"]), " ".join(one), " ".join(["a", *two, "c"])]
+        rows += [" ".join(w[1:]), " ".join(w[:-1]), f"a {x} b"]
+    rows = list(enumerate(rows))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_documents(df, bench).collect()}
+    assert got == overlaps_by_definition(rows, items)
+
+
 def test_unit_dedup_by_definition(spark, docs, none):
     got = sorted((str(r.doc_id), r.start, r.end, str(r.kept_doc_id), r.copies) for r in unit_dedup.repeated_units(docs).collect())
     first, want, count = {}, [], defaultdict(int)
