@@ -1,12 +1,21 @@
 """Line dedup: a suffix array over line ids by prefix doubling, with built-in functions only.
 
-All texts are one sequence of line ids with a break after each text.  A suffix's rank at level
-k stands for its first 2^k lines; ranks of level k + 1 are made of the ranks of a suffix and of
-the one 2^k lines later.  Suffixes whose rank no other shares are sorted out for good, so each
-round only moves what is still repeated.  Suffixes of equal rank form an interval of the suffix
-array whose common prefix is 2^k lines or more; its first suffix is the one to keep, and the
-lines that the later ones have in common with it are deleted.  Ranks are 128-bit names of the
-lines they stand for: equal where the lines are, and as good as sorted numbers for intervals.
+All distinct texts, in order of their first doc_id, are one sequence of lines; a line's number in
+it is its ``place``, and no run reaches beyond the end of its text.  A suffix's rank of level k
+is the number of its first 2^k lines in sorted order.  Ranks of level k + 1 come from sorting the
+pairs (rank of a suffix, rank of the one 2^k lines later).  Pairs that occur once are sorted out
+for good, so each round moves only what is still repeated.
+
+Suffixes that agree in their first n lines are an interval of the suffix array.  From the highest
+level down, each suffix descends into the interval of the longest prefix in which an earlier
+suffix stands: intervals are split by the rank of what follows, half the length each time.  The
+first suffix of an interval stands for it in the wider one around it, so each level handles every
+suffix once, and at most one more row for each interval.  Where the descent ends lies the exact length of
+the longest earlier copy, and those lines of the later place are deleted.
+
+Defined results: lines without a word are no part of runs and stay; null and empty texts have no
+lines; rows equal in doc_id and text are one document and lose the same lines; a null doc_id ranks
+last; a very long text is one row of line hashes until its lines are numbered, then a row a line.
 """
 
 from __future__ import annotations
@@ -15,22 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.bitmap import bitmap, may_hold
-from lodestrata.llm.common import fresh, settle, text_digest
+from lodestrata.llm.common import free, fresh, join_groups, settle, text_digest
 
 #: Lines of the shortest run whose later copies are deleted.
 LEAST_LINES = 2
 #: Words from which a single line is a run of its own, for callers that count by words as well.
 LONG_WORDS = 20
-_ROW = ["doc_id", "t", "at"]
-
-
-def _name(*parts: Column) -> tuple[Column, Column]:
-    return F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *parts).alias("b")
-
-
-def _rank() -> Column:
-    """The order of places: doc_id (null last), digest of the text, line."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"), F.col("at"))
 
 
 def _long(line: Column, words: int | None) -> Column:
@@ -40,115 +39,147 @@ def _long(line: Column, words: int | None) -> Column:
     return line.rlike(r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (words - 1))
 
 
-def line_sequences(docs: DataFrame, long_words: int | None = None) -> DataFrame:
-    """doc_id, t, at (number among the text's lines with a word), line (number among all), a, b, long."""
-    lines = F.split(F.col("text"), "\n", -1)
-    named = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), *_name(x), x.rlike(r"[^\x20\x09-\x0D]").alias("full"), _long(x, long_words).alias("long"))), lambda x: x["full"])
-    return docs.where("text is not null").select("doc_id", text_digest(F.col("text")).alias("t"), F.posexplode(named).alias("at", "x")).select("doc_id", "t", "at", "x.line", "x.a", "x.b", "x.long")
-
+def line_places(docs: DataFrame, firsts: DataFrame, long_words: int | None = None) -> DataFrame:
+    """place, t, at (number among the text's lines with a word), left (lines from here on), a, b, long.
 
-def _shared(suffixes: DataFrame) -> DataFrame:
-    """Suffixes whose rank others share, each with the first place of that rank."""
-    groups = suffixes.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_rank()).alias("first")).where("n > 1").drop("n")
-    return suffixes.join(groups, ["a", "b"])
+    ``firsts``: the first document of each text t.  Each distinct text counts once.  Places follow
+    (first document, t, at): ids that increase over range-sorted parts.
+    """
+    named = F.filter(
+        F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), _long(x, long_words).alias("long"), x.rlike(r"[^\x20\x09-\x0D]").alias("full"))),
+        lambda x: x["full"],
+    )
+    texts = docs.where("text is not null").select(text_digest(F.col("text")).alias("t"), named.alias("names")).where("size(names) > 0").dropDuplicates(["t"])
+    ordered = texts.join(firsts.select("t", "first"), "t").repartitionByRange("first", "t").sortWithinPartitions("first", "t")
+    lines = ordered.select("t", F.size("names").alias("n"), F.posexplode("names").alias("at", "x"))
+    return lines.select(F.monotonically_increasing_id().alias("place"), "t", "at", (F.col("n") - F.col("at")).alias("left"), "x.a", "x.b", "x.long")
 
 
-def _joined(suffixes: DataFrame, shift: int) -> DataFrame:
-    """Ranks of a suffix and of the one ``shift`` lines later, as one rank."""
-    later = suffixes.select("doc_id", "t", (F.col("at") - shift).alias("at"), F.col("a").alias("later_a"), F.col("b").alias("later_b"))
-    both = suffixes.alias("s").join(later.alias("l"), F.col("s.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("s.t") == F.col("l.t")) & (F.col("s.at") == F.col("l.at")))
-    return both.select("s.doc_id", "s.t", "s.at", *_name(*(F.col(c) for c in ("s.a", "s.b", "later_a", "later_b"))))
+def _groups(suffixes: DataFrame, keys: list[str]) -> DataFrame:
+    """What several suffixes share of ``keys``: n (how many), first (place) and rank, which increases with the keys."""
+    found = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    return found.orderBy(*keys).withColumn("number", F.monotonically_increasing_id())
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST_LINES, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The two results of the doubling.
+def rank_levels(lines: DataFrame) -> list[DataFrame]:
+    """For each k: the suffixes whose first 2^k lines stand elsewhere as well (place, left, rank, first).
 
-    First, (doc_id, t, at, length, first): places whose ``length`` lines stand at an earlier place
-    as well, with the first of these; lengths are ``least`` and all powers of two above it,
-    and 1 for lines of ``long_words`` words and more.
-    Second, (doc_id, t, at, line): where the repeated lines stand.
+    The first level, where single lines may be very frequent, splits off its large groups; joins
+    of the later ones are written as they come, so that Spark's skew handling can split them.
     """
-    every = line_sequences(docs, long_words)
-    often = every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    lines = settle(every.join(often, ["a", "b"]).dropDuplicates(_ROW))
-    level, length, found = lines.select(*_ROW, "a", "b"), 1, []
-
-    def later(suffixes: DataFrame, size: int) -> DataFrame:
-        return suffixes.where(_rank() != F.col("first")).select(*_ROW, F.lit(size).alias("length"), "first")
-
-    if least == 1:
-        found.append(later(_shared(level), 1))
-    elif long_words is not None:
-        found.append(later(_shared(lines.where("long").select(*_ROW, "a", "b")), 1))
-    while True:
-        if length < least < 2 * length:
-            found.append(later(_shared(_joined(level, least - length)), least))
-        ranked = settle(_shared(_joined(level, length)))
-        length *= 2
-        if length >= least:
-            found.append(later(ranked, length))
-        if ranked.isEmpty():
-            break
-        level = ranked.drop("first")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return settle(out), lines.select(*_ROW, "line")
+    out = lambda joined: settle(joined.select("place", "left", F.col("number").alias("rank"), "first"))
+    levels = [out(join_groups(lines, settle(_groups(lines, ["a", "b"])), ["a", "b"], "n"))]
+    while not levels[-1].isEmpty():
+        shift = 1 << (len(levels) - 1)
+        now = levels[-1].select("place", "left", "rank")
+        later = now.select((F.col("place") - shift).alias("place"), F.col("rank").alias("rank_after"))
+        # within the text: its lines have consecutive places
+        pairs = now.where(F.col("left") >= 2 * shift).join(later, "place")
+        levels.append(out(pairs.join(_groups(pairs, ["rank", "rank_after"]), ["rank", "rank_after"])))
+    return levels[:-1]
+
+
+def longest_copies(levels: list[DataFrame], least: int) -> DataFrame | None:
+    """(place, length, source): the longest run from a place that also begins at an earlier one.
+
+    Places whose run is shorter than ``least`` may lack.  ``source`` is the first place that has
+    the run.  In the descent a row (place, source, length) means: the place stands in the interval
+    of suffixes that agree with ``source`` in ``length`` lines.  The interval's first suffix has
+    equal ``place`` and ``source`` there, besides its own row in the wider interval.
+    """
+    inside: DataFrame | None = None
+    for k in reversed(range(len(levels))):
+        size, level = 1 << k, levels[k]
+        parts = []
+        if inside is not None:
+            # split intervals by the rank of the next ``size`` lines
+            follows = F.when(F.col("left") >= F.col("length") + size, F.col("place") + F.col("length"))
+            probe = inside.withColumn("next", follows).join(level.select(F.col("place").alias("next"), F.col("rank")), "next", "left").drop("next")
+            keys = ["source", "length", "rank"]
+            shared = probe.where("rank is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n")
+            stays = F.struct(F.col("source"), F.col("length"))
+            moves = F.struct(F.col("first").alias("source"), (F.col("length") + size).alias("length"))
+            to = F.when(F.col("first").isNull(), F.array(stays)).when(F.col("place") > F.col("first"), F.array(moves)).otherwise(F.array(stays, moves))
+            parts.append(probe.join(shared, keys, "left").select("place", "left", F.explode(to).alias("x")).select("place", "left", "x.*"))
+        if 2 * size > least:
+            # suffixes that enter here have no earlier one on the next level; the level's firsts enter beside them
+            rows = level.join(levels[k + 1].where("place > first").select("place"), "place", "left_anti") if k + 1 < len(levels) else level
+            parts.append(rows.select("place", "left", F.col("first").alias("source"), F.lit(size).alias("length")))
+        if parts:
+            inside = settle(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    return None if inside is None else inside.where("place > source").select("place", "length", "source")
 
 
 def deleted_lines(docs: DataFrame, least: int = LEAST_LINES, long_words: int | None = None) -> DataFrame:
-    """doc_id, t, deleted (array of at and line, sorted) and copied (lines of the longest power of two copied at once)."""
-    runs, lines = repeated_runs(docs, least, long_words)
-    # windows of ``least`` lines cover all of every longer run; below these there are only long lines
-    covered = runs.where(F.col("length") <= least).select("doc_id", "t", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("at")).distinct()
-    longest = runs.where(F.expr("length & (length - 1)") == 0).groupBy("doc_id", "t").agg(F.max("length").alias("copied"))
-    where = lines.alias("l").join(covered.alias("c"), F.col("l.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("l.t") == F.col("c.t")) & (F.col("l.at") == F.col("c.at")))
-    gone = where.groupBy("l.doc_id", "l.t").agg(F.array_sort(F.collect_list(F.struct("l.at", "l.line"))).alias("deleted"))
-    both = gone.alias("g").join(longest.alias("m"), F.col("g.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("g.t") == F.col("m.t")), "left")
-    return settle(both.select("g.doc_id", "g.t", "deleted", F.coalesce("copied", F.lit(1)).alias("copied")))
+    """A row for each text of which some row loses lines: t, first, copied, deleted, longest.
+
+    ``deleted`` are the numbers, among lines with a word, of those that all rows of the text lose;
+    ``longest`` is the longest run copied at once.  Where ``copied``, later documents than
+    ``first`` have the same text, which is for them one run as a whole.
+    """
+    named = docs.where("text is not null").select(text_digest(F.col("text")).alias("t"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id")).alias("id"))
+    firsts = settle(named.groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).select("t", "first", (F.col("first") != F.col("last")).alias("copied")))
+    lines = settle(line_places(docs, firsts, long_words))
+    levels = rank_levels(lines)
+    runs = longest_copies(levels, least)
+    starts = [] if runs is None else [runs.where(F.col("length") >= least).select("place", "length", F.lit(least).alias("sure"))]
+    if levels and long_words is not None and least > 1:
+        long = lines.where("long").select("place").join(levels[0].where("place > first").select("place"), "place", "left_semi")
+        starts.append(long.select("place", F.lit(1).alias("length"), F.lit(1).alias("sure")))
+    if not starts:
+        return firsts.where("copied").select("*", F.lit(None).cast("array<int>").alias("deleted"), F.lit(None).cast("int").alias("longest"))
+    found = starts[0] if len(starts) == 1 else starts[0].unionByName(starts[1])
+    # what follows a start within its run is a start as well, down to the last ``least`` lines
+    every = found.select("length", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("sure") - 1)).alias("place")).groupBy("place").agg(F.max("length").alias("length"))
+    gone = every.join(lines.select("place", "t", "at"), "place").groupBy("t").agg(F.array_sort(F.collect_list("at")).alias("deleted"), F.max("length").cast("int").alias("longest"))
+    return settle(firsts.join(gone, "t", "left").where("copied or deleted is not null"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_LINES, into: str = "line_dedup", long_words: int | None = None) -> DataFrame:
     """``docs`` with deleted lines cut from ``text``, and a struct ``into``.
 
     n_lines (with a word), n_deleted, n_runs (stretches deleted), longest_run (lines of the
-    longest) and copied (lines of the longest power of two copied at once; 0 where nothing is
-    deleted).  With ``long_words``, a line of so many words or more is a run by itself, so each of
-    its later copies goes whatever stands beside it.  Lines without a word are no part of runs and stay.  Null and empty texts stay as
-    they are.  Rows equal in doc_id and text are one document and lose the same lines.  Other
-    columns pass through.
+    longest stretch) and copied (lines of the longest run that stands at one earlier place; 0
+    where nothing is deleted).  With ``long_words``, a line of so many words or more is a run by
+    itself, so each of its later copies goes whatever stands beside it.  Lines without a word
+    stay.  Null and empty texts stay as they are.  Other columns pass through; ``into`` must not
+    be one of them.
     """
-    assert into == fresh(docs, into), f"{into} is a column already"
+    free(docs, into)
     gone = deleted_lines(docs, least, long_words)
-    key = fresh(docs, "text_key")
+    key, hit, split, full, cut = (fresh(docs, n) for n in ("text_key", "gone_lines", "all_lines", "full_lines", "cut_lines"))
     mine = docs.withColumn(key, text_digest(F.col("text")))
     touched = may_hold(bitmap(gone.select(F.col("t.a").alias("h"))), F.col(key)["a"])
-    g = gone.select(F.struct("*").alias("gone_lines"))
-    hit = mine.where(touched).join(g, F.col("doc_id").eqNullSafe(F.col("gone_lines.doc_id")) & (F.col(key) == F.col("gone_lines.t")), "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
-    deleted = F.col("gone_lines.deleted")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(deleted, lambda x: x["line"]))
-    split, stay = fresh(docs, "all_lines"), fresh(docs, "stay_lines")
-    text = F.when(deleted.isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.col(stay), lambda i: F.get(F.col(split), i)), "\n"))
-    begin = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("now"), F.lit(0).alias("longest"), F.lit(0).alias("runs"))
-
-    def step(s: Column, x: Column) -> Column:
-        follows = s["at"] + 1 == x["at"]
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    out = lambda text, *fields: [*(c for c in docs.columns if c != "text"), text.alias("text"), F.struct(*(f.cast("long").alias(n) for f, n in zip(fields, ("n_lines", "n_deleted", "n_runs", "longest_run", "copied")))).alias(into)]
+    zero = F.lit(0)
+    n_all = F.coalesce(F.size(F.filter(F.split(F.col("text"), "\n", -1), has_word)), zero)
+    rest = mine.where(~F.coalesce(touched, F.lit(False))).select(*out(F.col("text"), n_all, zero, zero, zero, zero))
+
+    g = gone.select(F.struct("*").alias(hit))
+    wide = mine.where(touched).join(g, mine[key] == g[hit]["t"], "left").withColumn(split, F.split(F.col("text"), "\n", -1))
+    # numbers of the lines with a word
+    wide = wide.withColumn(full, F.filter(F.transform(F.col(split), lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull()))
+    # the text's own row has no null: a row of a later document is a copy as a whole
+    later = F.coalesce(F.col(hit)["copied"] & (F.struct(F.col("doc_id").isNull(), F.col("doc_id")) != F.struct(F.col(hit)["first"]["no_id"], F.col(hit)["first"]["doc_id"])), F.lit(False))
+    n = F.size(full)
+    none = F.array().cast("array<int>")
+    all_of_it = F.when(n == 0, none).otherwise(F.sequence(zero, n - 1))
+    alone = F.filter(all_of_it, lambda at: _long(F.get(F.col(split), F.get(F.col(full), at)), long_words))
+    wide = wide.withColumn(cut, F.when(later, F.when(n >= least, all_of_it).otherwise(alone)).otherwise(F.coalesce(F.col(hit)["deleted"], none)))
+    cuts = F.col(cut)
+    stay = F.array_except(F.sequence(zero, F.size(split) - 1), F.transform(cuts, lambda at: F.get(F.col(full), at)))
+    text = F.when(F.size(cuts) == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n"))
+    begin = F.struct(F.lit(-2).alias("at"), zero.alias("now"), zero.alias("longest"), zero.alias("runs"))
+
+    def step(s: Column, at: Column) -> Column:
+        follows = s["at"] + 1 == at
         now = F.when(follows, s["now"] + 1).otherwise(1)
-        return F.struct(x["at"].alias("at"), now.alias("now"), F.greatest(s["longest"], now).alias("longest"), (s["runs"] + F.when(follows, 0).otherwise(1)).alias("runs"))
+        return F.struct(at.alias("at"), now.alias("now"), F.greatest(s["longest"], now).alias("longest"), (s["runs"] + F.when(follows, 0).otherwise(1)).alias("runs"))
 
-    runs = F.aggregate(F.coalesce(deleted, F.array().cast("array<struct<at:int,line:int>>")), begin, step)
-    wide = hit.withColumns({split: lines, stay: kept}).select(
-        *(c for c in docs.columns if c != "text"), text.alias("text"),
-        F.struct(n_lines.alias("n_lines"), F.coalesce(F.size(deleted), F.lit(0)).cast("long").alias("n_deleted"), runs["runs"].cast("long").alias("n_runs"), runs["longest"].cast("long").alias("longest_run"), F.coalesce(F.col("gone_lines.copied"), F.lit(0)).cast("long").alias("copied")).alias(into),
-    )
-    zero = F.lit(0).cast("long")
-    rest = mine.where(~F.coalesce(touched, F.lit(False))).select(
-        *(c for c in docs.columns if c != "text"), "text",
-        F.struct(n_lines.alias("n_lines"), zero.alias("n_deleted"), zero.alias("n_runs"), zero.alias("longest_run"), zero.alias("copied")).alias(into),
-    )
-    return wide.unionByName(rest)
+    stretches = F.aggregate(cuts, begin, step)
+    longest = F.when(F.size(cuts) == 0, zero).when(later & (n >= least), n).when(later, F.lit(1)).otherwise(F.col(hit)["longest"])
+    return wide.select(*out(text, n, F.size(cuts), stretches["runs"], stretches["longest"], longest)).unionByName(rest)
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
@@ -163,42 +194,40 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, long_words: i
 
 
 LINE_SQL = r"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, text, md5(coalesce(text, '')) AS t, string_split(text, chr(10)) AS lines FROM documents
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, t) AS doc FROM (SELECT doc_id, t, any_value(lines) AS lines FROM d GROUP BY doc_id, t)
 ), l AS (
-  SELECT doc_id, t, lines, unnest(range(len(lines))) AS line FROM (SELECT DISTINCT doc_id, t, lines FROM d)
+  SELECT doc, lines, unnest(range(len(lines))) AS line FROM n
 ), s AS (
-  SELECT doc_id, t, line, md5(lines[line + 1]) AS name, row_number() OVER (PARTITION BY doc_id, t ORDER BY line) - 1 AS pos
+  SELECT doc, line, lines[line + 1] AS body, row_number() OVER (PARTITION BY doc ORDER BY line) AS pos
   FROM l WHERE regexp_matches(lines[line + 1], '[^\x20\x09-\x0D]')
-), k(size) AS (
-  SELECT 1 UNION ALL SELECT size * 2 FROM k WHERE size < 8192
-), q AS (
-  SELECT doc_id, t, list(name ORDER BY pos) AS names FROM s GROUP BY ALL
-), w AS (
-  SELECT q.doc_id, q.t, k.size, i AS pos, md5(array_to_string(names[i + 1 : i + k.size], '')) AS window_name
-  FROM q JOIN k ON k.size >= 2 AND k.size <= len(names), unnest(range(len(names) - k.size + 1)) AS u(i)
-), later AS (
-  SELECT doc_id, t, size, pos, row_number() OVER (PARTITION BY size, window_name ORDER BY doc_id NULLS LAST, t, pos) AS place FROM w
-), copied AS (
-  SELECT doc_id, t, max(size) AS copied FROM later WHERE place > 1 GROUP BY ALL
+), pairs AS (
+  SELECT x.doc, x.pos, y.doc AS of_doc, x.pos - y.pos AS shift
+  FROM s x JOIN s y ON x.body = y.body AND (y.doc < x.doc OR (y.doc = x.doc AND y.pos < x.pos))
+), islands AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY doc, of_doc, shift ORDER BY pos) AS island FROM pairs
+), ends AS (
+  SELECT doc, pos, max(pos) OVER (PARTITION BY doc, of_doc, shift, island) + 1 AS past FROM islands
+), longest AS (
+  SELECT doc, pos, max(past - pos) AS length FROM ends GROUP BY ALL HAVING max(past - pos) >= 2
 ), gone AS (
-  SELECT DISTINCT doc_id, t, pos + o AS pos FROM later, (VALUES (0), (1)) AS v(o) WHERE place > 1 AND size = 2
-), runs AS (
-  SELECT doc_id, t, pos, pos - row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) AS run FROM gone
+  SELECT DISTINCT doc, pos + o AS pos FROM longest, (VALUES (0), (1)) AS v(o)
 ), summed AS (
-  SELECT doc_id, t, sum(n) AS n_deleted, count(*) AS n_runs, max(n) AS longest_run
-  FROM (SELECT doc_id, t, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY ALL
+  SELECT doc, sum(n) AS n_deleted, count(*) AS n_runs, max(n) AS longest_run
+  FROM (SELECT doc, run, count(*) AS n FROM (SELECT doc, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS run FROM gone) GROUP BY ALL) GROUP BY ALL
+), copied AS (
+  SELECT doc, max(length) AS copied FROM longest GROUP BY ALL
 ), rebuilt AS (
-  SELECT l.doc_id, l.t, string_agg(l.lines[l.line + 1], chr(10) ORDER BY l.line) FILTER (g.pos IS NULL) AS text
-  FROM l LEFT JOIN s ON l.doc_id IS NOT DISTINCT FROM s.doc_id AND l.t = s.t AND l.line = s.line
-         LEFT JOIN gone g ON s.doc_id IS NOT DISTINCT FROM g.doc_id AND s.t = g.t AND s.pos = g.pos
+  SELECT l.doc, string_agg(l.lines[l.line + 1], chr(10) ORDER BY l.line) FILTER (g.pos IS NULL) AS text
+  FROM l LEFT JOIN s ON l.doc = s.doc AND l.line = s.line LEFT JOIN gone g ON s.doc = g.doc AND s.pos = g.pos
   GROUP BY ALL
 )
 SELECT d.doc_id, CASE WHEN x.n_deleted > 0 THEN coalesce(r.text, '') ELSE d.text END AS text,
        CAST(coalesce(len(list_filter(d.lines, lambda e: regexp_matches(e, '[^\x20\x09-\x0D]'))), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(x.n_deleted, 0) AS BIGINT) AS n_deleted, CAST(coalesce(x.n_runs, 0) AS BIGINT) AS n_runs,
-       CAST(coalesce(x.longest_run, 0) AS BIGINT) AS longest_run, CAST(CASE WHEN x.n_deleted > 0 THEN c.copied ELSE 0 END AS BIGINT) AS copied
-FROM d LEFT JOIN summed x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.t = x.t
-       LEFT JOIN copied c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.t = c.t
-       LEFT JOIN rebuilt r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.t = r.t
+       CAST(coalesce(x.longest_run, 0) AS BIGINT) AS longest_run, CAST(coalesce(c.copied, 0) AS BIGINT) AS copied
+FROM d JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.t = n.t
+       LEFT JOIN summed x ON n.doc = x.doc LEFT JOIN copied c ON n.doc = c.doc LEFT JOIN rebuilt r ON n.doc = r.doc
 """

@@ -4,7 +4,11 @@ Texts are cut into units (lines, or paragraphs at blank lines), each with its pl
 original text.  Units are normalised and hashed to 128 bits; digests are grouped over the whole
 corpus, first on the map side, so a line that a third of all texts share costs each task one
 row.  The earliest occurrence (by doc_id, then text digest, then place) is kept; all others are
-removed and reported with their original offsets.
+removed.  Every occurrence of a repeated unit is reported with its original offsets.
+
+Defined results: null and empty texts have no units; rows equal in doc_id and text are one
+document; a null doc_id ranks last; a very long text is cut as a whole, by one task, into as
+many rows as it has units.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import fresh, settle, text_digest
+from lodestrata.llm.common import free, fresh, join_groups, settle, text_digest
 
 #: What ends a unit.
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*\n\s*")}
-#: Units of fewer words are left alone: short lines recur by chance and carry structure.
-LEAST_WORDS = 5
+#: Units of fewer words are left alone: short lines recur by chance (headings, greetings, notices)
+#: and say nothing about copying.  13 words is the length from which an overlap counts in
+#: decontamination as well; a passage of over 50 words in longer lines is found at any such floor.
+LEAST_WORDS = 13
 _UNIT = "struct<start: bigint, end: bigint, words: bigint, a: bigint, b: bigint>"
 
 
@@ -62,16 +68,16 @@ def _rank(doc_id: Column) -> Column:
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row for each unit to remove: doc_id, t, start, end, words, kept_doc_id, kept_start, copies.
+    """One row for each occurrence of a unit that occurs more than once.
 
-    ``start`` and ``end`` are places in the original text; ``copies`` counts all occurrences.
-    Rows equal in doc_id and text are one document and get one set of rows.
+    doc_id, t, start, end, words, kept (the earliest occurrence, which stays), kept_doc_id,
+    kept_start and copies.  ``start`` and ``end`` are places in the original text; ``copies``
+    counts all occurrences.  Rows equal in doc_id and text get one set of rows.
     """
     units = settle(cut_units(docs, unit, least_words).dropDuplicates(["doc_id", "t", "start"]))
-    groups = units.groupBy("a", "b").agg(F.min(_rank(F.col("doc_id"))).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    return (
-        units.join(groups, ["a", "b"]).where(~_rank(F.col("doc_id")).eqNullSafe(F.col("kept")))
-        .select("doc_id", "t", "start", "end", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "copies")
+    groups = settle(units.groupBy("a", "b").agg(F.min(_rank(F.col("doc_id"))).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    return join_groups(units, groups, ["a", "b"], "copies").select(
+        "doc_id", "t", "start", "end", "words", _rank(F.col("doc_id")).eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies"
     )
 
 
@@ -79,20 +85,21 @@ def remove_repeated_units(docs: DataFrame, unit: str = "line", least_words: int
     """``docs`` with repeated units cut from ``text`` and their original offsets in column ``removed``.
 
     What separates units stays only between kept ones; a text without repeats stays as it is,
-    a null text null.
+    a null text null.  Other columns pass through; ``removed`` must not be one of them.
     """
-    spans = repeated_units(docs, unit, least_words).groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    free(docs, removed)
+    spans = repeated_units(docs, unit, least_words).where("not kept").groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([cut_spans(t, s, SEPARATORS[unit]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    key = fresh(docs, "text_key")
-    s = spans.select(F.struct("doc_id", "t", "spans").alias("found_spans"))
-    joined = docs.withColumn(key, text_digest(F.col("text"))).join(s, F.col("doc_id").eqNullSafe(F.col("found_spans.doc_id")) & (F.col(key) == F.col("found_spans.t")), "left")
-    return joined.select(
-        *(c for c in docs.columns if c != "text"), without(F.col("text"), F.col("found_spans.spans")).alias("text"), F.coalesce(F.col("found_spans.spans"), F.array().cast("array<struct<start: bigint, end: bigint>>")).alias(removed)
-    )
+    key, found = fresh(docs, "text_key"), fresh(docs, "found_spans")
+    s = spans.select(F.struct("doc_id", "t", "spans").alias(found))
+    mine = docs.withColumn(key, text_digest(F.col("text")))
+    joined = mine.join(s, mine["doc_id"].eqNullSafe(s[found]["doc_id"]) & (mine[key] == s[found]["t"]), "left")
+    cut = F.col(found)["spans"]
+    return joined.select(*(c for c in docs.columns if c != "text"), without(F.col("text"), cut).alias("text"), F.coalesce(cut, F.array().cast("array<struct<start: bigint, end: bigint>>")).alias(removed))
 
 
 def cut_spans(text: str | None, spans: list[dict] | None, separator: re.Pattern) -> str | None:
@@ -118,7 +125,7 @@ WITH l AS (
   SELECT doc_id, t, start, start + size AS "end", unit, CAST(length(regexp_replace(unit, '[^ ]', '', 'g')) + 1 AS BIGINT) AS words FROM u WHERE unit <> ''
 ), r AS (
   SELECT *, row_number() OVER same AS place, first_value(doc_id) OVER same AS kept_doc_id, first_value(start) OVER same AS kept_start, count(*) OVER (PARTITION BY unit) AS copies
-  FROM w WHERE words >= 5 WINDOW same AS (PARTITION BY unit ORDER BY doc_id NULLS LAST, t, start)
+  FROM w WHERE words >= 13 WINDOW same AS (PARTITION BY unit ORDER BY doc_id NULLS LAST, t, start)
 )
-SELECT doc_id, start, "end", words, kept_doc_id, kept_start, copies FROM r WHERE place > 1
+SELECT doc_id, start, "end", words, place = 1 AS kept, kept_doc_id, kept_start, copies FROM r WHERE copies > 1
 """

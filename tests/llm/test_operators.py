@@ -127,27 +127,53 @@ def test_urls(spark):
 
 
 def lines_by_definition(rows, least):
-    """What stays of each document when later copies of runs go."""
+    """What stays of each document when later copies of runs go, and its longest copied run.
+
+    From a plain suffix array: all suffixes sorted, common prefixes of any two as the least of
+    those of neighbours between them.
+    """
     distinct = sorted({(i is None, i or 0, x) for i, x, *_ in rows if x is not None})
     seqs = [[(n, y) for n, y in enumerate(x.split("\n")) if WORD.search(y)] for *_, x in distinct]
-    first, gone = {}, defaultdict(set)
-    for k, s in enumerate(seqs):
-        for a in range(len(s) - least + 1):
-            w = tuple(y for _, y in s[a : a + least])
-            if first.setdefault(w, (k, a)) != (k, a):
-                gone[k] |= {n for n, _ in s[a : a + least]}
-    return {(None if d[0] else d[1], d[2]): "\n".join(y for n, y in enumerate(d[2].split("\n")) if n not in gone[k]) for k, d in enumerate(distinct)}
+    suffixes = sorted((tuple(y for _, y in s[a:]), k, a) for k, s in enumerate(seqs) for a in range(len(s)))
+    common = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    lcp = [common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:])]
+    gone, copied = defaultdict(set), defaultdict(int)
+    for i, (_, k, a) in enumerate(suffixes):
+        best = 0
+        for step in (1, -1):
+            shared, j = len(seqs[k]), i
+            while shared > best and 0 <= j + step < len(suffixes):
+                shared = min(shared, lcp[j if step == 1 else j - 1])
+                j += step
+                if suffixes[j][1:] < (k, a):
+                    best = max(best, shared)
+        if best >= least:
+            gone[k] |= {n for n, _ in seqs[k][a : a + best]}
+            copied[k] = max(copied[k], best)
+    return {(None if d[0] else d[1], d[2]): ("\n".join(y for n, y in enumerate(d[2].split("\n")) if n not in gone[k]), copied[k]) for k, d in enumerate(distinct)}
 
 
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_line_dedup_by_definition(spark, docs, least):
-    more = [(20, "a\nb\na\nb\na\nb\n\nc"), (21, "x\na\nb\n\na\nc"), (22, "a\na\na\na"), (23, "c\nx\na\nb\na")]
+    run = lambda n: "\n".join(f"r{i}" for i in range(n))
+    more = [(20, "a\nb\na\nb\na\nb\n\nc"), (21, "x\na\nb\n\na\nc"), (22, "a\na\na\na"), (23, "c\nx\na\nb\na"), (24, run(20)), (25, f"u\n{run(3)}\nv\n{run(5)}"), (26, f"{run(7)}\nw\nr4\nr5\nr6\nr7\nr8\nr9\nr10\nr11\nr12\nr13\nr14"), (27, run(20)), (28, f"{run(13)}\nr2\nr3")]
     rows = [(i, x) for i, x, *_ in ROWS] + more
     df = spark.createDataFrame(rows, "doc_id long, text string")
     # equal ids and texts of the rows above do not differ in digest order here
     want = lines_by_definition(rows, least)
     for r, src in zip(line_dedup.dedup_lines(df.withColumn("old", F.col("text")), least).collect(), rows):
-        assert r.text == (None if r.old is None else want[(r.doc_id, r.old)])
+        assert (r.text, r.line_dedup.copied) == ((None, 0) if r.old is None else want[(r.doc_id, r.old)])
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_line_dedup_of_random_lines(spark, least):
+    import random
+
+    r = random.Random(least)
+    rows = [(n, "\n".join(r.choice("abcd" if n % 3 else "ab") for _ in range(r.randint(1, 30)))) for n in range(60)]
+    want = lines_by_definition(rows, least)
+    for got in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")), least).collect():
+        assert (got.text, got.line_dedup.copied) == want[(got.doc_id, got.old)]
 
 
 def test_line_dedup_drops_whole_copies(spark):
@@ -251,19 +277,23 @@ def test_short_items_with_a_word_substituted(spark):
 
 
 def test_unit_dedup_by_definition(spark, docs, none):
-    got = sorted((str(r.doc_id), r.start, r.end, str(r.kept_doc_id), r.copies) for r in unit_dedup.repeated_units(docs).collect())
-    first, want, count = {}, [], defaultdict(int)
+    got = sorted((str(r.doc_id), r.start, r.end, str(r.kept_doc_id), r.copies, r.kept) for r in unit_dedup.repeated_units(docs, least_words=5).collect())
+    places = defaultdict(list)
     for i, x in sorted({(i, x or "") for i, x, *_ in ROWS}, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
         at = 0
         for line in x.split("\n"):
             key = " ".join(line.lower().split())
             if len(key.split()) >= 5:
-                count[key] += 1
-                if key in first:
-                    want.append((str(i), at, at + len(line), str(first[key]), key))
-                first.setdefault(key, i)
+                places[key].append((str(i), at, at + len(line)))
             at += len(line) + 1
-    assert got == sorted((i, a, b, k, count[key]) for i, a, b, k, key in want)
-    cleaned = {r.doc_id: r for r in unit_dedup.remove_repeated_units(docs).collect() if r.doc_id in (1, 2, 3, 10)}
+    assert got == sorted((*p, all_of[0][0], len(all_of), k == 0) for all_of in places.values() if len(all_of) > 1 for k, p in enumerate(all_of))
+    cleaned = {r.doc_id: r for r in unit_dedup.remove_repeated_units(docs, least_words=5).collect() if r.doc_id in (1, 2, 3, 10)}
     assert cleaned[1].text == ROWS[0][1] and cleaned[10].text == "fourth" and cleaned[2].text is None and cleaned[3].text == ""
-    assert unit_dedup.repeated_units(none).count() == 0
+    assert unit_dedup.repeated_units(none).count() == 0 and unit_dedup.remove_repeated_units(none).count() == 0
+
+
+def test_repeated_passages_are_found_in_every_holder(spark):
+    words = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, f"{words(60, 'a')}\n{words(20, 'p')}"), (2, f"{words(20, 'q')}\n{words(60, 'a').upper()}"), (3, f"{words(60, 'c')}\nall rights reserved"), (4, f"{words(60, 'd')}\nall rights reserved")]
+    got = {(r.doc_id, r.kept, r.kept_doc_id) for r in unit_dedup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, True, 1), (2, False, 1)}
