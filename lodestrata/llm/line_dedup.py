@@ -64,18 +64,20 @@ def _groups(suffixes: DataFrame, keys: list[str]) -> DataFrame:
 def rank_levels(lines: DataFrame) -> list[DataFrame]:
     """For each k: the suffixes whose first 2^k lines stand elsewhere as well (place, left, rank, first).
 
-    The first level, where single lines may be very frequent, splits off its large groups; joins
-    of the later ones are written as they come, so that Spark's skew handling can split them.
+    The first level has t, at and long as well.  There single lines may be very frequent, so it
+    splits off its large groups; joins of the later levels are written as they come, so that
+    Spark's skew handling can split them.  What is joined grows with the corpus: nothing of it is broadcast.
     """
-    out = lambda joined: settle(joined.select("place", "left", F.col("number").alias("rank"), "first"))
-    levels = [out(join_groups(lines, settle(_groups(lines, ["a", "b"])), ["a", "b"], "n"))]
+    out = lambda joined, *more: settle(joined.select("place", "left", F.col("number").alias("rank"), "first", *more))
+    groups = settle(_groups(lines, ["a", "b"]))
+    levels = [out(join_groups(lines.where(may_hold(bitmap(groups.select("a")), F.col("a"))), groups, ["a", "b"], "n"), "t", "at", "long")]
     while not levels[-1].isEmpty():
         shift = 1 << (len(levels) - 1)
         now = levels[-1].select("place", "left", "rank")
         later = now.select((F.col("place") - shift).alias("place"), F.col("rank").alias("rank_after"))
         # within the text: its lines have consecutive places
-        pairs = now.where(F.col("left") >= 2 * shift).join(later, "place")
-        levels.append(out(pairs.join(_groups(pairs, ["rank", "rank_after"]), ["rank", "rank_after"])))
+        pairs = now.where(F.col("left") >= 2 * shift).join(later.hint("merge"), "place")
+        levels.append(out(pairs.join(_groups(pairs, ["rank", "rank_after"]).hint("merge"), ["rank", "rank_after"])))
     return levels[:-1]
 
 
@@ -94,16 +96,16 @@ def longest_copies(levels: list[DataFrame], least: int) -> DataFrame | None:
         if inside is not None:
             # split intervals by the rank of the next ``size`` lines
             follows = F.when(F.col("left") >= F.col("length") + size, F.col("place") + F.col("length"))
-            probe = inside.withColumn("next", follows).join(level.select(F.col("place").alias("next"), F.col("rank")), "next", "left").drop("next")
+            probe = inside.withColumn("next", follows).join(level.select(F.col("place").alias("next"), F.col("rank")).hint("merge"), "next", "left").drop("next")
             keys = ["source", "length", "rank"]
             shared = probe.where("rank is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n")
             stays = F.struct(F.col("source"), F.col("length"))
             moves = F.struct(F.col("first").alias("source"), (F.col("length") + size).alias("length"))
             to = F.when(F.col("first").isNull(), F.array(stays)).when(F.col("place") > F.col("first"), F.array(moves)).otherwise(F.array(stays, moves))
-            parts.append(probe.join(shared, keys, "left").select("place", "left", F.explode(to).alias("x")).select("place", "left", "x.*"))
+            parts.append(probe.join(shared.hint("merge"), keys, "left").select("place", "left", F.explode(to).alias("x")).select("place", "left", "x.*"))
         if 2 * size > least:
             # suffixes that enter here have no earlier one on the next level; the level's firsts enter beside them
-            rows = level.join(levels[k + 1].where("place > first").select("place"), "place", "left_anti") if k + 1 < len(levels) else level
+            rows = level.join(levels[k + 1].where("place > first").select("place").hint("merge"), "place", "left_anti") if k + 1 < len(levels) else level
             parts.append(rows.select("place", "left", F.col("first").alias("source"), F.lit(size).alias("length")))
         if parts:
             inside = settle(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
@@ -124,15 +126,14 @@ def deleted_lines(docs: DataFrame, least: int = LEAST_LINES, long_words: int | N
     runs = longest_copies(levels, least)
     starts = [] if runs is None else [runs.where(F.col("length") >= least).select("place", "length", F.lit(least).alias("sure"))]
     if levels and long_words is not None and least > 1:
-        long = lines.where("long").select("place").join(levels[0].where("place > first").select("place"), "place", "left_semi")
-        starts.append(long.select("place", F.lit(1).alias("length"), F.lit(1).alias("sure")))
+        starts.append(levels[0].where("long and place > first").select("place", F.lit(1).alias("length"), F.lit(1).alias("sure")))
     if not starts:
         return firsts.where("copied").select("*", F.lit(None).cast("array<int>").alias("deleted"), F.lit(None).cast("int").alias("longest"))
     found = starts[0] if len(starts) == 1 else starts[0].unionByName(starts[1])
     # what follows a start within its run is a start as well, down to the last ``least`` lines
     every = found.select("length", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("sure") - 1)).alias("place")).groupBy("place").agg(F.max("length").alias("length"))
-    gone = every.join(lines.select("place", "t", "at"), "place").groupBy("t").agg(F.array_sort(F.collect_list("at")).alias("deleted"), F.max("length").cast("int").alias("longest"))
-    return settle(firsts.join(gone, "t", "left").where("copied or deleted is not null"))
+    gone = every.join(levels[0].select("place", "t", "at").hint("merge"), "place").groupBy("t").agg(F.array_sort(F.collect_list("at")).alias("deleted"), F.max("length").cast("int").alias("longest"))
+    return settle(firsts.join(gone.hint("merge"), "t", "left").where("copied or deleted is not null"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_LINES, into: str = "line_dedup", long_words: int | None = None) -> DataFrame:
@@ -157,7 +158,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_LINES, into: str = "line_ded
     rest = mine.where(~F.coalesce(touched, F.lit(False))).select(*out(F.col("text"), n_all, zero, zero, zero, zero))
 
     g = gone.select(F.struct("*").alias(hit))
-    wide = mine.where(touched).join(g, mine[key] == g[hit]["t"], "left").withColumn(split, F.split(F.col("text"), "\n", -1))
+    wide = mine.where(touched).join(g.hint("merge"), mine[key] == g[hit]["t"], "left").withColumn(split, F.split(F.col("text"), "\n", -1))
     # numbers of the lines with a word
     wide = wide.withColumn(full, F.filter(F.transform(F.col(split), lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull()))
     # the text's own row has no null: a row of a later document is a copy as a whole
