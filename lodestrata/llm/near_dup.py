@@ -13,7 +13,12 @@ bucket, nodes are compared with a few leaders only (the node that meets most oth
 at random), and links become components.  Nodes of buckets that still hold several components
 meet once more by their rarest shingles, and only bounds that hold for certain rule pairs out
 there, so no link between components is lost, while members of one component are never
-compared again.
+compared again.  Pairs of similarity 0.8 share a band with a probability of 0.9993, more similar
+ones with a higher one; that is the only loss.
+
+Defined results: texts without words (null, empty, white space) are classes of their own; repeated
+rows are copies, of which one stays; a null doc_id ranks last; a very long text is read as a
+whole by one task, and its shingles are one array.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels
-from lodestrata.llm.common import fresh, settle, text_digest
+from lodestrata.llm.bitmap import bitmap, may_hold
+from lodestrata.llm.common import fresh, join_groups, settle, text_digest
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.url_filter import possible_members
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -37,12 +42,15 @@ REGISTERS = BANDS * ROWS
 #: Bits of each register in the sketch, and the sketch's 64-bit words.
 SKETCH_BITS = 4
 SKETCH_WORDS = REGISTERS * SKETCH_BITS // 64
-#: Sketches may differ in so many bits at most: 0.65 similar, over four deviations below 0.8.
+#: Sketches of a pair that is verified at once differ in so many bits at most: 0.65 similar, over
+#: four deviations below 0.8.  Pairs beyond stay apart there and meet in the second comparison.
 MOST_BITS = int(REGISTERS * SKETCH_BITS * (1 - 0.65) / 2)
 #: Bits of the sketch that tells how many shingles differ.
 PARITY_BITS = 1024
 #: Leaders of each bucket in the first comparison.
 LEADERS = 3
+#: Nodes of one shingle that meet in one task of the second comparison.
+MOST_TOGETHER = 4096
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -129,7 +137,7 @@ def sketch(text: Column) -> Column:
 
 
 def shingle_set(text: Column) -> Column:
-    """Struct: the distinct shingles as 32-bit values, and their parity sketch.
+    """Struct: the distinct shingles as 64-bit values, and their parity sketch.
 
     In the sketch, each shingle flips one of ``PARITY_BITS`` bits.  Two sketches never differ in
     more bits than the sets do in shingles, so they rule pairs out for certain.
@@ -137,20 +145,16 @@ def shingle_set(text: Column) -> Column:
 
     def kernel(texts: pa.Array) -> pa.Array:
         d, h, _ = shingles(texts)
-        short = (h >> np.uint64(32)).astype(np.uint32)
-        new = np.ones(len(short), bool)
-        new[1:] = (short[1:] != short[:-1]) | (d[1:] != d[:-1])
-        d, short = d[new], short[new]
         parity = np.zeros(len(texts) * PARITY_BITS // 64, np.uint64)
-        bit = short.astype(np.int64) % PARITY_BITS
+        bit = (h >> np.uint64(32)).astype(np.int64) % PARITY_BITS
         np.bitwise_xor.at(parity, d * (PARITY_BITS // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
-        sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(texts)))), pa.int32()), pa.array(short.view(np.int32)))
+        sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(texts)))), pa.int32()), pa.array(h.view(np.int64)))
         sketches = pa.ListArray.from_arrays(np.arange(0, len(parity) + 1, PARITY_BITS // 64, dtype=np.int32), pa.array(parity.view(np.int64)))
         return pa.StructArray.from_arrays([sets, sketches], ["shingles", "parity"])
 
     run = _per_batch(kernel)
 
-    @F.arrow_udf("struct<shingles: array<int>, parity: array<bigint>>")
+    @F.arrow_udf("struct<shingles: array<bigint>, parity: array<bigint>>")
     def sets(texts: pa.Array) -> pa.Array:
         return run(texts)
 
@@ -193,26 +197,26 @@ def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = F.filter(F.slice("ordered", F.lit(1), length.cast("int")), lambda x: x["often"] > 1)
     known = nodes.join(sets.select("id", "parity"), "id")
     keyed = settle(known.join(rarest.select("id", F.explode(prefix).alias("p")), "id").select("id", "n", "parity", "met", "component", F.col("p.shingle").alias("shingle")))
-    mixed = keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct(-F.col("met"), "id")).alias("main")).where("low < high").select("shingle", "main")
-    rest = keyed.join(mixed, "shingle").where("component <> main")
-    others = keyed.join(mixed.select("shingle"), "shingle", "left_semi")
+    mixed = settle(
+        keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct(-F.col("met"), "id")).alias("main"), F.count("*").alias("nodes"))
+        .where("low < high").select("shingle", "main", "nodes")
+    )
+    around = settle(join_groups(keyed, mixed, ["shingle"], "nodes").withColumn("parts", F.floor(F.col("nodes") / MOST_TOGETHER) + 1))
+    # one side of a frequent shingle is dealt out, the other goes to every part
+    rest = around.where("component <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    others = around.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # sets of a and b shingles are similar enough if at most (100 - p) / (100 + p) of a + b differ
     parity = (100 + PERCENT) * _differing_bits("x.parity", "y.parity", PARITY_BITS // 64) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     crossing = (F.col("x.component") != F.col("y.component")) & _similar_sizes("x", "y") & parity
-    meet = rest.alias("x").join(others.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & crossing)
+    meet = rest.alias("x").join(others.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & crossing)
     return meet.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, t (digest of the text), class_id, class_size and kept of every row.
-
-    ``class_id`` is the doc_id of the class's first document (least doc_id, null last; then least
-    digest), which alone is kept.  Texts without words (null, empty, white space) have no
-    shingles: each row is a class of its own and kept.  Rows equal in doc_id and text are one
-    document: they are kept or dropped together.  Other columns are ignored.
-    """
-    signed = settle(docs.select("doc_id", text_digest(F.col("text")).alias("t"), sketch(F.col("text")).alias("s")).select("doc_id", "t", "s.*"))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"))
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n (shingles), class_id, class_size and kept of every row; one row of each class is kept."""
+    rows = docs.select("doc_id", text_digest(F.col("text")).alias("t"), sketch(F.col("text")).alias("s"))
+    signed = settle(rows.select("doc_id", "t", "s.*", F.monotonically_increasing_id().alias("row")))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"), F.col("row"))
     grouped = signed.where("n > 0").groupBy("a", "b").agg(
         F.min(rank).alias("first"), F.count("*").alias("rows"), F.min(F.col("t")).alias("t"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
@@ -221,23 +225,22 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     # buckets of two nodes and more, with a leader by each of a few priorities
     banded = nodes.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
     leader = [F.min(F.struct((-F.col("met") if k == 0 else F.xxhash64(F.lit(k), F.col("id"))).alias("p"), F.col("id"), F.col("n"), F.col("sketch"))).alias(f"l{k}") for k in range(LEADERS)]
-    full = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = settle(banded.join(full, "bucket").select("bucket", "id", "n", "sketch", "members"))
+    full = settle(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = settle(join_groups(banded.where(may_hold(bitmap(full.select("bucket")), F.col("bucket"))), full, ["bucket"], "members"))
     # the text that a group of near copies was made from meets more of them than any copy does
     central = shared.groupBy("id").agg(F.sum("members").alias("met"))
     members = settle(shared.drop("members").join(central, "id").select("bucket", "id", "n", "sketch", "met"))
-    leaders = members.groupBy("bucket").agg(*leader).select("bucket", F.array(*(f"l{k}" for k in range(LEADERS))).alias("leaders"))
+    leaders = settle(members.groupBy("bucket").agg(F.count("*").alias("members"), *leader).select("bucket", "members", F.array(*(f"l{k}" for k in range(LEADERS))).alias("leaders")))
     stars = (
-        members.alias("m").join(leaders, "bucket").select(F.struct("m.id", "m.n", "m.sketch").alias("x"), F.explode(F.array_distinct("leaders")).alias("y"))
+        join_groups(members, leaders, ["bucket"], "members").select(F.struct("id", "n", "sketch").alias("x"), F.explode(F.array_distinct("leaders")).alias("y"))
         .where((F.col("x.id") != F.col("y.id")) & _similar_sketches("x", "y"))
         .select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
     )
 
     # the shingle sets of nodes that share a bucket, read from one text each
-    wanted = members.select("id").distinct().join(nodes.select("id", "t"), "id")
-    texts = docs.select(text_digest(F.col("text")).alias("t"), "text")
-    possible = possible_members(texts, F.xxhash64("t"), wanted.select(F.xxhash64("t").alias("h")))
-    sets = settle(possible.join(wanted, "t").dropDuplicates(["id"]).select("id", shingle_set(F.col("text")).alias("s")).select("id", "s.*"))
+    wanted = settle(members.select("id").distinct().join(nodes.select("id", "t"), "id"))
+    texts = docs.select(text_digest(F.col("text")).alias("t"), "text").where(may_hold(bitmap(wanted.select("t.a")), F.col("t.a"))).dropDuplicates(["t"])
+    sets = settle(texts.join(wanted, "t").select("id", shingle_set(F.col("text")).alias("s")).select("id", "s.*"))
 
     links = settle(_verified(stars, sets))
     parts = connected_components(links)
@@ -252,17 +255,34 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     classed = nodes.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("a", "b", "first", "rows", F.coalesce("component", "id").alias("component"))
     firsts = classed.groupBy("component").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
-    node_class = classed.select("a", "b", "component").join(firsts, "component").select("a", "b", "first", "class_size")
-    found = signed.where("n > 0").select("doc_id", "t", "a", "b").join(node_class, ["a", "b"]).select(
-        "doc_id", "t", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))).alias("kept")
+    node_class = settle(classed.select("a", "b", "rows", "component").join(firsts, "component").select("a", "b", "rows", "first", "class_size"))
+    found = join_groups(signed.where("n > 0").select("doc_id", "t", "n", "row", "a", "b"), node_class, ["a", "b"], "rows").select(
+        "doc_id", "t", "n", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept")
     )
-    alone = signed.where("n = 0").select("doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    alone = signed.where("n = 0").select("doc_id", "t", "n", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
 
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, t (digest of the text), class_id, class_size and kept of every row.
+
+    ``class_id`` is the doc_id of the class's first row (least doc_id, null last; then least
+    digest), which alone is kept; of rows equal in both, one is.  Texts without words (null,
+    empty, white space) have no shingles: each row is a class of its own and kept.  Other columns
+    are ignored.
+    """
+    return _classes(docs).drop("n")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, all columns as they are."""
-    gone = near_duplicate_classes(docs).where("not kept").select(F.struct("doc_id", "t").alias("gone")).distinct()
-    key = fresh(docs, "text_key")
+    """``docs`` with one row of each class, all columns as they are."""
+    rows = _classes(docs).where("n > 0").groupBy("doc_id", "t").agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
+    rows = settle(rows.where("not stays or rows > 1"))
+    key, hit = fresh(docs, "text_key"), fresh(docs, "class_row")
     mine = docs.withColumn(key, text_digest(F.col("text")))
-    return mine.join(gone, mine["doc_id"].eqNullSafe(F.col("gone.doc_id")) & (mine[key] == F.col("gone.t")), "left_anti").select(*docs.columns)
+    touched = may_hold(bitmap(rows.select("t.a")), F.col(key)["a"])
+    r = rows.select(F.struct("*").alias(hit))
+    joined = mine.where(touched).join(r, mine["doc_id"].eqNullSafe(r[hit]["doc_id"]) & (mine[key] == r[hit]["t"]), "left")
+    # rows equal in doc_id and text, of which the class keeps one
+    twins = joined.where(F.col(hit)["stays"]).dropDuplicates(["doc_id", key])
+    return mine.where(~touched).select(*docs.columns).unionByName(joined.where(F.col(hit).isNull()).select(*docs.columns)).unionByName(twins.select(*docs.columns))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import fresh
+from lodestrata.llm.common import free, fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict and rule, host up to the first slash, then the path's start.
@@ -73,9 +73,9 @@ def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block.astype(np.int64), np.uint64(1) << shift
 
 
-def bloom_filter(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYTES, hashed: bool = False) -> np.ndarray:
+def bloom_filter(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
     """The filter of ``listed``'s distinct values as an array (blocks, 8) of 64-bit words."""
-    hashes = listed.where(F.col(column).isNotNull()).select((F.col(column) if hashed else F.xxhash64(column)).alias("h"))
+    hashes = listed.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
     n = hashes.agg(F.approx_count_distinct("h")).first()[0]
     blocks = max(1, min(max_bytes // 64, -(-n * BITS_PER_URL // 512)))
 
@@ -95,26 +95,15 @@ def bloom_filter(listed: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYT
     return out.view(np.uint64).reshape(blocks, 8)
 
 
-def possible_members(df: DataFrame, key: Column, keys: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """Rows of ``df`` whose 64-bit ``key`` may be in ``keys``' one column: all that are, and few others."""
-    words = df.sparkSession.sparkContext.broadcast(bloom_filter(keys, keys.columns[0], max_bytes, hashed=True))
-
-    @F.arrow_udf("boolean")
-    def maybe(h: pa.Array) -> pa.Array:
-        table = words.value
-        block, bits = _bits(h.to_numpy(zero_copy_only=False), len(table))
-        return pa.array(((table[block] & bits) == bits).all(axis=1))
-
-    return df.where(maybe(key))
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, into: str = "url_filter", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Judge ``pages.url``; ``listed`` has one column of canonical URLs (null or repeated values do no harm).
 
     Adds a struct ``into``: host, path, rule, verdict and listed.  A fitting rule decides; else
     a listed URL is blocked and any other allowed.  A null URL or one without ``://`` has an
-    empty host and path, fits no rule, is not listed and is allowed.  Other columns pass through.
+    empty host and path, fits no rule, is not listed and is allowed.  Other columns
+    pass through; ``into`` must not be one of them.  Repeated rows get equal verdicts.
     """
+    free(pages, into)
     spark = pages.sparkSession
     name = listed.columns[0]
     words = spark.sparkContext.broadcast(bloom_filter(listed, name, max_bytes))
@@ -126,17 +115,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, into: str = "u
         return pa.array(((table[block] & bits) == bits).all(axis=1))
 
     key, hit, host, path = (fresh(pages, x) for x in ("canonical_url", "maybe_listed", "url_host", "url_path"))
+    found = fresh(pages, "listed_url")
     url = F.col("url")
     judged = pages.withColumns({host: host_of(url), path: path_of(url), key: canonical(url)}).withColumn(hit, F.col(key).isNotNull() & maybe(F.xxhash64(key)))
-    exact = listed.select(F.col(name).alias("listed_url")).where("listed_url is not null").distinct()
+    exact = listed.where(F.col(name).isNotNull()).select(F.col(name).alias(found)).distinct()
 
     def verdict(df: DataFrame, is_listed: Column) -> DataFrame:
         r = rule_for(F.col(host), F.col(path), rules)
         method = F.when(is_listed, "block").otherwise("allow")
         return df.select(*pages.columns, F.struct(F.col(host).alias("host"), F.col(path).alias("path"), r["rule"].alias("rule"), F.coalesce(r["verdict"], method).alias("verdict"), is_listed.alias("listed")).alias(into))
 
-    hits = judged.where(F.col(hit)).join(exact, F.col(key) == F.col("listed_url"), "left")
-    return verdict(judged.where(~F.col(hit)), F.lit(False)).unionByName(verdict(hits, F.col("listed_url").isNotNull()))
+    hits = judged.where(F.col(hit)).join(exact, F.col(key) == F.col(found), "left")
+    return verdict(judged.where(~F.col(hit)), F.lit(False)).unionByName(verdict(hits, F.col(found).isNotNull()))
 
 
 def feed_list(pages: DataFrame) -> DataFrame:
