@@ -5,13 +5,18 @@ length of the longest run ending there that occurs in some template.  Maximal ru
 ``LEAST`` words or more are chained per template, in text and template order with bounded
 gaps, into spans; a chain that covers enough of its template gives that template's label.
 A run of ``LEAST`` words begins with one of the templates' own word windows, so only places
-where such a window stands (found for all texts of a batch at once) are streamed.
+where such a window stands (found for all texts of a batch at once) are streamed.  A run counts for
+the templates that hold all of it.
+
+Templates are rows (label, text); ``standard_templates`` reads the packaged ones.  A text is read
+as a whole by one task; word ids are looked up only where it is streamed.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels
-from lodestrata.llm.common import fresh
+from lodestrata.llm.common import free
 
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label and wording of public licence notices.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+#: Public licence texts, file headers and notices: a file for each label, texts apart by a line of dashes.
+TEMPLATE_FOLDER = Path(__file__).parent / "licenses"
 #: Words of the shortest run that counts, words that a chain may skip, covered share that gives the label.
 LEAST, GAP, COVERED = 3, 6, 0.8
 
 
+def standard_templates(folder: Path = TEMPLATE_FOLDER) -> tuple[tuple[str, str], ...]:
+    """(label, text) of the packaged templates."""
+    return tuple((f.stem, text.strip()) for f in sorted(folder.glob("*.txt")) for text in f.read_text().split("\n----\n"))
+
+
 def template_words(text: str) -> list[bytes]:
-    folded = kernels.ALPHANUMERIC[np.frombuffer(text.encode(), np.uint8)].tobytes()
+    folded = kernels.ALPHANUMERIC[np.frombuffer(text.encode(), np.uint8)].astype(np.uint8).tobytes()
     return [w for w in folded.split(b"\0") if w]
 
 
@@ -115,13 +112,14 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, least: int = LEAST, gap: int = GAP, covered: float = COVERED):
-        self.templates = [(label, template_words(text)) for label, text in templates]
+    def __init__(self, templates=None, phrases=PHRASES, least: int = LEAST, gap: int = GAP, covered: float = COVERED):
+        templates = standard_templates() if templates is None else templates
+        self.templates = [(label, words) for label, text in templates if (words := template_words(text or ""))]
         self.phrases = [(template_words(p), label) for p, label in phrases]
         self.least, self.gap, self.covered = least, gap, covered
         self.ids = {w: i for i, w in enumerate(sorted({w for _, words in self.templates for w in words}))}
         self.automaton = SuffixAutomaton([[self.ids[w] for w in words] for _, words in self.templates])
-        self.seeds = np.unique(np.concatenate([self._windows(words, least) for _, words in self.templates]))
+        self.seeds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(self._windows(words, least) for _, words in self.templates if len(words) >= least)]))
         self.phrase_keys = [(self._windows(words, len(words))[0], words, label) for words, label in self.phrases]
 
     @staticmethod
@@ -152,7 +150,7 @@ class Scanner:
     def scan(self, texts: pa.Array) -> list[dict]:
         data, _ = kernels.buffers(texts)
         d, s, e, h, counts = kernels.words(texts, kernels.ALPHANUMERIC)
-        raw = kernels.ALPHANUMERIC
+        raw = kernels.ALPHANUMERIC.astype(np.uint8)
         first_word = np.cumsum(counts) - counts
         out = [{"n_words": int(n), "n_base": 0, "first_word": None, "last_word": None, "base": set(), "labels": set(), "score": 0.0, "spans": []} for n in counts]
         word = lambda i: raw[data[s[i] : e[i]]].tobytes()
@@ -167,7 +165,7 @@ class Scanner:
                     o["base"].add(label)
                     o["first_word"] = at if o["first_word"] is None else min(at, o["first_word"])
                     o["last_word"] = at if o["last_word"] is None else max(at, o["last_word"])
-        if len(h) >= self.least:
+        if len(h) >= self.least and len(self.seeds):
             windows = self._at(d, h, self.least)
             where = np.minimum(np.searchsorted(self.seeds, windows), len(self.seeds) - 1)
             hits = np.flatnonzero((self.seeds[where] == windows) & (d[: len(windows)] == d[self.least - 1 :]))
@@ -211,25 +209,33 @@ class _LazyIds:
         return self.seen[i]
 
 
-@lru_cache(maxsize=1)
-def default_scanner() -> Scanner:
-    return Scanner()
+@lru_cache(maxsize=4)
+def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    """One automaton for each set of templates in a worker."""
+    return Scanner(templates)
 
 
-def scan_licenses(docs: DataFrame, into: str = "licenses") -> DataFrame:
-    """Add a struct ``into`` to every row; other columns pass through.
+def scan_licenses(docs: DataFrame, into: str = "licenses", templates: tuple[tuple[str, str], ...] | DataFrame | None = None) -> DataFrame:
+    """Add a struct ``into`` to every row; other columns pass through, ``into`` must not be one of them.
 
+    ``templates``: rows (label, text), a small table of licences; the packaged ones if None.
     n_words, n_base (places of base phrases), first_word and last_word (least and greatest
     start, null without one), base_labels and labels (distinct, sorted, comma-joined; the second
     with the automaton's), score (largest covered share of a template) and spans (label, first
     word, end, share).  A null text is empty: no words, no labels, score 0.
     """
-    assert into == fresh(docs, into), f"{into} is a column already"
+    free(docs, into)
+    if templates is None:
+        templates = standard_templates()
+    elif isinstance(templates, DataFrame):  # a list of licences, which does not grow with the documents
+        templates = tuple(sorted((r[0], r[1]) for r in templates.where("label is not null and text is not null").select("label", "text").collect()))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(templates))
     span = "struct<label: string, first_word: bigint, end_word: bigint, share: double>"
 
     @F.arrow_udf(f"struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, score: double, spans: array<{span}>>")
     def scan(texts: pa.Array) -> pa.Array:
-        found = [x for _, part in kernels.batches(texts) for x in default_scanner().scan(part)]
+        scanner = _scanner(shared.value)
+        found = [x for _, part in kernels.batches(texts) for x in scanner.scan(part)]
         column = lambda k, kind: pa.array([x[k] for x in found], kind)
         joined = lambda f: pa.array([",".join(sorted(f(x))) for x in found], pa.string())
         spans = pa.array([[dict(zip(("label", "first_word", "end_word", "share"), s)) for s in x["spans"]] for x in found], pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("share", pa.float64())])))
@@ -239,3 +245,18 @@ def scan_licenses(docs: DataFrame, into: str = "licenses") -> DataFrame:
         )
 
     return docs.withColumn(into, scan(F.col("text")))
+
+
+#: Base columns of the query, for DuckDB.
+BASE_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), p(label, phrase) AS (
+  VALUES ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])
+), hits AS (
+  SELECT w.n, label, i - 1 AS start FROM w, p, unnest(range(1, len(words) + 1)) AS u(i) WHERE words[i] = phrase[1] AND words[i : i + len(phrase) - 1] = phrase
+)
+SELECT doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words, count(label) AS n_base, min(start) AS first_word, max(start) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN hits USING (n) GROUP BY n, doc_id
+"""
