@@ -3,26 +3,30 @@
 The tokenizer's pattern matches from left to right and never looks behind, and no token
 crosses the pieces that the pattern makes.  So if two encodings of one text both begin a
 piece at the same place, they agree from there on as far as both reach.  A chunk's encoding is
-right from its first proven place on; its boundaries are proven up to ``MARGIN`` characters
-before its end, beyond which a longer piece or a special token could still begin.  Each chunk
+right from its first proven place on; its boundaries are proven up to a margin before its end,
+as long as the longest added token, in which such a token or a longer piece could still begin.  Each chunk
 is spliced to the one before at the first place in their overlap that begins a piece in both;
 where there is none (one piece longer than the overlap), the overlap is widened.
+
+A text is encoded by one task, which holds the encodings of two chunks.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import fresh
+from lodestrata.llm.common import free, fresh
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Characters of a chunk, of the first overlap, and before a chunk's end where nothing is proven.
-CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 8, 16
+#: Characters of a chunk, of the first overlap, and (at least) before a chunk's end where nothing is proven.
+CHUNK, OVERLAP, MARGIN = 1 << 12, 1 << 8, 16
 MOST_TOKENS = 512
 
 
@@ -39,44 +43,53 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _pieces(encoding) -> dict[int, int]:
-    """Place where a piece begins (in characters) to the number of tokens before it."""
-    out: dict[int, int] = {}
-    last = object()
-    for i, (word, (start, _)) in enumerate(zip(encoding.word_ids, encoding.offsets)):
-        if word is None or word != last:
-            out.setdefault(start, i)
-        last = word
-    return out
+@lru_cache(maxsize=4)
+def margin_of(tokenizer) -> int:
+    """Characters before a chunk's end where a token that is never split could still begin."""
+    return max([MARGIN, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+
+
+class _Chunk:
+    """The encoding of a part of the text from ``start``; places count from the text's begin."""
+
+    def __init__(self, tokenizer, text: str, start: int, end: int):
+        encoding = tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.start, self.end, self.words, self.offsets = start, end, encoding.word_ids, encoding.offsets
+
+    def before(self, place: int) -> int:
+        """Tokens that begin before ``place``."""
+        return bisect_left(self.offsets, (place - self.start, 0))
+
+    def pieces(self, first: int, last: int) -> Iterator[int]:
+        """Places from ``first`` to ``last`` where a piece begins."""
+        i = self.before(first)
+        while i < len(self.offsets) and (place := self.start + self.offsets[i][0]) <= last:
+            if (i == 0 or self.words[i] is None or self.words[i] != self.words[i - 1]) and (i == 0 or self.offsets[i - 1][0] < self.offsets[i][0]):
+                yield place
+            i += 1
 
 
 def count_tokens(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of the whole text, holding the encoding of two chunks at most."""
-    encode = lambda a, b: tokenizer.encode(text[a:b], add_special_tokens=False)
     if len(text) <= chunk + overlap:
-        return len(encode(0, len(text)))
-    total, start, synced = 0, 0, 0  # tokens of the current chunk count from the place ``synced``
-    own = encode(0, chunk + overlap)
-    width = overlap
-    places = _pieces(own)
-    while True:
-        end = min(len(text), start + chunk + width)
-        if end == len(text):
-            return total + len(own) - places[synced - start]
-        follower = start + chunk
-        reach = min(len(text), follower + chunk + overlap)
-        after = encode(follower, reach)
-        theirs = _pieces(after)
-        common = next((p for p in sorted(places) if p + start > follower and p + start <= end - MARGIN and p + start >= synced and p + start - follower in theirs), None)
+        return len(tokenizer.encode(text, add_special_tokens=False))
+    margin = margin_of(tokenizer)
+    total, synced, width = 0, 0, overlap  # all tokens before the place ``synced`` are counted
+    own = _Chunk(tokenizer, text, 0, chunk + overlap)
+    begin = 0
+    while own.end < len(text):
+        follower = begin + chunk
+        after = _Chunk(tokenizer, text, follower, min(len(text), follower + chunk + overlap))
+        first, last = max(follower + 1, synced), min(own.end, after.end) - margin
+        theirs = set(after.pieces(first, last))
+        common = next((p for p in own.pieces(first, last) if p in theirs), None)
         if common is None:  # encode further, from the last proven place, until both agree
-            width = max(2 * width, overlap)
-            start_again = synced
-            own = encode(start_again, min(len(text), start + chunk + width))
-            places = {p + start_again - start: n for p, n in _pieces(own).items()}
+            width *= 2
+            own = _Chunk(tokenizer, text, synced, min(len(text), follower + width))
             continue
-        total += places[common] - places[synced - start]
-        synced = common + start
-        start, own, places, width = follower, after, theirs, overlap
+        total += own.before(common) - own.before(synced)
+        synced, begin, own, width = common, follower, after, overlap
+    return total + len(own.offsets) - own.before(synced)
 
 
 def with_token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = MOST_TOKENS, into: str = "tokens") -> DataFrame:
@@ -84,8 +97,9 @@ def with_token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int =
 
     A null text counts as empty: 0 bytes, 0 tokens.  No special token is added; the strings of
     special tokens inside a text are read as the library does by default.  Repeated rows get
-    equal counts; all other columns pass through.
+    equal counts; all other columns pass through; ``into`` must not be one of them.
     """
+    free(docs, into)
 
     @F.arrow_udf("bigint")
     def counts(texts: pa.Array) -> pa.Array:
