@@ -3,7 +3,11 @@
 Indicators are one- and two-grams of folded words and one- to three-grams of word shapes
 (case, marks, repeats).  Each is scaled by the log ratio of its smoothed counts in the two
 classes; a linear hinge loss on the scaled indicators is fitted by dual coordinate descent;
-margins become scores by a logistic curve.
+margins become scores by a logistic curve that is fitted on margins of folds left out.  Rows
+have length one, in training as in scoring, so the length of a text does not move its score.
+
+A text is read as a whole by one task, in slices of about 2 MB of short texts; a longer one is a
+slice by itself.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels
-from lodestrata.llm.common import fresh
+from lodestrata.llm.common import free, text_digest
 
 #: Hashed features; the last is always on, so that an empty text has a score as well.
 FEATURES = 1 << 18
@@ -59,15 +63,20 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class SupportVectors:
-    weights: np.ndarray  # of the plain indicators: model weight times log-count ratio
+    ratio: np.ndarray  # log-count ratios, which scale the indicators
+    weights: np.ndarray  # of the scaled indicators
     slope: float
     offset: float
 
+    def margins(self, document: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Margins of rows of length one."""
+        x = self.ratio[feature]
+        return np.bincount(document, x * self.weights[feature], n) / np.maximum(np.sqrt(np.bincount(document, x * x, n)), 1e-9)
+
     def score(self, texts: pa.Array) -> np.ndarray:
         out = np.empty(len(texts))
         for at, part in kernels.batches(texts):
-            d, f = indicators(part)
-            out[at : at + len(part)] = np.bincount(d, self.weights[f], len(part))
+            out[at : at + len(part)] = self.margins(*indicators(part), len(part))
         return 1 / (1 + np.exp(-np.clip(self.slope * out + self.offset, -30, 30)))
 
 
@@ -86,44 +95,63 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(b[0]), 0.0), float(b[1])
 
 
-def fit_support_vectors(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int = 10, smooth: float = 1.0) -> SupportVectors:
-    """``rows``: the indicators of each text of a bounded sample; ``y``: its labels, 0 or 1.
-
-    Without both labels every score is the share of label 1 (0.5 without rows).
-    """
-    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    if not len(y) or y.min() == y.max():
-        return SupportVectors(np.zeros(FEATURES), 0.0, float(np.log(share / (1 - share))))
+def _log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float) -> np.ndarray:
     p, q = np.full(FEATURES, smooth), np.full(FEATURES, smooth)
     for f, label in zip(rows, y):
         (p if label else q)[f] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     ratio[FEATURES - 1] = 1.0
+    return ratio
+
+
+def coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float, epochs: int, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and dual variables of the linear hinge loss, by dual coordinate descent."""
     sign = np.where(y > 0, 1.0, -1.0)
-    values = [ratio[f] for f in rows]
-    # texts of any length weigh alike: rows have length one
-    values = [v / max(float(np.sqrt(v @ v)), 1e-9) for v in values]
-    w, alpha = np.zeros(FEATURES), np.zeros(len(y))
+    w, alpha = np.zeros(features), np.zeros(len(y))
     # the rarer class may pull as hard as the other
     bound = cost * len(y) / (2 * np.where(y > 0, y.sum(), len(y) - y.sum()))
+    norm = np.array([v @ v for v in values])
     order = np.random.default_rng(11)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(y)):
             f, v = rows[i], values[i]
-            gradient = sign[i] * (w[f] @ v) - 1
-            new = min(max(alpha[i] - gradient, 0.0), bound[i])
+            new = min(max(alpha[i] - (sign[i] * (w[f] @ v) - 1) / max(norm[i], 1e-12), 0.0), bound[i])
             if new != alpha[i]:
                 w[f] += (new - alpha[i]) * sign[i] * v
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    weights = w * ratio
-    margin = np.array([weights[f].sum() for f in rows])
+    return w, alpha
+
+
+def _fit(rows: list[np.ndarray], y: np.ndarray, cost: float, epochs: int, smooth: float) -> SupportVectors:
+    ratio = _log_count_ratios(rows, y, smooth)
+    values = [ratio[f] / max(float(np.sqrt(ratio[f] @ ratio[f])), 1e-9) for f in rows]
+    return SupportVectors(ratio, coordinate_descent(rows, values, y, cost, epochs)[0], 1.0, 0.0)
+
+
+def fit_support_vectors(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int = 10, smooth: float = 1.0, folds: int = 3) -> SupportVectors:
+    """``rows``: the indicators of each text of a bounded sample; ``y``: its labels, 0 or 1.
+
+    The logistic curve is fitted on margins that models of the other folds give.  Without both
+    labels in every fold's rest, every score is the share of label 1 (0.5 without rows).
+    """
+    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    fold = np.arange(len(y)) % folds
+    if not len(y) or any(len(np.unique(y[fold != k])) < 2 for k in range(folds)):
+        return SupportVectors(np.zeros(FEATURES), np.zeros(FEATURES), 0.0, float(np.log(share / (1 - share))))
+    margin = np.zeros(len(y))
+    for k in range(folds):
+        mine = np.flatnonzero(fold != k)
+        model = _fit([rows[i] for i in mine], y[mine], cost, epochs, smooth)
+        for i in np.flatnonzero(fold == k):
+            margin[i] = model.margins(np.zeros(len(rows[i]), np.int64), rows[i], 1)[0]
+    model = _fit(rows, y, cost, epochs, smooth)
     scale = float(np.abs(margin).mean()) or 1.0
     slope, offset = _calibrate(margin / scale, y)
-    return SupportVectors(weights, slope / scale, offset)
+    return SupportVectors(model.ratio, model.weights, slope / scale, offset)
 
 
 def held_out(doc_id):
@@ -132,7 +160,10 @@ def held_out(doc_id):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> SupportVectors:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold, those of least hash."""
+    """Fit on at most ``max_rows`` labelled rows outside the held-out fold, those of least hash.
+
+    Null ids and null labels teach nothing; of repeated ids the text of least digest counts.
+    """
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -148,8 +179,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_RO
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
 
     # bounded by max_rows, two small columns: safe to broadcast at any input size
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", features("text").alias("x")).dropDuplicates(["doc_id"])
-    table = rows.toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", text_digest(F.col("text")).alias("t"), features("text").alias("x"))
+    table = rows.groupBy("doc_id", "quality").agg(F.min_by("x", "t").alias("x")).toArrow().sort_by("doc_id")
     return fit_support_vectors([np.asarray(x.values) for x in table["x"]], np.array(table["quality"].to_pylist(), float))
 
 
@@ -159,11 +190,11 @@ def score_quality(docs: DataFrame, model: SupportVectors, into: str = "quality_s
     Only the text counts: equal texts, in repeated rows or not, get equal scores.  A null text
     scores as the empty text does.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(texts))
 
-    assert into == fresh(docs, into), f"{into} is a column already"
+    free(docs, into)
     return docs.withColumn(into, score(F.col("text")))
