@@ -16,8 +16,11 @@ BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-#: Byte tables: 0 separates words, other bytes are themselves (or what they fold to).
-WHITE_SPACE = np.arange(256, dtype=np.uint8)
+#: Byte tables: 0 separates words, other bytes are themselves (or what they fold to); NUL is 256.
+LINES = np.arange(256, dtype=np.uint16)
+LINES[0] = 256
+LINES[0x0A] = 0
+WHITE_SPACE = LINES.copy()
 WHITE_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
 FOLDED_WHITE_SPACE = WHITE_SPACE.copy()
 FOLDED_WHITE_SPACE[65:91] += 32
@@ -70,8 +73,10 @@ def words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = low
     while at < high:
         end = min(high, at + BLOCK)
-        while end < high and table[data[end]] and not first[end - low]:
-            end += 1
+        while end < high and table[data[end]] and not first[end - low]:  # to the end of the word
+            some = slice(end, min(high, end + 4096))
+            stop = np.flatnonzero((table[data[some]] == 0) | first[some.start - low : some.stop - low])
+            end = end + int(stop[0]) if len(stop) else some.stop
         b = table[data[at:end]]
         word = b > 0
         begins = word.copy()

@@ -4,12 +4,13 @@ The statistics of every whole text are counted inside Arrow batches.  The trees
 on a bounded sample of labelled rows, flattened into numpy node arrays and walked for all
 rows of a batch at once.  Features that only ever speak against a text (share of symbols,
 of repeated words, of repeated lines) are held monotone.
+
+Batches are cut into slices of about 2 MB; a longer text is a slice by itself, and takes some
+dozens of bytes of working memory for each of its words.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import fresh
+from lodestrata.llm import kernels
+from lodestrata.llm.common import free, fresh, text_digest
 
-SYMBOLS = b"#*$%&|<>"
-ASCII_UPPER = bytes(range(65, 91))
-ASCII_SPACE = b" \t\n\r\x0b\x0c"
-CONTINUATION = bytes(range(0x80, 0xC0))
-_HAS_WORD = re.compile(rb"[^\x20\x09-\x0D]")
+_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "mark_share")
@@ -35,36 +33,69 @@ MAX_TRAIN_ROWS = 20_000
 KEEP_SCORE = 0.3
 
 
-def document_statistics(text: str | bytes | None) -> tuple[list[int], list[float]]:
-    """The contract's counts, and the features of the trees."""
-    raw = b"" if text is None else text.encode() if isinstance(text, str) else text
-    words = raw.split()  # splits bytes at ASCII white space only
-    n = len(words)
-    word_chars = len(raw.translate(None, ASCII_SPACE + CONTINUATION))
-    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    lines = [x for x in raw.split(b"\n") if _HAS_WORD.search(x)]
-    dup_lines = len(lines) - len(set(lines))
-    repeated = 0
-    if n > 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(seen := Counter(windows)) < len(windows):
-            covered = bytearray(n)
-            for i, w in enumerate(windows):
-                if seen[w] > 1:
-                    covered[i : i + 3] = b"\1\1\1"
-            repeated = sum(covered)
-    upper = len(raw) - len(raw.translate(None, ASCII_UPPER))
-    marks = raw.count(b"!")
-    size = max(n, 1)
-    return [n, word_chars, symbols, dup_lines, repeated], [
-        float(np.log1p(n)), word_chars / size, symbols / size, dup_lines / max(len(lines), 1), repeated / size, len(set(words)) / size, upper / max(word_chars, 1), marks / size,
-    ]
+def _repeats(document: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Marks the rows whose (document, key) occurs more than once."""
+    order = np.lexsort((keys, document))
+    d, k = document[order], keys[order]
+    same = np.zeros(len(d) + 1, bool)
+    same[1:-1] = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
+    out = np.zeros(len(d), bool)
+    out[order] = same[:-1] | same[1:]
+    return out
+
+
+def _distinct(document: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Different keys of each document."""
+    order = np.lexsort((keys, document))
+    d, k = document[order], keys[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    return np.bincount(d[new], minlength=n)
+
+
+def _slice_statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    n = len(texts)
+    data, offsets = kernels.buffers(texts)
+    low, high = int(offsets[0]), int(offsets[-1])
+    own = data[low:high]
+
+    def per_text(mark: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(mark, dtype=np.int64))
+        return sums[offsets[1:] - low] - sums[offsets[:-1] - low]
+
+    solid = kernels.WHITE_SPACE[own] > 0
+    word_chars = per_text(solid & ((own & 0xC0) != 0x80))
+    symbols, marks, upper = per_text(_SYMBOL[own]), per_text(own == ord("!")), per_text((own >= 65) & (own <= 90))
+    d, _, _, h, n_words = kernels.words(texts, kernels.WHITE_SPACE)
+    size = np.maximum(n_words, 1)
+
+    # lines with a word
+    ld, ls, le, lh, _ = kernels.words(texts, kernels.LINES)
+    filled = np.append(0, np.cumsum(solid, dtype=np.int64))
+    full = filled[le - low] > filled[ls - low]
+    ld, lh = ld[full], lh[full]
+    lines = np.bincount(ld, minlength=n)
+    dup_lines = lines - _distinct(ld, lh, n)
+
+    # words in windows of three that stand twice or more
+    covered = np.zeros(len(d), bool)
+    if len(d) >= 3:
+        window = kernels.ngrams(np.zeros(len(h), np.int64), h, 3)[1]
+        at = np.flatnonzero(d[2:] == d[:-2])
+        at = at[_repeats(d[at], window[at])]
+        for k in range(3):
+            covered[at + k] = True
+    repeated = np.bincount(d[covered], minlength=n)
+    counts = np.stack([n_words, word_chars, symbols, dup_lines, repeated], axis=1)
+    features = [np.log1p(n_words), word_chars / size, symbols / size, dup_lines / np.maximum(lines, 1), repeated / size, _distinct(d, h, n) / size, upper / np.maximum(word_chars, 1), marks / size]
+    return counts, np.stack(features, axis=1)
 
 
 def statistics_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The contract's counts and the features of the trees, of every whole text (null: empty)."""
     counts, features = np.zeros((len(texts), len(COUNTS)), np.int64), np.zeros((len(texts), len(FEATURES)))
-    for i, t in enumerate(texts.cast(pa.large_binary())):
-        counts[i], features[i] = document_statistics(t.as_py())
+    for at, part in kernels.batches(texts):
+        counts[at : at + len(part)], features[at : at + len(part)] = _slice_statistics(part)
     return counts, features
 
 
@@ -150,7 +181,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
 def fit_quality_trees(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> FlatTrees:
     """Fit on at most ``max_rows`` labelled rows, those whose doc_id has the least hash.
 
-    Null ids and null labels teach nothing; of repeated ids one row counts.
+    Null ids and null labels teach nothing; of repeated ids the text of least digest counts.
     """
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -164,8 +195,8 @@ def fit_quality_trees(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TR
         return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
 
     # bounded by max_rows, two small columns: safe to broadcast at any input size
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", features("text").alias("x")).dropDuplicates(["doc_id"])
-    table = rows.orderBy("doc_id").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", text_digest(F.col("text")).alias("t"), features("text").alias("x"))
+    table = rows.groupBy("doc_id", "quality").agg(F.min_by("x", "t").alias("x")).orderBy("doc_id").toArrow()
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit_trees(x, np.array(table["quality"].to_pylist(), float))
 
@@ -174,8 +205,9 @@ def score_documents(docs: DataFrame, trees: FlatTrees, keep_score: float = KEEP_
     """Add a struct column ``into``: counts, base_failed, score and kept, of every whole text.
 
     A null text counts as empty: no words, so it fails the base rule.  Repeated rows get equal
-    verdicts; all other columns pass through, whatever their names (``into`` must be free).
+    verdicts; all other columns pass through, whatever their names; ``into`` must not be one of them.
     """
+    free(docs, into)
     fields = ", ".join(f"{c}: bigint" for c in COUNTS)
 
     @F.arrow_udf(f"struct<{fields}, score: double>")
@@ -196,3 +228,22 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     name = fresh(docs, "quality_rules")
     scored = score_documents(docs, fit_quality_trees(docs, labels), into=name)
     return scored.where(F.col(name)["kept"]).select(*docs.columns)
+
+
+#: The contract's counts and the base rule, for DuckDB.
+BASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT n, count(*) - count(DISTINCT line) AS dup FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n
+), g AS (
+  SELECT n, i, words[i : i + 2] AS gram FROM d, unnest(range(1, len(words) - 1)) AS u(i)
+), often AS (
+  SELECT n, i FROM (SELECT *, count(*) OVER (PARTITION BY n, gram) AS c FROM g) WHERE c > 1
+), r AS (
+  SELECT n, count(DISTINCT i + o) AS repeated FROM often, (VALUES (0), (1), (2)) AS v(o) GROUP BY n
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       coalesce(dup, 0) AS n_dup_lines, coalesce(repeated, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(repeated, 0) > 50 * len(words) AS base_failed
+FROM d LEFT JOIN l USING (n) LEFT JOIN r USING (n)
+"""

@@ -50,7 +50,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan_licenses(docs).select("doc_id", "licenses.*").drop("spans")
+    return license_scan.scan_licenses(docs).select("doc_id", "licenses.*")
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(docs, trees).select("doc_id", "quality_rules.*")
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_license_scan, which SQL expresses."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10_quality_rules, which SQL expresses."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", *quality_rules.COUNTS, "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op6_line_dedup, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op6_line_dedup, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules, license_phrases, quality_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op6_line_dedup": line_dedup.LINE_SQL, "op9_unit_dedup": unit_dedup.UNIT_SQL}
+    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op6_line_dedup": line_dedup.LINE_SQL, "op9_unit_dedup": unit_dedup.UNIT_SQL, "license_phrases": license_scan.BASE_SQL, "quality_counts": quality_rules.BASE_SQL}
