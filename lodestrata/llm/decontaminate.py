@@ -12,6 +12,11 @@ The two masks are chosen so that a window of ``OVERLAP`` words with ``SUBSTITUTE
 substituted always holds one of them untouched (the test goes through all such windows).
 Items of 7 to 9 words may have one word substituted, which can spoil every place of both masks;
 they get masks that leave out one of their words each.
+
+Defined results: null and empty texts and items overlap with nothing; equal texts are searched
+once; equal items count for each of their ids; a null item_id is an id like any other; a very
+long text gives a row a place only where the bitmap may hold it, and is laid over an item as a
+whole, by one task.
 """
 
 from __future__ import annotations
@@ -112,7 +117,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mine = text_digest(F.col("text"))
     found = bitmap(hits.select(F.col("t.a").alias("h")))
     texts = docs.where(may_hold(found, mine["a"])).select(mine.alias("t"), words_of(F.col("text")).alias("words"))
-    laid = hits.join(items, "key").join(texts.dropDuplicates(["t"]), "t")
+    # a text's words are brought to each item once, whatever the number of shifts
+    shifts = hits.groupBy("t", "key").agg(F.collect_list("shift").alias("shifts"))
+    laid = shifts.join(items, "key").join(texts.dropDuplicates(["t"]), "t").withColumn("shift", F.explode("shifts"))
     same = F.transform("item", lambda w, j: F.when(F.get("words", j + F.col("shift")) == w, 1).otherwise(0))
     length = F.least(F.lit(OVERLAP), F.col("item_words"))
     at = F.sequence(F.lit(0), F.col("item_words") - length)
@@ -133,6 +140,6 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns as they are."""
-    gone = find_overlaps(docs, benchmark).select(F.col("t").alias("gone")).distinct()
-    key = fresh(docs, "text_key")
-    return docs.withColumn(key, text_digest(F.col("text"))).join(gone, F.col(key) == F.col("gone"), "left_anti").select(*docs.columns)
+    key, leaked = fresh(docs, "text_key"), fresh(docs, "leaked_text")
+    gone = find_overlaps(docs, benchmark).select(F.col("t").alias(leaked)).distinct()
+    return docs.withColumn(key, text_digest(F.col("text"))).join(gone, F.col(key) == F.col(leaked), "left_anti").select(*docs.columns)

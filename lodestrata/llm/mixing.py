@@ -5,6 +5,9 @@ space is range-split into ``ranges`` equal parts (keys are uniform, so a hot sou
 out evenly), each part sums its sizes, the parts' totals give each part its offset, and a
 part's own window gives each document the words before it.  The last epoch is cut where the
 running sum meets the source's exact budget; the document on the cut gives the words up to it.
+
+Defined results: a null or empty text has size 0 and is never taken; a null source is one source;
+a very long text counts as any other, its words are counted in one pass over its bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WORD_PATTERN, fresh, settle
+from lodestrata.llm.bitmap import bitmap, may_hold
+from lodestrata.llm.common import WORD_PATTERN, free, fresh, settle
 
 #: Weights of the sources in code point order, repeating; null is the last source.
 WEIGHTS = (5, 2, 1)
@@ -94,22 +98,24 @@ def mix(docs: DataFrame, share: float = 1.5, limit: int = 2, ranges: int = RANGE
     """The mixed corpus: one row for each document and epoch that the mix takes.
 
     All columns of ``docs``, then ``epoch`` (from 1) and ``words`` (how many leading words of
-    the text that epoch takes: all, but for the document on a source's cut).  ``docs`` must not
-    have these two names.  Repeated rows stay as many rows.
+    the text that epoch takes: all, but for the document on a source's cut, whose text stays
+    whole here).  ``docs`` must not have these two names.  Repeated rows stay as many rows.
     """
-    key, twin = fresh(docs, "mix_key"), fresh(docs, "mix_twin")
-    plan = plan_mix(docs, share, limit, ranges).where("taken > 0")
+    free(docs, "epoch"), free(docs, "words")
+    key, twin, row = fresh(docs, "mix_key"), fresh(docs, "mix_twin"), fresh(docs, "plan_row")
+    plan = settle(plan_mix(docs, share, limit, ranges).select("mix_key", "size", "taken"))
     # repeated rows share a key; the n-th of them gets the n-th plan row
-    order = Window.partitionBy("mix_key").orderBy(F.col("taken").desc())
-    plan = plan.select("mix_key", F.row_number().over(order).alias("twin"), "size", "taken")
+    repeated = settle(plan.groupBy("mix_key").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("mix_key").alias("h")))
+    numbered = plan.withColumn("twin", F.row_number().over(Window.partitionBy("mix_key").orderBy(F.col("taken").desc()))).where("taken > 0")
     mine = docs.withColumn(key, random_key(F.col("doc_id"), F.col("text")))
-    mine = mine.withColumn(twin, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
-    p = plan.select(F.struct("*").alias("plan_row"))
-    joined = mine.join(p, (mine[key] == F.col("plan_row.mix_key")) & (mine[twin] == F.col("plan_row.twin")))
-    size, taken = F.col("plan_row.size"), F.col("plan_row.taken")
-    return joined.select(*docs.columns, size.alias("__size"), taken.alias("__taken"), F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size))).alias("epoch")).select(
-        *docs.columns, "epoch", F.least(F.col("__size"), F.col("__taken") - (F.col("epoch") - 1) * F.col("__size")).alias("words")
-    )
+    maybe = may_hold(bitmap(repeated), F.xxhash64(key))
+    twins = mine.where(maybe).withColumn(twin, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    mine = mine.where(~maybe).withColumn(twin, F.lit(1)).unionByName(twins)
+    p = numbered.select(F.struct("*").alias(row))
+    joined = mine.join(p, (mine[key] == p[row]["mix_key"]) & (mine[twin] == p[row]["twin"]))
+    size, taken = F.col(row)["size"], F.col(row)["taken"]
+    dealt = joined.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size))))
+    return dealt.select(*docs.columns, "epoch", F.least(size, taken - (F.col("epoch") - 1) * size).alias("words"))
 
 
 MIX_SQL = r"""
