@@ -29,11 +29,16 @@ def test_words_and_hashes(texts):
     assert len(set(names.values())) == len(names)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.one_of(st.none(), st.text(alphabet=" \n\tab#|x", max_size=80)))
-def test_statistics_by_definition(text):
-    counts, features = quality_rules.document_statistics(text)
-    t = text or ""
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\tab#|xé汉🙂\0\x0c", max_size=80)), max_size=6))
+def test_statistics_by_definition(texts):
+    counts, features = quality_rules.statistics_of(pa.array(texts, pa.string()))
+    assert features.shape == (len(texts), len(quality_rules.FEATURES))
+    for text, found in zip(texts, counts.tolist()):
+        assert found == statistics_by_definition(text or "")
+
+
+def statistics_by_definition(t):
     words = WORD.findall(t)
     lines, dup = [x for x in t.split("\n") if WORD.search(x)], 0
     for i, x in enumerate(lines):
@@ -41,8 +46,39 @@ def test_statistics_by_definition(text):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     often = Counter(windows)
     repeat = len({j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 3)})
-    assert counts == [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, repeat]
-    assert len(features) == len(quality_rules.FEATURES)
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, repeat]
+
+
+def test_words_longer_than_a_block():
+    long = "é" * (kernels.BLOCK // 2 + 5)
+    texts = [f"a {long}\n{long} b", long, "c d"]
+    *_, counts = kernels.words(pa.array(texts), kernels.WHITE_SPACE)
+    assert counts.tolist() == [4, 1, 2]
+    assert quality_rules.statistics_of(pa.array(texts))[0].tolist() == [statistics_by_definition(t) for t in texts]
+
+
+def test_coordinate_descent_reaches_the_least_loss():
+    """Against plain projected gradient steps on the dual of a dense problem."""
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(40, 5)), (r.random(40) < 0.4).astype(float)
+    x[:, 0] += 1.5 * y
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    sign, rows = np.where(y > 0, 1.0, -1.0), [np.arange(5)] * 40
+    w, alpha = quality_classifier.coordinate_descent(rows, list(x), y, 1.0, 500, features=5)
+    bound = 40 / (2 * np.where(y > 0, y.sum(), 40 - y.sum()))
+    q, a = (x * sign[:, None]) @ (x * sign[:, None]).T, np.zeros(40)
+    for _ in range(40000):
+        a = np.clip(a - 0.02 * (q @ a - 1), 0, bound)
+    dual = lambda v: 0.5 * v @ q @ v - v.sum()
+    assert dual(alpha) == pytest.approx(dual(a), abs=2e-3) and np.allclose(w, (alpha * sign) @ x)
+
+
+def test_scores_do_not_follow_length():
+    texts = ["the quick brown fox jumps", "buy!! now!! cheap!!"]
+    rows = [quality_classifier.indicators(pa.array([t]))[1] for t in texts * 12]
+    model = quality_classifier.fit_support_vectors(rows, np.array([1.0, 0.0] * 12))
+    short, long = model.score(pa.array(texts)), model.score(pa.array([" ".join([t] * 500) for t in texts]))
+    assert np.abs(short - long).max() < 0.2 and short[0] > 0.5 > short[1]
 
 
 def test_trees_are_monotone_and_learn():
@@ -133,6 +169,50 @@ def test_automaton_matching_statistics(templates, words):
         assert any(words[s : s + n] == t[i : i + n] for t in templates for i in range(len(t)))
 
 
+def scan_by_definition(templates, words, least, gap):
+    """Per template the most words that a chain of runs covers, over all chains."""
+    grams = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    best = {}
+    for t, template in enumerate(templates):
+        runs = [(s, n, e) for s, n in brute_matches(templates, words, least) for e in range(n, len(template) + 1) if template[e - n : e] == words[s : s + n]]
+
+        def chain(covered, text_end, template_end, runs=runs):
+            out = covered
+            for s, n, e in runs:
+                skip = max(0, text_end - s, template_end - (e - n))
+                if s >= 0 and s - text_end <= gap and e > template_end and skip < n and e - n - template_end <= gap and s + n > text_end:
+                    out = max(out, chain(covered + n - skip, s + n, e))
+            return out
+
+        if runs:
+            best[t] = max(chain(n, s + n, e) for s, n, e in runs)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["alpha beta gamma delta epsilon", "zeta eta theta", "beta gamma zeta", "x", "alpha beta", "delta epsilon zeta eta theta iota"]), max_size=6))
+def test_chains_by_definition(parts):
+    templates = [("one", "alpha beta gamma delta epsilon zeta eta theta"), ("two", "zeta eta theta iota kappa"), ("one", "beta gamma zeta")]
+    scanner = license_scan.Scanner(templates, least=2, gap=3)
+    found = scanner.scan(pa.array([" ".join(parts)]))[0]
+    split = [t.split() for _, t in templates]
+    want = scan_by_definition(split, " ".join(parts).split(), 2, 3)
+    share = {t: c / len(split[t]) for t, c in want.items()}
+    assert found["score"] == pytest.approx(min(1.0, max(share.values(), default=0.0)))
+    assert found["labels"] == {templates[t][0] for t, s in share.items() if s >= scanner.covered}
+
+
+def test_packaged_licences_are_recognised():
+    templates = license_scan.standard_templates()
+    scanner = license_scan.Scanner(templates)
+    texts = [f"Copyright (c) somebody\n{text.upper()}\nint main" for _, text in templates]
+    for (label, _), found in zip(templates, scanner.scan(pa.array(texts))):
+        assert label in found["labels"] and found["score"] == 1.0
+    edited = dict(templates[::-1])["mit"].replace("sublicense", "licence").replace("EXPRESS OR IMPLIED", "ANY")
+    assert license_scan.Scanner([("mit", dict(templates[::-1])["mit"])]).scan(pa.array([edited]))[0]["labels"] == {"mit"}
+    assert license_scan.Scanner([]).scan(pa.array(["all rights reserved"]))[0]["base"] == {"reserved"}
+
+
 def test_license_spans():
     r = license_scan.Scanner().scan(pa.array(["x y Licensed under the Apache License, Version 2.0. CC-BY and ALL rights reserved", None]))
     assert (r[0]["n_base"], r[0]["first_word"], r[0]["last_word"], r[0]["base"], r[0]["labels"]) == (2, 10, 13, {"cc-by", "reserved"}, {"apache-2.0"})
@@ -168,10 +248,10 @@ def test_masks_find_every_window():
 
 def test_units_have_original_offsets():
     text = "é one two three four five\n\nshort\n  ONE two three  four five é "
-    units = unit_dedup.units_of(text)
+    units = unit_dedup.units_of(text, least_words=5)
     assert [text[a:b] for a, b, *_ in units] == ["é one two three four five", "  ONE two three  four five é "]
-    a = unit_dedup.units_of("one two three four FIVE")[0]
-    b = unit_dedup.units_of(" one  two three four five ")[0]
+    a = unit_dedup.units_of("one two three four FIVE", least_words=5)[0]
+    b = unit_dedup.units_of(" one  two three four five ", least_words=5)[0]
     assert a[3:] == b[3:]
     assert unit_dedup.cut_spans("a\nb\nc", [{"start": 2, "end": 3}], unit_dedup.SEPARATORS["line"]) == "a\nc"
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import components, decontaminate, license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, t string, h long"
+#: Names that operators use inside.
+CLASH = "size t h a b n at place words_ gone gone_lines found_spans plan_row twin mix_key mix_twin __size __taken taken listed_url leaked_text text_key class_row all_lines full_lines cut_lines raw_counts n_tokens_raw found spans first kept row shift key item s x".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
 BASE = " ".join(f"b{i}" for i in range(120))
@@ -29,7 +31,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     """Rows with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, x, g, s, len(x or ""), 7, "t", 3) for i, x, g, s in ROWS], SCHEMA)
+    return spark.createDataFrame([(i, x, g, s, len(x or ""), *("clash" for _ in CLASH)) for i, x, g, s in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +58,44 @@ def test_pass_through_and_empty_tables(spark, docs, none, labels):
     assert quality_rules.fit_quality_trees(none, labels.limit(0)).score([[0.0] * len(quality_rules.FEATURES)] if False else __import__("numpy").zeros((1, len(quality_rules.FEATURES))))[0] == pytest.approx(0.5)
 
 
+def test_names_that_clash(spark, docs, none, labels):
+    """Operators that give rows of ``docs`` leave its own columns alone, whatever their names."""
+    bench = spark.createDataFrame([(1, "nothing of this stands there at all")], "item_id long, text string")
+    for f in (near_dup.drop_near_duplicates, mixing.mix, unit_dedup.remove_repeated_units, line_dedup.drop_repeated_lines, lambda d: decontaminate.drop_contaminated(d, bench), lambda d: quality_rules.keep_good(d, labels)):
+        out = f(docs)
+        assert set(docs.columns) <= set(out.columns)
+        assert {r[c] for r in out.collect() for c in CLASH} <= {"clash"}
+        assert f(none).count() == 0
+    listed = spark.createDataFrame([("z.org/a",)], "listed_url string")
+    pages = docs.withColumn("url", F.lit("http://z.org/a"))
+    assert {r.url_filter.verdict for r in url_filter.filter_urls(pages, listed).collect()} == {"block"}
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "quality_score", "tokens", "licenses", "line_dedup", "removed_spans", "epoch", "words", "url_filter"])
+def test_result_names_must_be_free(spark, none, labels, name):
+    taken = none.withColumn(name, F.lit(1)).withColumn("url", F.lit("x"))
+    calls = {
+        "quality_rules": lambda d: quality_rules.score_documents(d, quality_rules.fit_trees(__import__("numpy").zeros((0, len(quality_rules.FEATURES))), __import__("numpy").zeros(0))),
+        "quality_score": lambda d: quality_classifier.score_quality(d, quality_classifier.fit_support_vectors([], __import__("numpy").zeros(0))), "tokens": token_counts.with_token_counts, "licenses": license_scan.scan_licenses,
+        "line_dedup": line_dedup.dedup_lines, "removed_spans": unit_dedup.remove_repeated_units, "epoch": mixing.mix, "words": mixing.mix, "url_filter": lambda d: url_filter.filter_urls(d, d.select("url")),
+    }
+    with pytest.raises(ValueError):
+        calls[name](taken)
+
+
+def test_repeated_ids_teach_the_text_of_least_digest(spark):
+    rows = [(n, " ".join(f"w{n}_{k}" for k in range(60))) for n in range(40)] + [(n, " ".join(f"v{n}_{k}" for k in range(60))) for n in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(40)], "doc_id long, quality int, toxic int")
+    a, b = (quality_classifier.fit_quality(d, labels).weights for d in (df, df.orderBy(F.desc("text")).repartition(7)))
+    assert (a == b).all()
+
+
+def test_quality_without_labels(docs, labels):
+    out = quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels.limit(0))).collect()
+    assert {r.quality_score for r in out} == {0.5}
+
+
 def test_quality_rules_base(docs, labels):
     out = quality_rules.score_documents(docs, quality_rules.fit_quality_trees(docs, labels))
     for r in out.collect():
@@ -212,6 +252,48 @@ def test_near_copies_with_a_passage_pasted_many_times(spark):
     assert {(r.doc_id, r.class_id, r.kept) for r in got} == {(i, i - i % 2, i % 2 == 0) for i, _ in rows}
 
 
+def test_repeated_rows_keep_one(spark):
+    rows = [(None, BASE), (None, BASE), (None, near(3)), (4, "a b c"), (4, "a b c"), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicate_classes(df).collect()
+    assert sum(r.kept for r in got) == 4
+    out = near_dup.drop_near_duplicates(df).collect()
+    assert len(out) == 4 and sorted(r.text for r in out)[:3] == ["", "", "a b c"]
+
+
+def test_recall_of_near_duplicates_against_all_pairs(spark):
+    """Classes against the components of all pairs of Jaccard similarity 0.8 and more."""
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for n in range(40):
+        words = [f"g{n}_{k}" for k in range(r.randint(40, 200))]
+        rows.append(" ".join(words))
+        for _ in range(r.randint(1, 9)):
+            copy = list(words)
+            for _ in range(r.randint(0, max(1, len(words) // 40))):
+                copy[r.randrange(len(copy))] = f"n{r.random()}"
+            rows.append(" ".join(copy[r.randint(0, 3) :] + [f"e{r.random()}"] * r.randint(0, 3)))
+    rows = list(enumerate(rows))
+    sets = {i: {tuple(w[k : k + 5]) for w in [x.split()] for k in range(len(w) - 4)} for i, x in rows}
+    pairs = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        parent[max(top(i), top(j))] = min(top(i), top(j))
+    got = {row.doc_id: row.class_id for row in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 200
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+    # exact verification: a class never joins what no chain of pairs joins
+    assert all(top(i) == top(got[i]) for i in got)
+
+
 def test_chains_of_near_copies_are_one_class(spark):
     words, rows = BASE.split(), []
     for n in range(12):  # each differs from the next in one word, first and last in many
@@ -258,6 +340,9 @@ def test_decontamination_by_definition(spark, docs, none):
     assert ids(decontaminate.drop_contaminated(df, bench)) == [(False, i) for i in (3, 6, 7, 8)]
     assert decontaminate.contaminated_documents(none, bench).count() == 0
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(rows)
+    assert decontaminate.contaminated_documents(df, bench.limit(0)).count() == 0
+    within = spark.createDataFrame([(1, f"{LONG} {item} {LONG}"), (2, LONG)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.first_word) for r in decontaminate.contaminated_documents(within, bench).collect()} == {(1, 1, 60_000), (1, 6, 60_000)}
 
 
 def test_short_items_with_a_word_substituted(spark):
