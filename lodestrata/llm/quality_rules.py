@@ -33,24 +33,30 @@ MAX_TRAIN_ROWS = 20_000
 KEEP_SCORE = 0.3
 
 
-def _repeats(document: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _in_text(document: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.uint64]:
+    """One value for each (document, hash): the document above, the hash's high bits below."""
+    bits = np.uint64(max(1, int(n).bit_length()))
+    return (document.astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits), np.uint64(64) - bits
+
+
+def _repeats(document: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """Marks the rows whose (document, key) occurs more than once."""
-    order = np.lexsort((keys, document))
-    d, k = document[order], keys[order]
-    same = np.zeros(len(d) + 1, bool)
-    same[1:-1] = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
-    out = np.zeros(len(d), bool)
-    out[order] = same[:-1] | same[1:]
-    return out
+    both, _ = _in_text(document, keys, n)
+    ordered = np.sort(both)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(len(both), bool)
+    at = np.minimum(np.searchsorted(twice, both), len(twice) - 1)
+    return twice[at] == both
 
 
 def _distinct(document: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """Different keys of each document."""
-    order = np.lexsort((keys, document))
-    d, k = document[order], keys[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-    return np.bincount(d[new], minlength=n)
+    both, shift = _in_text(document, keys, n)
+    ordered = np.sort(both)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.bincount((ordered[new] >> shift).astype(np.int64), minlength=n)
 
 
 def _slice_statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +88,7 @@ def _slice_statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(d) >= 3:
         window = kernels.ngrams(np.zeros(len(h), np.int64), h, 3)[1]
         at = np.flatnonzero(d[2:] == d[:-2])
-        at = at[_repeats(d[at], window[at])]
+        at = at[_repeats(d[at], window[at], n)]
         for k in range(3):
             covered[at + k] = True
     repeated = np.bincount(d[covered], minlength=n)
