@@ -51,27 +51,31 @@ def classify_difference(side: Column, web_hits: Column, native_hits: Column, var
     return F.when(side == "frontend", front).otherwise(back)
 
 
+def _identifiers(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word, n): how often each identifier stands in a key's texts, counted before anything meets by word."""
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1)).alias("word"))
+    return words.groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
 def token_hits(tokens: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """(token, key, hits): identifier-bounded occurrences of tokens in texts.
 
     Texts are cut into identifiers once and joined by equality; no token meets a text that does
-    not hold it.
+    not hold it, and a frequent one meets each key once.
     """
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1)).alias("token"))
-    return words.join(tokens.select("token").distinct(), "token").groupBy("token", key).agg(F.count("*").alias("hits"))
+    words = _identifiers(texts, key, text)
+    return words.join(tokens.select("token").distinct(), words["word"] == F.col("token")).select("token", key, F.col("n").alias("hits"))
 
 
 def suffix_hits(tokens: DataFrame, texts: DataFrame, key: str, text: str, least: int = 2, most: int = 24) -> DataFrame:
-    """(token, key, hits): identifiers that end in a token after 2 to 24 more characters.
+    """(token, key, hits): identifiers that end in a token after ``least`` to ``most`` more characters.
 
-    Each identifier is cut to its suffixes of the tokens' own lengths (a small set of numbers),
-    so the join is by equality here too.
+    Each identifier is cut to its suffixes of those lengths, so the join is by equality here too.
     """
-    lengths = [r[0] for r in tokens.select(F.length("token").alias("n")).distinct().where("n > 0").orderBy("n").limit(256).collect()]
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1)).alias("word"))
-    cut = words.select(key, "word", F.explode(F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>")).alias("n"))
-    fits = cut.where((F.length("word") - F.col("n")).between(least, most)).select(key, F.expr("right(word, n)").alias("token"))
-    return fits.join(tokens.select("token").distinct(), "token").groupBy("token", key).agg(F.count("*").alias("hits"))
+    long = F.length("word")
+    words = _identifiers(texts, key, text).where(long > least)
+    fits = words.withColumn("size", F.explode(F.sequence(F.greatest(long - most, F.lit(1)), long - least))).select(key, "n", F.expr("right(word, size)").alias("token"))
+    return fits.join(tokens.select("token").distinct(), "token").groupBy("token", key).agg(F.sum("n").alias("hits"))
 
 
 def parameter_clues(parameters: DataFrame, artifacts: DataFrame, budget: int = 8) -> DataFrame:
@@ -81,19 +85,19 @@ def parameter_clues(parameters: DataFrame, artifacts: DataFrame, budget: int = 8
     return hits.withColumn("place", F.row_number().over(place)).where(F.col("place") <= budget).select(F.col("token").alias("name"), "path", "hits", "place")
 
 
-def acl_grants(operations: DataFrame, acl: DataFrame, most_patterns: int = 10_000) -> DataFrame:
+def acl_grants(operations: DataFrame, acl: DataFrame) -> DataFrame:
     """(acl_group, operation_ref): the object fits the group's glob and the method is listed or ``*``.
 
-    Patterns without wildcards are an equi-join.  The others are matched against the distinct
-    objects only, and are broadcast up to ``most_patterns``.
+    Patterns without wildcards are an equi-join.  Others meet the distinct objects by the text
+    before their first wildcard, which is one of the object's own prefixes, and are matched then.
     """
     ops = operations.withColumn("object_name", F.replace("object_name", F.lit("{dynamic}"), F.lit("dynamic-instance")))
     wild = F.col("object_pattern").rlike(r"[*?]")
     exact = acl.where(~wild).withColumn("object_name", F.col("object_pattern"))
-    globs = acl.where(wild).select("acl_group", "object_pattern", "method", glob_pattern(F.col("object_pattern")).alias("pattern"))
+    globs = acl.where(wild).select("acl_group", "method", F.regexp_extract("object_pattern", r"^([^*?]*)", 1).alias("prefix"), glob_pattern(F.col("object_pattern")).alias("pattern"))
     objects = ops.select("object_name").distinct()
-    side = F.broadcast(globs) if globs.limit(most_patterns + 1).count() <= most_patterns else globs
-    matched = objects.join(side, F.expr("object_name rlike pattern")).select("acl_group", "object_name", "method")
+    prefixes = objects.withColumn("size", F.explode(F.sequence(F.lit(0), F.length("object_name")))).select("object_name", F.expr("left(object_name, size)").alias("prefix"))
+    matched = prefixes.join(globs, "prefix").where("object_name rlike pattern").select("acl_group", "object_name", "method")
     grants = exact.select("acl_group", "object_name", "method").unionByName(matched)
     return ops.join(grants, "object_name").where((F.col("method") == "*") | (F.col("method") == F.col("method_name"))).select("acl_group", "operation_ref").distinct()
 

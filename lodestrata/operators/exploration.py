@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.interfaces import interface_style, interface_subtype, search_terms
 from lodestrata.functions.versions import NO_IDENTITY
 from lodestrata.operators.paging import latest
+from lodestrata.operators.storage import settle
 
 #: Vendors that the overview leaves out.
 NO_VENDOR = ("", "n/a", "na", "unknown", "unspecified")
@@ -101,12 +102,20 @@ def _known(column: str) -> Column:
 
 
 def category_profile(observations: DataFrame, vulns: DataFrame) -> DataFrame:
-    """Distinct interfaces, vulnerabilities, known vendors and products, latest date, first five vendors."""
-    seen = styled(observations).where("category <> ''").join(vulns.select("identifier", "vendor", "product", "published_at", "modified_at"), "identifier")
-    return seen.groupBy("category").agg(
-        F.countDistinct("value").alias("interfaces"), F.countDistinct("identifier").alias("vulnerabilities"), F.countDistinct(_known("vendor")).alias("vendors"), F.countDistinct(_known("product")).alias("products"),
-        F.max(F.coalesce("published_at", "modified_at")).alias("latest_at"), F.array_join(F.slice(F.array_sort(F.collect_set(_known("vendor"))), 1, 5), "|").alias("first_vendors"),
-    )
+    """Distinct interfaces, vulnerabilities, known vendors and products, latest date, first five vendors.
+
+    Repeats go before anything is counted: an interface is styled once, a vulnerability of a
+    category counts once, and a category's vendors are deduplicated before five are taken.
+    """
+    named = observations.groupBy("value", "kind", "component", "identifier").agg(F.lit(1).alias("one"))
+    seen = settle(named.withColumn("category", interface_style(F.col("value"), F.col("kind"), F.col("component"))).where("category <> ''").join(vulns.select("identifier"), "identifier", "left_semi").select("category", "value", "identifier").distinct())
+    known = settle(seen.select("category", "identifier").distinct().join(vulns.select("identifier", _known("vendor").alias("vendor"), _known("product").alias("product"), F.coalesce("published_at", "modified_at").alias("at")), "identifier"))
+    count = lambda df, c: df.select("category", c).where(F.col(c).isNotNull()).distinct().groupBy("category").agg(F.count("*").alias(f"{c}s"))
+    vendors = latest(known.where("vendor is not null").select("category", "vendor").distinct(), ["category"], [F.col("vendor")], 5).groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("vendor")), "|").alias("first_vendors"))
+    out = count(seen, "value").withColumnRenamed("values", "interfaces").join(count(known, "identifier").withColumnRenamed("identifiers", "vulnerabilities"), "category")
+    for more in (count(known, "vendor"), count(known, "product"), known.groupBy("category").agg(F.max("at").alias("latest_at")), vendors):
+        out = out.join(more, "category", "left")  # a row a category
+    return out.select("category", "interfaces", "vulnerabilities", F.coalesce("vendors", F.lit(0)).alias("vendors"), F.coalesce("products", F.lit(0)).alias("products"), "latest_at", F.coalesce("first_vendors", F.lit("")).alias("first_vendors"))
 
 
 def top_interfaces(observations: DataFrame, n: int = 5, by: str = "category") -> DataFrame:

@@ -29,9 +29,12 @@ def change_summary(changes: DataFrame) -> DataFrame:
 
 def coverage_confidence(base: DataFrame, target: DataFrame) -> Column:
     """equivalent, equivalent_partial or confounded, from the coverage rows of two snapshots."""
-    profile = lambda df: df.agg(F.array_sort(F.collect_set(F.struct("producer_kind", "scope", "status", "required"))).alias("p"), F.bool_and(F.col("status") == "completed").alias("whole"))
-    b, t = profile(base).first(), profile(target).first()  # two single rows
-    return F.lit("confounded" if b["p"] != t["p"] else "equivalent" if b["whole"] else "equivalent_partial")
+    row = ["producer_kind", "scope", "status", "required"]
+    b, t = base.select(*row), target.select(*row)
+    if not b.subtract(t).limit(1).isEmpty() or not t.subtract(b).limit(1).isEmpty():
+        return F.lit("confounded")
+    whole = b.where("not status <=> 'completed'").limit(1).isEmpty()
+    return F.lit("equivalent" if whole else "equivalent_partial")
 
 
 def merge_members(candidates: DataFrame, key: str, attributes: tuple[str, ...]) -> DataFrame:

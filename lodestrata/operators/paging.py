@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +46,23 @@ def prefix_budget(df: DataFrame, keys: list[str], order: list[Column], size: Col
 def greedy_budget(df: DataFrame, key: str, item: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows in order, each taken if it still fits: a row too large is skipped and later ones may fit.
 
-    A fold over each key's own ordered array; returns key, item and taken.
+    Each choice needs the ones before, so a key is one ordered stream: rows are sorted within
+    partitions by key, and only the running sum is held from one batch to the next.  Returns key,
+    item and taken; ties of ``order`` go by item.
     """
-    ordered = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, item, size))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(s: Column, r: Column) -> Column:
-        fits = s["spent"] + r[size] <= budget
-        return F.struct((s["spent"] + F.when(fits, r[size]).otherwise(0)).cast("long").alias("spent"), F.array_append(s["taken"], fits).alias("taken"))
-
-    folded = ordered.select(key, "rows", F.aggregate("rows", start, step)["taken"].alias("taken"))
-    return folded.select(key, F.explode(F.arrays_zip("rows", "taken")).alias("x")).select(key, F.col(f"x.rows.{item}").alias(item), F.col("x.taken").alias("taken"))
+    rows = df.select(key, item, order, size).repartition(key).sortWithinPartitions(key, order, item)
+
+    def choose(batches):
+        at, spent = object(), 0
+        for batch in batches:
+            taken = []
+            for k, n in zip(batch.column(key).to_pylist(), batch.column(size).to_pylist()):
+                if k != at:
+                    at, spent = k, 0
+                fits = spent + n <= budget
+                spent += n if fits else 0
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(item), pa.array(taken, pa.bool_())], [key, item, "taken"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return rows.mapInArrow(choose, f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, taken boolean")

@@ -47,10 +47,11 @@ def normalized(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.replace(unquoted(value), F.lit("_"), F.lit(" "))), r"\s+", " "))
 
 
-def first_term(text: Column, terms: tuple[str, ...]) -> Column:
-    """The first of ``terms`` that stands in the text as whole words; null without one."""
-    found = [F.when(text.rlike(rf"(?U)(?<!\w){re.escape(t.lower())}(?!\w)"), F.lit(t)) for t in terms]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+def any_term(text: Column, terms: tuple[str, ...]) -> Column:
+    """One of ``terms`` stands in the text as whole words."""
+    if not terms:
+        return F.lit(False)
+    return text.rlike(rf"(?U)(?<!\w)(?:{'|'.join(re.escape(t.lower()) for t in terms)})(?!\w)")
 
 
 def classify(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -64,15 +65,15 @@ def classify(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     parts = lambda c: F.split(F.lower(c), ":")
     hardware = F.exists("cpes", lambda c: ((F.size(parts(c)) >= 4) & (F.get(parts(c), F.lit(2)) == "h")) | (F.regexp_replace(F.coalesce(F.get(parts(c), F.lit(1)), F.lit("")), "^/+", "") == "h"))
     target = F.exists("cpes", lambda c: F.coalesce(F.get(parts(c), F.lit(10)).isin("firmware", "embedded"), F.lit(False)))
-    vendor = first_term(F.col("__names"), policy.vendors).isNotNull()
+    vendor = any_term(F.col("__names"), policy.vendors)
     holds = {
-        "firmware-term": first_term(F.col("__text"), policy.firmware).isNotNull(), "device-term": first_term(F.col("__text"), policy.devices).isNotNull(), "firmware-vendor": vendor,
-        "watched-vendor": ~vendor & first_term(F.col("__names"), policy.watched).isNotNull(), "hardware-cpe": F.coalesce(hardware, F.lit(False)), "firmware-target-cpe": F.coalesce(target, F.lit(False)),
-        "firmware-reference": F.coalesce(first_term(F.col("__links"), ("firmware", "download")).isNotNull(), F.lit(False)),
+        "firmware-term": any_term(F.col("__text"), policy.firmware), "device-term": any_term(F.col("__text"), policy.devices), "firmware-vendor": vendor,
+        "watched-vendor": ~vendor & any_term(F.col("__names"), policy.watched), "hardware-cpe": F.coalesce(hardware, F.lit(False)), "firmware-target-cpe": F.coalesce(target, F.lit(False)),
+        "firmware-reference": F.coalesce(any_term(F.col("__links"), ("firmware", "download")), F.lit(False)),
     }
     signal = lambda name: F.struct(F.lit(name).alias("name"), F.lit(WEIGHTS[name]).alias("weight"))
     out = out.withColumn("__found", F.array_compact(F.array(*(F.when(c, signal(n)) for n, c in holds.items()))))
-    other = first_term(F.col("__text"), OTHER_CONTEXTS).isNotNull() & ~F.exists("__found", lambda s: s["weight"] >= 55)
+    other = any_term(F.col("__text"), OTHER_CONTEXTS) & ~F.exists("__found", lambda s: s["weight"] >= 55)
     out = out.withColumn("signals", F.when(other, F.array_append("__found", signal("non-firmware-context"))).otherwise(F.col("__found")))
     total = F.aggregate("signals", F.lit(0), lambda s, x: s + x["weight"])
     out = out.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total)))

@@ -260,8 +260,12 @@ SELECT node_id, distance, CASE WHEN (SELECT count(*) FROM r) > 50 THEN 'partial'
 SELECT node_id, 0 AS distance FROM t WHERE contains(text, 'supported') AND contains(text, 'handler') AND contains(text, '1')""", "nodes"),
     "graph_facets": with_views("""SELECT 'node_kind' AS facet, node_kind AS value, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge_kind', edge_kind, count(*) FROM edges GROUP BY ALL UNION ALL SELECT 'status', status, count(*) FROM nodes GROUP BY ALL""", "nodes", "edges"),
     "graph_dangling": with_views("""WITH n AS (SELECT node_id FROM nodes WHERE node_kind <> 'component') SELECT edge_id, 'source_ref' AS "end" FROM edges WHERE source_ref NOT IN (SELECT node_id FROM n) UNION ALL SELECT edge_id, 'target_ref' FROM edges WHERE target_ref NOT IN (SELECT node_id FROM n)""", "nodes", "edges"),
-    "graph_tree": with_views("""WITH e AS (SELECT * FROM edges WHERE edge_kind <> 'calls'), k AS (SELECT target_ref AS child, count(*) AS children FROM e GROUP BY 1)
-SELECT target_ref AS parent, source_ref AS child, coalesce(children, 0) AS children, coalesce(children, 0) > 0 AS expandable FROM e LEFT JOIN k ON k.child = source_ref""", "edges"),
+    "graph_tree": with_views("""WITH RECURSIVE e AS (SELECT * FROM edges WHERE edge_kind <> 'calls'), w AS (
+  SELECT CAST(NULL AS VARCHAR) AS parent, node_id AS child, 0 AS level FROM nodes WHERE node_kind = 'firmware'
+  UNION ALL SELECT w.child, e.source_ref, w.level + 1 FROM w JOIN e ON e.target_ref = w.child WHERE w.level < 16
+), p AS (SELECT child, min(level) AS level FROM w GROUP BY child), t AS (SELECT min(w.parent) AS parent, child, level FROM w JOIN p USING (child, level) GROUP BY child, level),
+k AS (SELECT parent AS child, count(*) AS children FROM t WHERE parent IS NOT NULL GROUP BY 1)
+SELECT parent, child, level, coalesce(children, 0) AS children, coalesce(children, 0) > 0 AS expandable FROM t LEFT JOIN k USING (child)""", "nodes", "edges"),
     "snapshot_diff": with_views(f"WITH {_SNAP} SELECT * FROM changes WHERE change IS NOT NULL", "snap_base", "snap_target"),
     "snapshot_summary": with_views(f"WITH {_SNAP} SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'changed') AS changed FROM changes", "snap_base", "snap_target"),
     "aligned_members": with_views("""WITH a AS (SELECT *, array_to_string(regexp_extract_all(lower(regexp_extract(regexp_replace(split_part(endpoint, '?', 1), '/+$', ''), '[^/]*$')), '[a-z0-9]+'), ' ') AS alignment FROM frontend)

@@ -1,10 +1,11 @@
-"""Incremental ingestion: micro-batches merged into a keyed table of immutable snapshots."""
+"""Incremental ingestion: micro-batches kept as source records, merged by key when read."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,55 +21,48 @@ def sync_window(now: datetime, cursor: datetime | None, days: int) -> tuple[date
     return (max(earliest, cursor - OVERLAP) if cursor else earliest), now
 
 
-class SnapshotTable:
-    """A Parquet table whose every version is a folder of its own; readers take the newest."""
+class RecordTable:
+    """Source records as plain Parquet, a folder for each stream and batch.
+
+    A batch writes its own folder only, so its cost follows the batch and not the table; a batch
+    that runs again overwrites what it wrote.  Streams are told apart by their own name, so a new
+    checkpoint, or a second stream into the table, never meets the folders of another.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _folder(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def folder(self, stream: str, batch_id: int) -> str:
+        return f"{self.path}/stream={stream}/batch={batch_id}"
 
-    def version(self) -> int:
-        fs, path = self._folder()
-        if not fs.exists(path):
-            return -1
-        done = [s.getPath() for s in fs.listStatus(path)]
-        marks = [int(p.getName()[1:]) for p in done if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(marks, default=-1)
+    def write(self, batch: DataFrame, stream: str, batch_id: int) -> None:
+        columns = self.spark.createDataFrame([], self.schema).columns
+        batch.select(*columns).write.mode("overwrite").parquet(self.folder(stream, batch_id))
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(*self.read().columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-
-
-def merge_batch(table: SnapshotTable, order: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: unite the batch's records with the table's and merge each key.
-
-    The table keeps the source records, so merging again gives what merging once gave; records
-    that an overlap brings twice are one.  A batch that runs again writes the same version.
-    """
+        """All records; those that an overlap of deliveries brought twice are one."""
+        try:
+            rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
+        return rows.dropDuplicates()
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if table.version() >= batch_id:
-            return
-        table.write(table.read().unionByName(batch, allowMissingColumns=True).dropDuplicates(), batch_id)
 
-    return run
+def stream_name(checkpoint: str) -> str:
+    """A stream is its checkpoint: batches of one count on, those of another start anew."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def ingest(spark: SparkSession, folder: str, schema: str, table: SnapshotTable, checkpoint: str, order: str = "arrived") -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, schema: str, table: RecordTable, checkpoint: str) -> StreamingQuery:
     """Stream JSON files of ``folder`` into ``table`` and stop when all are in."""
+    name = stream_name(checkpoint)
     records = spark.readStream.schema(schema).json(folder)
-    return records.writeStream.foreachBatch(merge_batch(table, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return records.writeStream.foreachBatch(lambda batch, n: table.write(batch, name, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged(table: SnapshotTable, order: str = "arrived") -> DataFrame:
+def merged(table: RecordTable, order: str = "arrived") -> DataFrame:
     """The table's records, merged by identifier."""
     return merge_records(table.read(), order)
 

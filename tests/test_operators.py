@@ -246,10 +246,19 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [{"arrived": i, "identifier": f"v{i % 3}", "source": "cisa-kev" if i == 4 else "nvd", "title": f"t{i}", "summary": f"s{i}", "vendor": None if i % 2 else f"V{i}", "kev": i == 4} for i in range(9)]
     folder = tmp_path / "in"
     folder.mkdir()
-    table = ingest.SnapshotTable(spark, str(tmp_path / "table"), schema)
+    table = ingest.RecordTable(spark, str(tmp_path / "table"), schema)
+    assert table.read().count() == 0
     for part in (rows[:4], rows[3:7], rows[6:]):  # overlapping deliveries
         (folder / f"{part[0]['arrived']}.json").write_text("\n".join(json.dumps(r) for r in part))
         q = ingest.ingest(spark, str(folder), schema, table, str(tmp_path / "check"))
         q.awaitTermination(120)
     batch = merging.merge_records(spark.createDataFrame([tuple(r.values()) for r in rows], schema), "arrived")
     assert sorted(map(str, ingest.merged(table).collect())) == sorted(map(str, batch.collect()))
+    # a new checkpoint, which counts from 0 again, and a second stream lose nothing
+    other = tmp_path / "other"
+    other.mkdir()
+    more = dict(rows[0], identifier="CVE-NEW", arrived=99)
+    (other / "x.json").write_text(json.dumps(more))
+    ingest.ingest(spark, str(other), schema, table, str(tmp_path / "check2")).awaitTermination(120)
+    ingest.ingest(spark, str(folder), schema, table, str(tmp_path / "check3")).awaitTermination(120)
+    assert sorted(r.identifier for r in ingest.merged(table).collect()) == sorted({r["identifier"] for r in rows} | {"CVE-NEW"})

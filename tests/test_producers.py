@@ -69,7 +69,10 @@ def test_semantics(spark):
     assert [i.value for i in got["2"].interfaces] == ["/status"] and got["2"].interfaces[0].method == "GET" and got["2"].parameters[0].location == "query"
     assert not got["3"].interfaces and not got["4"].interfaces and got["4"].remotely_exploitable is False and not got["4"].parameters and not got["5"].interfaces
     df = spark.createDataFrame([("password: hunter2 at 10.0.0.1 aa:bb:cc:dd:ee:ff",)], "t string")
-    assert df.select(extraction.redact(F.col("t"), 100)).first()[0] == "password: [redacted] at [ip] [mac]"
+    assert df.select(extraction.redact(F.col("t"), 100)).first()[0] == "<redacted:credential>"
+    hidden = spark.createDataFrame([(f"at 10.0.0.1 00:11:22:33:44:55 id {'ab' * 24} {'x' * 63} {'Z9' * 32}",), ("x" * 20 + " pwd = 1",)], "t string")
+    assert [r[0] for r in hidden.select(extraction.redact(F.col("t"))).collect()] == [f"at <redacted:ipv4> <redacted:mac> id <redacted:opaque-token> {'x' * 63} <redacted:opaque-token>", "<redacted:credential>"]
+    assert hidden.select(extraction.redact(F.col("t"), 20)).collect()[1][0] == "x" * 20
 
 
 def test_evidence(spark):
