@@ -131,6 +131,11 @@ SELECT concat('r', CAST(o_custkey % 50 AS STRING)) AS run_id, CAST(o_orderkey AS
        CASE WHEN o_orderkey % 13 = 0 THEN 'N/A' ELSE 'a second source' END AS required_corroboration, concat('e', CAST(o_orderkey % 10 AS STRING), ';e', CAST(o_custkey % 10 AS STRING)) AS citations,
        CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence
 FROM {orders}""",
+    "cve_raw": """
+SELECT o_orderkey AS n, concat('CVE-2021-', CAST(o_orderkey AS STRING)) AS identifier, CASE WHEN o_orderkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE concat('Flaw ', CAST(o_custkey AS STRING), ' found. More text.') END AS en,
+ concat('Fehler ', CAST(o_custkey AS STRING)) AS de, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(o_orderkey % 101 AS DOUBLE) / 10 END AS score31, CAST(o_custkey % 101 AS DOUBLE) / 10 AS score2,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE CAST(NULL AS STRING) END AS severity31, CASE WHEN o_orderkey % 7 = 0 THEN '*' ELSE concat('acme_', CAST(o_custkey % 20 AS STRING)) END AS vendor, concat('r_', CAST(o_orderkey % 50 AS STRING)) AS product,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'NVD-CWE-noinfo' ELSE concat('CWE-', CAST(o_orderkey % 9 AS STRING)) END AS cwe, concat('https://example.com/', CAST(o_orderkey % 30 AS STRING)) AS link, o_orderkey % 6 = 0 AS exploit FROM {orders}""",
     "catalogs": """
 SELECT concat('cat', CAST(o_orderkey AS STRING)) AS catalog_id, concat('fw', CAST(o_custkey % 200 AS STRING)) AS firmware, substr(CAST(o_orderdate AS STRING), 1, 10) AS published_at,
        CASE WHEN o_orderkey % 3 = 0 THEN 'partial' ELSE 'completed' END AS status, concat('lib', CAST(o_orderkey % 9 AS STRING)) AS artifact,

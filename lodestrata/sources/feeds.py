@@ -109,8 +109,12 @@ def summary_title() -> Column:
 def read_kev(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue of exploited vulnerabilities as records."""
     item = "array<struct<cveID: string, vendorProject: string, product: string, vulnerabilityName: string, dateAdded: string, shortDescription: string, requiredAction: string, dueDate: string, knownRansomwareCampaignUse: string, notes: string, cwes: array<string>>>"
-    rows = spark.read.schema(f"dateReleased string, vulnerabilities {item}").option("multiLine", True).json(path).select("dateReleased", F.explode("vulnerabilities").alias("v"))
-    links = F.filter(F.transform(F.split(F.coalesce("v.notes", F.lit("")), ";"), F.trim), lambda x: x.startswith("http"))
+    return normalize_kev(spark.read.schema(f"dateReleased string, vulnerabilities {item}").option("multiLine", True).json(path).select("dateReleased", F.explode("vulnerabilities").alias("v")))
+
+
+def normalize_kev(rows: DataFrame) -> DataFrame:
+    """(dateReleased, v) of the catalogue's items as records."""
+    links = F.filter(F.transform(F.split(F.coalesce("v.notes", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x.startswith("http"))
     return rows.select(
         F.col("v.cveID").alias("identifier"), F.lit("cisa-kev").alias("source"), F.col("v.vulnerabilityName").alias("title"), F.col("v.shortDescription").alias("summary"), F.col("v.vendorProject").alias("vendor"), F.col("v.product").alias("product"),
         F.col("v.dateAdded").alias("kev_date_added"), F.col("v.dueDate").alias("kev_due_date"), F.col("v.knownRansomwareCampaignUse").alias("ransomware_use"), F.col("v.requiredAction").alias("required_action"), F.coalesce("v.cwes", F.array().cast("array<string>")).alias("cwes"), links.alias("references"), F.lit(True).alias("kev"), F.col("dateReleased").alias("modified_at"),
@@ -128,7 +132,7 @@ def benchmark_identifiers(text: Column) -> Column:
 
 def device_table(lines: DataFrame) -> DataFrame:
     """Rows of a Markdown table with four columns; headings and rules are no rows."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.where(F.trim("value").rlike(r"^\|.*\|$")).withColumn("cells", cells).where("size(cells) = 4")
     rule = F.forall("cells", lambda c: c.rlike(r"^:?-+:?$"))
     return rows.where(~rule & (F.lower(F.get("cells", F.lit(0))) != "vendor")).select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("vendor", "model", "version", "link"))))
@@ -136,7 +140,11 @@ def device_table(lines: DataFrame) -> DataFrame:
 
 def url_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Candidates of a CSV list of download links; other schemes and links without host go."""
-    rows = spark.read.schema("url string, vendor string, product string, version string, date string").option("header", True).csv(path)
+    return catalogue_rows(spark.read.schema("url string, vendor string, product string, version string, date string").option("header", True).csv(path))
+
+
+def catalogue_rows(rows: DataFrame) -> DataFrame:
+    """Download links (url, vendor, product, version) as candidates."""
     known = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown"))
     kept = rows.where(F.col("url").rlike(r"^(?i)(?:https?|ftp)://") & (F.coalesce(download_host(F.col("url")), F.lit("")) != ""))
     return kept.select(

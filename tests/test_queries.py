@@ -2,6 +2,7 @@
 
 import pytest
 
+import lodestrata.plans.catalogue_queries  # noqa: F401
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import QUERIES
 from tests.oracle import duck_rows, spark_rows
