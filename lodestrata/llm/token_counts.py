@@ -26,7 +26,7 @@ from lodestrata.llm.common import free, fresh
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a chunk, of the first overlap, and (at least) before a chunk's end where nothing is proven.
-CHUNK, OVERLAP, MARGIN = 1 << 12, 1 << 8, 16
+CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 6, 16
 MOST_TOKENS = 512
 
 
