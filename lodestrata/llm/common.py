@@ -52,24 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: lost executors cost no recomputation of what lies before,
     and values that a rerun could deal otherwise (row ids) are fixed.  Within ``scratch`` the
-    table goes when that scope ends; else it stays, as the frame that is returned may read it.
+    table goes when that scope ends, unless ``keep``; else it stays, as the frame that is returned
+    may read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables settled within are deleted at the end; what is to stay must be settled outside."""
+    """Tables settled within are deleted at the end, but for those that are to be kept."""
     _scopes.append([])
     try:
         yield

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import components, decontaminate, license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
+from lodestrata.llm import common, components, decontaminate, license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
 
 #: Names that operators use inside.
 CLASH = "size t h a b n at place words_ gone gone_lines found_spans plan_row twin mix_key mix_twin __size __taken taken listed_url leaked_text text_key class_row all_lines full_lines cut_lines raw_counts n_tokens_raw found spans first kept row shift key item s x".split()
@@ -303,6 +303,24 @@ def test_chains_of_near_copies_are_one_class(spark):
     assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_scratch_tables_go_with_their_scope(spark):
+    df = spark.range(5)
+    with common.scratch(spark):
+        inner, kept = common.settle(df), common.settle(df, keep=True)
+        assert inner.count() == 5
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        inner.selectExpr("id + 1").collect()
+    assert common.settle(df).count() == 5
+
+
+def test_heavy_groups_join_like_others(spark):
+    rows = spark.range(9000).selectExpr("CASE WHEN id < 6000 THEN 0 ELSE id END AS k", "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    got = common.join_groups(rows, groups, ["k"], "n")
+    assert got.count() == 9000 and got.where("k = 0").agg(F.max("first"), F.count("*")).first()[:] == (0, 6000)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 45), (41, 45), (42, 45), (42, 41), (7, 7)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "x long, y long")).collect()}
