@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules
-from lodestrata.llm.common import read_table, settle
+from lodestrata.llm.common import read_table, scratch, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = settle(stage(spark, docs, sf_dir), keep=True)
     return docs
