@@ -166,7 +166,11 @@ def recommend_similar(observations: DataFrame, value: str) -> DataFrame:
     leaf = lambda c: F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1)
     one = spark.range(1).select(F.lit(value).alias("q"))
     one = one.withColumn("q_category", interface_style(F.col("q"))).withColumn("q_subtype", interface_subtype(F.col("q"), F.col("q_category"))).withColumn("q", path(F.col("q")))
-    rows = styled(observations).groupBy("value", "category", "subtype").agg(F.countDistinct("identifier").alias("vulnerabilities"))
+    # an interface is styled once, and apart from the scores: one expression of both is too long to compile
+    counts = observations.groupBy("value", "kind", "component", "identifier").agg(F.lit(1).alias("one"))
+    names = settle(styled(counts.select("value", "kind", "component").distinct()))
+    same = [counts[c].eqNullSafe(names[c]) for c in ("value", "kind", "component")]
+    rows = counts.join(names, same[0] & same[1] & same[2]).select(names["value"], "category", "subtype", "identifier").groupBy("value", "category", "subtype").agg(F.countDistinct("identifier").alias("vulnerabilities"))
     both = rows.join(F.broadcast(one), (F.col("category") == F.col("q_category")) & (F.col("subtype") == F.col("q_subtype")))  # one row
     both = both.withColumn("c", path(F.col("value")))
     q, c = F.lower("q"), F.lower("c")
