@@ -55,7 +55,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unit_dedup.repeated_units(docs).drop("t")
+    return unit_dedup.repeated_units(docs, **unit_dedup.PASSAGES).drop("t")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators on awkward rows: nulls, empty and long texts, repeats, no rows, clashing names."""
 
+import itertools
 import re
 from collections import defaultdict
 
@@ -400,3 +401,37 @@ def test_repeated_passages_are_found_in_every_holder(spark):
     rows = [(1, f"{words(60, 'a')}\n{words(20, 'p')}"), (2, f"{words(20, 'q')}\n{words(60, 'a').upper()}"), (3, f"{words(60, 'c')}\nall rights reserved"), (4, f"{words(60, 'd')}\nall rights reserved")]
     got = {(r.doc_id, r.kept, r.kept_doc_id) for r in unit_dedup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, True, 1), (2, False, 1)}
+
+
+def test_passages_within_lines_are_found_by_runs_of_sentences(spark):
+    passage = " ".join(" ".join(f"s{k}w{i}" for i in range(9)) + "." for k in range(6))
+    chance = "this one sentence recurs alone."
+    rows = [(1, f"own words to begin with, then {passage} and words of its own"), (2, f"others before {passage}\nNo. A line of its own.\n{chance}"), (3, f"a quite different text here. {chance}"), (3, f"a quite different text here. {chance}"), (None, None), (5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, rows[r.doc_id - 1][1][r.start : r.end], r.kept, r.kept_doc_id, r.copies) for r in unit_dedup.repeated_units(table, **unit_dedup.PASSAGES).collect())
+    inner = [f"{s}." for s in passage[:-1].split(". ")][1:]
+    assert got == sorted([(1, s, True, 1, 2) for s in inner] + [(2, s, False, 1, 2) for s in inner])
+    cleaned = {r.doc_id: r.text for r in unit_dedup.remove_repeated_units(table, **unit_dedup.PASSAGES).collect()}
+    assert cleaned[1] == rows[0][1] and cleaned[2] == f"others before {passage.split('. ')[0]}.\nNo. A line of its own.\n{chance}" and cleaned[3] == rows[2][1] and cleaned[None] is None and cleaned[5] == ""
+
+
+def test_runs_by_definition(spark, docs):
+    got = sorted((str(r.doc_id), r.start, r.end, r.words, r.kept, str(r.kept_doc_id), r.copies) for r in unit_dedup.repeated_units(docs, **unit_dedup.PASSAGES).collect())
+    places, texts = defaultdict(list), {}
+    for i, x in sorted({(i, x or "") for i, x, *_ in ROWS}, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        units, at = [], 0
+        for k, c in enumerate(x + "\n"):
+            if c == "\n" or (c == " " and k and x[k - 1] in ".!?"):
+                words = x[at:k].lower().split()
+                if len(words) >= 5:
+                    units.append((at, k, len(words), " ".join(words)))
+                    places[units[-1][3]].append((i, at))
+                at = k + 1
+        texts[i, x] = units
+    expected = []
+    for (i, _), units in texts.items():
+        for repeated, run in itertools.groupby(units, key=lambda u: len(places[u[3]]) > 1):
+            run = list(run)
+            if repeated and sum(u[2] for u in run) >= 25:
+                expected += [(str(i), a, b, n, places[k][0] == (i, a), str(places[k][0][0]), len(places[k])) for a, b, n, k in run]
+    assert expected and got == sorted(expected)
