@@ -45,8 +45,10 @@ def replay(evidence: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def assemble(candidates: DataFrame, parameters: DataFrame, evidence: DataFrame, coverage: DataFrame) -> DataFrame:
-    """One row: catalogue id over sorted contents, counts, coverage, and how many references dangle."""
-    digest = lambda df, key: df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias(key))
+    """One row: catalogue id over all contents in any order, counts, coverage, and how many references dangle."""
+    # sums of row hashes do not depend on order, so they are summed where the rows are
+    row = lambda df, seed: F.sum(F.xxhash64(F.lit(seed), F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)"))
+    digest = lambda df, key: df.agg(F.concat_ws(":", F.count("*"), row(df, 1), row(df, 2)).alias(key))
     lost = candidates.select("candidate_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_anti").agg(F.count("*").alias("missing_evidence"))
     orphans = parameters.join(candidates.select(F.col("candidate_id").alias("owner_ref")), "owner_ref", "left_anti").agg(F.count("*").alias("orphan_parameters"))
     status = coverage.agg(F.when(F.bool_or(F.col("required") & (F.col("status") == "failed")), "failed").when(F.bool_and(F.col("status").isin("completed", "not_applicable")), "completed").otherwise("partial").alias("coverage_status"))

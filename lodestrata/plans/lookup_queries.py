@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import interfaces as I
 from lodestrata.functions import versions as V
-from lodestrata.operators import lookups, paging, review, storage
+from lodestrata.operators import evidence, graph, lookups, paging, projection, review, storage
 from lodestrata.plans.catalogue_queries import _sql
+from lodestrata.plans.oracles import _styled
 from lodestrata.plans.queries import query
+from lodestrata.sources import inventory
 
 
 @query
@@ -239,3 +242,138 @@ def cpe_parts(v):
 
 
 _sql("cpe_parts", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v' || (p_partkey % 9) WHEN 2 THEN 'w' || (p_partkey % 9) END AS vendor, CASE p_partkey % 4 WHEN 0 THEN 'p' || (p_partkey % 5) WHEN 2 THEN 'q' END AS product, CASE p_partkey % 4 WHEN 0 THEN '1.2' WHEN 2 THEN '2.0' END AS version FROM part""")
+
+
+@query
+def catalogue_assembled(v):
+    n, ref = F.col("o_orderkey"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    candidates = v("orders").select(ref("c", n).alias("candidate_id"), F.array(ref("e", F.col("o_custkey")), ref("e", n % 3000)).alias("evidence_ids"))
+    parameters = v("lineitem").select(ref("c", F.col("l_orderkey") + F.when(F.col("l_linenumber") == 5, 1_000_000_000).otherwise(0)).alias("owner_ref"), F.col("l_linenumber").alias("place"))
+    proofs = v("customer").select(ref("e", F.col("c_custkey")).alias("evidence_id"))
+    return evidence.assemble(candidates, parameters, proofs, v("coverage")).drop("catalog_id")
+
+
+_sql("catalogue_assembled", """SELECT (SELECT count(*) FROM orders) AS candidates, CASE WHEN count(*) FILTER (required AND status = 'failed') > 0 THEN 'failed' WHEN bool_and(status IN ('completed', 'not_applicable')) THEN 'completed' ELSE 'partial' END AS coverage_status,
+ (SELECT count(*) FROM (SELECT o_custkey AS e FROM orders UNION ALL SELECT o_orderkey % 3000 FROM orders) WHERE e NOT IN (SELECT c_custkey FROM customer)) AS missing_evidence, (SELECT count(*) FROM lineitem WHERE l_linenumber = 5 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphan_parameters FROM coverage""", "coverage")
+
+
+def _obligations(v):
+    n = F.col("o_orderkey")
+    return v("orders").select(F.concat(F.lit("ob"), n).alias("obligation_id"), F.when(n % 4 == 0, "binds_handler").otherwise("registers_route").alias("required_capability"), F.concat(F.lit("t"), n % 100).alias("target_ref"), (n % 90).cast("int").alias("priority"), F.when(n % 9 == 0, "resolved").otherwise("open").alias("status"), F.when(n % 5 == 0, F.array(F.lit("handlers"))).otherwise(F.array(F.lit("routes"), F.lit("handlers"))).alias("candidate_analyzers"))
+
+
+@query
+def obligations_run(v):
+    """Routes resolve even targets and ask for a handler of each; handlers resolve all they get."""
+    even = F.substring("target_ref", 2, 9).cast("int") % 2 == 0
+
+    def routes(batch):
+        handler = batch.where(even).withColumns({"obligation_id": F.concat("obligation_id", F.lit("/h")), "required_capability": F.lit("binds_handler"), "candidate_analyzers": F.array(F.lit("handlers"))})
+        return batch.where(even), handler
+
+    initial = _obligations(v)
+    done, end = evidence.run_obligations(initial.unionByName(initial), {"routes": ("registers_route", routes), "handlers": ("binds_handler", lambda batch: (batch, batch.limit(0)))})
+    return done.select("obligation_id", "required_capability", "status").withColumn("termination", F.lit(end))
+
+
+_sql("obligations_run", """WITH o AS (SELECT o_orderkey AS n, 'ob' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'binds_handler' ELSE 'registers_route' END AS capability, o_orderkey % 9 <> 0 AS open, (o_orderkey % 100) % 2 = 0 AS even FROM orders)
+SELECT id AS obligation_id, capability AS required_capability, CASE WHEN NOT open OR n % 4 = 0 OR (n % 5 <> 0 AND even) THEN 'resolved' ELSE 'open' END AS status, 'fixed_point' AS termination FROM o
+UNION ALL SELECT id || '/h', 'binds_handler', 'resolved', 'fixed_point' FROM o WHERE open AND n % 4 <> 0 AND n % 5 <> 0 AND even""")
+
+
+@query
+def reasoning_rows(v):
+    """Both parts of a request: the obligations and the candidates."""
+    candidates = v("customer").select(F.concat(F.lit("t"), "c_custkey").alias("candidate_id"))
+    top, first = projection.reasoning_request(_obligations(v), candidates)
+    return top.select(F.lit("obligation").alias("part"), F.col("obligation_id").alias("id")).unionByName(first.select(F.lit("candidate").alias("part"), F.col("candidate_id").alias("id")))
+
+
+_sql("reasoning_rows", """WITH top AS (SELECT 'ob' || o_orderkey AS id, 't' || (o_orderkey % 100) AS target FROM orders WHERE o_orderkey % 9 <> 0 ORDER BY o_orderkey % 90 DESC, id LIMIT 20)
+SELECT 'obligation' AS part, id FROM top UNION ALL SELECT * FROM (SELECT 'candidate' AS part, 't' || c_custkey AS id FROM customer ORDER BY id NOT IN (SELECT target FROM top), id LIMIT 24)""")
+
+
+@query
+def candidate_parts(v):
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    candidates = v("part").select(text("p", "p_partkey").alias("candidate_id"), F.concat(F.lit("p"), (F.col("p_partkey") % 20).cast("string")).alias("target_ref"), F.array(text("s", "p_size"), F.lit("s1")).alias("evidence_ids"))
+    parameters = v("lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("parameter_id"), text("p", "l_partkey").alias("owner_ref"))
+    links = v("orders").select(text("a", "o_orderkey").alias("association_id"), F.concat(F.lit("p"), F.col("o_orderkey") % 30).alias("frontend_candidate_id"), F.concat(F.lit("p"), F.col("o_custkey") % 30).alias("native_hint_id"))
+    return projection.candidate_detail("p7", candidates, parameters, links, v("supplier").select(text("s", "s_suppkey").alias("evidence_id")))
+
+
+_sql("candidate_parts", """SELECT 'parameter' AS part, l_orderkey || '/' || l_linenumber AS id FROM lineitem WHERE l_partkey = 7 UNION ALL SELECT 'association', 'a' || o_orderkey FROM orders WHERE o_orderkey % 30 = 7 OR o_custkey % 30 = 7
+ UNION ALL SELECT 'related', 'p' || p_partkey FROM part WHERE p_partkey % 20 = 7 UNION ALL SELECT 'evidence', 's' || s_suppkey FROM supplier WHERE s_suppkey = 1 OR s_suppkey IN (SELECT p_size FROM part WHERE p_partkey = 7)""")
+
+
+@query
+def links_resolved(v):
+    n = F.col("s_suppkey")
+    links = v("supplier").where(n % 5 != 0).select(F.concat(F.lit("f"), n).alias("source_path"), F.when(n % 7 == 0, F.concat(F.lit("f"), n)).when(n % 11 == 0, "gone").otherwise(F.concat(F.lit("f"), n - n % 5)).alias("target_path"))
+    return inventory.resolve_links(links, v("supplier").where(n % 5 == 0).select(F.concat(F.lit("f"), n).alias("canonical_path")))
+
+
+_sql("links_resolved", """SELECT 'f' || s_suppkey AS source_path, CASE WHEN s_suppkey % 7 = 0 THEN 'f' || s_suppkey WHEN s_suppkey % 11 = 0 THEN 'gone' ELSE 'f' || (s_suppkey - s_suppkey % 5) END AS resolved_path,
+ CASE WHEN s_suppkey % 7 = 0 THEN 'depth' WHEN s_suppkey % 11 = 0 OR s_suppkey - s_suppkey % 5 NOT IN (SELECT s_suppkey FROM supplier) THEN 'missing' ELSE 'resolved' END AS status FROM supplier WHERE s_suppkey % 5 <> 0""")
+
+
+@query
+def analyzers_routed(v):
+    n = F.col("p_partkey")
+    suffix = F.when(n % 6 == 0, ".js").when(n % 6 == 1, ".LUA").when(n % 6 == 2, ".asp").when(n % 6 == 3, ".json").when(n % 6 == 4, "/nginx.conf").otherwise("")
+    content = F.when(n % 4 == 0, "#!/bin/sh").when(n % 4 == 1, "\x7fELF..").otherwise("x")
+    return inventory.route_analyzers(v("part").select(F.concat(F.lit("f"), n, suffix).alias("canonical_path"), content.cast("binary").alias("content")))
+
+
+_sql("analyzers_routed", """WITH f AS (SELECT p_partkey AS n, 'f' || p_partkey || ['.js', '.LUA', '.asp', '.json', '/nginx.conf', ''][p_partkey % 6 + 1] AS canonical_path FROM part)
+SELECT canonical_path, 'native' AS analyzer FROM f WHERE n % 4 = 1 UNION ALL SELECT canonical_path, 'frontend' FROM f WHERE n % 6 IN (0, 2) UNION ALL SELECT canonical_path, 'script' FROM f WHERE n % 6 IN (1, 2) OR n % 4 = 0
+UNION ALL SELECT canonical_path, 'web_configuration' FROM f WHERE n % 6 = 4 UNION ALL SELECT canonical_path, 'response_fixture' FROM f WHERE n % 6 = 3""")
+
+
+@query
+def text_positions(v):
+    line, column = evidence.text_position(F.encode("text", "UTF-8"), F.lit(500))
+    return v("documents").where("octet_length(text) > 500").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", line.alias("line"), column.alias("place"))
+
+
+_sql("text_positions", r"""WITH d AS (SELECT doc_id, min(text) AS text FROM documents WHERE strlen(text) > 500 GROUP BY doc_id), b AS (SELECT doc_id, hex(encode(text))[:1000] AS h FROM d),
+ p AS (SELECT doc_id, [substr(h, CAST(2 * i - 1 AS INT), 2) FOR i IN range(1, 501)] AS bytes FROM b)
+SELECT doc_id, CAST(len([x FOR x IN bytes IF x = '0A']) + 1 AS INT) AS line, CAST(500 - coalesce(list_max([i FOR i IN range(1, 501) IF bytes[i] = '0A']), 0) + 1 AS INT) AS place FROM p""")
+
+
+@query
+def graph_narrowed(v):
+    nodes, edges = graph.narrow(v("nodes"), v("edges"), graph.GraphQuery(node_kinds=("request", "component"), statuses=("supported",), edge_kinds=("belongs_to", "calls")))
+    identified = graph.edge_identity(edges.drop("edge_id").withColumn("origin_ref", F.lit(None).cast("string")))
+    return nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("id")).unionByName(identified.select(F.lit("edge").alias("part"), F.col("edge_id").alias("id")))
+
+
+_sql("graph_narrowed", """WITH n AS (SELECT node_id FROM nodes WHERE node_kind IN ('request', 'component') AND status = 'supported')
+SELECT 'node' AS part, node_id AS id FROM n UNION ALL SELECT 'edge', 'edge:' || sha256('["' || edge_kind || '","' || source_ref || '","' || target_ref || '",""]') FROM edges WHERE edge_kind IN ('belongs_to', 'calls') AND source_ref IN (FROM n) AND target_ref IN (FROM n)""", "nodes", "edges")
+
+
+@query
+def stable_ids(v):
+    return v("customer").select("c_custkey", storage.stable_id("sample", "c_name", "c_nationkey").alias("sample_id"))
+
+
+_sql("stable_ids", """SELECT c_custkey, 'sample:' || sha256('["' || c_name || '","' || c_nationkey || '"]') AS sample_id FROM customer""")
+
+
+@query
+def parameter_types(v):
+    n = F.col("p_partkey")
+    values = F.when(n % 5 == 0, F.array(F.lit("TRUE"), F.lit("false"))).when(n % 5 == 1, F.array(n.cast("string"), F.lit("-3"))).when(n % 5 == 2, F.array(F.lit("1"), F.lit("true"))).when(n % 5 == 3, F.array().cast("array<string>"))
+    shown, more = projection.bounded_list(F.sequence(F.lit(1), n % 20 + 1), 12)
+    return v("part").select("p_partkey", I.parameter_type(values).alias("type"), F.array_max(shown).cast("int").alias("last_shown"), more.alias("more"))
+
+
+_sql("parameter_types", "SELECT p_partkey, ['boolean', 'integer', 'string', 'unknown', 'unknown'][p_partkey % 5 + 1] AS type, CAST(least(12, p_partkey % 20 + 1) AS INT) AS last_shown, CAST(greatest(0, p_partkey % 20 - 11) AS INT) AS more FROM part")
+
+_sql("recommend_similar", f"""WITH {_styled("interface_obs")},
+ r AS (SELECT value, split_part(value, '?', 1) AS path, count(DISTINCT identifier) AS vulnerabilities FROM styled WHERE category = 'form_handler' AND subtype = 'goform_snake_registry' GROUP BY ALL),
+ t AS (SELECT *, lower(path) AS c, len(list_intersect(['set', 'almond', 'blue'], regexp_extract_all(lower(regexp_replace(regexp_extract(rtrim(path, '/'), '[^/]*$'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'))) AS common, [x FOR x IN string_split(path, '/') IF x <> ''] AS parts FROM r),
+ k AS (SELECT *, CASE WHEN c = '/goform/setalmond_blue' THEN 0 WHEN contains('/goform/setalmond_blue', c) OR contains(c, '/goform/setalmond_blue') THEN 1 WHEN common > 0 THEN 2 ELSE 3 END AS tier FROM t),
+ b AS (SELECT *, CASE tier WHEN 0 THEN 100 WHEN 1 THEN 95 WHEN 2 THEN 80 + least(12, 4 * common) ELSE 80 END AS base FROM k),
+ f AS (SELECT *, CASE WHEN base < 100 AND lower(parts[1]) = 'goform' THEN base + 10 ELSE base END AS one FROM b)
+SELECT value, tier, CAST(least(CASE WHEN one < 100 AND len(parts) = 2 THEN one + 5 ELSE one END, CASE WHEN tier = 0 THEN 100 ELSE 99 END) AS INT) AS score, vulnerabilities FROM f""", "interface_obs")
