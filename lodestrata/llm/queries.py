@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
+from lodestrata.llm import collocations, decontaminate, fingerprints, license_scan, line_dedup, mixing, near_dup, periodic_runs, quality_classifier, quality_rules, token_counts, unit_dedup, url_filter
 from lodestrata.llm.common import read_table
 
 
@@ -64,6 +64,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(docs, trees).select("doc_id", "quality_rules.*")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.describe_runs(periodic_runs.with_echoes(docs))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op8_license_scan, which SQL expresses."""
     return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -74,9 +87,14 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality_rules(spark, sf_dir).select("doc_id", *quality_rules.COUNTS, "base_failed")
 
 
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op13_fingerprints that do not rest on hashes, which SQL expresses."""
+    return op13_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", "next_doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op6_line_dedup, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules, license_phrases, quality_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_source_mix, op4_quality_classifier, op5_token_counts, op6_line_dedup, op7_near_dup, op8_license_scan, op9_unit_dedup, op10_quality_rules, op11_periodic_runs, op12_collocations, op13_fingerprints, license_phrases, quality_counts, edited_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op6_line_dedup": line_dedup.LINE_SQL, "op9_unit_dedup": unit_dedup.UNIT_SQL, "license_phrases": license_scan.BASE_SQL, "quality_counts": quality_rules.BASE_SQL}
+    return {"op2_url_filter": url_filter.URL_SQL, "op3_source_mix": mixing.MIX_SQL.format(documents="documents"), "op6_line_dedup": line_dedup.LINE_SQL, "op9_unit_dedup": unit_dedup.UNIT_SQL, "op11_periodic_runs": periodic_runs.RUN_SQL, "op12_collocations": collocations.COLLOCATION_SQL, "license_phrases": license_scan.BASE_SQL, "quality_counts": quality_rules.BASE_SQL, "edited_documents": fingerprints.EDIT_SQL}
