@@ -18,6 +18,7 @@ logarithm; rows are independent, so repeated ones get equal results.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import free, fresh
-from lodestrata.llm.fingerprints import bound
 
 #: A run has so many words and so many periods at least.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -215,24 +215,29 @@ def greatest_run(runs: Column) -> Column:
     return F.aggregate(runs, empty, lambda a, b: F.when(better(a, b), b).otherwise(a))
 
 
-def with_echoes(docs: DataFrame) -> DataFrame:
-    """``docs`` where texts of some documents go on periodically, as the query has it.
+def echoed(doc_id: int | None, text: str | None) -> str | None:
+    """The text of a document, which may go on periodically, as the query has it.
 
-    h is the checksum of the decimal doc_id.  If it ends in 0, the rest g gives the word a where
-    the text begins to repeat its next p words.  Other texts, and those of null doc_ids, stay.
+    h is the checksum of the decimal doc_id.  If it ends in 0, the rest g gives the word a from
+    which the text repeats its next p words.  Other texts, and those of null doc_ids, stay.
     """
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    g = F.floor(h / 10)
-
-    def echoed(w: Column) -> Column:
-        n = F.size(w)
-        a = (g % n).cast("int")
-        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(w, a + i % p))), " ")
-
-    changed = bound(words, lambda w: F.when(F.size(w) > 0, echoed(w)).otherwise(F.col("text")))
-    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text")))
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not text or not (words := text.encode().split()):
+        return text
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return b" ".join([*words[:a], *(words[a + i % p] for i in range(n - a))]).decode()
+
+
+def with_echoes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``echoed`` texts."""
+
+    @F.arrow_udf("string")
+    def echo(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array(map(echoed, ids.to_pylist(), texts.to_pylist()), pa.string())
+
+    return docs.withColumn("text", echo(F.col("doc_id"), F.col("text")))
 
 
 def describe_runs(docs: DataFrame, least: int = LEAST_WORDS, periods: int = LEAST_PERIODS) -> DataFrame:
