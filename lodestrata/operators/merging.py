@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestrata.functions.versions import meaningful_identity
 
@@ -15,14 +16,97 @@ LAST = ("severity", "cvss_score", "cvss_vector", "cvss_version", "impact_score",
 UNION = ("aliases", "cwes", "cpes", "references", "exploit_references")
 
 
-def _last(value: Column, order: Column, holds: Column) -> Column:
-    return F.max_by(F.when(holds, value), F.when(holds, order))
+def _rules(columns: list[str], order: str) -> dict[str, tuple[str, Column, Column]]:
+    """The state of each rule over a key's records: how it is combined, its place, its value.
+
+    A state is a struct of place and value, null where no record decides; ``min`` keeps the
+    earliest place, ``max`` the latest.
+    """
+    have, o = set(columns), F.col(order)
+    out: dict[str, tuple[str, Column, Column]] = {}
+    for c in (c for c in ("title", "summary") if c in have):
+        # a text stays open as long as the summary (or itself, without summaries) is empty
+        open_text = F.coalesce(F.col("summary" if "summary" in have else c), F.lit("")) == ""
+        out[f"{c}__kev"] = ("max", F.when(F.col("source") == KEV_SOURCE, o), F.col(c))
+        out[f"{c}__first"] = ("min", F.when(~open_text, o), F.col(c))
+        out[f"{c}__last"] = ("max", o, F.col(c))
+    if "published_at" in have:
+        out["published_at"] = ("min", F.when(F.coalesce("published_at", F.lit("")) != "", o), F.col("published_at"))
+    if "modified_at" in have:
+        out["modified_at"] = ("max", F.col("modified_at"), F.col("modified_at"))
+    out |= {c: ("max", F.when(meaningful_identity(F.col(c)), o), F.col(c)) for c in LAST_MEANINGFUL if c in have}
+    out |= {c: ("max", F.when(F.col(c).isNotNull(), o), F.col(c)) for c in LAST if c in have}
+    if "kev" in have:
+        out["kev"] = ("max", F.col("kev"), F.col("kev"))
+    return out
+
+
+def _united_lists(rows: DataFrame, by: list[str], lists: list[str]) -> DataFrame:
+    """Lists of (place, at, value) as one list each of distinct values, in order of their first places.
+
+    Each value is a row until it is known to be new, so only a key's distinct values meet.
+    """
+    value = lambda c: F.transform(F.coalesce(c, F.array().cast(rows.schema[c].dataType)), lambda x: F.struct(F.lit(c).alias("list"), x["place"].alias("place"), x["at"].alias("at"), x["value"].alias("value")))
+    each = rows.select(*by, F.explode(F.concat(*map(value, lists))).alias("x")).select(*by, "x.*")
+    firsts = each.groupBy(*by, "list", "value").agg(F.min(F.struct("place", "at")).alias("first")).select(*by, "list", F.struct("first.place", "first.at", "value").alias("x"))
+    return firsts.groupBy(*by).agg(*(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.col("x")))).alias(c) for c in lists))
 
 
-def _united(column: str, order: str) -> Column:
-    """A key's lists in order of arrival as one list, first occurrences kept."""
-    lists = F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column])
-    return F.array_distinct(F.flatten(lists)).alias(column)
+def merge_states(records: DataFrame, order: str, key: str = "identifier") -> DataFrame:
+    """The state of each key of ``records``, of which ``finished`` makes the merged record.
+
+    Scalars are combined before the shuffle.  States of several sets of records are combined by
+    ``combined_states``; a record in two of them counts once.
+    """
+    rules = _rules(records.columns, order)
+    best = lambda how, place, value: (F.min if how == "min" else F.max)(F.when(place.isNotNull(), F.struct(place.alias("place"), value.alias("value"))))
+    scalars = records.groupBy(key).agg(*(best(*rule).alias(c) for c, rule in rules.items()), F.array_sort(F.collect_set("source")).alias("sources"))
+    lists = [c for c in UNION if c in records.columns]
+    if not lists:
+        return scalars
+    placed = records.select(key, *(F.transform(c, lambda x, i: F.struct(F.col(order).alias("place"), i.alias("at"), x.alias("value"))).alias(c) for c in lists))
+    return _with_lists(scalars, placed, [key], lists)
+
+
+def _with_lists(scalars: DataFrame, placed: DataFrame, by: list[str], lists: list[str]) -> DataFrame:
+    united = _united_lists(placed, by, lists)
+    # the key may be null
+    names = [f"__{c}" for c in by]
+    other = united.select(*(F.col(c).alias(n) for c, n in zip(by, names)), *lists)
+    same = [scalars[c].eqNullSafe(other[n]) for c, n in zip(by, names)]
+    out = scalars.join(other, same, "left").drop(*names)
+    return out.withColumns({c: F.coalesce(c, F.array().cast(united.schema[c].dataType)) for c in lists})
+
+
+def combined_states(states: DataFrame, key: str = "identifier", *more: str) -> DataFrame:
+    """One state of each key (and of ``more`` columns that follow from it)."""
+    lists, by = [c for c in UNION if c in states.columns], [key, *more]
+    least = lambda c: c.endswith("__first") or c == "published_at"
+    scalars = [c for c in states.columns if c not in (*by, *lists, "sources")]
+    out = states.groupBy(*by).agg(*((F.min if least(c) else F.max)(c).alias(c) for c in scalars), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"))
+    return _with_lists(out, states.select(*by, *lists), by, lists) if lists else out
+
+
+def finished(states: DataFrame, *more: str) -> DataFrame:
+    """The merged records of states; columns of ``more`` pass through."""
+    out = []
+    for c in states.columns:
+        if c in more:
+            out.append(F.col(c))
+        elif c.endswith("__kev"):
+            name = c.removesuffix("__kev")
+            out.append(F.coalesce(F.col(c)["value"], F.col(f"{name}__first")["value"], F.col(f"{name}__last")["value"]).alias(name))
+        elif c.endswith(("__first", "__last")):
+            continue
+        elif c == "sources":
+            out.append(F.array_join(c, ",").alias(c))
+        elif c in UNION:
+            out.append(F.transform(c, lambda x: x["value"]).alias(c))
+        elif isinstance(states.schema[c].dataType, StructType):
+            out.append(F.col(c)["value"].alias(c))
+        else:
+            out.append(F.col(c))
+    return states.select(*out)
 
 
 def merge_records(records: DataFrame, order: str, key: str = "identifier") -> DataFrame:
@@ -32,29 +116,9 @@ def merge_records(records: DataFrame, order: str, key: str = "identifier") -> Da
     and none gathers in one place: texts are the first record's until a KEV record comes, then
     the last KEV's; published is the first known, modified the greatest; vendor and product are
     the last meaningful, other scalars the last known; KEV sticks; lists are united in order of
-    first occurrence.
+    first occurrence, value by value.
     """
-    o = F.col(order)
-    have = set(records.columns)
-    texts = [c for c in ("title", "summary") if c in have]
-    out: list[Column] = []
-    for c in texts:
-        kev = F.col("source") == KEV_SOURCE
-        # a text stays open as long as the summary (or itself, without summaries) is empty
-        open_text = F.coalesce(F.col("summary" if "summary" in have else c), F.lit("")) == ""
-        first = F.min_by(F.col(c), F.when(~open_text, o))
-        out.append(F.coalesce(_last(F.col(c), o, kev), first, F.max_by(F.col(c), o)).alias(c))
-    if "published_at" in have:
-        out.append(F.min_by("published_at", F.when(F.coalesce("published_at", F.lit("")) != "", o)).alias("published_at"))
-    if "modified_at" in have:
-        out.append(F.max("modified_at").alias("modified_at"))
-    out += [_last(F.col(c), o, meaningful_identity(F.col(c))).alias(c) for c in LAST_MEANINGFUL if c in have]
-    out += [_last(F.col(c), o, F.col(c).isNotNull()).alias(c) for c in LAST if c in have]
-    if "kev" in have:
-        out.append(F.bool_or("kev").alias("kev"))
-    out.append(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    out += [_united(c, order) for c in UNION if c in have]
-    return records.groupBy(key).agg(*out)
+    return finished(merge_states(records, order, key))
 
 
 def current_versions(versions: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
