@@ -43,7 +43,7 @@ DEEPEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Bytes that end pieces; the others but space and tab are parts of words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text and words of one automaton.
-SHARD, BLOCK_WORDS = 8 << 20, 1 << 20
+SHARD, BLOCK_WORDS = 2 << 20, 1 << 18
 
 _WORD_BYTES = np.arange(256, dtype=np.uint16)
 _WORD_BYTES[0] = 256
