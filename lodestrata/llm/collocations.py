@@ -97,14 +97,14 @@ class Automaton:
     def states(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(level, states, words of the shortest run) of those that are enumerated.
 
-        A run that has as many places as the one with a word more before it is enumerated there.
+        A run that has as many places as a wanted one with a word more before it is enumerated there.
         """
         shortest, out = np.ones(len(self.count[0]), np.int64), []
         for d, count in enumerate(self.count):
             there = self.wanted[d] & (count > 0)
             if d + 1 < len(self.count):
                 link = self.link[d + 1]
-                same = self.count[d + 1] == self.count[d][link]
+                same = self.wanted[d + 1] & (self.count[d + 1] == self.count[d][link])
                 there[link[same]] = False
             out.append((d, np.flatnonzero(there), shortest[there]))
             if d + 1 < len(self.count):
