@@ -117,16 +117,18 @@ def edge_identity(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_id", F.concat(F.lit("edge:"), F.sha2(F.to_json(F.array("edge_kind", "source_ref", "target_ref", F.coalesce("origin_ref", F.lit("")))), 256)))
 
 
-def tree(nodes: DataFrame, edges: DataFrame, root_kind: str, most_levels: int = 16) -> DataFrame:
+def tree(nodes: DataFrame, edges: DataFrame, root_kind: str) -> DataFrame:
     """(parent, child, level, children, expandable): the tree that hangs below the nodes of ``root_kind``.
 
     An edge's source is a child of its target.  A node hangs at its least level, below the least
-    of its parents there; roots have level 0 and no parent.  One round a level, each written.
+    of its parents there; roots have level 0 and no parent.  One round a level, each written, until
+    nothing hangs below the last.
     """
     below = settle(edges.select(F.col("target_ref").alias("parent"), F.col("source_ref").alias("child")).distinct().join(nodes.select(F.col("node_id").alias("child")), "child", "left_semi"))
     placed = settle(nodes.where(F.col("node_kind") == root_kind).select(F.lit(None).cast("string").alias("parent"), F.col("node_id").alias("child"), F.lit(0).alias("level")))
-    front = placed
-    for level in range(1, most_levels + 1):
+    front, level = placed, 0
+    while True:
+        level += 1
         new = below.join(front.select(F.col("child").alias("parent")), "parent").join(placed.select("child"), "child", "left_anti")
         front = settle(new.groupBy("child").agg(F.min("parent").alias("parent")).select("parent", "child", F.lit(level).alias("level")))
         if front.isEmpty():

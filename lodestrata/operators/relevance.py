@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, fields
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,12 @@ OTHER_CONTEXTS = ("cloud service", "software as a service", "saas platform", "de
 #: Weights of the signals.
 WEIGHTS = {"firmware-term": 55, "device-term": 25, "firmware-vendor": 55, "watched-vendor": 25, "hardware-cpe": 30, "firmware-target-cpe": 65, "firmware-reference": 10, "non-firmware-context": -25}
 
+#: What a signal says about its term.
+REASONS = {
+    "firmware-term": "the text names", "device-term": "the text speaks of a device:", "firmware-vendor": "a vendor of firmware only:", "watched-vendor": "a watched vendor, to be confirmed by a device or firmware:", "hardware-cpe": "the affected configuration holds hardware:",
+    "firmware-target-cpe": "the target software is firmware:", "firmware-reference": "a reference leads to", "non-firmware-context": "the text is mainly about",
+}
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -42,41 +50,65 @@ class Policy:
         if any(len(g) > 100 for g in (self.firmware, self.devices, self.watched, self.vendors)):
             raise ValueError("a group holds 100 terms at most")
 
+    @classmethod
+    def from_dict(cls, value: Mapping[str, object]) -> Policy:
+        """Known fields only; terms are trimmed and empty ones left out."""
+        kinds = {f.name: f.type for f in fields(cls)}
+        terms = lambda v: tuple(t for t in (str(x).strip() for x in v) if t)
+        return cls(**{k: terms(v) if "tuple" in kinds[k] else v for k, v in value.items() if k in kinds})
+
 
 def normalized(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.replace(unquoted(value), F.lit("_"), F.lit(" "))), r"\s+", " "))
 
 
-def any_term(text: Column, terms: tuple[str, ...]) -> Column:
-    """One of ``terms`` stands in the text as whole words."""
-    if not terms:
-        return F.lit(False)
-    return text.rlike(rf"(?U)(?<!\w)(?:{'|'.join(re.escape(t.lower()) for t in terms)})(?!\w)")
+def normalized_term(term: str) -> str:
+    """A term as texts are normalised."""
+    return re.sub(r"\s+", " ", unquote(term).replace("_", " ").lower()).strip()
+
+
+def _pattern(terms: Iterable[str]) -> str:
+    return rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, terms))})(?!\w)"
+
+
+def first_term(text: Column, terms: tuple[str, ...]) -> Column:
+    """The first of ``terms`` that stands in a normalised text as whole words, as it is given; null if none does.
+
+    One pattern of all tells whether any does; only then they are tried one by one.
+    """
+    known = {t: n for t in terms if (n := normalized_term(t))}
+    if not known:
+        return F.lit(None).cast("string")
+    each = F.coalesce(*(F.when(text.contains(n) & text.rlike(_pattern([n])), F.lit(t)) for t, n in known.items()))
+    return F.when(text.rlike(_pattern(dict.fromkeys(known.values()))), each)
 
 
 def classify(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Add signals (array of name and weight), relevance_score and relevance_level.
+    """Add signals (array of name, weight, term and reason), relevance_score and relevance_level.
 
-    Needs title, summary, vendor, product, cpes and references.
+    ``term`` is the policy's term, or the CPE, that the signal rests on.  Needs title, summary,
+    vendor, product, cpes and references.
     """
     text = normalized(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "summary", "vendor", "product"))))
     names = normalized(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("vendor", "product", "title"))))
     out = records.withColumns({"__text": text, "__names": names, "__links": F.lower(F.array_join("references", " "))})
     parts = lambda c: F.split(F.lower(c), ":")
-    hardware = F.exists("cpes", lambda c: ((F.size(parts(c)) >= 4) & (F.get(parts(c), F.lit(2)) == "h")) | (F.regexp_replace(F.coalesce(F.get(parts(c), F.lit(1)), F.lit("")), "^/+", "") == "h"))
-    target = F.exists("cpes", lambda c: F.coalesce(F.get(parts(c), F.lit(10)).isin("firmware", "embedded"), F.lit(False)))
-    vendor = any_term(F.col("__names"), policy.vendors)
-    holds = {
-        "firmware-term": any_term(F.col("__text"), policy.firmware), "device-term": any_term(F.col("__text"), policy.devices), "firmware-vendor": vendor,
-        "watched-vendor": ~vendor & any_term(F.col("__names"), policy.watched), "hardware-cpe": F.coalesce(hardware, F.lit(False)), "firmware-target-cpe": F.coalesce(target, F.lit(False)),
-        "firmware-reference": F.coalesce(any_term(F.col("__links"), ("firmware", "download")), F.lit(False)),
+    hardware = F.filter("cpes", lambda c: ((F.size(parts(c)) >= 4) & (F.get(parts(c), F.lit(2)) == "h")) | (F.regexp_replace(F.coalesce(F.get(parts(c), F.lit(1)), F.lit("")), "^/+", "") == "h"))
+    target = F.filter("cpes", lambda c: F.coalesce(F.get(parts(c), F.lit(10)).isin("firmware", "embedded"), F.lit(False)))
+    found = {
+        "firmware-term": first_term(F.col("__text"), policy.firmware), "device-term": first_term(F.col("__text"), policy.devices), "firmware-vendor": first_term(F.col("__names"), policy.vendors), "watched-vendor": first_term(F.col("__names"), policy.watched),
+        "hardware-cpe": F.get(hardware, F.lit(0)), "firmware-target-cpe": F.get(target, F.lit(0)), "firmware-reference": first_term(F.col("__links"), ("firmware", "download")), "non-firmware-context": first_term(F.col("__text"), OTHER_CONTEXTS),
     }
-    signal = lambda name: F.struct(F.lit(name).alias("name"), F.lit(WEIGHTS[name]).alias("weight"))
+    out = out.withColumns({f"__{n}": c for n, c in found.items()})
+    term = lambda n: F.col(f"`__{n}`")
+    signal = lambda n: F.struct(F.lit(n).alias("name"), F.lit(WEIGHTS[n]).alias("weight"), term(n).alias("term"), F.concat(F.lit(f"{REASONS[n]} "), term(n)).alias("reason"))
+    holds = {n: term(n).isNotNull() for n in found if n != "non-firmware-context"}
+    holds["watched-vendor"] = holds["watched-vendor"] & term("firmware-vendor").isNull()
     out = out.withColumn("__found", F.array_compact(F.array(*(F.when(c, signal(n)) for n, c in holds.items()))))
-    other = any_term(F.col("__text"), OTHER_CONTEXTS) & ~F.exists("__found", lambda s: s["weight"] >= 55)
+    other = term("non-firmware-context").isNotNull() & ~F.exists("__found", lambda s: s["weight"] >= 55)
     out = out.withColumn("signals", F.when(other, F.array_append("__found", signal("non-firmware-context"))).otherwise(F.col("__found")))
     total = F.aggregate("signals", F.lit(0), lambda s, x: s + x["weight"])
     out = out.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
     s = F.col("relevance_score")
     level = F.when(s >= policy.strong, "strong").when(s >= policy.likely, "likely").when(s >= policy.review, "review").otherwise("unrelated")
-    return out.withColumn("relevance_level", level).drop("__text", "__names", "__links", "__found")
+    return out.withColumn("relevance_level", level).drop("__text", "__names", "__links", "__found", *(f"__{n}" for n in found))

@@ -22,28 +22,50 @@ def _sql(name: str, sql: str, *views: str) -> None:
 
 @query
 def cve_records(v):
-    raw = v("cve_raw")
-    text = lambda lang, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(lang).alias("lang"), F.col(c).alias("value")))
-    metric = lambda version, score, severity: F.struct(F.lit("Secondary").alias("type"), F.struct(F.lit(version).alias("version"), F.col(score).alias("baseScore"), severity.alias("baseSeverity")).alias("cvssData"))
-    cpe = F.concat(F.lit("cpe:2.3:o:"), "vendor", F.lit(":"), "product", F.lit(":1.0:*:*:*:*:*:*:*"))
-    other = F.concat(F.lit("cpe:2.3:h:second:"), "product", F.lit(":-:*:*:*:*:*:*:*"))
-    match = lambda c: F.struct(F.lit(True).alias("vulnerable"), c.alias("criteria"))
+    """Named records, records with a product only or with none, nested nodes, metrics of several versions."""
+    raw, n = v("cve_raw"), F.col("n")
+    text = lambda lang, c: F.when(c.isNotNull(), F.struct(F.lit(lang).alias("lang"), c.alias("value")))
+    english = F.when(n % 7 == 1, "A buffer overflow in foo.").when(n % 7 == 2, F.concat(F.lit("line one\nline two of "), n, F.lit(". end"))).when(n % 7 == 3, "").otherwise(F.col("en"))
+
+    def metric(kind, version, score, severity, source):
+        data = F.struct(version.alias("version"), F.col(score).alias("baseScore"), severity.alias("baseSeverity"), F.when(n % 2 == 0, "NETWORK").alias("attackVector"), F.lit("LOCAL").alias("accessVector"), F.when(n % 3 == 0, "REQUIRED").alias("userInteraction"), F.lit("UNCHANGED").alias("scope"))
+        return F.struct(F.lit(kind).alias("type"), F.lit(source).alias("source"), data.alias("cvssData"), F.when(n % 4 == 0, "medium").alias("baseSeverity"), (n % 10).cast("double").alias("impactScore"), F.lit("true").alias("userInteractionRequired"))
+
+    none = F.lit(None).cast("string")
+    newer = F.when(F.col("score31").isNotNull(), F.array(metric("Secondary", F.when(n % 5 != 0, "3.1"), "score31", F.col("severity31"), "other"), metric("Primary", F.lit("3.1"), "score31", F.col("severity31"), "nist")))
+    cpe = lambda vendor: F.concat(F.lit("cpe:2.3:o:"), vendor, F.lit(":"), "product", F.lit(":1.0:*:*:*:*:*:*:*"))
+    match = lambda c, holds: F.array(F.struct(holds.alias("vulnerable"), c.alias("criteria")))
+    deep = F.struct(match(F.concat(F.lit("cpe:/h:tp-link:"), "product"), F.lit(None).cast("boolean")).alias("cpeMatch"))
+    inner = F.struct(F.when(n % 3 == 0, False).alias("vulnerable"), match(cpe(F.lit("second")), F.lit(None).cast("boolean")).alias("cpeMatch"), F.array(deep).alias("children"))
+    node = F.struct(F.when(n % 4 != 0, True).alias("vulnerable"), F.concat(match(cpe(F.col("vendor")), F.when(n % 6 == 0, False)), match(cpe(F.col("vendor")), F.lit(True))).alias("cpeMatch"), F.array(inner).alias("children"))
+    bare = n % 6 == 1
     item = F.struct(
-        F.col("identifier").alias("id"), F.array_compact(F.array(text("de", "de"), text("en", "en"))).alias("descriptions"),
-        F.struct(F.when(F.col("score31").isNotNull(), F.array(metric("3.1", "score31", F.col("severity31")))).alias("cvssMetricV31"), F.array(metric("2.0", "score2", F.lit(None).cast("string"))).alias("cvssMetricV2")).alias("metrics"),
-        F.array(F.struct(F.array(F.struct(F.lit("en").alias("lang"), F.col("cwe").alias("value"))).alias("description"))).alias("weaknesses"),
-        F.array(F.struct(F.array(F.struct(F.array(match(cpe), match(other), match(cpe)).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
-        F.array(F.struct(F.col("link").alias("url"), F.when(F.col("exploit"), F.array(F.lit("Exploit"))).alias("tags"))).alias("references"),
+        F.col("identifier").alias("id"), F.array_compact(F.array(text("de", F.col("de")), text("en", english))).alias("descriptions"), F.struct(newer.alias("cvssMetricV31"), F.array(metric("Secondary", none, "score2", none, "old")).alias("cvssMetricV2")).alias("metrics"),
+        F.array(F.struct(F.array(F.struct(F.lit("en").alias("lang"), F.col("cwe").alias("value")), F.struct(F.lit("en").alias("lang"), F.lit("").alias("value"))).alias("description"))).alias("weaknesses"), F.when(~bare & (n % 6 != 2), F.array(F.struct(F.array(node).alias("nodes")))).alias("configurations"),
+        F.when(n % 6 == 2, F.array(F.struct(F.when(n % 4 == 0, "ACME").alias("vendor"), F.concat(F.lit("P "), n % 9).alias("product"), F.array(F.lit("cpe:2.3:o:acme:p:1")).alias("cpes")))).when(n % 6 == 3, F.array(F.struct(F.lit("n/a").alias("vendor"), F.lit("SECOND").alias("product"), F.array(F.lit("")).alias("cpes")))).alias("affected"),
+        F.array(F.struct(F.col("link").alias("url"), F.when(F.col("exploit"), F.array(F.lit("Exploit"))).otherwise(F.array(F.lit("exploit-like"))).alias("tags")), F.struct(F.lit("").alias("url"), F.array(F.lit("Exploit")).alias("tags"))).alias("references"),
+    )
+    r = feeds.normalize_cve(raw.select(F.from_json(F.to_json(item), feeds.CVE_SCHEMA).alias("cve")))
+    metrics = F.array_join(F.transform("cvss_metrics", lambda m: F.concat_ws("/", m["version"], m["source"], m["base_severity"], m["attack_vector"], m["user_interaction"], m["impact_score"].cast("int"))), " ")
+    return r.select(
+        "identifier", "summary", "cvss_score", "cvss_version", "severity", "vendor", "product", "title", metrics.alias("metrics"), F.array_join("cpes", " ").alias("cpes"), F.array_join(F.transform("affected_products", lambda p: F.when(p["vulnerable"], "y").otherwise("n")), "").alias("vulnerable"),
+        "nodes_cut", F.array_join("cwes", ";").alias("cwes"), F.array_join("references", ";").alias("links"), F.size("exploit_references").alias("exploits"), F.array_join("vendors", ";").alias("vendors"), F.array_join("products", ";").alias("products"),
     )
-    feed = raw.select(F.from_json(F.to_json(item), feeds.CVE_SCHEMA).alias("cve"))
-    r = feeds.normalize_cve(feed)
-    return r.select("identifier", "summary", "cvss_score", "cvss_version", "severity", "vendor", "product", "title", F.size("cpes").alias("n_cpes"), F.size("affected_products").alias("n_products"), F.array_join("cwes", ";").alias("cwes"), F.array_join("references", ";").alias("links"), F.size("exploit_references").alias("exploits"), F.array_join("vendors", ";").alias("vendors"))
 
 
-_sql("cve_records", """WITH r AS (SELECT *, coalesce(en, de) AS summary, coalesce(score31, score2) AS cvss_score, CASE WHEN score31 IS NOT NULL THEN '3.1' ELSE '2.0' END AS cvss_version, replace(CASE WHEN vendor = '*' THEN 'second' ELSE vendor END, '_', ' ') AS first_vendor, replace(product, '_', ' ') AS name FROM cve_raw)
-SELECT identifier, summary, cvss_score, cvss_version, CASE WHEN score31 IS NOT NULL AND severity31 IS NOT NULL THEN upper(severity31) WHEN cvss_score = 0 THEN CASE WHEN score31 IS NULL THEN 'LOW' ELSE 'NONE' END WHEN cvss_score < 4 THEN 'LOW' WHEN cvss_score < 7 THEN 'MEDIUM' WHEN score31 IS NULL OR cvss_score < 9 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
-  first_vendor AS vendor, name AS product, identifier || ' · ' || first_vendor || ' ' || name AS title, 2 AS n_cpes, 3 AS n_products, CASE WHEN starts_with(cwe, 'CWE-') THEN cwe ELSE '' END AS cwes, link AS links, CASE WHEN exploit THEN 1 ELSE 0 END AS exploits,
-  CASE WHEN vendor = '*' THEN 'second' ELSE replace(vendor, '_', ' ') || ';second' END AS vendors FROM r""", "cve_raw")
+_sql("cve_records", r"""WITH t AS (SELECT *, n % 6 = 1 OR n % 6 = 2 AS plain, CASE WHEN n % 7 = 1 THEN 'A buffer overflow in foo.' WHEN n % 7 = 2 THEN 'line one' || chr(10) || 'line two of ' || n || '. end' WHEN n % 7 = 3 THEN '' ELSE en END AS english FROM cve_raw),
+ band AS (SELECT *, coalesce(english, de) AS summary, CASE WHEN score31 = 0 THEN 'NONE' WHEN score31 < 4 THEN 'LOW' WHEN score31 < 7 THEN 'MEDIUM' WHEN score31 < 9 THEN 'HIGH' ELSE 'CRITICAL' END AS band31, CASE WHEN score2 < 4 THEN 'LOW' WHEN score2 < 7 THEN 'MEDIUM' ELSE 'HIGH' END AS band2,
+   CASE WHEN n % 4 = 0 THEN 'MEDIUM' END AS own, concat_ws('/', CASE WHEN n % 2 = 0 THEN 'NETWORK' ELSE 'LOCAL' END, CASE WHEN n % 3 = 0 THEN 'REQUIRED' ELSE 'true' END, n % 10) AS rest,
+   'cpe:2.3:o:' || vendor || ':' || product || ':1.0:*:*:*:*:*:*:*' AS c1, 'cpe:2.3:o:second:' || product || ':1.0:*:*:*:*:*:*:*' AS c2, 'cpe:/h:tp-link:' || product AS c3 FROM t),
+ m AS (SELECT *, coalesce(upper(severity31), own, band31) AS s31, coalesce(own, band2) AS s2,
+   list_filter([CASE WHEN n % 6 = 2 AND n % 4 = 0 THEN 'ACME' END, CASE WHEN n % 6 = 2 AND n % 4 <> 0 THEN 'acme' END, CASE WHEN NOT plain AND vendor <> '*' THEN replace(vendor, '_', ' ') END, CASE WHEN NOT plain THEN 'second' END, CASE WHEN NOT plain THEN 'TP-Link' END], lambda x: x IS NOT NULL) AS vendors,
+   list_filter([CASE WHEN n % 6 = 2 THEN 'P ' || (n % 9) END, CASE WHEN n % 6 = 2 THEN 'p' END, CASE WHEN n % 6 = 3 THEN 'SECOND' END, CASE WHEN NOT plain THEN replace(product, '_', ' ') END], lambda x: x IS NOT NULL) AS products FROM band)
+SELECT identifier, summary, coalesce(score31, score2) AS cvss_score, CASE WHEN score31 IS NOT NULL THEN '3.1' ELSE '2.0' END AS cvss_version, CASE WHEN score31 IS NOT NULL THEN s31 ELSE s2 END AS severity, vendors[1] AS vendor, products[1] AS product,
+ CASE WHEN len(vendors) + len(products) > 0 THEN identifier || ' · ' || coalesce(vendors[1], '') || ' ' || coalesce(products[1], '') WHEN split_part(summary, '. ', 1) <> '' THEN substr(split_part(summary, '. ', 1), 1, 120) ELSE identifier END AS title,
+ concat_ws(' ', CASE WHEN score31 IS NOT NULL THEN concat_ws('/', '3.1', 'nist', s31, rest) || ' ' || concat_ws('/', '3.1', 'other', s31, rest) END, concat_ws('/', '2.0', 'old', s2, rest)) AS metrics,
+ CASE WHEN n % 6 = 1 THEN '' WHEN n % 6 = 2 THEN 'cpe:2.3:o:acme:p:1' ELSE concat_ws(' ', c1, CASE WHEN c2 <> c1 THEN c2 END, c3) || CASE WHEN n % 6 = 3 THEN ' ' ELSE '' END END AS cpes,
+ CASE WHEN plain THEN '' ELSE CASE WHEN n % 6 = 0 THEN 'n' WHEN n % 4 <> 0 THEN 'y' ELSE 'n' END || 'y' || CASE WHEN n % 3 = 0 THEN 'nn' WHEN n % 4 <> 0 THEN 'yy' ELSE 'nn' END END AS vulnerable, false AS nodes_cut,
+ cwe AS cwes, link AS links, CASE WHEN exploit THEN 1 ELSE 0 END AS exploits, array_to_string(vendors, ';') AS vendors, array_to_string(products, ';') AS products FROM m""", "cve_raw")
 
 
 @query

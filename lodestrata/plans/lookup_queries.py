@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import interfaces as I
 from lodestrata.functions import versions as V
-from lodestrata.operators import evidence, graph, lookups, paging, projection, review, storage
+from lodestrata.operators import evidence, graph, lookups, paging, projection, relevance, review, storage
 from lodestrata.plans.catalogue_queries import _sql
 from lodestrata.plans.oracles import _styled
 from lodestrata.plans.queries import query
@@ -377,3 +377,30 @@ _sql("recommend_similar", f"""WITH {_styled("interface_obs")},
  b AS (SELECT *, CASE tier WHEN 0 THEN 100 WHEN 1 THEN 95 WHEN 2 THEN 80 + least(12, 4 * common) ELSE 80 END AS base FROM k),
  f AS (SELECT *, CASE WHEN base < 100 AND lower(parts[1]) = 'goform' THEN base + 10 ELSE base END AS one FROM b)
 SELECT value, tier, CAST(least(CASE WHEN one < 100 AND len(parts) = 2 THEN one + 5 ELSE one END, CASE WHEN tier = 0 THEN 100 ELSE 99 END) AS INT) AS score, vulnerabilities FROM f""", "interface_obs")
+
+
+# relevance with what it rests on
+
+#: Terms as a user may write them: blanks around, underscores, percent escapes, other case.
+_TERMS = {"firmware": ["", " Firmware_Update ", "u-boot", "firmware%20are"], "devices": ["access_point", "Router", "routers"], "watched": ["Vendor 3", "vendor"], "vendors": ["tp-link", "VENDOR_7"], "strong": 60, "likely": 40, "review": 20, "unknown": 1}
+
+
+@query
+def relevance_signals(v):
+    policy = relevance.Policy.from_dict(_TERMS)
+    rows = v("vulns").drop("relevance_level").withColumns({"cpes": F.array("cpe"), "references": F.array("reference")})
+    return relevance.classify(rows, policy).select("identifier", F.explode("signals").alias("s"), "relevance_score").select("identifier", "s.name", "s.weight", "s.term", "relevance_score")
+
+
+def _first(text: str, terms: list[str]) -> str:
+    given = "[" + ", ".join("'" + t.strip().replace("'", "''") + "'" for t in terms if t.strip()) + "]"
+    clean = "trim(regexp_replace(lower(replace(url_decode(x), '_', ' ')), '\\s+', ' ', 'g'))"
+    return f"list_filter({given}, lambda x: regexp_matches({text}, '(^|[^a-z0-9_])' || regexp_escape({clean}) || '($|[^a-z0-9_])'))[1]"
+
+
+_sql("relevance_signals", f"""WITH t AS (SELECT identifier, cpe, reference, replace(lower(concat_ws(' ', title, summary, vendor, product)), '_', ' ') AS t, replace(lower(concat_ws(' ', vendor, product, title)), '_', ' ') AS n FROM vulns),
+ f AS (SELECT identifier, {_first("t", _TERMS["firmware"])} AS a, {_first("t", _TERMS["devices"])} AS b, {_first("n", _TERMS["vendors"])} AS c, {_first("n", _TERMS["watched"])} AS d, CASE WHEN split_part(cpe, ':', 3) = 'h' THEN cpe END AS e, CASE WHEN split_part(cpe, ':', 11) IN ('firmware', 'embedded') THEN cpe END AS g,
+   {_first("lower(reference)", ["firmware", "download"])} AS h, {_first("t", list(relevance.OTHER_CONTEXTS))} AS i FROM t),
+ s AS (SELECT identifier, 'firmware-term' AS name, 55 AS weight, a AS term FROM f WHERE a IS NOT NULL UNION ALL SELECT identifier, 'device-term', 25, b FROM f WHERE b IS NOT NULL UNION ALL SELECT identifier, 'firmware-vendor', 55, c FROM f WHERE c IS NOT NULL UNION ALL SELECT identifier, 'watched-vendor', 25, d FROM f WHERE c IS NULL AND d IS NOT NULL
+  UNION ALL SELECT identifier, 'hardware-cpe', 30, e FROM f WHERE e IS NOT NULL UNION ALL SELECT identifier, 'firmware-target-cpe', 65, g FROM f WHERE g IS NOT NULL UNION ALL SELECT identifier, 'firmware-reference', 10, h FROM f WHERE h IS NOT NULL UNION ALL SELECT identifier, 'non-firmware-context', -25, i FROM f WHERE i IS NOT NULL AND a IS NULL AND c IS NULL AND g IS NULL)
+SELECT identifier, name, weight, term, CAST(greatest(0, least(100, sum(weight) OVER (PARTITION BY identifier))) AS INTEGER) AS relevance_score FROM s""", "vulns")

@@ -7,19 +7,35 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.versions import cpe_part, meaningful_identity
+from lodestrata.functions.versions import meaningful_identity
 from lodestrata.operators.catalogue import download_host
+from lodestrata.sources.arrays import read_array
 
 META_KEYS = ("lastModifiedDate", "size", "zipSize", "gzSize", "sha256")
 
+#: vendors' names for what CPEs spell otherwise.
+VENDOR_LABELS = {"d-link": "D-Link", "dlink": "D-Link", "tp-link": "TP-Link", "tplink": "TP-Link", "netgear": "NETGEAR", "totolink": "TOTOLINK"}
+#: Keys of metrics, best ones first, and the versions that they stand for.
+METRIC_KEYS = {"cvssMetricV40": "4.0", "cvssMetricV31": "3.1", "cvssMetricV30": "3.0", "cvssMetricV2": "2.0"}
+#: Levels of nodes below a configuration's own; what lies deeper is told by ``nodes_cut``.
+NODE_LEVELS = 5
+
 _CPE = "struct<vulnerable: boolean, criteria: string, matchCriteriaId: string, versionStartIncluding: string, versionStartExcluding: string, versionEndIncluding: string, versionEndExcluding: string>"
-_METRIC = "struct<source: string, type: string, cvssData: struct<version: string, vectorString: string, baseScore: double, baseSeverity: string>, baseSeverity: string, exploitabilityScore: double, impactScore: double>"
+_DATA = "struct<version: string, vectorString: string, baseScore: double, baseSeverity: string, attackVector: string, accessVector: string, attackComplexity: string, accessComplexity: string, privilegesRequired: string, authentication: string, userInteraction: string, scope: string>"
+_METRIC = f"struct<source: string, type: string, cvssData: {_DATA}, baseSeverity: string, exploitabilityScore: double, impactScore: double, userInteractionRequired: string>"
+
+
+def _node(levels: int) -> str:
+    return f"struct<vulnerable: boolean, cpeMatch: array<{_CPE}>, children: array<{_node(levels - 1) if levels else 'string'}>>"
+
+
 CVE_SCHEMA = f"""
-id string, published string, lastModified string, vulnStatus string,
+id string, published string, lastModified string, vulnStatus string, cisaVulnerabilityName string,
 descriptions array<struct<lang: string, value: string>>,
-metrics struct<cvssMetricV40: array<{_METRIC}>, cvssMetricV31: array<{_METRIC}>, cvssMetricV30: array<{_METRIC}>, cvssMetricV2: array<{_METRIC}>>,
+metrics struct<{", ".join(f"{k}: array<{_METRIC}>" for k in METRIC_KEYS)}>,
 weaknesses array<struct<source: string, type: string, description: array<struct<lang: string, value: string>>>>,
-configurations array<struct<nodes: array<struct<negate: boolean, cpeMatch: array<{_CPE}>>>>>,
+configurations array<struct<vulnerable: boolean, nodes: array<{_node(NODE_LEVELS)}>>>,
+affected array<struct<vendor: string, product: string, cpes: array<string>>>,
 `references` array<struct<url: string, source: string, tags: array<string>>>
 """
 
@@ -52,9 +68,9 @@ def _utc(t: datetime) -> str:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of (gzipped) feed files: the column ``cve`` as a variant's struct."""
-    items = spark.read.schema("vulnerabilities array<string>").option("multiLine", True).json(path)
-    return items.select(F.explode("vulnerabilities").alias("item")).select(F.from_json(F.get_json_object("item", "$.cve"), CVE_SCHEMA).alias("cve"))
+    """One row for each record of (gzipped) feed files, read in blocks: the column ``cve``."""
+    items = read_array(spark, path).select(F.when("whole", F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a feed is cut off: "), "file"))).alias("item"))
+    return items.select(F.from_json(F.coalesce(F.get_json_object("item", "$.cve"), F.col("item")), CVE_SCHEMA).alias("cve"))
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -72,38 +88,96 @@ def severity(score: Column, version: Column) -> Column:
     return F.when(score == 0, F.when(second, "LOW").otherwise("NONE")).when(score < 4, "LOW").when(score < 7, "MEDIUM").when(second | (score < 9), "HIGH").otherwise("CRITICAL")
 
 
-def normalize_cve(feed: DataFrame) -> DataFrame:
-    """Feed records as vulnerability records: English text, CPEs, best CVSS, CWEs, references."""
-    c = F.col("cve")
-    english = F.filter(c["descriptions"], lambda d: d["lang"] == "en")
-    nodes = F.flatten(F.transform(F.coalesce(c["configurations"], F.array().cast("array<struct<nodes: array<struct<negate: boolean, cpeMatch: array<" + _CPE + ">>>>>")), lambda x: x["nodes"]))
-    cpes = F.flatten(F.transform(nodes, lambda n: n["cpeMatch"]))
-    none = F.array().cast(f"array<{_METRIC}>")
+def _listed(values: Column) -> Column:
+    """A null list is empty."""
+    return F.filter(F.coalesce(values, F.array()), lambda x: x.isNotNull())
+
+
+def _matches(node: Column, inherited: Column, levels: int) -> Column:
+    """Matches of a node and, after them, of those below it; each is vulnerable as it or what holds it says."""
+    own = F.coalesce(node["vulnerable"], inherited)
+    fields = {"match_criteria_id": "matchCriteriaId", "version_start_including": "versionStartIncluding", "version_start_excluding": "versionStartExcluding", "version_end_including": "versionEndIncluding", "version_end_excluding": "versionEndExcluding"}
+    mine = F.transform(F.coalesce(node["cpeMatch"], F.array()), lambda m: F.struct(m["criteria"].alias("criteria"), F.coalesce(m["vulnerable"], own, F.lit(False)).alias("vulnerable"), *(m[f].alias(n) for n, f in fields.items())))
+    mine = F.filter(mine, lambda m: m["criteria"].isNotNull())
+    if not levels:
+        return mine
+    return F.concat(mine, F.flatten(F.transform(F.coalesce(node["children"], F.array()), lambda c: _matches(c, own, levels - 1))))
+
+
+def _too_deep(node: Column, levels: int) -> Column:
+    below = F.coalesce(node["children"], F.array())
+    return F.exists(below, lambda c: _too_deep(c, levels - 1)) if levels else F.size(below) > 0
+
+
+def _metrics(metrics: Column) -> Column:
+    """All metrics, the best versions first and of one version the primary ones."""
 
     def of(key: str, version: str) -> Column:
-        rows = F.transform(F.coalesce(c["metrics"][key], none), lambda m: F.struct(F.lit(version).alias("version"), m["type"].alias("type"), m["cvssData"]["baseScore"].alias("score"), m["cvssData"]["vectorString"].alias("vector"), F.coalesce(m["cvssData"]["baseSeverity"], m["baseSeverity"]).alias("severity")))
-        return F.concat(F.filter(rows, lambda m: m["type"] == "Primary"), F.filter(rows, lambda m: ~m["type"].eqNullSafe("Primary")))
+        def row(m: Column) -> Column:
+            d = m["cvssData"]
+            named = F.coalesce(F.nullif(d["version"], F.lit("")), F.lit(version))
+            band = F.coalesce(F.nullif(d["baseSeverity"], F.lit("")), F.nullif(m["baseSeverity"], F.lit("")), severity(d["baseScore"], named))
+            either = lambda a, b: F.coalesce(F.nullif(d[a], F.lit("")), b)
+            return F.struct(
+                named.alias("version"), m["type"].alias("type"), m["source"].alias("source"), d["baseScore"].alias("base_score"), F.upper(band).alias("base_severity"), d["vectorString"].alias("vector"), m["impactScore"].alias("impact_score"), m["exploitabilityScore"].alias("exploitability_score"),
+                either("attackVector", d["accessVector"]).alias("attack_vector"), either("attackComplexity", d["accessComplexity"]).alias("attack_complexity"), either("privilegesRequired", d["authentication"]).alias("privileges_required"),
+                either("userInteraction", m["userInteractionRequired"]).alias("user_interaction"), d["scope"].alias("scope"),
+            )
+
+        rows = F.transform(F.coalesce(metrics[key], F.array()), row)
+        return F.concat(F.filter(rows, lambda m: m["type"].eqNullSafe("Primary")), F.filter(rows, lambda m: ~m["type"].eqNullSafe("Primary")))
+
+    return F.concat(*(of(k, version) for k, version in METRIC_KEYS.items()))
+
+
+def _named(stated: Column, cpes: Column, part: str) -> Column:
+    """Meaningful names that a record states or its CPEs hold, each once whatever its case, first spellings kept."""
+    at = {"vendor": 0, "product": 1}[part]
 
-    metrics = F.concat(of("cvssMetricV40", "4.0"), of("cvssMetricV31", "3.1"), of("cvssMetricV30", "3.0"), of("cvssMetricV2", "2.0"))
-    weak = F.flatten(F.transform(c["weaknesses"], lambda w: F.transform(w["description"], lambda d: d["value"])))
-    exploit = F.transform(F.filter(c["references"], lambda r: F.exists(F.coalesce(r["tags"], F.array().cast("array<string>")), lambda t: F.lower(t).contains("exploit"))), lambda r: r["url"])
+    def of_cpe(c: Column) -> Column:
+        p = F.split(c, ":")
+        found = F.when(c.startswith("cpe:/") & (F.size(p) >= 4), F.get(p, F.lit(2 + at))).when(F.size(p) >= 5, F.get(p, F.lit(3 + at)))
+        name = F.replace(found, F.lit("_"), F.lit(" "))
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in VENDOR_LABELS.items() for x in kv)), F.lower(name)), name) if part == "vendor" else name
+
+    every = F.transform(F.concat(_listed(stated), F.transform(cpes, of_cpe)), lambda x: F.trim(x))
+    good = F.filter(every, lambda x: x.isNotNull() & meaningful_identity(x))
+    folded = F.transform(good, lambda x: F.lower(x))
+    return F.filter(good, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
+def normalize_cve(feed: DataFrame) -> DataFrame:
+    """Feed records as vulnerability records: English text, CPEs of all nodes, metrics, names, CWEs, references."""
+    c = F.col("cve")
+    english = F.filter(c["descriptions"], lambda d: d["lang"] == "en")
+    configurations = F.coalesce(c["configurations"], F.array())
+    products = F.flatten(F.transform(configurations, lambda x: F.flatten(F.transform(F.coalesce(x["nodes"], F.array()), lambda n: _matches(n, x["vulnerable"], NODE_LEVELS)))))
+    cut = F.exists(configurations, lambda x: F.exists(F.coalesce(x["nodes"], F.array()), lambda n: _too_deep(n, NODE_LEVELS)))
+    affected = F.coalesce(c["affected"], F.array())
+    weak = F.filter(F.flatten(F.transform(F.coalesce(c["weaknesses"], F.array()), lambda w: F.transform(F.coalesce(w["description"], F.array()), lambda d: d["value"]))), lambda x: x != "")
+    links = F.filter(F.coalesce(c["references"], F.array()), lambda r: r["url"] != "")
+    exploit = F.filter(links, lambda r: F.exists(F.coalesce(r["tags"], F.array()), lambda t: F.lower(t) == "exploit"))
     out = feed.select(
-        c["id"].alias("identifier"), F.lit("nvd").alias("source"), F.coalesce(F.get(english, F.lit(0))["value"], F.get(c["descriptions"], F.lit(0))["value"], F.lit("")).alias("summary"), c["published"].alias("published_at"), c["lastModified"].alias("modified_at"),
-        F.array_distinct(F.transform(cpes, lambda x: x["criteria"])).alias("cpes"), cpes.alias("affected_products"), metrics.alias("cvss_metrics"), F.array_sort(F.array_distinct(F.filter(weak, lambda x: x.startswith("CWE-")))).alias("cwes"),
-        F.array_distinct(F.transform(c["references"], lambda r: r["url"])).alias("references"), F.array_distinct(exploit).alias("exploit_references"),
+        F.trim(c["id"]).alias("identifier"), F.lit("nvd").alias("source"), F.coalesce(F.get(english, F.lit(0))["value"], F.get(c["descriptions"], F.lit(0))["value"], F.lit("")).alias("summary"), c["published"].alias("published_at"), c["lastModified"].alias("modified_at"),
+        products.alias("affected_products"), cut.alias("nodes_cut"), _metrics(c["metrics"]).alias("cvss_metrics"), F.array_sort(F.array_distinct(weak)).alias("cwes"), F.transform(links, lambda r: r["url"]).alias("references"), F.transform(exploit, lambda r: r["url"]).alias("exploit_references"),
+        F.nullif(c["cisaVulnerabilityName"], F.lit("")).alias("__name"), affected.alias("__affected"),
     )
+    stated = lambda f: F.transform("__affected", lambda a: a[f])
+    listed = F.flatten(F.transform("__affected", lambda a: F.coalesce(a["cpes"], F.array())))
+    out = out.withColumn("cpes", F.array_distinct(F.concat(F.transform("affected_products", lambda m: m["criteria"]), _listed(listed))))
+    out = out.withColumns({"vendors": _named(stated("vendor"), F.col("cpes"), "vendor"), "products": _named(stated("product"), F.col("cpes"), "product")})
     best = F.get("cvss_metrics", F.lit(0))
-    names = lambda part: F.array_distinct(F.transform(F.filter("cpes", lambda x: meaningful_identity(cpe_part(x, part))), lambda x: F.replace(cpe_part(x, part), F.lit("_"), F.lit(" "))))
-    out = out.withColumns({"cvss_score": best["score"], "cvss_version": best["version"], "cvss_vector": best["vector"], "vendors": names("vendor"), "products": names("product")})
-    out = out.withColumns({"vendor": F.get("vendors", F.lit(0)), "product": F.get("products", F.lit(0)), "severity": F.coalesce(F.upper(best["severity"]), F.when(F.col("cvss_score").isNotNull(), severity(F.col("cvss_score"), F.col("cvss_version"))))})
-    return out.withColumn("title", summary_title()).withColumn("kev", F.lit(False))
+    out = out.withColumns({"vendor": F.get("vendors", F.lit(0)), "product": F.get("products", F.lit(0)), "cvss_score": best["base_score"], "severity": best["base_severity"], "cvss_vector": best["vector"], "cvss_version": best["version"]})
+    out = out.withColumns({n: best[n] for n in ("impact_score", "exploitability_score", "attack_vector", "attack_complexity", "privileges_required", "user_interaction", "scope")})
+    return out.withColumn("title", F.coalesce("__name", summary_title())).withColumn("kev", F.lit(False)).drop("__name", "__affected")
 
 
 def summary_title() -> Column:
-    """Identifier with vendor and product; else the first sentence; else the identifier."""
-    named = F.concat_ws(" ", "vendor", "product")
-    first = F.substring(F.trim(F.regexp_extract(F.coalesce("summary", F.lit("")), r"^(.*?)(?:\.\s|\.$|$)", 1)), 1, 120)
-    return F.when(named != "", F.concat(F.col("identifier"), F.lit(" · "), named)).when(first != "", first).otherwise(F.col("identifier"))
+    """Identifier with vendor and product; else the text before its first full stop and blank, 120 characters at most; else the identifier."""
+    vendor, product = F.coalesce("vendor", F.lit("")), F.coalesce("product", F.lit(""))
+    named = F.trim(F.concat("identifier", F.lit(" · "), vendor, F.lit(" "), product))
+    first = F.substring(F.regexp_replace(F.substring_index(F.coalesce("summary", F.lit("")), ". ", 1), r"^\s+|\s+$", ""), 1, 120)
+    return F.when((vendor != "") | (product != ""), named).when(first != "", first).otherwise(F.col("identifier"))
 
 
 def read_kev(spark: SparkSession, path: str) -> DataFrame:

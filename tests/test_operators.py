@@ -205,10 +205,39 @@ def test_feed_records(spark, tmp_path):
     with gzip.open(tmp_path / "f.json.gz", "wt") as f:
         json.dump({"resultsPerPage": 1, "vulnerabilities": [{"cve": cve}]}, f)
     r = feeds.normalize_cve(feeds.read_feed(spark, str(tmp_path / "f.json.gz"))).first()
-    assert (r.identifier, r.summary, r.cvss_score, r.severity, r.cwes, r.vendor, r.product) == ("CVE-2024-1", "First one. Second.", 9.8, "CRITICAL", ["CWE-79"], "acme co", "r1 firmware")
+    assert (r.identifier, r.summary, r.cvss_score, r.severity, r.cwes, r.vendor, r.product) == ("CVE-2024-1", "First one. Second.", 9.8, "CRITICAL", ["CWE-79", "NVD-CWE-noinfo"], "acme co", "r1 firmware")
     assert r.references == ["http://a", "http://b"] and r.exploit_references == ["http://a"] and r.title == "CVE-2024-1 · acme co r1 firmware"
 
 
+def test_titles(spark):
+    rows = [("A buffer overflow in foo.", None, None), ("line one\nline two. end", None, None), ("x", None, "P"), ("x", "V", None), (". rest", None, None), (None, "", ""), ("a" * 200 + ". b", None, None)]
+    got = [r.t for r in spark.createDataFrame([("CVE-1", *r) for r in rows], "identifier string, summary string, vendor string, product string").select(feeds.summary_title().alias("t")).collect()]
+    assert got == ["A buffer overflow in foo.", "line one\nline two", "CVE-1 ·  P", "CVE-1 · V", "CVE-1", "CVE-1", "a" * 120]
+
+
+def test_nodes_that_lie_too_deep_are_told(spark):
+    import json
+
+    def nested(n):
+        return {"cpeMatch": [{"criteria": f"cpe:2.3:o:v:p{n}:1"}], "children": [nested(n - 1)] if n else []}
+
+    feed = spark.createDataFrame([(json.dumps({"id": f"CVE-{n}", "configurations": [{"vulnerable": True, "nodes": [nested(n)]}]}),) for n in (feeds.NODE_LEVELS, feeds.NODE_LEVELS + 1)], "j string").select(F.from_json("j", feeds.CVE_SCHEMA).alias("cve"))
+    got = [(r.nodes_cut, len(r.affected_products), all(p.vulnerable for p in r.affected_products)) for r in feeds.normalize_cve(feed).collect()]
+    assert got == [(False, feeds.NODE_LEVELS + 1, True), (True, feeds.NODE_LEVELS + 1, True)]
+
+
+def test_terms_are_normalised_as_texts_are(spark):
+    row = spark.createDataFrame([("i", "a smart device fails", "", None, None, [], [])], "identifier string, title string, summary string, vendor string, product string, cpes array<string>, references array<string>")
+    s = relevance.classify(row, relevance.Policy.from_dict({"devices": [" ", "Smart%5Fdevice"], "other": 1})).first()
+    assert (s.relevance_score, s.signals[0].term, s.signals[0]["name"]) == (25, "Smart%5Fdevice", "device-term") and "Smart%5Fdevice" in s.signals[0].reason
+
+
+def test_trees_of_any_depth(spark):
+    nodes = spark.range(23).select(F.col("id").cast("string").alias("node_id"), F.when(F.col("id") == 0, "root").otherwise("n").alias("node_kind"))
+    edges = spark.range(1, 23).select(F.col("id").cast("string").alias("source_ref"), (F.col("id") - 1).cast("string").alias("target_ref"))
+    assert max(r.level for r in graph.tree(nodes, edges, "root").collect()) == 22
+
+
 def test_windows():
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
     assert feeds.time_windows(start, start) == []
