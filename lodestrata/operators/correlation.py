@@ -85,20 +85,31 @@ def parameter_clues(parameters: DataFrame, artifacts: DataFrame, budget: int = 8
     return hits.withColumn("place", F.row_number().over(place)).where(F.col("place") <= budget).select(F.col("token").alias("name"), "path", "hits", "place")
 
 
+#: Characters of a pattern's literal text by which it meets objects, and parts of the objects that patterns without any meet.
+GRAM, SALTS = 3, 64
+
+
 def acl_grants(operations: DataFrame, acl: DataFrame) -> DataFrame:
     """(acl_group, operation_ref): the object fits the group's glob and the method is listed or ``*``.
 
-    Patterns without wildcards are an equi-join.  Others meet the distinct objects by the text
-    before their first wildcard, which is one of the object's own prefixes, and are matched then.
+    Patterns without wildcards are an equi-join.  The others meet the distinct objects by the
+    first characters of their longest literal piece, wherever that stands in an object, and are
+    matched then.  Patterns of wildcards only fit every object that is long enough: they go to
+    all parts of the objects, so no task gets them all.
     """
     ops = operations.withColumn("object_name", F.replace("object_name", F.lit("{dynamic}"), F.lit("dynamic-instance")))
     wild = F.col("object_pattern").rlike(r"[*?]")
     exact = acl.where(~wild).withColumn("object_name", F.col("object_pattern"))
-    globs = acl.where(wild).select("acl_group", "method", F.regexp_extract("object_pattern", r"^([^*?]*)", 1).alias("prefix"), glob_pattern(F.col("object_pattern")).alias("pattern"))
+    pieces = F.array_sort(F.transform(F.split("object_pattern", r"[*?]+"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("text"))))
+    globs = acl.where(wild).select("acl_group", "method", "object_pattern", F.left(F.get(pieces, F.lit(0))["text"], F.lit(GRAM)).alias("gram"), glob_pattern(F.col("object_pattern")).alias("pattern"))
     objects = ops.select("object_name").distinct()
-    prefixes = objects.withColumn("size", F.explode(F.sequence(F.lit(0), F.length("object_name")))).select("object_name", F.expr("left(object_name, size)").alias("prefix"))
-    matched = prefixes.join(globs, "prefix").where("object_name rlike pattern").select("acl_group", "object_name", "method")
-    grants = exact.select("acl_group", "object_name", "method").unionByName(matched)
+    n = F.length("object_name")
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.greatest(n - i + 1, F.lit(1)))), lambda k: F.substr("object_name", i, k)))))
+    matched = objects.select("object_name", F.explode(grams).alias("gram")).join(globs.where("gram <> ''"), "gram").where("object_name rlike pattern").select("acl_group", "object_name", "method")
+    free = globs.where("gram = ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    any_of = objects.withColumn("salt", F.pmod(F.xxhash64("object_name"), F.lit(SALTS)).cast("int")).join(free, "salt").where("object_name rlike pattern").select("acl_group", "object_name", "method")
+    grants = exact.select("acl_group", "object_name", "method").unionByName(matched).unionByName(any_of)
     return ops.join(grants, "object_name").where((F.col("method") == "*") | (F.col("method") == F.col("method_name"))).select("acl_group", "operation_ref").distinct()
 
 

@@ -27,14 +27,22 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return changes.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")))
 
 
-def coverage_confidence(base: DataFrame, target: DataFrame) -> Column:
-    """equivalent, equivalent_partial or confounded, from the coverage rows of two snapshots."""
-    row = ["producer_kind", "scope", "status", "required"]
-    b, t = base.select(*row), target.select(*row)
-    if not b.subtract(t).limit(1).isEmpty() or not t.subtract(b).limit(1).isEmpty():
-        return F.lit("confounded")
-    whole = b.where("not status <=> 'completed'").limit(1).isEmpty()
-    return F.lit("equivalent" if whole else "equivalent_partial")
+def coverage_confidence(base: DataFrame, target: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``, confidence, and how many coverage rows only one side has and how many required ones are incomplete.
+
+    confounded: the two sides differ.  equivalent: they agree and all that is required is
+    completed; equivalent_partial: they agree, but it is not.  Without ``by`` one row for the two
+    snapshots; with it one for each of its values, such as pairs of snapshots.
+    """
+    by = by or []
+    row = [*by, "producer_kind", "scope", "status", "required"]
+    row = list(dict.fromkeys(row))
+    both = base.select(*row).withColumns({"b": F.lit(1), "t": F.lit(0)}).unionByName(target.select(*row).withColumns({"b": F.lit(0), "t": F.lit(1)}))
+    seen = both.groupBy(*row).agg(F.max("b").alias("b"), F.max("t").alias("t"))
+    short = F.coalesce("required", F.lit(False)) & ~F.col("status").eqNullSafe("completed")
+    counts = seen.groupBy(*by).agg(F.count_if((F.col("b") == 1) & (F.col("t") == 0)).alias("base_only"), F.count_if((F.col("b") == 0) & (F.col("t") == 1)).alias("target_only"), F.count_if(short).alias("incomplete"))
+    confidence = F.when(F.col("base_only") + F.col("target_only") > 0, "confounded").when(F.col("incomplete") > 0, "equivalent_partial").otherwise("equivalent")
+    return counts.select(*by, confidence.alias("confidence"), "base_only", "target_only", "incomplete")
 
 
 def merge_members(candidates: DataFrame, key: str, attributes: tuple[str, ...]) -> DataFrame:

@@ -471,14 +471,16 @@ _sql("release_families", "SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 5
 
 @query
 def coverage_profiles(v):
+    """Scopes of two snapshots: the second lacks some producers, and in it others have got further."""
     c = v("coverage").distinct()
-    pairs = {"same": (c, c), "less": (c, c.where("scope <> 'c1'")), "whole": (c.where("status = 'completed'"), c.where("status = 'completed'"))}
-    one = v("region").limit(1)  # one row for each comparison
-    out = [one.select(F.lit(name).alias("pair"), history.coverage_confidence(b, t).alias("confidence")) for name, (b, t) in sorted(pairs.items())]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    later = c.where("not (scope like 'c1%' and producer_kind = 'native')").withColumn("status", F.when(F.col("scope").like("c2%") & (F.col("producer_kind") == "config"), "completed").otherwise(F.col("status")))
+    return history.coverage_confidence(c, later, ["scope"])
 
 
-_sql("coverage_profiles", "SELECT 'less' AS pair, 'confounded' AS confidence UNION ALL SELECT 'same', CASE WHEN (SELECT bool_and(status = 'completed') FROM coverage) THEN 'equivalent' ELSE 'equivalent_partial' END UNION ALL SELECT 'whole', 'equivalent'", "coverage")
+_sql("coverage_profiles", """WITH b AS (SELECT DISTINCT * FROM coverage), t AS (SELECT DISTINCT scope, producer_kind, CASE WHEN scope LIKE 'c2%' AND producer_kind = 'config' THEN 'completed' ELSE status END AS status, required FROM b WHERE NOT (scope LIKE 'c1%' AND producer_kind = 'native')),
+ x AS (SELECT scope, count(*) AS n FROM (SELECT scope, producer_kind, status, required FROM b EXCEPT SELECT scope, producer_kind, status, required FROM t) GROUP BY scope), y AS (SELECT scope, count(*) AS n FROM (SELECT scope, producer_kind, status, required FROM t EXCEPT SELECT scope, producer_kind, status, required FROM b) GROUP BY scope),
+ z AS (SELECT scope, count(*) FILTER (required AND status <> 'completed') AS incomplete FROM (SELECT scope, producer_kind, status, required FROM b UNION SELECT scope, producer_kind, status, required FROM t) GROUP BY scope)
+SELECT scope, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) > 0 THEN 'confounded' WHEN incomplete > 0 THEN 'equivalent_partial' ELSE 'equivalent' END AS confidence, coalesce(x.n, 0) AS base_only, coalesce(y.n, 0) AS target_only, incomplete FROM z LEFT JOIN x USING (scope) LEFT JOIN y USING (scope)""", "coverage")
 
 _sql("budget_greedy", """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS size FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM l),
  w AS (SELECT l_orderkey, l_linenumber AS item, place, size <= 60 AS taken, CASE WHEN size <= 60 THEN size ELSE 0 END AS spent FROM o WHERE place = 1

@@ -112,7 +112,7 @@ SELECT concat('h', CAST(s_suppkey AS STRING)) AS hint_id, CASE WHEN s_suppkey %
        CASE WHEN s_suppkey % 2 = 0 THEN r.value ELSE replace(r.product, ' ', '_') END AS value
 FROM {supplier} s JOIN {routes} r ON s.s_suppkey = r.part_id""",
     "acl": """
-SELECT concat('g', CAST(n_nationkey AS STRING)) AS acl_group, CASE n_nationkey % 3 WHEN 0 THEN concat('Vendor ', CAST(n_nationkey % 10 AS STRING), '*') WHEN 1 THEN 'V?ndor 1' ELSE '*' END AS object_pattern,
+SELECT concat('g', CAST(n_nationkey AS STRING)) AS acl_group, CASE n_nationkey % 8 WHEN 0 THEN concat('Vendor ', CAST(n_nationkey % 10 AS STRING), '*') WHEN 1 THEN 'V?ndor 1' WHEN 2 THEN '*' WHEN 3 THEN concat('*', CAST(n_nationkey % 10 AS STRING)) WHEN 4 THEN '?en*r ?' WHEN 5 THEN '????????' WHEN 6 THEN 'Vendor 7' ELSE '*dor 1*' END AS object_pattern,
        CASE WHEN n_nationkey % 2 = 0 THEN '*' ELSE concat('m', CAST(n_nationkey % 6 AS STRING)) END AS method
 FROM {nation}""",
     "operations": """

@@ -69,7 +69,7 @@ def _utc(t: datetime) -> str:
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of (gzipped) feed files, read in blocks: the column ``cve``."""
-    items = read_array(spark, path).select(F.when("whole", F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a feed is cut off: "), "file"))).alias("item"))
+    items = read_array(spark, path).select(F.when(F.col("whole"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a feed is cut off: "), "file"))).alias("item"))
     return items.select(F.from_json(F.coalesce(F.get_json_object("item", "$.cve"), F.col("item")), CVE_SCHEMA).alias("cve"))
 
 
