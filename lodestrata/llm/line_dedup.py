@@ -202,7 +202,7 @@ WITH d AS (
 ), l AS (
   SELECT doc, lines, unnest(range(len(lines))) AS line FROM n
 ), s AS (
-  SELECT doc, line, lines[line + 1] AS body, row_number() OVER (PARTITION BY doc ORDER BY line) AS pos
+  SELECT doc, line, lines[line + 1] AS body, len(regexp_extract_all(lines[line + 1], '[^\x20\x09-\x0D]+')) >= 20 AS long, row_number() OVER (PARTITION BY doc ORDER BY line) AS pos
   FROM l WHERE regexp_matches(lines[line + 1], '[^\x20\x09-\x0D]')
 ), pairs AS (
   SELECT x.doc, x.pos, y.doc AS of_doc, x.pos - y.pos AS shift
@@ -212,9 +212,9 @@ WITH d AS (
 ), ends AS (
   SELECT doc, pos, max(pos) OVER (PARTITION BY doc, of_doc, shift, island) + 1 AS past FROM islands
 ), longest AS (
-  SELECT doc, pos, max(past - pos) AS length FROM ends GROUP BY ALL HAVING max(past - pos) >= 2
+  SELECT e.doc, e.pos, max(past - e.pos) AS length FROM ends e JOIN s ON s.doc = e.doc AND s.pos = e.pos GROUP BY ALL HAVING max(past - e.pos) >= 2 OR bool_or(s.long)
 ), gone AS (
-  SELECT DISTINCT doc, pos + o AS pos FROM longest, (VALUES (0), (1)) AS v(o)
+  SELECT DISTINCT doc, pos + o AS pos FROM longest, (VALUES (0), (1)) AS v(o) WHERE o = 0 OR length >= 2
 ), summed AS (
   SELECT doc, sum(n) AS n_deleted, count(*) AS n_runs, max(n) AS longest_run
   FROM (SELECT doc, run, count(*) AS n FROM (SELECT doc, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS run FROM gone) GROUP BY ALL) GROUP BY ALL

@@ -40,7 +40,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "text", "line_dedup.*")
+    return line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS).select("doc_id", "text", "line_dedup.*")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

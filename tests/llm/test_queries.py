@@ -112,3 +112,12 @@ def test_pipeline_stages(spark, sf_dir):
         assert docs.count() <= before
     out = pipeline.run(spark, sf_dir)
     assert {"doc_id", "text", "epoch", "words"} <= set(out.columns) and out.count() > 0
+
+
+def test_no_later_copy_of_a_long_line_stays(spark, sf_dir):
+    left = {}
+    for r in sorted(Q.op6_line_dedup(spark, sf_dir).collect(), key=lambda r: (r.doc_id is None, r.doc_id)):
+        for line in (r.text or "").split("\n"):
+            if len(line.split()) >= 20:
+                left[line] = left.get(line, 0) + 1
+    assert left and max(left.values()) == 1
