@@ -52,9 +52,9 @@ def classify_difference(side: Column, web_hits: Column, native_hits: Column, var
 
 
 def _identifiers(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, n): how often each identifier stands in a key's texts, counted before anything meets by word."""
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1)).alias("word"))
-    return words.groupBy(key, "word").agg(F.count("*").alias("n"))
+    """(key, __word, __n): how often each identifier stands in a key's texts, counted before anything meets by word."""
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9_]+)"), 1)).alias("__word"))
+    return words.groupBy(key, "__word").agg(F.count("*").alias("__n"))
 
 
 def token_hits(tokens: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,7 +64,7 @@ def token_hits(tokens: DataFrame, texts: DataFrame, key: str, text: str) -> Data
     not hold it, and a frequent one meets each key once.
     """
     words = _identifiers(texts, key, text)
-    return words.join(tokens.select("token").distinct(), words["word"] == F.col("token")).select("token", key, F.col("n").alias("hits"))
+    return words.withColumnRenamed("__word", "token").join(tokens.select("token").distinct(), "token").select("token", key, F.col("__n").alias("hits"))
 
 
 def suffix_hits(tokens: DataFrame, texts: DataFrame, key: str, text: str, least: int = 2, most: int = 24) -> DataFrame:
@@ -72,10 +72,10 @@ def suffix_hits(tokens: DataFrame, texts: DataFrame, key: str, text: str, least:
 
     Each identifier is cut to its suffixes of those lengths, so the join is by equality here too.
     """
-    long = F.length("word")
+    long = F.length("__word")
     words = _identifiers(texts, key, text).where(long > least)
-    fits = words.withColumn("size", F.explode(F.sequence(F.greatest(long - most, F.lit(1)), long - least))).select(key, "n", F.expr("right(word, size)").alias("token"))
-    return fits.join(tokens.select("token").distinct(), "token").groupBy("token", key).agg(F.sum("n").alias("hits"))
+    fits = words.withColumn("size", F.explode(F.sequence(F.greatest(long - most, F.lit(1)), long - least))).select(key, "__n", F.expr("right(__word, size)").alias("token"))
+    return fits.join(tokens.select("token").distinct(), "token").groupBy("token", key).agg(F.sum("__n").alias("hits"))
 
 
 def parameter_clues(parameters: DataFrame, artifacts: DataFrame, budget: int = 8) -> DataFrame:

@@ -86,13 +86,13 @@ _sql("kev_records", """SELECT 'CVE-K-' || c_custkey AS identifier, 'cisa-kev' AS
 
 @query
 def text_identifiers(v):
-    n = F.col("o_orderkey")
-    text = F.concat(F.lit("See CVE-2020-"), n % 40, F.lit(" and CNVD-2019-"), n % 7, F.lit(", CVE-2020-"), n % 20, F.lit("; xCVE-2020-1 BM-2024-"), n % 3, F.lit("."))
-    rows = v("orders").select("o_orderkey", text.alias("text"))
-    return rows.select("o_orderkey", F.array_join(feeds.vulnerability_identifiers(F.col("text")), ",").alias("ids"), F.array_join(feeds.benchmark_identifiers(F.col("text")), ",").alias("benchmarks"))
+    """Ids with a letter before them, of few digits or in lower case are none; each counts once."""
+    rows = v("notes")
+    return rows.select("n", F.array_join(feeds.vulnerability_identifiers(F.col("text")), ",").alias("ids"), F.array_join(feeds.benchmark_identifiers(F.col("text")), ",").alias("benchmarks"))
 
 
-_sql("text_identifiers", """SELECT o_orderkey, 'CVE-2020-' || (o_orderkey % 40) || ',CNVD-2019-' || (o_orderkey % 7) || CASE WHEN o_orderkey % 40 <> o_orderkey % 20 THEN ',CVE-2020-' || (o_orderkey % 20) ELSE '' END AS ids, 'BM-2024-' || (o_orderkey % 3) AS benchmarks FROM orders""")
+_sql("text_identifiers", r"""WITH f AS (SELECT n, regexp_extract_all(text, '\bC(?:VE|NVD)-[0-9]{4}-[0-9]+\b') AS a, regexp_extract_all(text, '\bBM-[0-9]{4}-[0-9]+\b') AS b FROM notes)
+SELECT n, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS ids, array_to_string(list_filter(b, lambda x, i: list_position(b, x) = i), ',') AS benchmarks FROM f""", "notes")
 
 
 @query
@@ -119,14 +119,18 @@ SELECT 'list:' || sha256(url) AS candidate_id, CASE WHEN p_partkey % 4 = 0 THEN
 
 @query
 def verified_files(v):
+    """Some files have no META, some one of another size, some one of another digest, in other case."""
     docs = v("documents").where("text is not null").groupBy(F.col("doc_id").cast("string").alias("name")).agg(F.max("text").alias("text"))
     files = docs.select("name", F.encode("text", "UTF-8").alias("content"))
     n = F.col("name").cast("long")
-    meta = docs.select(F.when(n % 7 == 0, F.concat(F.lit("other"), "name")).otherwise(F.col("name")).alias("name"), (F.octet_length("text") + F.when(n % 5 == 0, 1).otherwise(0)).cast("string").alias("size"), F.when(n % 3 == 0, "00").otherwise(F.sha2("text", 256)).alias("sha256"))
+    digest = F.sha2("text", 256)
+    meta = docs.select(F.when(n % 7 == 0, F.concat(F.lit("other"), "name")).otherwise(F.col("name")).alias("name"), (F.octet_length("text") + F.when(n % 5 == 0, 1).otherwise(0)).cast("string").alias("size"), F.when(n % 3 == 0, F.sha2(F.lower("text"), 256)).when(n % 3 == 1, F.upper(digest)).otherwise(digest).alias("sha256"))
     return feeds.verify_files(files, meta)
 
 
-_sql("verified_files", "SELECT CAST(doc_id AS VARCHAR) AS name, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0 AS valid FROM documents WHERE text IS NOT NULL GROUP BY doc_id")
+_sql("verified_files", """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS name, max(text) AS text, doc_id AS n FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+ m AS (SELECT CASE WHEN n % 7 = 0 THEN 'other' || name ELSE name END AS name, octet_length(encode(text)) + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN n % 3 = 0 THEN sha256(lower(text)) ELSE sha256(text) END AS digest FROM f)
+SELECT name, coalesce(octet_length(encode(text)) = size AND sha256(text) = digest, false) AS valid FROM f LEFT JOIN m USING (name)""")
 
 
 @query
@@ -349,12 +353,13 @@ _sql("bindings_viewed", "SELECT 'lib' || (s_suppkey % 5) AS canonical_path, 'r'
 
 @query
 def suffix_variants(v):
-    tokens = v("nation").select(F.lower("n_name").alias("token")).unionByName(v("region").select(F.lower("r_name").alias("token")))
-    texts = v("customer").select("c_custkey", F.concat(F.lit("x "), F.when(F.col("c_custkey") % 3 == 0, "set_").when(F.col("c_custkey") % 3 == 1, "y").otherwise(F.repeat(F.lit("z"), 25)), F.lit("europe g_"), F.lit("asia get_asia")).alias("text"))
-    return correlation.suffix_hits(tokens, texts, "c_custkey", "text")
+    """Identifiers that end in a token after 2 to 24 more characters, some after fewer or more, some by chance."""
+    tokens = v("nation").select(F.lower("n_name").alias("token")).unionByName(v("region").select(F.lower("r_name").alias("token"))).unionByName(v("customer").select(F.substring("c_name", -3, 3).alias("token")))
+    return correlation.suffix_hits(tokens, v("scripts"), "n", "text")
 
 
-_sql("suffix_variants", "SELECT 'asia' AS token, c_custkey, 2 AS hits FROM customer UNION ALL SELECT 'europe', c_custkey, 1 FROM customer WHERE c_custkey % 3 = 0")
+_sql("suffix_variants", """WITH t AS (SELECT lower(n_name) AS token FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT right(c_name, 3) FROM customer), w AS (SELECT n, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM scripts)
+SELECT token, n, count(*) AS hits FROM w JOIN t ON ends_with(word, token) AND length(word) - length(token) BETWEEN 2 AND 24 GROUP BY ALL""", "scripts")
 
 
 @query
@@ -410,12 +415,13 @@ _sql("route_identities", """SELECT part_id, regexp_replace(value || '?a=1', '^/+
 
 @query
 def redacted_texts(v):
-    n = F.col("c_custkey")
-    text = F.concat(F.lit("host 10.1."), n % 9, F.lit(".7 mac 00:11:22:33:44:"), F.lpad((n % 90 + 10).cast("string"), 2, "0"), F.when(n % 4 == 0, " Api-Key = x").when(n % 4 == 1, F.concat(F.lit(" "), F.sha2(n.cast("string"), 256))).otherwise(" plain"))
-    return v("customer").select("c_custkey", extraction.redact(text, 200).alias("text"))
+    return v("model_texts").select("n", extraction.redact(F.col("text"), 200).alias("text"))
 
 
-_sql("redacted_texts", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '<redacted:credential>' ELSE 'host <redacted:ipv4> mac <redacted:mac>' || CASE WHEN c_custkey % 4 = 1 THEN ' <redacted:opaque-token>' ELSE ' plain' END END AS text FROM customer")
+_sql("redacted_texts", r"""WITH t AS (SELECT n, substr(text, 1, 200) AS x FROM model_texts), w AS (SELECT *, string_split_regex(lower(x), '[^a-z0-9_]+') AS words FROM t),
+ c AS (SELECT *, regexp_matches(lower(x), '(^|[^a-z0-9_])(password|passwd|pwd|secret|token|api[-_]?key|authorization|private[-_]?key) *[=:]') OR contains(x, '-----BEGIN ') OR regexp_matches(lower(x), '(^|[^a-z0-9_])bearer +[a-z0-9._~+/=-]') AS gives FROM w),
+ p AS (SELECT n, gives, x, regexp_replace(regexp_replace(x, '\b[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}\b', '<redacted:mac>', 'g'), '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b', '<redacted:ipv4>', 'g') AS y FROM c)
+SELECT n, CASE WHEN gives THEN '<redacted:credential>' ELSE array_to_string([CASE WHEN regexp_full_match(k, '[0-9A-Fa-f]{48,}') OR regexp_full_match(k, '[A-Za-z0-9_+/=-]{64,}') THEN '<redacted:opaque-token>' ELSE k END FOR k IN string_split(y, ' ')], ' ') END AS text FROM p""", "model_texts")
 
 
 @query
@@ -461,12 +467,16 @@ SELECT problem AS what, count(*) AS n FROM c WHERE problem IS NOT NULL GROUP BY
 
 @query
 def release_families(v):
-    part = lambda a, b, c: F.struct(a.alias("vendor"), b.alias("product"), c.alias("device_model"))
-    c = v("customer").select("c_custkey", part(F.col("c_mktsegment"), F.lit("R-1"), F.lit("X")).alias("left"), part(F.when(F.col("c_custkey") % 3 == 0, "else").otherwise(F.lower("c_mktsegment")), F.when(F.col("c_custkey") % 5 == 0, F.lit(None).cast("string")).otherwise("r 1"), F.lit("x")).alias("right"))
-    return c.select("c_custkey", review.same_family("left", "right").alias("same"))
+    """Contexts spelled in other case, with other separators, of other products, or unknown."""
+    n, part = F.col("c_custkey"), lambda a, b, c: F.struct(a.alias("vendor"), b.alias("product"), c.alias("device_model"))
+    left = part(F.col("c_mktsegment"), F.when(n % 11 == 0, "").otherwise("R-1"), F.col("c_name"))
+    right = part(F.when(n % 3 == 0, F.concat("c_mktsegment", F.lit("s"))).otherwise(F.lower("c_mktsegment")), F.when(n % 5 == 0, F.lit(None).cast("string")).when(n % 11 == 0, "").otherwise("r 1"), F.when(n % 4 == 0, F.upper("c_name")).when(n % 4 == 1, F.replace("c_name", F.lit("#"), F.lit("_"))).otherwise(F.col("c_name")))
+    return v("customer").select("c_custkey", left.alias("left"), right.alias("right")).select("c_custkey", review.same_family("left", "right").alias("same"))
 
 
-_sql("release_families", "SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS same FROM customer")
+_sql("release_families", r"""WITH p AS (SELECT c_custkey, [c_mktsegment, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'R-1' END, c_name] AS l, [CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || 's' ELSE lower(c_mktsegment) END, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN '' ELSE 'r 1' END, CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, '#', '_') ELSE c_name END] AS r FROM customer),
+ n AS (SELECT c_custkey, [trim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]+', ' ', 'g')) FOR x IN l] AS l, [trim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]+', ' ', 'g')) FOR x IN r] AS r FROM p)
+SELECT c_custkey, l = r AS same FROM n""")
 
 
 @query
@@ -486,3 +496,39 @@ _sql("budget_greedy", """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, C
  w AS (SELECT l_orderkey, l_linenumber AS item, place, size <= 60 AS taken, CASE WHEN size <= 60 THEN size ELSE 0 END AS spent FROM o WHERE place = 1
   UNION ALL SELECT o.l_orderkey, o.l_linenumber, o.place, w.spent + o.size <= 60, CASE WHEN w.spent + o.size <= 60 THEN w.spent + o.size ELSE w.spent END FROM w JOIN o ON o.l_orderkey = w.l_orderkey AND o.place = w.place + 1)
 SELECT l_orderkey, item, taken FROM w""")
+
+
+# semantics of texts
+
+@query
+def texts_extracted(v):
+    """Routes, parameters, method and effects that texts name: quoted, in brackets, of files, of tags, repeated."""
+    rows = v("advisories").select(F.col("n").cast("string").alias("identifier"), "title", "description")
+    r = extraction.extract_semantics(rows)
+    first = F.get("interfaces", F.lit(0))
+    return r.select(
+        "identifier", F.array_join(F.transform("interfaces", lambda x: x["value"]), " ").alias("routes"), F.array_join(F.transform("parameters", lambda x: x["name"]), " ").alias("parameters"), first["method"].alias("method"), first["protocol"].alias("protocol"), first["component"].alias("component"), first["evidence"].alias("evidence"),
+        "attack_type", "remotely_exploitable",
+    )
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+_sql("texts_extracted", rf"""WITH a AS (SELECT CAST(n AS VARCHAR) AS identifier, coalesce(description, '') AS d, concat_ws(chr(10), title, coalesce(description, '')) AS t FROM advisories),
+ b AS (SELECT *, [CASE WHEN ends_with(trim(x, '`''"()[]{{}},;'), '/.') THEN trim(x, '`''"()[]{{}},;') ELSE rtrim(rtrim(trim(x, '`''"()[]{{}},;'), '.:!?'), '`''"()[]{{}},;') END FOR x IN list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')] AS w,
+   [rtrim(rtrim(trim(x, '`''"()[]{{}},;'), '.:!?'), '`''"()[]{{}},;') FOR x IN list_filter(string_split_regex(d, '\s+'), lambda x: x <> '')] AS own,
+   string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS sentences, string_split(regexp_replace(d, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS own_sentences FROM a),
+ p AS (SELECT *, list_filter(w, lambda x, i: starts_with(x, '/') AND NOT ends_with(x, '>') AND NOT ends_with(x, '/.') AND length(x) > 1 AND list_position(w, x) = i AND NOT (list_contains({_listed(extraction.LOCAL_FOLDERS)}, '/' || lower(split_part(x, '/', 2)) || '/') AND len(string_split(x, '/')) > 2)) AS paths FROM b),
+ r AS (SELECT *, list_filter(paths, lambda x: list_contains({_listed(extraction.ROUTE_FOLDERS)}, split_part(x, '/', 2)) OR starts_with(split_part(x, '/', 2), 'HNAP') OR len(list_filter(string_split(lower(x), '/'), lambda y: contains(y, '.') AND list_contains({_listed(extraction.PAGE_SUFFIXES)}, string_split(y, '.')[-1]))) > 0
+   OR list_has_any(regexp_extract_all(lower(list_filter(sentences, lambda s: contains(s, x))[1]), '[a-z0-9]+'), {_listed(extraction.WEB_WORDS)})) AS routes FROM p),
+ m AS (SELECT *, list_filter([CASE WHEN lower(x) = 'http' AND list_contains({_listed(extraction.METHODS)}, lower(w[i + 1])) THEN upper(w[i + 1]) END FOR x, i IN w], lambda x: x IS NOT NULL)[1] AS method,
+   list_filter([CASE WHEN list_contains({_listed(extraction.PARAMETER_WORDS)}, lower(x)) THEN CASE WHEN lower(own[i + 1]) = 'named' THEN own[i + 2] ELSE own[i + 1] END END FOR x, i IN own], lambda x: x IS NOT NULL) AS names,
+   list_has_any(regexp_extract_all(lower(t), '[a-z0-9]+'), ['http', 'cgi']) OR contains(lower(t), 'web interface') OR contains(lower(t), 'request handler') OR len(list_filter(routes, lambda x: list_contains({_listed(extraction.HTTP_FOLDERS)}, split_part(x, '/', 2)))) > 0 AS http FROM r),
+ q AS (SELECT *, list_filter(names, lambda x, i: list_position(names, x) = i AND regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_.:-]*$') AND NOT list_contains({_listed(extraction.STOPWORDS)}, lower(x))) AS params FROM m)
+SELECT identifier, array_to_string(routes, ' ') AS routes, array_to_string(params, ' ') AS parameters, CASE WHEN len(routes) > 0 THEN method END AS method, CASE WHEN len(routes) > 0 AND http THEN 'HTTP' END AS protocol,
+ CASE WHEN len(routes) > 0 AND contains(lower(d), 'component ') THEN nullif(trim(string_split_regex(substr(d, strpos(lower(d), 'component ') + 10), '[.,;\n]')[1]), '') END AS component,
+ CASE WHEN len(routes) > 0 THEN trim(coalesce(list_filter(own_sentences, lambda s: contains(s, routes[1]))[1], d)) END AS evidence,
+ lower(coalesce(CASE WHEN contains(lower(d), 'leads to ') THEN nullif(trim(string_split_regex(substr(d, strpos(lower(d), 'leads to ') + 9), '[.;]')[1]), '') END, CASE WHEN contains(lower(d), 'lead to ') THEN nullif(trim(string_split_regex(substr(d, strpos(lower(d), 'lead to ') + 8), '[.;]')[1]), '') END)) AS attack_type,
+ CASE WHEN len(list_filter(own_sentences, lambda s: list_has_any(regexp_extract_all(lower(s), '[a-z0-9]+'), {_listed(extraction.ATTACK_WORDS)}) AND list_contains(regexp_extract_all(lower(s), '[a-z0-9]+'), 'remotely'))) > 0 THEN true WHEN list_has_any(regexp_extract_all(lower(d), '[a-z0-9]+'), ['local', 'locally']) THEN false END AS remotely_exploitable FROM q""", "advisories")

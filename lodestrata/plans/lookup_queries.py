@@ -140,13 +140,12 @@ _sql("web_interfaces", """SELECT part_id, CASE WHEN part_id % 8 = 0 OR part_id %
 
 @query
 def answer_objects(v):
-    n = F.col("c_custkey")
-    body = F.concat(F.lit('{"summary": "'), "c_name", F.lit('", "score": '), n, F.lit("}"))
-    text = F.when(n % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 4 == 1, F.concat(F.lit("Here it is: "), body)).when(n % 4 == 2, F.concat(body, F.lit(" and more"))).otherwise("nothing to say")
-    return v("customer").select("c_custkey", lookups.answer_object(text, "summary string, score bigint").alias("o")).select("c_custkey", "o.summary", F.coalesce("o.score", F.lit(-1)).alias("score"))
+    """Answers in fences, after words, before a second object, or without any."""
+    return v("answers").select("n", lookups.answer_object(F.col("text"), "summary string, score bigint").alias("o")).select("n", "o.summary", "o.score")
 
 
-_sql("answer_objects", "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS summary, CASE WHEN c_custkey % 4 <> 3 THEN CAST(c_custkey AS BIGINT) ELSE -1 END AS score FROM customer")
+_sql("answer_objects", r"""WITH o AS (SELECT n, regexp_extract(text, '\{[^{}]*\}') AS o FROM answers)
+SELECT n, CASE WHEN o <> '' THEN json_extract_string(o, '$.summary') END AS summary, CASE WHEN o <> '' THEN CAST(json_extract_string(o, '$.score') AS BIGINT) END AS score FROM o""", "answers")
 
 
 @query

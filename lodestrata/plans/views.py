@@ -136,6 +136,29 @@ SELECT o_orderkey AS n, concat('CVE-2021-', CAST(o_orderkey AS STRING)) AS ident
  concat('Fehler ', CAST(o_custkey AS STRING)) AS de, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(o_orderkey % 101 AS DOUBLE) / 10 END AS score31, CAST(o_custkey % 101 AS DOUBLE) / 10 AS score2,
  CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE CAST(NULL AS STRING) END AS severity31, CASE WHEN o_orderkey % 7 = 0 THEN '*' ELSE concat('acme_', CAST(o_custkey % 20 AS STRING)) END AS vendor, concat('r_', CAST(o_orderkey % 50 AS STRING)) AS product,
  CASE WHEN o_orderkey % 4 = 0 THEN 'NVD-CWE-noinfo' ELSE concat('CWE-', CAST(o_orderkey % 9 AS STRING)) END AS cwe, concat('https://example.com/', CAST(o_orderkey % 30 AS STRING)) AS link, o_orderkey % 6 = 0 AS exploit FROM {orders}""",
+    "model_texts": """
+SELECT c_custkey AS n, concat('host 10.1.', CAST(c_custkey % 9 AS STRING), '.7 ', CASE c_custkey % 14 WHEN 0 THEN 'mac 00:11:22:33:44:5a plain' WHEN 1 THEN 'Api-Key = x' WHEN 2 THEN 'my token is fine' WHEN 3 THEN 'password: a' WHEN 4 THEN 'Bearer abc.def' WHEN 5 THEN 'bearer' WHEN 6 THEN '-----BEGIN KEY'
+   WHEN 7 THEN repeat('ab', 32) WHEN 8 THEN repeat('a', 47) WHEN 9 THEN repeat('x_', 32) WHEN 10 THEN '1.2.3 and 300.300.300.300 v1.2.3.4x' WHEN 11 THEN '001:11:22:33:44:55:66 tokens = 3 secretive: 1' WHEN 12 THEN 'my-secret= 1' ELSE repeat('long words ', 30) END,
+   CASE WHEN c_custkey % 5 = 0 THEN ' 192.168.0.1:80 AA:BB:CC:DD:EE:FF' ELSE '' END) AS text FROM {customer}""",
+    "notes": """
+SELECT o_orderkey AS n, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'See ' ELSE 'x' END, 'CVE-2020-', CAST(o_orderkey % 40 AS STRING), ' and CNVD-2019-', CAST(o_custkey % 7 AS STRING), ', CVE-2020-', CAST(o_custkey % 20 AS STRING), '; CVE-20-1 cve-2020-2 BM-2024-', CAST(o_custkey % 3 AS STRING),
+   CASE WHEN o_orderkey % 4 = 0 THEN ' (CVE-2021-7) BM-2024-9, BM-2024-1x' ELSE '.' END) AS text FROM {orders}""",
+    "answers": """
+SELECT c_custkey AS n, concat(CASE c_custkey % 5 WHEN 0 THEN '```json ' WHEN 1 THEN 'Here it is: ' WHEN 2 THEN '' WHEN 3 THEN 'no object' ELSE '[1] ' END, CASE WHEN c_custkey % 5 = 3 THEN '' ELSE concat(chr(123), '"summary": "', c_name, '", "score": ', CAST(c_nationkey AS STRING), CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ', "other": [1]' END, chr(125)) END,
+   CASE c_custkey % 3 WHEN 0 THEN ' ```' WHEN 1 THEN concat(' and ', chr(123), '"summary": "second"', chr(125)) ELSE '' END) AS text FROM {customer}""",
+    "scripts": """
+SELECT c_custkey AS n, concat('x ', CASE c_custkey % 4 WHEN 0 THEN 'set_' WHEN 1 THEN 'y' WHEN 2 THEN repeat('z', 25) ELSE concat(repeat('z', 20), '_') END, CASE WHEN c_nationkey % 2 = 0 THEN 'europe' ELSE 'america' END, '(g_asia, get_asia); asia_2 ', c_name, CASE WHEN c_custkey % 3 = 0 THEN ' my_europe my_europe' ELSE '' END) AS text FROM {customer}""",
+    "advisories": """
+SELECT o_orderkey AS n, concat('Flaw ', CAST(o_orderkey AS STRING)) AS title, CASE o_orderkey % 10
+   WHEN 0 THEN concat('A flaw was found in the file /goform/set', CAST(o_custkey % 50 AS STRING), ' of the component Web Server. The manipulation of the argument arg', CAST(o_custkey % 9 AS STRING), ' leads to Stack Overflow. The attack can be launched remotely.')
+   WHEN 1 THEN concat('An HTTP post request to "/cgi-bin/x', CAST(o_custkey % 30 AS STRING), '.cgi" with the parameter named ssid, or the field of lan, lets others in. It is exploited locally.')
+   WHEN 2 THEN 'The file /etc/passwd is read by /usr/bin/tool in the web interface. No route here.'
+   WHEN 3 THEN concat('Look at the url (/admin/page', CAST(o_custkey % 4 AS STRING), '). The parameter is broken! Variable `v1` too.')
+   WHEN 4 THEN 'Paths /opt/x and /plain/thing are named. A handler is not.'
+   WHEN 5 THEN '[/api/v1/users], /HNAP1/ and /web/Index.PHP?x=1; variable token=1 lead to SQL injection; remotely'
+   WHEN 6 THEN '</form> and /x. are no routes, / neither. Route /x/y.do is. The attack is local'
+   WHEN 7 THEN 'HTTP get and http PUT of /status: field a-b.c[0], argument 9x, param p_1, PARAM p_1.'
+   WHEN 8 THEN '' ELSE CAST(NULL AS STRING) END AS description FROM {orders}""",
     "catalogs": """
 SELECT concat('cat', CAST(o_orderkey AS STRING)) AS catalog_id, concat('fw', CAST(o_custkey % 200 AS STRING)) AS firmware, substr(CAST(o_orderdate AS STRING), 1, 10) AS published_at,
        CASE WHEN o_orderkey % 3 = 0 THEN 'partial' ELSE 'completed' END AS status, concat('lib', CAST(o_orderkey % 9 AS STRING)) AS artifact,
