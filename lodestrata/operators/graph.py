@@ -137,3 +137,23 @@ def tree(nodes: DataFrame, edges: DataFrame, root_kind: str) -> DataFrame:
     children = placed.where("parent is not null").groupBy(F.col("parent").alias("child")).agg(F.count("*").alias("children"))
     n = F.coalesce("children", F.lit(0))
     return placed.join(children, "child", "left").select("parent", "child", "level", n.alias("children"), (n > 0).alias("expandable"))
+
+
+#: Presets that show state, what they show besides, and the kinds of candidates that make them.
+STATE_PRESETS = ("parameter_state", "completeness")
+IMPORTED = (("native_configuration_text_import_flow", "native_configuration_url_document_flow"), ("imports_state",))
+OVER_PROCESSES = (("native_configuration_url_ipc_flow", "native_configuration_url_consumer"), ("reads_state", "writes_state", "deletes_state", "persists_state"))
+
+
+def view_presets(candidates: DataFrame, presets: DataFrame) -> DataFrame:
+    """catalog_id, preset_id and edge_kinds of every catalogue: presets of state show what its candidates make of it.
+
+    candidates: catalog_id, candidate_kind.  presets: preset_id, edge_kinds (array), a table of a few rows.
+    """
+    has = [F.bool_or(F.col("candidate_kind").isin(*kinds)).alias(f"has_{i}") for i, (kinds, _) in enumerate((IMPORTED, OVER_PROCESSES))]
+    marks = candidates.groupBy("catalog_id").agg(*has)
+    none = F.array().cast("array<string>")
+    more = F.concat(*(F.when(F.coalesce(f"has_{i}", F.lit(False)), F.array(*map(F.lit, kinds))).otherwise(none) for i, (_, kinds) in enumerate((IMPORTED, OVER_PROCESSES))))
+    listed = F.collect_list(F.struct("preset_id", "edge_kinds"))
+    each = marks.join(presets.agg(listed.alias("presets")).hint("broadcast")).select("catalog_id", more.alias("more"), F.explode("presets").alias("p"))  # one row of presets
+    return each.select("catalog_id", "p.preset_id", F.when(F.col("p.preset_id").isin(*STATE_PRESETS), F.array_union("p.edge_kinds", "more")).otherwise(F.col("p.edge_kinds")).alias("edge_kinds"))

@@ -50,6 +50,25 @@ def merge_members(candidates: DataFrame, key: str, attributes: tuple[str, ...])
     return candidates.groupBy(key).agg(*(F.array_join(F.array_sort(F.collect_set(a)), ",").alias(a) for a in attributes), F.count("*").alias("members"))
 
 
+def candidate_alignment(kind: Column, canonical: Column, attributes: Column) -> Column:
+    """What a candidate is aligned by between snapshots: its kind and the identity that counts for it."""
+    of = lambda name: F.nullif(F.try_element_at(attributes, F.lit(name)), F.lit(""))
+    text = F.coalesce(canonical, F.lit(""))
+    before = F.when(F.instr(text, " -> ") > 0, F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, " -> ", -1)) - 4)).otherwise(text)
+    identity = (
+        F.when(kind == "native_handler", F.coalesce(of("route_token"), text)).when(kind == "native_nested_dispatch", F.coalesce(of("normalized_operation"), text)).when(kind == "native_request_protection", before)
+        .when(kind == "set_difference_attribution", F.concat_ws("|", text, F.coalesce(of("difference_side"), F.lit("")), F.coalesce(of("attribution_kind"), F.lit("")))).otherwise(text)
+    )
+    return F.concat_ws("|", F.coalesce(kind, F.lit("unknown")), identity)
+
+
+def compound_members(description: Column) -> Column:
+    """Distinct sorted members of slash-separated lists of qualified names; paths and lists with an unqualified name are none."""
+    names = F.regexp_extract_all(F.coalesce(description, F.lit("")), F.lit(r"(?<![A-Za-z0-9_.:-])([A-Za-z_][A-Za-z0-9_.:-]*(?:/[A-Za-z_][A-Za-z0-9_.:-]*)+)"), 1)
+    lists = F.transform(names, lambda x: F.transform(F.split(x, "/"), lambda m: F.rtrim(m, F.lit("."))))
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(lists, lambda ms: F.forall(ms, lambda m: m.contains("."))))))
+
+
 def compare_expectations(expectations: DataFrame, observed: DataFrame, complete: bool = True) -> DataFrame:
     """Status and gap reason of each expectation against a catalogue's candidates.
 

@@ -112,3 +112,10 @@ def classify(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     s = F.col("relevance_score")
     level = F.when(s >= policy.strong, "strong").when(s >= policy.likely, "likely").when(s >= policy.review, "review").otherwise("unrelated")
     return out.withColumn("relevance_level", level).drop("__text", "__names", "__links", "__found", *(f"__{n}" for n in found))
+
+
+def policy_issues(policies: DataFrame, key: str) -> DataFrame:
+    """``key`` and rule of what speaks against policies (thresholds strong, likely, review; terms as arrays)."""
+    ordered = (F.col("review") >= 0) & (F.col("review") <= F.col("likely")) & (F.col("likely") <= F.col("strong")) & (F.col("strong") <= 100)
+    large = [F.when(F.size(c) > 100, F.lit(f"{c}_too_many")) for c in ("firmware", "devices", "watched", "vendors") if c in policies.columns]
+    return policies.select(key, F.explode(F.array_compact(F.array(F.when(~F.coalesce(ordered, F.lit(False)), "thresholds_unordered"), *large))).alias("rule"))

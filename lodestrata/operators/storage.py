@@ -60,3 +60,29 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], keep: tuple
 def missing_references(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows of ``child`` whose reference no parent has."""
     return child.join(parent.select(F.col(key).alias(column)), column, "left_anti")
+
+
+def publish_linked(existing: DataFrame, incoming: DataFrame, key: str, links: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """As ``publish``, but a document whose references dangle is ``refused``, and ``dangling`` names the columns.
+
+    links: column of ``incoming`` (a value, or an array of values) to the parent table and its
+    key.  Every value that is not null must be there; a document is refused whole.
+    """
+    rows = with_digest(incoming, key).dropDuplicates([key, "content_sha256"])
+    lost = None
+    for column, (parent, parent_key) in links.items():
+        listed = incoming.schema[column].dataType.typeName() == "array"
+        cited = rows.select(key, "content_sha256", (F.explode(column) if listed else F.col(column)).alias("__ref")).where("__ref is not null").distinct()
+        found = cited.join(parent.select(F.col(parent_key).alias("__ref")).distinct(), "__ref", "left_anti").select(key, "content_sha256", F.lit(column).alias("__column")).distinct()
+        lost = found if lost is None else lost.unionByName(found)
+    judged = publish(existing, incoming, key)
+    if lost is None:
+        return judged.withColumn("dangling", F.array().cast("array<string>"))
+    broken = lost.groupBy(key, "content_sha256").agg(F.array_sort(F.collect_set("__column")).alias("dangling"))
+    met = judged.join(broken, [key, "content_sha256"], "left")
+    return met.withColumn("outcome", F.when(F.col("dangling").isNotNull(), "refused").otherwise(F.col("outcome"))).withColumn("dangling", F.coalesce("dangling", F.array().cast("array<string>")))
+
+
+def documents_by_id(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The documents of the wanted ids (column ``key``), a row for each id, with ``found``."""
+    return wanted.select(key).distinct().join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -67,6 +67,11 @@ def _utc(t: datetime) -> str:
     return t.strftime("%Y-%m-%dT%H:%M:%S.") + f"{t.microsecond // 1000:03d}Z"
 
 
+def feed_time(t: Column) -> Column:
+    """A timestamp as feeds write it: UTC with milliseconds and a Z."""
+    return F.concat(F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of (gzipped) feed files, read in blocks: the column ``cve``."""
     items = read_array(spark, path).select(F.when(F.col("whole"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a feed is cut off: "), "file"))).alias("item"))

@@ -4,6 +4,7 @@ import pytest
 
 import lodestrata.plans.analysis_queries  # noqa: F401
 import lodestrata.plans.catalogue_queries  # noqa: F401
+import lodestrata.plans.detail_queries  # noqa: F401
 import lodestrata.plans.incremental_queries  # noqa: F401
 import lodestrata.plans.lookup_queries  # noqa: F401
 from lodestrata.plans.oracles import ORACLES
