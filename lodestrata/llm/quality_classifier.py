@@ -16,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels
-from lodestrata.llm.common import free, text_digest
+from lodestrata.llm.common import free, settle, text_digest
 
 #: Hashed features; the last is always on, so that an empty text has a score as well.
 FEATURES = 1 << 18
 #: At most so many labelled rows, those of least hash, fit the model.
 MAX_TRAIN_ROWS = 6_000
+#: ... as long as their indicators are no more than these in all (64 MB on the driver, 4 bytes each).
+MAX_TRAIN_FEATURES = 1 << 24
 POSITIVE_SCORE = 0.3
 
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 stop, 16 other mark, 32 not ASCII
@@ -159,15 +161,18 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> SupportVectors:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_features: int = MAX_TRAIN_FEATURES) -> SupportVectors:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold, those of least hash.
 
-    Null ids and null labels teach nothing; of repeated ids the text of least digest counts.
+    Rows come in order of their hash; the driver gets them while their indicators are no more
+    than ``max_features`` in all, so its memory is bounded whatever the length of the texts.  Null
+    ids and null labels teach nothing; of repeated ids the text of least digest counts.
     """
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        .orderBy(*by_hash).limit(max_rows)
     )
 
     @F.arrow_udf("array<int>")
@@ -180,7 +185,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_RO
 
     # bounded by max_rows, two small columns: safe to broadcast at any input size
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", text_digest(F.col("text")).alias("t"), features("text").alias("x"))
-    table = rows.groupBy("doc_id", "quality").agg(F.min_by("x", "t").alias("x")).toArrow().sort_by("doc_id")
+    rows = settle(rows.groupBy("doc_id", "quality").agg(F.min_by("x", "t").alias("x")))
+    # a row for each of max_rows at most, without the indicators
+    running = rows.select("doc_id", F.sum(F.size("x").cast("long")).over(Window.orderBy(*by_hash)).alias("sum"))
+    taken = running.where(F.col("sum") <= max_features).select("doc_id")
+    table = rows.join(F.broadcast(taken), "doc_id").toArrow().sort_by("doc_id")
     return fit_support_vectors([np.asarray(x.values) for x in table["x"]], np.array(table["quality"].to_pylist(), float))
 
 

@@ -92,6 +92,18 @@ def test_repeated_ids_teach_the_text_of_least_digest(spark):
     assert (a == b).all()
 
 
+def test_training_stops_at_its_budget_of_indicators(spark):
+    """Long texts do not burden the driver: rows of least hash count, until their indicators fill the budget."""
+    rows = [(n, " ".join(f"w{n}_{k}" for k in range(4000))) for n in range(30)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, n % 2, 0) for n in range(30)], "doc_id long, quality int, toxic int")
+    order = [r.doc_id for r in df.where(~quality_classifier.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()]
+    one = len(quality_classifier.indicators(__import__("pyarrow").array([rows[order[0]][1]]))[1])
+    few = quality_classifier.fit_quality(df, labels, max_features=12 * (one + 40))
+    same = quality_classifier.fit_quality(df.where(F.col("doc_id").isin(order[:12])), labels)
+    assert (few.weights == same.weights).all() and few.weights.any() and few.offset == same.offset
+    assert not quality_classifier.fit_quality(df, labels, max_features=one // 2).weights.any()
+
+
 def test_quality_without_labels(docs, labels):
     out = quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels.limit(0))).collect()
     assert {r.quality_score for r in out} == {0.5}
