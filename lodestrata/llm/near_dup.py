@@ -1,12 +1,15 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Every text is a set of five-word shingles.  Each shingle is a Poisson process whose rate is its
-weight; its arrivals fall into random registers, a register keeps the shingle of its first
+Every text is a set of weighted five-word shingles.  A shingle weighs one and one more for each of its
+longer words (``LONG`` bytes or more): edits of the short words that every text is full of count
+less than edits of those that tell texts apart.  Each shingle is a Poisson process whose rate is
+its weight; its arrivals fall into random registers, a register keeps the shingle of its first
 arrival, and a shingle stops as soon as its next arrival is later than all registers of its
-text.  Two texts share a register with their probability Jaccard similarity.  All weights are
-one here, however often a shingle stands in a text, so this is the Jaccard similarity of the
-sets, the measure that links are verified by.  Bands of registers give buckets; what meets in a
-bucket is compared by a packed sketch of all registers and then by the exact Jaccard similarity.
+text.  Two texts share a register with their probability Jaccard similarity.  As a shingle weighs
+the same in every text, that is the weight of what two texts share over the weight of what either
+has, the measure that links are verified by.  How often a shingle stands in a text does not count,
+so a passage that is pasted many times does not hide a copy.  Bands of registers give buckets; what meets in a
+bucket is compared by a packed sketch of all registers and then by the exact similarity.
 
 Groups of copies never become all pairs.  Texts of equal shingle sets are one node; within a
 bucket, nodes are compared with a few leaders only (the node that meets most others, and nodes
@@ -37,6 +40,8 @@ from lodestrata.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
+#: Bytes of a word that adds to its shingle's weight.  The weight, 1 to 6, stands in the shingle's last bits.
+LONG, WEIGHT_BITS = 4, 3
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Bits of each register in the sketch, and the sketch's 64-bit words.
@@ -58,23 +63,31 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (text, shingle) and how often each occurs.
+    """Sorted distinct (text, shingle) and the weight of each, which its last bits hold as well.
 
     Words are runs of anything but ASCII white space, A-Z folded.  A text of fewer than
     ``size`` words has one shingle, all its words; one without words has none.
     """
-    d, _, _, h, counts = kernels.words(texts, kernels.FOLDED_WHITE_SPACE)
-    parts = [kernels.ngrams(d, h, size)]
-    for n in range(1, size):
-        short = counts[d] == n
-        parts.append(kernels.ngrams(d[short], h[short], n))
-    d, h = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((h, d))
-    d, h = d[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
-    return d[at], h[at], np.diff(np.append(at, len(h)))
+    d, s, e, h, counts = kernels.words(texts, kernels.FOLDED_WHITE_SPACE)
+    long = np.concatenate([np.zeros(1, np.int64), np.cumsum(e - s >= LONG)])
+
+    def weighted(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of ``n`` words of the words numbered ``at``, which follow one another in each text."""
+        own, grams = kernels.ngrams(d[at], h[at], n)
+        begin = at[: max(0, len(at) - n + 1)]
+        begin = begin[d[begin] == d[at[n - 1 :]]] if len(begin) else begin
+        return own, grams, 1 + long[begin + n] - long[begin]
+
+    parts = [weighted(np.arange(len(h)), size), *(weighted(np.flatnonzero(counts[d] == n), n) for n in range(1, size))]
+    d, h, w = (np.concatenate(x) for x in zip(*parts))
+    low = np.uint64((1 << WEIGHT_BITS) - 1)
+    keys = (h & ~low) | w.astype(np.uint64)
+    order = np.lexsort((keys, d))
+    d, keys = d[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (d[1:] != d[:-1])
+    d, keys = d[new], keys[new]
+    return d, keys, (keys & low).astype(np.int64)
 
 
 def prob_minhash(d: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -99,14 +112,14 @@ def prob_minhash(d: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, r
 
 
 def _sketch(texts: pa.Array) -> pa.Array:
-    d, h, _ = shingles(texts)
+    d, h, weight = shingles(texts)
     n = len(texts)
-    sizes = np.bincount(d, minlength=n)
+    sizes = np.bincount(d, weight, minlength=n).astype(np.int64)
     with np.errstate(over="ignore"):
         a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         np.add.at(a, d, kernels.mix(h + np.uint64(1)))
         np.add.at(b, d, kernels.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        registers = kernels.mix(prob_minhash(d, h, np.ones(len(h)), n))
+        registers = kernels.mix(prob_minhash(d, h, weight.astype(float), n))
         bands = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for k in range(ROWS):
             bands = kernels.mix(bands * np.uint64(31) + registers[:, k::ROWS])
@@ -126,7 +139,7 @@ def _per_batch(kernel):
 
 
 def sketch(text: Column) -> Column:
-    """Struct: 128 bits of the shingle set (a, b), its size n, band keys and packed sketch."""
+    """Struct: 128 bits of the shingle set (a, b), its weight n, band keys and packed sketch."""
     run = _per_batch(_sketch)
 
     @F.arrow_udf("struct<a: bigint, b: bigint, n: int, bands: array<bigint>, sketch: array<bigint>>")
@@ -139,15 +152,18 @@ def sketch(text: Column) -> Column:
 def shingle_set(text: Column) -> Column:
     """Struct: the distinct shingles as 64-bit values, and their parity sketch.
 
-    In the sketch, each shingle flips one of ``PARITY_BITS`` bits.  Two sketches never differ in
-    more bits than the sets do in shingles, so they rule pairs out for certain.
+    In the sketch, each shingle flips as many of ``PARITY_BITS`` bits as it weighs.  Two sketches
+    never differ in more bits than the sets do in weight, so they rule pairs out for certain.
     """
 
     def kernel(texts: pa.Array) -> pa.Array:
-        d, h, _ = shingles(texts)
+        d, h, weight = shingles(texts)
         parity = np.zeros(len(texts) * PARITY_BITS // 64, np.uint64)
-        bit = (h >> np.uint64(32)).astype(np.int64) % PARITY_BITS
-        np.bitwise_xor.at(parity, d * (PARITY_BITS // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        of = np.repeat(np.arange(len(h)), weight)
+        with np.errstate(over="ignore"):
+            flips = kernels.mix(h[of] + np.arange(len(of), dtype=np.uint64) - np.repeat(np.cumsum(weight) - weight, weight).astype(np.uint64))
+        bit = (flips >> np.uint64(32)).astype(np.int64) % PARITY_BITS
+        np.bitwise_xor.at(parity, d[of] * (PARITY_BITS // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
         sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(texts)))), pa.int32()), pa.array(h.view(np.int64)))
         sketches = pa.ListArray.from_arrays(np.arange(0, len(parity) + 1, PARITY_BITS // 64, dtype=np.int32), pa.array(parity.view(np.int64)))
         return pa.StructArray.from_arrays([sets, sketches], ["shingles", "parity"])
@@ -166,37 +182,46 @@ def _differing_bits(x: str, y: str, words: int) -> Column:
 
 
 def _similar_sizes(x: str, y: str) -> Column:
-    """Sizes leave it possible that two nodes are similar enough."""
+    """Weights leave it possible that two nodes are similar enough."""
     return 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
 
 
 def _similar_sketches(x: str, y: str) -> Column:
-    """Sizes and sketches make it likely enough that two nodes are similar enough."""
+    """Weights and sketches make it likely enough that two nodes are similar enough."""
     return _similar_sizes(x, y) & (_differing_bits(f"{x}.sketch", f"{y}.sketch", SKETCH_WORDS) <= MOST_BITS)
 
 
+def _weight(shingle: Column) -> Column:
+    return shingle.bitwiseAND((1 << WEIGHT_BITS) - 1)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (x, y) those whose shingle sets are similar enough."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    common = F.size(F.array_intersect("x_set", "y_set"))
-    return both.where(100 * common >= PERCENT * (F.size("x_set") + F.size("y_set") - common)).select("x", "y")
+    """Of pairs (x, y) those whose shingle sets are similar enough, by the weight of what they share."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("shared", F.array_intersect("x_set", "y_set"))
+    common = F.aggregate("shared", F.lit(0).cast("long"), lambda sum_, s: sum_ + _weight(s))
+    weighed = both.select("x", "y", common.alias("common"), (F.col("x_n") + F.col("y_n")).alias("sum"))
+    return weighed.where(100 * F.col("common") >= PERCENT * (F.col("sum") - F.col("common"))).select("x", "y")
 
 
 def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (x, y) of nodes of different components that may be similar enough: all that are, and few others.
 
-    Sets as similar as ``PERCENT`` share one of each other's rarest shingles, as many as may
-    differ and one more.  So nodes meet by those alone, not by what a whole group has in common.
+    Of a set as similar as ``PERCENT`` to another, no more weight than the rest of a hundred may lack
+    in the other; so the two share one of each other's rarest shingles before which no more
+    weight stands.  Nodes meet by those alone, not by what a whole group has in common.
     Where a component holds most of a shingle's nodes, they do not meet each other.
     """
-    tokens = nodes.select("id").join(sets, "id").select("id", F.explode("shingles").alias("shingle"))
+    tokens = nodes.select("id").join(sets.select("id", "shingles"), "id").select("id", F.explode("shingles").alias("shingle"))
     often = tokens.groupBy("shingle").agg(F.count("*").alias("often"))
     rarest = tokens.join(often, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
-    length = F.size("ordered") - F.floor((F.size("ordered") * PERCENT + 99) / 100) + 1
-    prefix = F.filter(F.slice("ordered", F.lit(1), length.cast("int")), lambda x: x["often"] > 1)
+    begin = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("length"))
+    within = lambda s, w: F.col("n") * (100 - PERCENT) >= s["before"] * 100
+    walk = F.aggregate("ordered", begin, lambda s, x: F.struct((s["before"] + _weight(x["shingle"])).alias("before"), (s["length"] + F.when(within(s, x), 1).otherwise(0)).alias("length")))
+    prefix = F.filter(F.slice("ordered", F.lit(1), walk["length"]), lambda x: x["often"] > 1)
     known = nodes.join(sets.select("id", "parity"), "id")
-    keyed = settle(known.join(rarest.select("id", F.explode(prefix).alias("p")), "id").select("id", "n", "parity", "met", "component", F.col("p.shingle").alias("shingle")))
+    rarest = rarest.join(nodes.select("id", "n"), "id").select("id", prefix.alias("prefix"))
+    keyed = settle(known.join(rarest.select("id", F.explode("prefix").alias("p")), "id").select("id", "n", "parity", "met", "component", F.col("p.shingle").alias("shingle")))
     mixed = settle(
         keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct(-F.col("met"), "id")).alias("main"), F.count("*").alias("nodes"))
         .where("low < high").select("shingle", "main", "nodes")
@@ -205,7 +230,7 @@ def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     # one side of a frequent shingle is dealt out, the other goes to every part
     rest = around.where("component <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     others = around.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    # sets of a and b shingles are similar enough if at most (100 - p) / (100 + p) of a + b differ
+    # sets of weights a and b are similar enough if at most (100 - p) / (100 + p) of a + b differ
     parity = (100 + PERCENT) * _differing_bits("x.parity", "y.parity", PARITY_BITS // 64) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     crossing = (F.col("x.component") != F.col("y.component")) & _similar_sizes("x", "y") & parity
     meet = rest.alias("x").join(others.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & crossing)
@@ -213,7 +238,7 @@ def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, t, n (shingles), class_id, class_size and kept of every row; one row of each class is kept."""
+    """doc_id, t, n (weight of the shingles), class_id, class_size and kept of every row; one row of each class is kept."""
     rows = docs.select("doc_id", text_digest(F.col("text")).alias("t"), sketch(F.col("text")).alias("s"))
     signed = settle(rows.select("doc_id", "t", "s.*", F.monotonically_increasing_id().alias("row")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"), F.col("row"))
@@ -238,9 +263,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     )
 
     # the shingle sets of nodes that share a bucket, read from one text each
-    wanted = settle(members.select("id").distinct().join(nodes.select("id", "t"), "id"))
+    wanted = settle(members.select("id").distinct().join(nodes.select("id", "n", "t"), "id"))
     texts = docs.select(text_digest(F.col("text")).alias("t"), "text").where(may_hold(bitmap(wanted.select("t.a")), F.col("t.a"))).dropDuplicates(["t"])
-    sets = settle(texts.join(wanted, "t").select("id", shingle_set(F.col("text")).alias("s")).select("id", "s.*"))
+    sets = settle(texts.join(wanted, "t").select("id", "n", shingle_set(F.col("text")).alias("s")).select("id", "n", "s.*"))
 
     links = settle(_verified(stars, sets))
     parts = connected_components(links)

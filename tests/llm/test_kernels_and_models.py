@@ -235,7 +235,29 @@ def test_prob_minhash_estimates_probability_jaccard():
 def test_shingles_of_short_texts():
     d, h, w = near_dup.shingles(pa.array(["a b", "", "A  b", "a b c d e a b c d e", None]))
     assert np.bincount(d, minlength=5).tolist() == [1, 0, 1, 5, 0]
-    assert h[d == 0] == h[d == 2] and w[d == 3].sum() == 6
+    assert h[d == 0] == h[d == 2] and (w == 1).all()
+
+
+def test_weights_of_shingles():
+    texts = ["the long words of this text are what it says", "abc", "abcd é éé", " ".join(["aaaa"] * 9), None, "in it"]
+    d, h, w = near_dup.shingles(pa.array(texts))
+    for i, t in enumerate(texts):
+        words = (t or "").lower().split()
+        n = min(5, len(words))
+        want = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
+        assert sorted(w[d == i].tolist()) == sorted(1 + sum(len(x.encode()) >= 4 for x in g) for g in want)
+    assert (h.astype(np.uint64) & np.uint64(7) == w.astype(np.uint64)).all()
+
+
+def test_probability_jaccard_of_equal_weights_is_the_weight_shared():
+    """The definition over normalised weights of two sets, against shared weight over joint weight."""
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        w = r.integers(1, 7, 30).astype(float)
+        x, y = (set(np.flatnonzero(r.random(30) < 0.7).tolist()) for _ in range(2))
+        of = lambda s, k: w[k] if k in s else 0.0  # noqa: E731, B023
+        defined = sum(1 / sum(max(of(x, e) / of(x, d), of(y, e) / of(y, d)) for e in x | y) for d in x & y)
+        assert defined == pytest.approx(w[list(x & y)].sum() / w[list(x | y)].sum())
 
 
 def test_masks_find_every_window():

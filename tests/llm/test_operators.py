@@ -275,22 +275,25 @@ def test_repeated_rows_keep_one(spark):
 
 
 def test_recall_of_near_duplicates_against_all_pairs(spark):
-    """Classes against the components of all pairs of Jaccard similarity 0.8 and more."""
+    """Classes against the components of all pairs of weighted similarity 0.8 and more."""
     import random
 
     r = random.Random(5)
     rows = []
     for n in range(40):
-        words = [f"g{n}_{k}" for k in range(r.randint(40, 200))]
+        words = [r.choice([f"g{n}_{k}", f"h{n}_{k}", "a", "of", "the"]) for k in range(r.randint(40, 200))]
         rows.append(" ".join(words))
         for _ in range(r.randint(1, 9)):
             copy = list(words)
             for _ in range(r.randint(0, max(1, len(words) // 40))):
-                copy[r.randrange(len(copy))] = f"n{r.random()}"
+                copy[r.randrange(len(copy))] = r.choice([f"n{r.random()}", "x", "in"])
             rows.append(" ".join(copy[r.randint(0, 3) :] + [f"e{r.random()}"] * r.randint(0, 3)))
     rows = list(enumerate(rows))
     sets = {i: {tuple(w[k : k + 5]) for w in [x.split()] for k in range(len(w) - 4)} for i, x in rows}
-    pairs = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    weight = lambda s: sum(1 + sum(len(w) >= near_dup.LONG for w in g) for g in s)
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) > 3 and 100 * weight(sets[i] & sets[j]) >= 80 * weight(sets[i] | sets[j])]
+    plain = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert set(pairs) != set(plain)  # weights matter here
     parent = {i: i for i in sets}
 
     def top(i):
