@@ -82,3 +82,18 @@ def candidates_for(identifier: str, leads: DataFrame, candidates: DataFrame, sou
 def lead_details(leads: DataFrame, vulns: DataFrame) -> DataFrame:
     """Leads with their vulnerability where it is known; unknown ones stay."""
     return leads.join(vulns.select("identifier", "severity", "cvss_score"), "identifier", "left")
+
+
+def collect_catalogue(candidates: DataFrame, leads: DataFrame, loads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leads whose candidate exists, and the failures (source, reason, n) of a collection.
+
+    loads: source, error (null where it loaded), records.  A source that failed gives its error, one
+    that gave nothing and one whose leads name no candidate are told as well, so that a partial
+    collection is seen as such.
+    """
+    ids = candidates.select("candidate_id").distinct()
+    kept = leads.join(ids, "candidate_id", "left_semi")
+    lost = leads.join(ids, "candidate_id", "left_anti").groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit("leads_without_candidate").alias("reason"), "n")
+    failed = loads.where("error is not null").select("source", F.concat(F.lit("failed: "), "error").alias("reason"), F.coalesce("records", F.lit(0)).cast("long").alias("n"))
+    empty = loads.where("error is null and coalesce(records, 0) = 0").select("source", F.lit("empty").alias("reason"), F.lit(0).cast("long").alias("n"))
+    return kept, failed.unionByName(empty).unionByName(lost)

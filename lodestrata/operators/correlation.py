@@ -85,6 +85,20 @@ def parameter_clues(parameters: DataFrame, artifacts: DataFrame, budget: int = 8
     return hits.withColumn("place", F.row_number().over(place)).where(F.col("place") <= budget).select(F.col("token").alias("name"), "path", "hits", "place")
 
 
+def bus_operations(candidates: DataFrame) -> DataFrame:
+    """operation_ref, object_name, method_name and evidence_ids of candidates that call the bus (endpoint ``ubus://object/method``).
+
+    Equal repeats are one; a candidate that comes with two contents is an error.
+    """
+    rest = F.regexp_extract("endpoint", r"(?s)^ubus://(.*)$", 1)
+    at = F.instr(rest, "/")
+    parts = candidates.select(F.col("candidate_id").alias("operation_ref"), F.substr(rest, F.lit(1), at - 1).alias("object_name"), F.substr(rest, at + 1).alias("method_name"), "evidence_ids", at.alias("at"))
+    found = parts.where("at > 0 and object_name <> '' and method_name <> ''").drop("at").distinct()
+    twice = found.groupBy("operation_ref").agg(F.count("*").alias("n"))
+    checked = found.join(twice, "operation_ref").withColumn("object_name", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("conflicting operation "), "operation_ref"))).otherwise(F.col("object_name")))
+    return checked.drop("n")
+
+
 #: Characters of a pattern's literal text by which it meets objects, and parts of the objects that patterns without any meet.
 GRAM, SALTS = 3, 64
 

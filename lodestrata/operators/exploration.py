@@ -196,3 +196,9 @@ def model_groups(vulns: DataFrame) -> DataFrame:
     model = F.trim(F.regexp_replace("product", r"(?i)\s+(?:device\s+)?(?:firmware|software)$", ""))
     key = F.lower(F.regexp_replace(F.trim(F.concat_ws(" ", F.when(known, F.trim("vendor")), model)), r"\s+", " "))
     return vulns.groupBy(key.alias("model_key")).agg(F.min(model).alias("model"), F.count("*").alias("n"))
+
+
+def with_cwe(vulns: DataFrame, bridge: DataFrame, cwe: str) -> DataFrame:
+    """Vulnerabilities that the bridge (vulnerability_identifier, cwe_id) links to a CWE, whatever its case is given in."""
+    linked = bridge.where(F.col("cwe_id") == cwe.upper()).select(F.col("vulnerability_identifier").alias("identifier"))
+    return vulns.join(linked, "identifier", "left_semi")

@@ -69,6 +69,25 @@ def compound_members(description: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.filter(lists, lambda ms: F.forall(ms, lambda m: m.contains("."))))))
 
 
+def parameter_entities(parameters: DataFrame, candidates: DataFrame) -> DataFrame:
+    """identity, member_count, literal_values, selector_values, operation_selector and source_constructs of parameters that are one.
+
+    Parameters of equal owner alignment, namespace and name are one; an owner that is no
+    candidate aligns by itself.  candidates: candidate_id, alignment.  Lists are distinct and sorted.
+    """
+    owners = candidates.select(F.col("candidate_id").alias("owner_ref"), "alignment").dropDuplicates(["owner_ref"])
+    ref = F.coalesce("owner_ref", F.lit(""))
+    owned = parameters.join(owners, "owner_ref", "left")
+    identity = F.concat_ws("|", F.coalesce("alignment", F.concat(F.lit("unresolved-owner|"), ref)), F.coalesce("namespace", F.lit("")), F.coalesce("name", F.lit("")))
+    # selectors meet one by one, so that only a parameter's distinct ones are gathered
+    rows = owned.select(identity.alias("identity"), "literal_value", "is_operation_selector", "source_construct", "selector_values")
+    values = rows.select("identity", F.explode("selector_values").alias("v")).groupBy("identity").agg(F.array_sort(F.collect_set("v")).alias("selector_values"))
+    entities = rows.groupBy("identity").agg(
+        F.count("*").alias("member_count"), F.array_sort(F.collect_set("literal_value")).alias("literal_values"), F.bool_or(F.coalesce("is_operation_selector", F.lit(False))).alias("operation_selector"), F.array_sort(F.collect_set(F.coalesce("source_construct", F.lit("")))).alias("source_constructs"),
+    )
+    return entities.join(values, "identity", "left").withColumn("selector_values", F.coalesce("selector_values", F.array().cast("array<string>")))
+
+
 def compare_expectations(expectations: DataFrame, observed: DataFrame, complete: bool = True) -> DataFrame:
     """Status and gap reason of each expectation against a catalogue's candidates.
 

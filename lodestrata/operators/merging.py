@@ -146,3 +146,22 @@ def checked_union(batches: DataFrame, key: str) -> DataFrame:
     twice = same.groupBy(key).agg(F.count("*").alias("__n"))
     checked = same.join(twice, key).withColumn("__content", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("conflicting rows for "), F.col(key).cast("string")))).otherwise(F.col("__content")))
     return checked.where("__content is not null").select(*batches.columns)
+
+
+def analysis_fingerprint(version: str, prompt: str, active: Column, base_url: Column, model: Column) -> Column:
+    """What an analysis was made by: the analyser's version, and where a model took part its prompt, address and name."""
+    by_model = F.concat(F.lit(f"{version}+{prompt}@"), F.rtrim(base_url, F.lit("/")), F.lit(":"), model)
+    return F.when(F.coalesce(active, F.lit(False)), by_model).otherwise(version)
+
+
+def bridge_replaced(bridge: DataFrame, records: DataFrame, column: str = "cwes", key: str = "identifier") -> DataFrame:
+    """The bridge (key, value) in which each record's values replace those that it had; other keys stay."""
+    value = [c for c in bridge.columns if c != key][0]
+    kept = bridge.join(records.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(records.select(key, F.explode(column).alias(value)).distinct())
+
+
+def records_rewritten(stored: DataFrame, merged: DataFrame, now: str, key: str = "identifier") -> DataFrame:
+    """Merged records as they are stored: ``ingested_at`` of those known stays, ``updated_at`` is now."""
+    known = stored.select(key, F.col("ingested_at").alias("__since"))
+    return merged.join(known, key, "left").withColumns({"ingested_at": F.coalesce("__since", F.lit(now)), "updated_at": F.lit(now)}).drop("__since")

@@ -50,6 +50,10 @@ class Policy:
         if any(len(g) > 100 for g in (self.firmware, self.devices, self.watched, self.vendors)):
             raise ValueError("a group holds 100 terms at most")
 
+    def updated(self, value: Mapping[str, object]) -> Policy:
+        """This policy with the fields that a partial one gives."""
+        return Policy.from_dict({f.name: getattr(self, f.name) for f in fields(self)} | dict(value))
+
     @classmethod
     def from_dict(cls, value: Mapping[str, object]) -> Policy:
         """Known fields only; terms are trimmed and empty ones left out."""

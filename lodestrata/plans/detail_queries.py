@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import models
 from lodestrata.functions.versions import meaningful_identity
-from lodestrata.operators import graph, history, relevance, storage
+from lodestrata.operators import catalogue, correlation, exploration, graph, history, merging, paging, relevance, storage
 from lodestrata.plans.catalogue_queries import _sql
 from lodestrata.plans.queries import query
 from lodestrata.sources import feeds, producers
@@ -160,3 +160,116 @@ _sql("corpus_judged", """WITH s AS (SELECT o_custkey % 300 AS category, CASE WHE
   WHEN o_orderkey % 3 = 0 THEN 'verified' WHEN o_orderkey % 3 = 1 THEN 'derived_only' ELSE 'contract_only' END AS status FROM orders),
  c AS (SELECT category, count(*) AS samples, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'derived_only') AS derived_only, count(*) FILTER (status = 'coverage_gap') AS coverage_gap, count(*) FILTER (status = 'contract_only') AS contract_only FROM s GROUP BY category)
 SELECT category, CASE WHEN verified > 0 THEN 'verified' WHEN derived_only > 0 THEN 'derived_only' WHEN coverage_gap > 0 THEN 'coverage_gap' WHEN contract_only > 0 THEN 'contract_only' ELSE 'acquisition_gap' END AS category_status, samples, verified, derived_only, coverage_gap, contract_only FROM c""")
+
+
+# what records, catalogues and runs hold
+
+@query
+def parameters_grouped(v):
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = v("lineitem").select(
+        F.concat(F.lit("c"), F.col("l_partkey") % 300).alias("owner_ref"), F.when(n % 3 != 0, "query").alias("namespace"), F.concat(F.lit("arg"), F.col("l_suppkey") % 9).alias("name"), F.when(o % 4 == 0, (o % 3).cast("string")).alias("literal_value"), (o % 101 == 0).alias("is_operation_selector"),
+        F.when(n % 2 == 0, "form").alias("source_construct"), F.when(o % 5 == 0, F.array(F.concat(F.lit("s"), o % 4), F.concat(F.lit("s"), n % 4))).otherwise(F.array().cast("array<string>")).alias("selector_values"),
+    )
+    candidates = v("customer").where("c_custkey % 300 < 200").select(F.concat(F.lit("c"), F.col("c_custkey") % 300).alias("candidate_id"), F.concat(F.lit("frontend_request|/x"), F.col("c_custkey") % 300 % 50).alias("alignment")).distinct()
+    found = history.parameter_entities(rows, candidates)
+    return found.select("identity", "member_count", "operation_selector", *(F.array_join(c, ",").alias(c) for c in ("literal_values", "selector_values", "source_constructs")))
+
+
+_sql("parameters_grouped", """WITH o AS (SELECT DISTINCT 'c' || (c_custkey % 300) AS owner, 'frontend_request|/x' || (c_custkey % 300 % 50) AS alignment FROM customer WHERE c_custkey % 300 < 200),
+ p AS (SELECT coalesce(alignment, 'unresolved-owner|c' || (l_partkey % 300)) || '|' || CASE WHEN l_linenumber % 3 <> 0 THEN 'query' ELSE '' END || '|arg' || (l_suppkey % 9) AS identity, * FROM lineitem LEFT JOIN o ON owner = 'c' || (l_partkey % 300)),
+ s AS (SELECT identity, string_agg(DISTINCT x, ',' ORDER BY x) AS selector_values FROM (SELECT identity, unnest(['s' || (l_orderkey % 4), 's' || (l_linenumber % 4)]) AS x FROM p WHERE l_orderkey % 5 = 0) GROUP BY identity)
+SELECT identity, count(*) AS member_count, bool_or(l_orderkey % 101 = 0) AS operation_selector, coalesce(string_agg(DISTINCT CASE WHEN l_orderkey % 4 = 0 THEN CAST(l_orderkey % 3 AS VARCHAR) END, ',' ORDER BY CASE WHEN l_orderkey % 4 = 0 THEN CAST(l_orderkey % 3 AS VARCHAR) END), '') AS literal_values, any_value(coalesce(selector_values, '')) AS selector_values,
+ string_agg(DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'form' ELSE '' END, ',' ORDER BY CASE WHEN l_linenumber % 2 = 0 THEN 'form' ELSE '' END) AS source_constructs FROM p LEFT JOIN s USING (identity) GROUP BY identity""")
+
+
+@query
+def bus_references(v):
+    k = F.col("p_partkey")
+    endpoint = F.when(k % 5 == 0, F.concat(F.lit("/ubus://x/"), k)).when(k % 5 == 1, F.concat(F.lit("ubus://"), "p_brand", F.lit("/get/"), k % 7)).when(k % 5 == 2, "ubus:///get").when(k % 5 == 3, F.concat(F.lit("ubus://"), "p_brand", F.lit("/"))).otherwise(F.concat(F.lit("ubus://net/set"), k % 3))
+    rows = v("part").select(F.concat(F.lit("c"), k).alias("candidate_id"), endpoint.alias("endpoint"), F.array(F.concat(F.lit("e"), k % 9)).alias("evidence_ids"))
+    return correlation.bus_operations(rows.unionByName(rows)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+_sql("bus_references", """SELECT 'c' || p_partkey AS operation_ref, CASE WHEN p_partkey % 5 = 1 THEN p_brand ELSE 'net' END AS object_name, CASE WHEN p_partkey % 5 = 1 THEN 'get/' || (p_partkey % 7) ELSE 'set' || (p_partkey % 3) END AS method_name, 'e' || (p_partkey % 9) AS evidence_ids FROM part WHERE p_partkey % 5 IN (1, 4)""")
+
+
+@query
+def cwe_semi_join(v):
+    bridge = v("vulns").select(F.col("identifier").alias("vulnerability_identifier"), F.explode(F.split("cwe_list", ";")).alias("cwe_id"))
+    return exploration.with_cwe(v("vulns"), bridge, "cwe-7").select("identifier", "title")
+
+
+_sql("cwe_semi_join", "SELECT identifier, title FROM vulns WHERE list_contains(string_split(cwe_list, ';'), 'CWE-7')", "vulns")
+
+
+@query
+def fingerprints_of_settings(v):
+    k = F.col("s_suppkey")
+    made = merging.analysis_fingerprint("rules-1", "prompt-2", F.when(k % 4 != 0, k % 3 == 0), F.concat(F.lit("http://m"), k, F.when(k % 2 == 0, "//").otherwise("")), F.col("s_name"))
+    return v("supplier").select("s_suppkey", made.alias("fingerprint"))
+
+
+_sql("fingerprints_of_settings", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey % 3 = 0 THEN 'rules-1+prompt-2@http://m' || s_suppkey || ':' || s_name ELSE 'rules-1' END AS fingerprint FROM supplier")
+
+
+@query
+def bridge_rewritten(v):
+    """A bridge after some records came again with other CWEs, some with none."""
+    vulns = v("vulns").withColumn("cwes", F.split("cwe_list", ";"))
+    bridge = vulns.where("vid % 3 <> 2").select("identifier", F.explode("cwes").alias("cwe_id")).distinct()
+    news = vulns.where("vid % 3 <> 0").select("identifier", F.when(F.col("vid") % 2 == 0, F.array(F.lit("CWE-1"), F.concat(F.lit("CWE-"), F.col("vid") % 5))).otherwise(F.array().cast("array<string>")).alias("cwes"))
+    return merging.bridge_replaced(bridge, news)
+
+
+_sql("bridge_rewritten", """SELECT DISTINCT identifier, unnest(string_split(cwe_list, ';')) AS cwe_id FROM vulns WHERE vid % 3 = 0 UNION ALL SELECT DISTINCT identifier, unnest(['CWE-1', 'CWE-' || (vid % 5)]) FROM vulns WHERE vid % 3 <> 0 AND vid % 2 = 0""", "vulns")
+
+
+@query
+def records_written(v):
+    c = F.col("c_custkey")
+    stored = v("customer").where(c % 3 == 0).select(F.concat(F.lit("V"), c).alias("identifier"), F.concat(F.lit("2020-01-"), F.lpad((c % 28 + 1).cast("string"), 2, "0")).alias("ingested_at"))
+    return merging.records_rewritten(stored, v("customer").select(F.concat(F.lit("V"), c).alias("identifier"), F.col("c_name").alias("title")), "2024-02-03")
+
+
+_sql("records_written", "SELECT 'V' || c_custkey AS identifier, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN '2020-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') ELSE '2024-02-03' END AS ingested_at, '2024-02-03' AS updated_at FROM customer")
+
+
+@query
+def collection_failures(v):
+    s = F.col("s_suppkey")
+    loads = v("supplier").select(F.col("s_name").alias("source"), F.when(s % 7 == 0, "timeout").alias("error"), F.when(s % 5 != 0, s * 3).alias("records"))
+    leads = v("lineitem").join(v("supplier"), F.col("l_suppkey") == s).select(F.concat(F.lit("fw:"), F.col("l_partkey") + F.when(F.col("l_orderkey") % 6 == 0, 1_000_000).otherwise(0)).alias("candidate_id"), F.col("s_name").alias("source"))
+    kept, failures = catalogue.collect_catalogue(v("candidates"), leads, loads)
+    return failures.unionByName(kept.groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit("leads").alias("reason"), "n"))
+
+
+_sql("collection_failures", """WITH l AS (SELECT s_name AS source, l_orderkey % 6 = 0 OR l_partkey NOT IN (SELECT p_partkey FROM part) AS lost FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT s_name AS source, 'failed: timeout' AS reason, CAST(CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 3 ELSE 0 END AS BIGINT) AS n FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT s_name, 'empty', 0 FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 = 0
+UNION ALL SELECT source, 'leads_without_candidate', count(*) FROM l WHERE lost GROUP BY source UNION ALL SELECT source, 'leads', count(*) FROM l WHERE NOT lost GROUP BY source""")
+
+
+@query
+def graphs_listed(v):
+    """A page of published graphs, newest first."""
+    o = v("orders").select(F.concat(F.lit("g"), F.col("o_orderkey")).alias("graph_id"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("published_at"))
+    return paging.page(o, [F.desc("published_at"), F.col("graph_id")], 40, 20)
+
+
+_sql("graphs_listed", "SELECT 'g' || o_orderkey AS graph_id, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS published_at FROM orders ORDER BY published_at DESC, graph_id LIMIT 40 OFFSET 20")
+
+
+@query
+def reclassified_partly(v):
+    """A partial policy changes what it names; the rest of the old one stays."""
+    old = relevance.Policy.from_dict({"firmware": ("u-boot",), "strong": 60, "likely": 40, "review": 20})
+    return exploration.level_counts(relevance.classify(v("vulns").drop("relevance_level").withColumns({"cpes": F.array("cpe"), "references": F.array("reference")}), old.updated({"devices": [" router "], "likely": 45})))
+
+
+def _reclassified() -> str:
+    from lodestrata.plans.oracles import _relevance
+
+    return f"WITH {_relevance(relevance.Policy(firmware=('u-boot',), devices=('router',), strong=60, likely=45, review=20))} SELECT relevance_level, count(*) AS n FROM scored GROUP BY ALL"
+
+
+_sql("reclassified_partly", _reclassified(), "vulns")
