@@ -107,8 +107,9 @@ def run_obligations(initial: DataFrame, analyzers: dict[str, tuple[str, Analyzer
         turn = settle(pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "place"))
         if turn.isEmpty():
             return now, "fixed_point"
+        # each round's pairs are written once, as its turns: what was met before is not written again
         seen = turn.select("obligation_id", "analyzer")
-        met = settle(seen if met is None else met.unionByName(seen))
+        met = seen if met is None else met.unionByName(seen)
         resolved, generated = None, None
         for name, (_, analyze) in sorted(analyzers.items()):
             r, g = analyze(turn.where(F.col("analyzer") == name).select(*columns))

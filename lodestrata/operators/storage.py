@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,35 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/operators/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+_scopes: list[list[str]] = []
+
+
+def settle(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The lineage ends there: lost executors cost no recomputation of what lies before, and values
+    that a rerun could deal otherwise (row ids) are fixed.  Within ``scratch`` the table goes when
+    that scope ends, unless ``keep``; else it stays, as the frame that is returned may read it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled within are deleted at the end, but for those that are to be kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stable_id(prefix: str, *columns: str):
     return F.concat(F.lit(f"{prefix}:"), F.sha2(F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))), 256))
 

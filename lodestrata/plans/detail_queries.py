@@ -273,3 +273,19 @@ def _reclassified() -> str:
 
 
 _sql("reclassified_partly", _reclassified(), "vulns")
+
+
+@query
+def device_models(v):
+    """Devices by vendor and product, or by their CPE where these are unknown."""
+    m = models.firmware_model(F.col("vendor"), F.col("product"), F.col("title"), F.col("summary"), F.array("cpe"))
+    return v("devices").select("n", m.alias("m")).select("n", "m.key", "m.vendor", "m.model", "m.source", "m.alignment", F.col("m.version_summary").alias("versions"))
+
+
+_sql("device_models", f"""WITH c AS (SELECT *, split_part(cpe, ':', 4) AS cv, replace(split_part(cpe, ':', 5), '_', ' ') AS cp, split_part(cpe, ':', 6) AS version, lower(trim(coalesce(vendor, ''))) IN ('', 'n/a', 'unknown', 'unspecified') AS no_vendor, lower(trim(coalesce(product, ''))) IN ('', 'n/a', 'unknown', 'unspecified') AS by_cpe FROM devices),
+ a AS (SELECT *, CASE WHEN NOT no_vendor THEN trim(vendor) WHEN cv = 'dlink' THEN 'D-Link' WHEN cv = 'acme_corp' THEN 'Acme Corp' ELSE '' END AS v, trim(regexp_replace(CASE WHEN by_cpe THEN cp ELSE trim(product) END, '\\s+(device\\s+)?(firmware|software)$', '', 'i')) AS m1 FROM c),
+ b AS (SELECT *, CASE WHEN v <> '' AND starts_with(lower(m1), lower(v) || ' ') THEN trim(substr(m1, length(v) + 1)) ELSE m1 END AS m2 FROM a),
+ d AS (SELECT *, CASE WHEN by_cpe THEN array_to_string([CASE WHEN regexp_matches(w, '[0-9]') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END FOR w IN list_filter(string_split_regex(m2, '\\s+'), lambda w: lower(w) NOT IN ('firmware', 'software'))], ' ') ELSE m2 END AS model,
+   list_distinct(list_filter(regexp_extract_all(lower(cp), '[a-z0-9]+'), lambda w: w NOT IN ('firmware', 'software'))) AS theirs, regexp_extract_all(lower(concat_ws(' ', trim(coalesce(product, '')), title, summary)), '[a-z0-9]+') AS told FROM b)
+SELECT n, trim(regexp_replace(lower(concat_ws(' ', v, model)), '\\s+', ' ', 'g')) AS key, CASE WHEN v <> '' THEN v ELSE '{models.NO_VENDOR_LABEL}' END AS vendor, model, CASE WHEN by_cpe THEN 'cpe' ELSE 'description' END AS source,
+ CASE WHEN by_cpe THEN 'cpe_fallback' WHEN len(theirs) > 0 AND len(list_filter(theirs, lambda w: list_contains(told, w))) >= greatest(1, len(theirs) // 2) THEN 'aligned' ELSE 'description_primary' END AS alignment, CASE WHEN version = '-' THEN '{models.NO_VERSION}' ELSE version END AS versions FROM d""", "devices")

@@ -140,6 +140,11 @@ SELECT o_orderkey AS n, concat('CVE-2021-', CAST(o_orderkey AS STRING)) AS ident
 SELECT c_custkey AS n, concat('host 10.1.', CAST(c_custkey % 9 AS STRING), '.7 ', CASE c_custkey % 14 WHEN 0 THEN 'mac 00:11:22:33:44:5a plain' WHEN 1 THEN 'Api-Key = x' WHEN 2 THEN 'my token is fine' WHEN 3 THEN 'password: a' WHEN 4 THEN 'Bearer abc.def' WHEN 5 THEN 'bearer' WHEN 6 THEN '-----BEGIN KEY'
    WHEN 7 THEN repeat('ab', 32) WHEN 8 THEN repeat('a', 47) WHEN 9 THEN repeat('x_', 32) WHEN 10 THEN '1.2.3 and 300.300.300.300 v1.2.3.4x' WHEN 11 THEN '001:11:22:33:44:55:66 tokens = 3 secretive: 1' WHEN 12 THEN 'my-secret= 1' ELSE repeat('long words ', 30) END,
    CASE WHEN c_custkey % 5 = 0 THEN ' 192.168.0.1:80 AA:BB:CC:DD:EE:FF' ELSE '' END) AS text FROM {customer}""",
+    "devices": """
+SELECT p_partkey AS n, CASE p_partkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN CAST(NULL AS STRING) WHEN 2 THEN ' Tenda ' ELSE p_brand END AS vendor,
+   CASE p_partkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN concat(p_brand, ' R', CAST(p_size AS STRING), ' Device Firmware') WHEN 2 THEN concat('tenda AC', CAST(p_size AS STRING)) ELSE concat(p_name, ' software') END AS product,
+   concat('Bug in ', p_name) AS title, CASE WHEN p_partkey % 4 = 0 THEN concat('seen in ac', CAST(p_size AS STRING), ' firmware') ELSE '' END AS summary,
+   concat('cpe:2.3:o:', CASE p_partkey % 7 WHEN 0 THEN 'dlink' WHEN 1 THEN '*' ELSE 'acme_corp' END, ':ac', CAST(p_size AS STRING), '_firmware:', CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE concat('1.', CAST(p_size AS STRING)) END, ':*:*:*:*:*:*:*') AS cpe FROM {part}""",
     "notes": """
 SELECT o_orderkey AS n, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'See ' ELSE 'x' END, 'CVE-2020-', CAST(o_orderkey % 40 AS STRING), ' and CNVD-2019-', CAST(o_custkey % 7 AS STRING), ', CVE-2020-', CAST(o_custkey % 20 AS STRING), '; CVE-20-1 cve-2020-2 BM-2024-', CAST(o_custkey % 3 AS STRING),
    CASE WHEN o_orderkey % 4 = 0 THEN ' (CVE-2021-7) BM-2024-9, BM-2024-1x' ELSE '.' END) AS text FROM {orders}""",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrata.operators import merging
-from lodestrata.operators.storage import settle
+from lodestrata.operators.storage import scratch, settle
 from lodestrata.streaming.ingest import stream_name
 
 
@@ -66,13 +66,14 @@ class KeyedTable:
 
     def apply(self, batch: DataFrame, summary: Summary | None = None) -> list[int]:
         """Merge a batch into the buckets of its keys; which those are, at most ``buckets``."""
-        news = settle(self._in_buckets(merging.merge_states(batch.select(*self._records().columns), self.order, self.key)))
-        touched = sorted(r.bucket for r in news.select("bucket").distinct().collect())
-        if not touched:
-            return []
-        old = self.states().where(F.col("bucket").isin(touched))  # a filter on the partitions
-        now = settle(merging.combined_states(old.unionByName(news), self.key, "bucket"))
-        overwrite(now.repartition("bucket"), f"{self.path}/states", "bucket")
+        with scratch(self.spark):  # what is settled here is in the table at the end
+            news = settle(self._in_buckets(merging.merge_states(batch.select(*self._records().columns), self.order, self.key)))
+            touched = sorted(r.bucket for r in news.select("bucket").distinct().collect())
+            if not touched:
+                return []
+            old = self.states().where(F.col("bucket").isin(touched))  # a filter on the partitions
+            now = settle(merging.combined_states(old.unionByName(news), self.key, "bucket"))
+            overwrite(now.repartition("bucket"), f"{self.path}/states", "bucket")
         if summary is not None:
             self.summarise(summary, touched)
         return touched
@@ -141,10 +142,11 @@ def merge_stream(records: DataFrame, table: KeyedTable, checkpoint: str, summary
     name = stream_name(checkpoint)
 
     def each(batch: DataFrame, n: int) -> None:
-        rows = settle(batch)
-        table.apply(rows, summary)
-        if cursors is not None:
-            cursors.save(rows.agg(F.max(cursor).alias("cursor")).select(F.lit(source).alias("source"), "cursor").where("cursor is not null"), f"{name}-{n}")
+        with scratch(table.spark):
+            rows = settle(batch)
+            table.apply(rows, summary)
+            if cursors is not None:
+                cursors.save(rows.agg(F.max(cursor).alias("cursor")).select(F.lit(source).alias("source"), "cursor").where("cursor is not null"), f"{name}-{n}")
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
