@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 STYLES = ("form_handler", "cgi_gateway", "hnap_soap", "resource_api", "web_action", "rpc_command", "management_route")
 #: File names that many actions share, folders of management modules, words that tell nothing.
 SHARED_CGI = ("cstecgi.cgi", "webproc", "apply.cgi", "cgi", "main")
-MANAGEMENT_FOLDERS = ("/admin/", "/web/", "/cgi/", "/management/", "/manage/")
+MANAGEMENT_FOLDERS = ("admin", "web", "cgi", "management", "manage")
+DATA_SUFFIXES, MEDIA_SUFFIXES = ("xml", "json"), ("jpg", "jpeg", "png", "gif", "mp4", "mjpg")
 CALL_KINDS = ("rpc", "command", "topic", "socket", "device_node")
 TERM_STOPWORDS = ("cgi", "api", "goform", "hnap")
 
@@ -55,17 +56,26 @@ def interface_subtype(value: Column, style: Column, kind: Column | None = None,
     )
     bare = F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), "[/.]+$", "")
     hnap = F.when(bare == "/hnap1", "hnap_envelope_dispatcher").when(bare.startswith("/hnap1/"), "hnap_uri_method").when(bare.startswith("/control/"), "upnp_service_control").otherwise("soap_service_endpoint")
+    parts = F.split(low, "/")
+    first, second, more = F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.coalesce(F.get(parts, F.lit(2)), F.lit("")), lambda n: F.size(parts) > n
+    rooted = F.get(parts, F.lit(0)) == ""
+    digits = lambda x: F.forall(F.split(x, "[.]"), lambda d: (d != "") & (F.translate(d, "0123456789", "") == "")) & (F.size(F.split(x, "[.]")) <= 2)
+    numbered = lambda x: digits(x) | (x.startswith("v") & digits(F.substr(x, F.lit(2))))
+    versioned = F.when(first == "api", numbered(second) & more(3)).otherwise(first.startswith("v") & numbered(first) & more(2))
     api = (
-        F.when(low.rlike(r"^/(?:api/)?v\d+(?:\.\d+)?/") | low.rlike(r"^/api/\d+(?:\.\d+)?/"), "versioned_resource_router").when(low.startswith("/rest/"), "rest_resource_tree")
-        .when(low.startswith("/api/") & (slashes >= 3), "namespaced_api_router").otherwise("flat_api_registry")
+        F.when(rooted & versioned, "versioned_resource_router").when(rooted & (first == "rest") & more(2), "rest_resource_tree")
+        .when(rooted & (first == "api") & more(3), "namespaced_api_router").otherwise("flat_api_registry")
     )
     rpc = (
         F.when(context.rlike("command|exec|shell|cmd"), "command_execution").when(context.rlike("topic|mqtt|message|publish|subscribe"), "message_topic")
         .when((k == "device_node") | F.trim(context).startswith("/dev/"), "device_node").otherwise("rpc_method")
     )
+    suffixed = lambda *names: F.exists(parts, lambda x: x.contains(".") & F.substring_index(x, ".", -1).isin(*names))
+    own = F.split(F.trim(F.coalesce(value, F.lit(""))), "/")
+    alone = (F.size(own) == 2) & (F.get(own, F.lit(0)) == "") & F.get(own, F.lit(1)).rlike("^[A-Za-z]") & (F.regexp_replace(F.get(own, F.lit(1)), r"[\w-]", "") == "")
     management = (
-        F.when(low.startswith("/boafrm/"), "boafrm_handler_registry").when(low.rlike(r"\.(?:xml|json)(?:/|$)"), "structured_data_endpoint").when(low.rlike(r"\.(?:jpe?g|png|gif|mp4|mjpg)(?:/|$)"), "media_endpoint")
-        .when(_starts(low, *MANAGEMENT_FOLDERS), "namespaced_management_router").when(F.trim(F.coalesce(value, F.lit(""))).rlike(r"^/[A-Za-z][\w-]*$"), "flat_named_management_handler").otherwise("unresolved_management_route")
+        F.when(rooted & (first == "boafrm") & more(2), "boafrm_handler_registry").when(suffixed(*DATA_SUFFIXES), "structured_data_endpoint").when(suffixed(*MEDIA_SUFFIXES), "media_endpoint")
+        .when(rooted & first.isin(*MANAGEMENT_FOLDERS) & more(2), "namespaced_management_router").when(F.coalesce(alone, F.lit(False)), "flat_named_management_handler").otherwise("unresolved_management_route")
     )
     out = F.lit("")
     for name, expression in zip(STYLES, (form, cgi, hnap, api, web, rpc, management)):

@@ -16,6 +16,9 @@ NO_VERSION = ("", "*", "-", "n/a", "na", "none", "null", "unknown", "unspecified
 NO_IDENTITY = ("", "*", "-", "n/a", "na", "not applicable", "unknown", "unspecified")
 #: Archive suffixes of file names.
 ARCHIVES = "zip|bin|img|trx|chk|tar|gz|rar|exe"
+#: Patterns of versions in file names, with dots and with a tag before a number.
+DOTTED_VERSION = r"(?i)(?<![a-z0-9])([a-z]?\d+(?:[._-]\d+){1,6}(?:[a-z]+\d*)?)"
+TAGGED_VERSION = r"(?i)(?:^|[_-])(?:fw|firmware|ver|version|bios|v)[_-]?(\d{3,8}[a-z]?)(?=[_.-]|$)"
 #: Words that say nothing about a product.
 NOISE = "firmware|software|router|gateway|device|series|version"
 #: Vendor names that mean another.
@@ -134,10 +137,8 @@ def with_candidate_versions(df: DataFrame, filename: Column, declared: Column, i
     found = lambda pattern: F.regexp_extract_all(F.col("__name"), F.lit(pattern), 1)
     raw = lambda source, confidence: lambda r: F.struct(r.alias("raw"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
     own = F.when(meaningful_version(F.col("__stated")) & ~F.col("__stated").rlike(rf"(?i)\.(?:{ARCHIVES})$"), F.array("__stated")).otherwise(F.array().cast("array<string>"))
-    dotted = r"(?i)(?<![a-z0-9])([a-z]?\d+(?:[._-]\d+){1,6}(?:[a-z]+\d*)?)"
-    tagged = r"(?i)(?:^|[_-])(?:fw|firmware|ver|version|bios|v)[_-]?(\d{3,8}[a-z]?)(?=[_.-]|$)"
     out = df.withColumn("__stated", stated).withColumn("__name", F.coalesce(F.nullif(filename, F.lit("")), stated))
-    out = out.withColumn("__raws", F.concat(F.transform(own, raw("declared", "high")), F.transform(found(dotted), raw("filename", "medium")), F.transform(found(tagged), raw("filename", "low"))))
+    out = out.withColumn("__raws", F.concat(F.transform(own, raw("declared", "high")), F.transform(found(DOTTED_VERSION), raw("filename", "medium")), F.transform(found(TAGGED_VERSION), raw("filename", "low"))))
     out = out.withColumn("__all", F.transform("__raws", lambda x: F.struct(x["raw"].alias("raw"), normalize_version(x["raw"]).alias("normalized"), x["source"].alias("source"), x["confidence"].alias("confidence"))))
     tokens = lambda v: F.array_join(F.transform(F.regexp_extract_all(v, F.lit("([0-9]+|[a-z]+)"), 1), lambda t: F.regexp_replace(t, "^0+(?=[0-9])", "")), ".")
     out = out.withColumn("__kept", F.filter("__all", lambda x: ~x["normalized"].isin(*NO_VERSION) & x["normalized"].rlike("[0-9a-z]"))).withColumn("__keys", F.transform("__kept", lambda x: tokens(x["normalized"])))

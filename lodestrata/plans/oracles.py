@@ -47,7 +47,7 @@ def subtype_sql(value: str = "value", component: str = "component", kind: str =
  WHEN 'rpc_command' THEN CASE WHEN regexp_matches({context}, 'command|exec|shell|cmd') THEN 'command_execution' WHEN regexp_matches({context}, 'topic|mqtt|message|publish|subscribe') THEN 'message_topic'
    WHEN lower({kind}) = 'device_node' OR starts_with(trim({context}), '/dev/') THEN 'device_node' ELSE 'rpc_method' END
  WHEN 'management_route' THEN CASE WHEN starts_with({low}, '/boafrm/') THEN 'boafrm_handler_registry' WHEN regexp_matches({low}, '\\.(xml|json)(/|$)') THEN 'structured_data_endpoint' WHEN regexp_matches({low}, '\\.(jpe?g|png|gif|mp4|mjpg)(/|$)') THEN 'media_endpoint'
-   WHEN {_any(low, MANAGEMENT_FOLDERS)} THEN 'namespaced_management_router' WHEN regexp_matches(trim({value}), '^/[A-Za-z][A-Za-z0-9_-]*$') THEN 'flat_named_management_handler' ELSE 'unresolved_management_route' END
+   WHEN {_any(low, tuple(f'/{x}/' for x in MANAGEMENT_FOLDERS))} THEN 'namespaced_management_router' WHEN regexp_matches(trim({value}), '^/[A-Za-z][A-Za-z0-9_-]*$') THEN 'flat_named_management_handler' ELSE 'unresolved_management_route' END
  ELSE '' END"""
 
 
