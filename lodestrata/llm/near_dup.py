@@ -50,8 +50,9 @@ SKETCH_WORDS = REGISTERS * SKETCH_BITS // 64
 #: Sketches of a pair that is verified at once differ in so many bits at most: 0.65 similar, over
 #: four deviations below 0.8.  Pairs beyond stay apart there and meet in the second comparison.
 MOST_BITS = int(REGISTERS * SKETCH_BITS * (1 - 0.65) / 2)
-#: Bits of the sketch that tells how many shingles differ.
-PARITY_BITS = 1024
+#: 64-bit words of the sketch that tells how much weight differs: for each weight its first word and how many it has.
+PARITY_WORDS = 16
+PARITY_OF = {1: (0, 1), 2: (0, 1), 3: (1, 2), 4: (3, 5), 5: (8, 5), 6: (13, 3)}
 #: Leaders of each bucket in the first comparison.
 LEADERS = 3
 #: Nodes of one shingle that meet in one task of the second comparison.
@@ -152,20 +153,18 @@ def sketch(text: Column) -> Column:
 def shingle_set(text: Column) -> Column:
     """Struct: the distinct shingles as 64-bit values, and their parity sketch.
 
-    In the sketch, each shingle flips as many of ``PARITY_BITS`` bits as it weighs.  Two sketches
-    never differ in more bits than the sets do in weight, so they rule pairs out for certain.
+    In the sketch, each shingle flips one of the bits of its weight.  Two sketches never differ in
+    more bits of a weight than the sets do in shingles of it, so they rule pairs out for certain.
     """
+    first, many = (np.array([0, *(PARITY_OF[w][k] for w in sorted(PARITY_OF))]) for k in (0, 1))
 
     def kernel(texts: pa.Array) -> pa.Array:
         d, h, weight = shingles(texts)
-        parity = np.zeros(len(texts) * PARITY_BITS // 64, np.uint64)
-        of = np.repeat(np.arange(len(h)), weight)
-        with np.errstate(over="ignore"):
-            flips = kernels.mix(h[of] + np.arange(len(of), dtype=np.uint64) - np.repeat(np.cumsum(weight) - weight, weight).astype(np.uint64))
-        bit = (flips >> np.uint64(32)).astype(np.int64) % PARITY_BITS
-        np.bitwise_xor.at(parity, d[of] * (PARITY_BITS // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        parity = np.zeros(len(texts) * PARITY_WORDS, np.uint64)
+        bit = (h >> np.uint64(32)).astype(np.int64) % (64 * many[weight])
+        np.bitwise_xor.at(parity, d * PARITY_WORDS + first[weight] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
         sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(d, minlength=len(texts)))), pa.int32()), pa.array(h.view(np.int64)))
-        sketches = pa.ListArray.from_arrays(np.arange(0, len(parity) + 1, PARITY_BITS // 64, dtype=np.int32), pa.array(parity.view(np.int64)))
+        sketches = pa.ListArray.from_arrays(np.arange(0, len(parity) + 1, PARITY_WORDS, dtype=np.int32), pa.array(parity.view(np.int64)))
         return pa.StructArray.from_arrays([sets, sketches], ["shingles", "parity"])
 
     run = _per_batch(kernel)
@@ -181,6 +180,12 @@ def _differing_bits(x: str, y: str, words: int) -> Column:
     return reduce(lambda p, q: p + q, (F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words)))
 
 
+def _differing_weight(x: str, y: str) -> Column:
+    """At most the weight in which two sets differ: bits of several weights count as the least of them."""
+    least = [min(w for w, (at, n) in PARITY_OF.items() if at <= i < at + n) for i in range(PARITY_WORDS)]
+    return reduce(lambda p, q: p + q, (w * F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i, w in enumerate(least)))
+
+
 def _similar_sizes(x: str, y: str) -> Column:
     """Weights leave it possible that two nodes are similar enough."""
     return 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
@@ -231,7 +236,7 @@ def _crossing_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     rest = around.where("component <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     others = around.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # sets of weights a and b are similar enough if at most (100 - p) / (100 + p) of a + b differ
-    parity = (100 + PERCENT) * _differing_bits("x.parity", "y.parity", PARITY_BITS // 64) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
+    parity = (100 + PERCENT) * _differing_weight("x.parity", "y.parity") <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     crossing = (F.col("x.component") != F.col("y.component")) & _similar_sizes("x", "y") & parity
     meet = rest.alias("x").join(others.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & crossing)
     return meet.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -249,6 +250,17 @@ def test_weights_of_shingles():
     assert (h.astype(np.uint64) & np.uint64(7) == w.astype(np.uint64)).all()
 
 
+def test_parity_never_tells_more_weight_than_differs(spark):
+    r = np.random.default_rng(4)
+    words = ["a", "of", "abc", "words", "longer", "abcd", "x1", "seven"]
+    rows = [(i, " ".join(r.choice(words, r.integers(5, 300)))) for i in range(40)]
+    sets = spark.createDataFrame(rows, "id long, text string").select("id", near_dup.shingle_set(F.col("text")).alias("s")).select("id", "s.*")
+    x, y = (sets.select(F.struct("*").alias(n)) for n in "xy")
+    for p in x.crossJoin(y).select("x", "y", near_dup._differing_weight("x.parity", "y.parity").alias("least")).collect():
+        apart = set(p.x.shingles) ^ set(p.y.shingles)
+        assert p.least <= sum(s & 7 for s in apart) and (apart or not p.least)
+
+
 def test_probability_jaccard_of_equal_weights_is_the_weight_shared():
     """The definition over normalised weights of two sets, against shared weight over joint weight."""
     r = np.random.default_rng(2)
