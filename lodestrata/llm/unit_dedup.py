@@ -75,11 +75,11 @@ def _rank(doc_id: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.col("t").alias("t"), F.col("start").alias("start"))
 
 
-def _in_runs(found: DataFrame, least_run: int) -> DataFrame:
-    """Of repeated units those whose run of consecutive ones holds ``least_run`` words or more."""
+def _with_runs(found: DataFrame) -> DataFrame:
+    """Repeated units with the words of the run of consecutive ones that they stand in."""
     text = Window.partitionBy("doc_id", "t")
     runs = found.withColumn("run", F.col("n") - F.row_number().over(text.orderBy("n")))
-    return runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "t", "run"))).where(F.col("run_words") >= least_run)
+    return runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "t", "run")))
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, least_run: int = 0) -> DataFrame:
@@ -88,15 +88,16 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST
     With ``least_run``, only occurrences in runs of consecutive repeated units of so many words
     are reported; the earliest of all occurrences is kept even if it stands in no such run.
 
-    doc_id, t, start, end, words, kept (the earliest occurrence, which stays), kept_doc_id,
-    kept_start and copies.  ``start`` and ``end`` are places in the original text; ``copies``
-    counts all occurrences.  Rows equal in doc_id and text get one set of rows.
+    doc_id, t, start, end, words, run_words, kept (the earliest occurrence, which stays),
+    kept_doc_id, kept_start and copies.  ``start`` and ``end`` are places in the original text;
+    ``run_words`` are the words of the run that the unit stands in, by which a reader may draw the
+    line elsewhere; ``copies`` counts all occurrences.  Rows equal in doc_id and text get one set of rows.
     """
     units = settle(cut_units(docs, unit, least_words).dropDuplicates(["doc_id", "t", "start"]))
     groups = settle(units.groupBy("a", "b").agg(F.min(_rank(F.col("doc_id"))).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
     found = join_groups(units, groups, ["a", "b"], "copies")
-    return (_in_runs(found, least_run) if least_run else found).select(
-        "doc_id", "t", "start", "end", "words", _rank(F.col("doc_id")).eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies"
+    return _with_runs(found).where(F.col("run_words") >= least_run).select(
+        "doc_id", "t", "start", "end", "words", "run_words", _rank(F.col("doc_id")).eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies"
     )
 
 
@@ -156,5 +157,5 @@ WITH d AS (
 ), sized AS (
   SELECT *, sum(words) OVER (PARTITION BY doc_id, t, run) AS run_words FROM runs
 )
-SELECT doc_id, start, "end", words, place = 1 AS kept, kept_doc_id, kept_start, copies FROM sized WHERE run_words >= 25
+SELECT doc_id, start, "end", words, CAST(run_words AS BIGINT) AS run_words, place = 1 AS kept, kept_doc_id, kept_start, copies FROM sized WHERE run_words >= 25
 """
