@@ -24,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.storage import settle
+
 _SIGN = np.zeros(256, np.int8)
 _SIGN[[0x7B, 0x5B]], _SIGN[[0x7D, 0x5D]] = 1, -1
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\Z')
 _TAIL = 4096  # bytes before an array's bracket in which its key stands
+#: Blocks whose starts are sent to all tasks, about 100 bytes each; at 128 MB a block that is 128 TB.
+MOST_BLOCKS = 1 << 20
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -163,13 +167,14 @@ def read_array(spark: SparkSession, path: str, key: str | None = "vulnerabilitie
     """file, value (JSON of an object) and whole, for each object of the array below ``key`` of the file's object.
 
     Without ``key`` the file is the array itself.  Each block's start is a row that all tasks get:
-    some hundred bytes for every ``spark.sql.files.maxPartitionBytes`` of input.
+    some hundred bytes for every ``spark.sql.files.maxPartitionBytes`` of input, which is to be
+    raised where there are more than ``MOST_BLOCKS``.
     """
-    from lodestrata.operators.storage import settle
-
     level, name = (1, key.encode()) if key is not None else (0, b"")
     pieces = _pieces(spark, path)
     starts = settle(_block_starts(pieces))
+    if (n := starts.count()) > MOST_BLOCKS:
+        raise ValueError(f"{n} blocks: raise spark.sql.files.maxPartitionBytes")
     border_schema = "file string, block long, array binary, head binary, through binary, tail binary"
     borders = settle(pieces.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "in_string", "depth", "value").mapInArrow(_borders(level), border_schema))
     blocks = Window.partitionBy("file").orderBy("block")
