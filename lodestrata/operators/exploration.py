@@ -202,3 +202,19 @@ def with_cwe(vulns: DataFrame, bridge: DataFrame, cwe: str) -> DataFrame:
     """Vulnerabilities that the bridge (vulnerability_identifier, cwe_id) links to a CWE, whatever its case is given in."""
     linked = bridge.where(F.col("cwe_id") == cwe.upper()).select(F.col("vulnerability_identifier").alias("identifier"))
     return vulns.join(linked, "identifier", "left_semi")
+
+
+#: What stands for a subtype that no label describes.
+NO_SUBTYPE, INFERRED = "未分类", "基于路径语法、命名空间与分发形态推断。"
+
+
+def with_subtype_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (category, subtype) with label and description of the subtype.
+
+    labels: category, key, label, description, a row for each known subtype; others are named by
+    themselves.
+    """
+    known = labels.select("category", F.col("key").alias("subtype"), F.col("label").alias("__label"), F.col("description").alias("__text")).dropDuplicates(["category", "subtype"])
+    met = rows.join(known, ["category", "subtype"], "left")
+    own = F.coalesce(F.nullif(F.col("subtype"), F.lit("")), F.lit(NO_SUBTYPE))
+    return met.withColumns({"label": F.coalesce("__label", own), "description": F.coalesce("__text", F.lit(INFERRED))}).drop("__label", "__text")

@@ -289,3 +289,16 @@ _sql("device_models", f"""WITH c AS (SELECT *, split_part(cpe, ':', 4) AS cv, re
    list_distinct(list_filter(regexp_extract_all(lower(cp), '[a-z0-9]+'), lambda w: w NOT IN ('firmware', 'software'))) AS theirs, regexp_extract_all(lower(concat_ws(' ', trim(coalesce(product, '')), title, summary)), '[a-z0-9]+') AS told FROM b)
 SELECT n, trim(regexp_replace(lower(concat_ws(' ', v, model)), '\\s+', ' ', 'g')) AS key, CASE WHEN v <> '' THEN v ELSE '{models.NO_VENDOR_LABEL}' END AS vendor, model, CASE WHEN by_cpe THEN 'cpe' ELSE 'description' END AS source,
  CASE WHEN by_cpe THEN 'cpe_fallback' WHEN len(theirs) > 0 AND len(list_filter(theirs, lambda w: list_contains(told, w))) >= greatest(1, len(theirs) // 2) THEN 'aligned' ELSE 'description_primary' END AS alignment, CASE WHEN version = '-' THEN '{models.NO_VERSION}' ELSE version END AS versions FROM d""", "devices")
+
+
+@query
+def subtypes_labelled(v):
+    n = F.col("p_partkey")
+    labels = v("part").select((F.concat(F.lit("style"), n % 5)).alias("category"), F.concat(F.lit("sub"), n % 9).alias("key"), F.concat(F.lit("Label "), n % 5, F.lit("/"), n % 9).alias("label"), F.concat(F.lit("about "), n % 9).alias("description")).where("key <> 'sub4'").distinct()
+    rows = v("orders").select("o_orderkey", F.concat(F.lit("style"), F.col("o_custkey") % 6).alias("category"), F.when(F.col("o_orderkey") % 13 == 0, "").otherwise(F.concat(F.lit("sub"), F.col("o_orderkey") % 10)).alias("subtype"))
+    return exploration.with_subtype_labels(rows, labels)
+
+
+_sql("subtypes_labelled", f"""WITH l AS (SELECT DISTINCT 'style' || (p_partkey % 5) AS category, 'sub' || (p_partkey % 9) AS subtype, 'Label ' || (p_partkey % 5) || '/' || (p_partkey % 9) AS label, 'about ' || (p_partkey % 9) AS description FROM part WHERE p_partkey % 9 <> 4),
+ r AS (SELECT o_orderkey, 'style' || (o_custkey % 6) AS category, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'sub' || (o_orderkey % 10) END AS subtype FROM orders)
+SELECT o_orderkey, category, subtype, coalesce(label, CASE WHEN subtype = '' THEN '{exploration.NO_SUBTYPE}' ELSE subtype END) AS label, coalesce(description, '{exploration.INFERRED}') AS description FROM r LEFT JOIN l USING (category, subtype)""")
