@@ -239,7 +239,7 @@ _sql("records_written", "SELECT 'V' || c_custkey AS identifier, c_name AS title,
 def collection_failures(v):
     s = F.col("s_suppkey")
     loads = v("supplier").select(F.col("s_name").alias("source"), F.when(s % 7 == 0, "timeout").alias("error"), F.when(s % 5 != 0, s * 3).alias("records"))
-    leads = v("lineitem").join(v("supplier"), F.col("l_suppkey") == s).select(F.concat(F.lit("fw:"), F.col("l_partkey") + F.when(F.col("l_orderkey") % 6 == 0, 1_000_000).otherwise(0)).alias("candidate_id"), F.col("s_name").alias("source"))
+    leads = v("lineitem").join(v("supplier"), F.col("l_suppkey") == s).select(F.concat(F.when(F.col("l_orderkey") % 6 == 0, "lost:").otherwise("fw:"), F.col("l_partkey")).alias("candidate_id"), F.col("s_name").alias("source"))
     kept, failures = catalogue.collect_catalogue(v("candidates"), leads, loads)
     return failures.unionByName(kept.groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit("leads").alias("reason"), "n"))
 
