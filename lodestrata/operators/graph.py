@@ -21,11 +21,12 @@ class GraphQuery:
     edge_kinds: tuple[str, ...] = ()
     statuses: tuple[str, ...] = ()
     max_hops: int = 1
-    max_nodes: int = 1000
-    max_edges: int = 2000
+    #: Budgets; None for none.
+    max_nodes: int | None = 1000
+    max_edges: int | None = 2000
 
     def __post_init__(self) -> None:
-        if self.max_hops < 0 or self.max_nodes < 1 or self.max_edges < 1:
+        if self.max_hops < 0 or any(n is not None and n < 1 for n in (self.max_nodes, self.max_edges)):
             raise ValueError("hops must not be negative and budgets must be positive")
         for group in (self.focus, self.node_kinds, self.edge_kinds, self.statuses):
             if len(set(group)) != len(group):
@@ -75,7 +76,7 @@ def query_graph(nodes: DataFrame, edges: DataFrame, query: GraphQuery) -> tuple[
 
     Text narrows the focus, or stands for it where there is none.  Nodes stay in order of
     (distance, node_id), then edges among them in order of edge_id; ``status`` says whether a
-    budget cut any off.
+    budget cut any off.  Without a budget all stay, in no order, and no task gets them all.
     """
     nodes, edges = narrow(nodes, edges, query)
     seeds = nodes.where(F.col("node_id").isin(*query.focus)) if query.focus else None
@@ -90,13 +91,17 @@ def query_graph(nodes: DataFrame, edges: DataFrame, query: GraphQuery) -> tuple[
         else:
             seeds = seeds.join(matches.select("node_id"), "node_id", "left_semi")
     chosen = nodes.select("node_id").withColumn("distance", F.lit(0)) if seeds is None else reach(seeds, edges, query.max_hops if query.focus else 0)
-    top = nodes.join(chosen, "node_id").orderBy("distance", "node_id").limit(query.max_nodes + 1)
-    place = Window.orderBy("distance", "node_id")  # over max_nodes + 1 rows at most
-    top = top.withColumn("place", F.row_number().over(place)).withColumn("status_of_query", F.when(F.max("place").over(Window.partitionBy()) > query.max_nodes, "partial").otherwise("completed"))
-    kept = settle(top.where(F.col("place") <= query.max_nodes).drop("place"))
+    met = nodes.join(chosen, "node_id")
+    if query.max_nodes is None:
+        kept = settle(met.withColumn("status_of_query", F.lit("completed")))
+    else:
+        place = Window.orderBy("distance", "node_id")  # over max_nodes + 1 rows at most
+        top = met.orderBy("distance", "node_id").limit(query.max_nodes + 1).withColumn("place", F.row_number().over(place))
+        top = top.withColumn("status_of_query", F.when(F.max("place").over(Window.partitionBy()) > query.max_nodes, "partial").otherwise("completed"))
+        kept = settle(top.where(F.col("place") <= query.max_nodes).drop("place"))
     ids = kept.select("node_id")
     among = edges.join(ids.withColumnRenamed("node_id", "source_ref"), "source_ref", "left_semi").join(ids.withColumnRenamed("node_id", "target_ref"), "target_ref", "left_semi")
-    return kept, among.orderBy("edge_id").limit(query.max_edges)
+    return kept, among if query.max_edges is None else among.orderBy("edge_id").limit(query.max_edges)
 
 
 def facets(nodes: DataFrame, edges: DataFrame) -> DataFrame:

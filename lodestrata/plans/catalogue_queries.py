@@ -426,7 +426,7 @@ SELECT n, CASE WHEN gives THEN '<redacted:credential>' ELSE array_to_string([CAS
 
 @query
 def graph_query_facets(v):
-    nodes, edges = graph.query_graph(v("nodes"), v("edges"), graph.GraphQuery(focus=("n3",), max_hops=1, max_nodes=10_000, max_edges=100_000, edge_kinds=("belongs_to", "declared_in")))
+    nodes, edges = graph.query_graph(v("nodes"), v("edges"), graph.GraphQuery(focus=("n3",), max_hops=1, max_nodes=None, max_edges=None, edge_kinds=("belongs_to", "declared_in")))
     return graph.facets(nodes, edges)
 
 

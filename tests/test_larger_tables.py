@@ -35,3 +35,7 @@ def same(spark, name, folder):
 
 def test_lost_leads_have_no_candidate_whatever_the_keys(spark, tables):
     same(spark, "collection_failures", tables(part="SELECT * FROM '{t}' UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM '{t}'"))
+
+
+def test_facets_count_the_whole_neighbourhood(spark, tables):
+    same(spark, "graph_query_facets", tables(customer="SELECT c.* REPLACE (i AS c_custkey, 3 AS c_nationkey) FROM range(10500) r(i), (FROM '{t}' LIMIT 1) c"))
