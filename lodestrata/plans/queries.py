@@ -308,7 +308,7 @@ def graph_query(v):
 
 @query
 def graph_text_query(v):
-    nodes, edges = graph.query_graph(v("nodes"), v("edges"), graph.GraphQuery(text="supported handler 1", max_nodes=100_000, max_edges=100_000))
+    nodes, edges = graph.query_graph(v("nodes"), v("edges"), graph.GraphQuery(text="supported handler 1", max_nodes=None, max_edges=None))
     return nodes.select("node_id", "distance")
 
 

@@ -39,3 +39,7 @@ def test_lost_leads_have_no_candidate_whatever_the_keys(spark, tables):
 
 def test_facets_count_the_whole_neighbourhood(spark, tables):
     same(spark, "graph_query_facets", tables(customer="SELECT c.* REPLACE (i AS c_custkey, 3 AS c_nationkey) FROM range(10500) r(i), (FROM '{t}' LIMIT 1) c"))
+
+
+def test_text_finds_every_node(spark, tables):
+    same(spark, "graph_text_query", tables(orders="SELECT o.* REPLACE (i AS o_orderkey) FROM range(260000) r(i), (FROM '{t}' LIMIT 1) o"))
