@@ -86,13 +86,14 @@ def normalize_obligations(values: DataFrame) -> DataFrame:
 Analyzer = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def run_obligations(initial: DataFrame, analyzers: dict[str, tuple[str, Analyzer]], max_rounds: int = 100, max_obligations: int = 1_000_000) -> tuple[DataFrame, str]:
+def run_obligations(initial: DataFrame, analyzers: dict[str, tuple[str, Analyzer]], max_rounds: int = 100, max_obligations: int | None = 1_000_000) -> tuple[DataFrame, str]:
     """Run analysers on open obligations until nothing changes; (obligations, termination).
 
     ``analyzers``: name to (capability, function of a batch of obligations to (resolved ids,
     generated obligations)).  A round takes, for every open obligation, its first candidate
     analyser that it has not met; whole batches run at once, and what they generate joins the
-    next round.  Each pair of obligation and analyser meets once.
+    next round.  Each pair of obligation and analyser meets once.  A run that has more than
+    ``max_obligations`` (None: as many as there are) ends with ``budget_exhausted``.
     """
     columns = initial.columns
     now = settle(normalize_obligations(initial))
@@ -119,7 +120,7 @@ def run_obligations(initial: DataFrame, analyzers: dict[str, tuple[str, Analyzer
         updated = now.join(done, "obligation_id", "left").withColumn("status", F.when(F.col("__done"), "resolved").otherwise(F.col("status"))).select(*columns)
         new = normalize_obligations(generated).join(now.select("obligation_id"), "obligation_id", "left_anti").select(*columns)
         now = settle(updated.unionByName(new))
-        if now.count() > max_obligations:
+        if max_obligations is not None and now.count() > max_obligations:
             return now, "budget_exhausted"
     return now, "budget_exhausted"
 

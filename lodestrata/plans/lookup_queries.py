@@ -271,7 +271,7 @@ def obligations_run(v):
         return batch.where(even), handler
 
     initial = _obligations(v)
-    done, end = evidence.run_obligations(initial.unionByName(initial), {"routes": ("registers_route", routes), "handlers": ("binds_handler", lambda batch: (batch, batch.limit(0)))})
+    done, end = evidence.run_obligations(initial.unionByName(initial), {"routes": ("registers_route", routes), "handlers": ("binds_handler", lambda batch: (batch, batch.limit(0)))}, max_obligations=None)
     return done.select("obligation_id", "required_capability", "status").withColumn("termination", F.lit(end))
 
 

@@ -43,3 +43,17 @@ def test_facets_count_the_whole_neighbourhood(spark, tables):
 
 def test_text_finds_every_node(spark, tables):
     same(spark, "graph_text_query", tables(orders="SELECT o.* REPLACE (i AS o_orderkey) FROM range(260000) r(i), (FROM '{t}' LIMIT 1) o"))
+
+
+def test_obligations_run_to_their_end_without_a_budget(spark):
+    start = spark.createDataFrame([(f"o{i}", "route", "open", ["a"]) for i in range(6)], "obligation_id string, required_capability string, status string, candidate_analyzers array<string>")
+    analyzers = {"a": ("route", lambda batch: (batch, batch.limit(0)))}
+    assert evidence.run_obligations(start, analyzers, max_obligations=5)[1] == "budget_exhausted"
+    done, end = evidence.run_obligations(start, analyzers, max_obligations=None)
+    assert end == "fixed_point" and done.where("status = 'resolved'").count() == 6
+
+
+def test_obligations_query_has_no_budget(spark, sf_dir, monkeypatch):
+    run = evidence.run_obligations
+    monkeypatch.setattr(evidence, "run_obligations", lambda *a, max_obligations=1_000_000, **k: run(*a, max_obligations=max_obligations and max_obligations // 1_000_000, **k))
+    same(spark, "obligations_run", sf_dir)
