@@ -6,6 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.interfaces import endpoint_component, glob_pattern
+from lodestrata.operators.storage import settle
+
+
+#: Pairs that one slice of a value's candidates may give, and pairs for each part of the join.
+SLICE_PAIRS, PART_PAIRS = 1_000_000, 4_000_000
+
+
+def _sides(frontend: DataFrame, hints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What exact literals ask for (candidate_id, kind, value) and what hints give (hint_id, kind, value), each once."""
+    exact = frontend.where("endpoint_shape = 'exact_literal'")
+    endpoint = exact.select("candidate_id", F.lit("endpoint_literal").alias("kind"), F.col("endpoint").alias("value"))
+    route = exact.select("candidate_id", F.lit("route_token").alias("kind"), endpoint_component(F.col("endpoint")).alias("value")).where("value <> ''")
+    return endpoint.unionByName(route).distinct(), hints.where("kind in ('endpoint_literal', 'route_token')").select("hint_id", "kind", "value").distinct()
+
+
+def _basis(pairs: DataFrame) -> DataFrame:
+    return pairs.select("candidate_id", "hint_id", F.when(F.col("kind") == "route_token", "route_token").otherwise("exact_endpoint").alias("match_basis"))
+
+
+def _pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """Every association, once.
+
+    They can be the product of the candidates and the hints of few values.  So a value's candidates
+    are dealt to slices of ``SLICE_PAIRS`` pairs, each of which meets all of its hints, and the
+    slices to parts by the number of all pairs.  Only a candidate and a hint that both have
+    several values of a kind can meet twice; no others are compared.
+    """
+    key = ["kind", "value"]
+    sizes = asked.groupBy(*key).agg(F.count("*").alias("n")).join(given.groupBy(*key).agg(F.count("*").alias("m")), key)
+    sizes = settle(sizes.select(*key, F.greatest(F.ceil(F.col("n") * F.col("m") / SLICE_PAIRS), F.lit(1)).cast("int").alias("slices"), (F.col("n") * F.col("m")).alias("pairs")))
+    parts = max(1, min(10_000, (sizes.agg(F.sum("pairs")).first()[0] or 0) // PART_PAIRS + 1))
+    several = lambda df, i: df.join(df.groupBy(i, "kind").agg((F.count("*") > 1).alias("several")), [i, "kind"])
+    spread = sizes.select(*key, "slices")
+    left = several(asked, "candidate_id").join(spread, key).withColumn("slice", F.pmod(F.xxhash64("candidate_id"), F.col("slices")).cast("int")).drop("slices").repartition(parts, *key, "slice")
+    right = several(given, "hint_id").withColumnRenamed("several", "too").join(spread, key).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").repartition(parts, *key, "slice")
+    met = left.join(right.hint("shuffle_hash"), [*key, "slice"])
+    twice = F.col("several") & F.col("too")
+    return _basis(met.where(~twice)).unionByName(_basis(met.where(twice)).distinct())
 
 
 def correlate(frontend: DataFrame, hints: DataFrame, budget: int | None = None) -> DataFrame:
@@ -14,14 +52,14 @@ def correlate(frontend: DataFrame, hints: DataFrame, budget: int | None = None)
     An exact literal endpoint equals an endpoint literal, or its last path component a route
     token.  With a budget the first associations in id order stay, and ``status`` says partial.
     """
-    endpoint = frontend.where("endpoint_shape = 'exact_literal'").select("candidate_id", F.col("endpoint").alias("value")).join(hints.where("kind = 'endpoint_literal'").select("hint_id", "value"), "value").withColumn("match_basis", F.lit("exact_endpoint"))
-    route = (
-        frontend.where("endpoint_shape = 'exact_literal'").select("candidate_id", endpoint_component(F.col("endpoint")).alias("value")).where("value <> ''")
-        .join(hints.where("kind = 'route_token'").select("hint_id", "value"), "value").withColumn("match_basis", F.lit("route_token"))
-    )
-    found = endpoint.unionByName(route).select("candidate_id", "hint_id", "match_basis").distinct()
+    asked, given = _sides(frontend, hints)
     if budget is None:
-        return found.withColumn("status", F.lit("completed"))
+        return _pairs(asked, given).withColumn("status", F.lit("completed"))
+    # each of the first candidates that meet a hint has a pair, and of a value's hints no more than the first can be kept
+    first = asked.join(given.select("kind", "value").distinct(), ["kind", "value"], "left_semi").select("candidate_id").distinct().orderBy("candidate_id").limit(budget + 1)
+    few = settle(asked.join(first, "candidate_id", "left_semi"))
+    near = given.join(few.select("kind", "value").distinct(), ["kind", "value"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("kind", "value").orderBy("hint_id"))).where(F.col("n") <= budget + 1)
+    found = _basis(few.join(near, ["kind", "value"])).distinct()
     order = Window.orderBy("candidate_id", "hint_id", "match_basis")
     kept = found.orderBy("candidate_id", "hint_id", "match_basis").limit(budget + 1).withColumn("place", F.row_number().over(order))
     return kept.withColumn("status", F.when(F.max("place").over(Window.partitionBy()) > budget, "partial").otherwise("completed")).where(F.col("place") <= budget).drop("place")
@@ -31,6 +69,12 @@ def unmatched(frontend: DataFrame, associations: DataFrame) -> DataFrame:
     return frontend.join(associations, "candidate_id", "left_anti")
 
 
+def uncorrelated(frontend: DataFrame, hints: DataFrame) -> DataFrame:
+    """``frontend`` without the candidates that ``correlate`` associates with any hint; no pair is made."""
+    asked, given = _sides(frontend, hints)
+    return unmatched(frontend, asked.join(given.select("kind", "value").distinct(), ["kind", "value"], "left_semi").select("candidate_id").distinct())
+
+
 def association_obligations(associations: DataFrame) -> DataFrame:
     """What each association still has to prove: its route's registration, then its handler."""
     needs = F.array(F.struct(F.lit(90).alias("priority"), F.lit("registers_route").alias("required_capability")), F.struct(F.lit(80).alias("priority"), F.lit("binds_handler").alias("required_capability")))

@@ -4,10 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries and their SQL)
 
-from lodestrata.operators import evidence
+from lodestrata.operators import correlation, evidence
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import QUERIES
 from tests.oracle import TABLES, duck_rows, spark_rows
@@ -57,3 +58,20 @@ def test_obligations_query_has_no_budget(spark, sf_dir, monkeypatch):
     run = evidence.run_obligations
     monkeypatch.setattr(evidence, "run_obligations", lambda *a, max_obligations=1_000_000, **k: run(*a, max_obligations=max_obligations and max_obligations // 1_000_000, **k))
     same(spark, "obligations_run", sf_dir)
+
+
+def crowd(spark):
+    """Thirty candidates that ask for one value, the first for three, and thirty hints, of which one gives two."""
+    frontend = spark.createDataFrame([(f"f{i:02}", v, "exact_literal") for i in range(30) for v in (["/x/a", "/y/a", "/x/b"] if i == 0 else ["/x/a"])] + [("g", "/x/c", "exact_literal")], "candidate_id string, endpoint string, endpoint_shape string")
+    hints = spark.createDataFrame([(f"h{i:02}", "route_token", v) for i in range(30) for v in (["a", "b"] if i == 3 else ["a"])] + [("h99", "endpoint_literal", "/y/a")], "hint_id string, kind string, value string")
+    return frontend, hints, sorted({(f"f{i:02}", f"h{j:02}", "route_token") for i in range(30) for j in range(30)} | {("f00", "h99", "exact_endpoint")})
+
+
+def test_pairs_of_one_value_go_to_slices(spark, monkeypatch):
+    monkeypatch.setattr(correlation, "SLICE_PAIRS", 90)
+    monkeypatch.setattr(correlation, "PART_PAIRS", 90)
+    frontend, hints, every = crowd(spark)
+    found = correlation.correlate(frontend, hints).select("candidate_id", "hint_id", "match_basis")
+    assert sorted(map(tuple, found.collect())) == every
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < len(every) / 2
