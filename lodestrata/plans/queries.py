@@ -225,7 +225,7 @@ def correlate_exact(v):
 
 @query
 def correlate_unmatched(v):
-    return correlation.unmatched(v("frontend"), correlation.correlate(v("frontend"), v("hints"))).select("candidate_id", "endpoint")
+    return correlation.uncorrelated(v("frontend"), v("hints")).select("candidate_id", "endpoint")
 
 
 @query

@@ -75,3 +75,9 @@ def test_pairs_of_one_value_go_to_slices(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == every
     sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 4 and max(sizes) < len(every) / 2
+
+
+def test_candidates_without_hints_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(correlation, "_pairs", None)
+    frontend, hints, _ = crowd(spark)
+    assert [r.candidate_id for r in correlation.uncorrelated(frontend, hints).collect()] == ["g"]
