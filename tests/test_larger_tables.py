@@ -81,3 +81,12 @@ def test_candidates_without_hints_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(correlation, "_pairs", None)
     frontend, hints, _ = crowd(spark)
     assert [r.candidate_id for r in correlation.uncorrelated(frontend, hints).collect()] == ["g"]
+
+
+@pytest.mark.parametrize("budget", [1, 31, 32, 40, 900, 901, 1000])
+def test_first_pairs_need_no_others(spark, monkeypatch, budget):
+    monkeypatch.setattr(correlation, "_pairs", None)
+    frontend, hints, every = crowd(spark)
+    found = correlation.correlate(frontend, hints, budget)
+    assert sorted(map(tuple, found.select("candidate_id", "hint_id", "match_basis").collect())) == every[:budget]
+    assert {r.status for r in found.collect()} == {"partial" if len(every) > budget else "completed"}
