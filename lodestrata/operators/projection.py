@@ -46,10 +46,13 @@ def project_graph(candidates: DataFrame, parameters: DataFrame, associations: Da
         .unionByName(edge(associations, "associated_with", c("frontend_candidate_id"), c("native_hint_id"), c("association_id")))
         .unionByName(edge(o, "requires_evidence_for", c("obligation_id"), c("target_ref"), c("obligation_id")))
     )
-    edges = edge_identity(edges).dropDuplicates(["edge_id"])
     ends = nodes.select(F.col("node_id").alias("end"))
+    # of all edges only their names meet the nodes; ids are taken of those that are reported
+    source, target = (ends.select(F.col("end").alias(i), p(True).alias(f"{i}_known")) for i in ("source_ref", "target_ref"))
+    lost = edges.join(source, "source_ref", "left").join(target, "target_ref", "left").where("source_ref_known is null or target_ref_known is null")
+    diagnostics = edge_identity(lost.select(*edges.columns)).dropDuplicates(["edge_id"]).select(F.concat(F.lit("unresolved_reference:"), "edge_kind", F.lit(":"), "origin_ref").alias("diagnostic"))
+    edges = edge_identity(edges).dropDuplicates(["edge_id"])
     known = edges.join(ends.toDF("source_ref"), "source_ref", "left_semi").join(ends.toDF("target_ref"), "target_ref", "left_semi")
-    diagnostics = edges.join(known.select("edge_id"), "edge_id", "left_anti").select(F.concat(F.lit("unresolved_reference:"), "edge_kind", F.lit(":"), "origin_ref").alias("diagnostic"))
     return nodes, known, diagnostics
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries and their SQL)
 
-from lodestrata.operators import correlation, evidence
+from lodestrata.operators import correlation, evidence, projection
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import QUERIES
 from tests.oracle import TABLES, duck_rows, spark_rows
@@ -90,3 +90,16 @@ def test_first_pairs_need_no_others(spark, monkeypatch, budget):
     found = correlation.correlate(frontend, hints, budget)
     assert sorted(map(tuple, found.select("candidate_id", "hint_id", "match_basis").collect())) == every[:budget]
     assert {r.status for r in found.collect()} == {"partial" if len(every) > budget else "completed"}
+
+
+def test_unresolved_references_are_found_before_edges_get_ids(spark):
+    rows = lambda values, schema: spark.createDataFrame(values, schema)
+    candidates = rows([("c1", "native_hint", "x", "supported", "p", "c2"), ("c2", "native_hint", "y", "supported", "", "lost"), ("c2", "native_hint", "y", "supported", "", "lost")], "candidate_id string, candidate_kind string, canonical_identity string, claim_status string, source_path string, target_ref string")
+    parameters = rows([("p1", "c1", "a"), ("p2", None, "b")], "parameter_id string, owner_ref string, name string")
+    associations = rows([("a1", "lost", "gone")], "association_id string, frontend_candidate_id string, native_hint_id string")
+    obligations = rows([("o1", "c1", "trace", "open")], "obligation_id string, target_ref string, required_capability string, status string")
+    found = projection.project_graph(candidates, parameters, associations, obligations)[2]
+    assert sorted(r[0] for r in found.collect()) == [f"unresolved_reference:{x}" for x in ("associated_with:a1", "has_parameter:p2", "targets:c2")]
+    # one digest, of those that are reported, and no second reading of the edges
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "LeftAnti" not in plan
