@@ -52,10 +52,13 @@ def with_lead(candidates: DataFrame, leads: DataFrame, *, identifier: str | None
 
 
 def source_counts(sources: DataFrame, candidates: DataFrame, leads: DataFrame) -> DataFrame:
-    """Every source with its candidates and vulnerabilities, distinct after the fan-out."""
+    """Every source with its distinct candidates and vulnerabilities, each counted by itself before it meets the source."""
+    of = candidates.select("source_id", "candidate_id").distinct()
+    held = of.groupBy("source_id").agg(F.count("candidate_id").alias("candidates"))
+    found = of.join(leads.select("candidate_id", "identifier"), "candidate_id").select("source_id", "identifier").distinct().groupBy("source_id").agg(F.count("identifier").alias("vulnerabilities"))
     return (
-        sources.join(candidates.select("source_id", "candidate_id"), "source_id", "left").join(leads.select("candidate_id", "identifier"), "candidate_id", "left")
-        .groupBy("source_id", "name", "trust_level").agg(F.countDistinct("candidate_id").alias("candidates"), F.countDistinct("identifier").alias("vulnerabilities"))
+        sources.select("source_id", "name", "trust_level").distinct().join(held, "source_id", "left").join(found, "source_id", "left")
+        .select("source_id", "name", "trust_level", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("vulnerabilities", F.lit(0)).alias("vulnerabilities"))
         .orderBy(in_order("trust_level", TRUST_ORDER), F.desc("candidates"), "name")
     )
 

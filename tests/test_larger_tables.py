@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries and their SQL)
 
-from lodestrata.operators import correlation, evidence, projection
+from lodestrata.operators import catalogue, correlation, evidence, projection
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import QUERIES
 from tests.oracle import TABLES, duck_rows, spark_rows
@@ -103,3 +103,12 @@ def test_unresolved_references_are_found_before_edges_get_ids(spark):
     # one digest, of those that are reported, and no second reading of the edges
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1 and "LeftAnti" not in plan
+
+
+def test_sources_are_counted_without_fan_out(spark):
+    sources = spark.createDataFrame([("1", "a", "high"), ("1", "a", "high"), ("2", "b", "primary"), (None, "c", "low")], "source_id string, name string, trust_level string")
+    candidates = spark.createDataFrame([("1", "x"), ("1", "y"), ("1", "x"), (None, "z")], "source_id string, candidate_id string")
+    leads = spark.createDataFrame([("x", "v1"), ("x", "v1"), ("y", "v1"), ("y", "v2"), ("y", None), ("z", "v3")], "candidate_id string, identifier string")
+    found = catalogue.source_counts(sources, candidates, leads)
+    assert [tuple(r) for r in found.collect()] == [("2", "b", "primary", 0, 0), ("1", "a", "high", 2, 2), (None, "c", "low", 0, 0)]
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
