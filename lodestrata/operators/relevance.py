@@ -104,7 +104,9 @@ def classify(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
         "hardware-cpe": F.get(hardware, F.lit(0)), "firmware-target-cpe": F.get(target, F.lit(0)), "firmware-reference": first_term(F.col("__links"), ("firmware", "download")), "non-firmware-context": first_term(F.col("__text"), OTHER_CONTEXTS),
     }
     out = out.withColumns({f"__{n}": c for n, c in found.items()})
-    term = lambda n: F.col(f"`__{n}`")
+    # one row for one: a filter on what follows, also one that Spark infers, stops here and does not search the texts again
+    out = out.select(*records.columns, F.explode(F.array(F.struct(*(F.col(f"`__{n}`").alias(n) for n in found)))).alias("__terms"))
+    term = lambda n: F.col("__terms")[n]
     signal = lambda n: F.struct(F.lit(n).alias("name"), F.lit(WEIGHTS[n]).alias("weight"), term(n).alias("term"), F.concat(F.lit(f"{REASONS[n]} "), term(n)).alias("reason"))
     holds = {n: term(n).isNotNull() for n in found if n != "non-firmware-context"}
     holds["watched-vendor"] = holds["watched-vendor"] & term("firmware-vendor").isNull()
@@ -115,7 +117,7 @@ def classify(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     out = out.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
     s = F.col("relevance_score")
     level = F.when(s >= policy.strong, "strong").when(s >= policy.likely, "likely").when(s >= policy.review, "review").otherwise("unrelated")
-    return out.withColumn("relevance_level", level).drop("__text", "__names", "__links", "__found", *(f"__{n}" for n in found))
+    return out.withColumn("relevance_level", level).drop("__terms", "__found")
 
 
 def policy_issues(policies: DataFrame, key: str) -> DataFrame:

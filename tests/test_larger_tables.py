@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries and their SQL)
 
-from lodestrata.operators import catalogue, correlation, evidence, projection
+from lodestrata.operators import catalogue, correlation, evidence, projection, relevance
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import QUERIES
 from tests.oracle import TABLES, duck_rows, spark_rows
@@ -112,3 +112,11 @@ def test_sources_are_counted_without_fan_out(spark):
     found = catalogue.source_counts(sources, candidates, leads)
     assert [tuple(r) for r in found.collect()] == [("2", "b", "primary", 0, 0), ("1", "a", "high", 2, 2), (None, "c", "low", 0, 0)]
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_on_signals_do_not_search_the_texts_again(spark):
+    rows = spark.range(3).select("id", *(F.concat(F.lit("router "), "id").alias(c) for c in ("title", "summary", "vendor", "product")), *(F.array(F.concat(F.lit("cpe:2.3:h:"), "id")).alias(c) for c in ("cpes", "references")))
+    found = relevance.classify(rows, relevance.Policy(("firmware",), ("router",), ("one",), ("two",)))
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Contains(")
+    # an inferred filter (the array has elements) and a given one
+    assert 0 < searches(found.select("id", F.explode("signals"))) == searches(found.where("relevance_level = 'strong'")) == searches(found)
