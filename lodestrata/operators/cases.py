@@ -34,38 +34,53 @@ def _repeated(rows: DataFrame, key: str, rule: str) -> DataFrame:
     return _issue(rows.groupBy("case_key", key).agg(F.count("*").alias("n")).where("n > 1"), rule, key)
 
 
-def _unknown(rows: DataFrame, refs: str, known: DataFrame, key: str, rule: str) -> DataFrame:
-    cited = rows.select("case_key", F.explode(refs).alias(key)).distinct()
-    return _issue(cited.join(known.select("case_key", key), ["case_key", key], "left_anti"), rule, key)
+def _unknown(cited: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rules and details of ``cited`` (case_key, rule and ``key``) that are not ``known``."""
+    return cited.distinct().join(known.select("case_key", key), ["case_key", key], "left_anti").select("case_key", "rule", F.col(key).cast("string").alias("detail"))
 
 
-def case_issues(c: Cases) -> DataFrame:
-    """case_key, rule and detail of everything that speaks against a case as it stands."""
+def _citing(rows: DataFrame, refs: str, key: str, rule: str) -> DataFrame:
+    return rows.select("case_key", F.lit(rule).alias("rule"), F.explode(refs).alias(key))
+
+
+def _holding(rows: DataFrame, detail: str, rules: dict[str, Column]) -> DataFrame:
+    """An issue for each of ``rules`` that holds of a row, told in one pass."""
+    return rows.select("case_key", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(n)) for n, x in rules.items())))).alias("rule"), F.col(detail).cast("string").alias("detail"))
+
+
+def _issues(c: Cases) -> list[DataFrame]:
+    """Parts of ``case_issues``, which may repeat rows."""
     moves = c.stages.select("case_key", "stage_id", "order", F.explode(F.concat(*(F.transform(n, lambda x: F.struct(F.lit(n).alias("move"), x.alias("obligation_id"))) for n in ("creates", "resolves", "rejects")))).alias("x")).select("case_key", "stage_id", "order", "x.*")
-    created = moves.where("move = 'creates'").groupBy("case_key", "obligation_id").agg(F.min("order").alias("created_at"))
-    closed = moves.where("move <> 'creates'").join(created, ["case_key", "obligation_id"], "left")
-    ends = closed.groupBy("case_key", "obligation_id").agg(F.countDistinct("stage_id").alias("closures"), F.bool_or(F.col("move") == "resolves").alias("resolved"), F.bool_or(F.col("move") == "rejects").alias("rejected"))
-    state = c.obligations.join(ends, ["case_key", "obligation_id"], "left").join(created, ["case_key", "obligation_id"], "left").fillna(False, ["resolved", "rejected"])
-    s = F.col("status")
-    found = [
+    # all that is told of an obligation: what moves it, and what it says itself
+    is_made, order = F.col("move") == "creates", F.col("order")
+    told = moves.groupBy("case_key", "obligation_id").agg(
+        F.min(F.when(is_made & F.col("obligation_id").isNotNull(), order)).alias("created_at"), F.min(F.when(~is_made, order)).alias("first_end"), F.countDistinct(F.when(~is_made, F.col("stage_id"))).alias("closures"),
+        F.bool_or(F.col("move") == "resolves").alias("resolved"), F.bool_or(F.col("move") == "rejects").alias("rejected"), F.bool_or(~is_made).alias("ended"),
+    )
+    early = F.col("ended") & (F.col("created_at").isNull() | (F.col("created_at") >= F.col("first_end")))
+    s, resolved, rejected = F.col("status"), F.coalesce("resolved", F.lit(False)), F.coalesce("rejected", F.lit(False))
+    state = c.obligations.select("case_key", "obligation_id", "status").join(told, ["case_key", "obligation_id"], "left")
+    return [
         _repeated(c.evidence, "evidence_ref", "evidence_repeated"), _repeated(c.claims, "claim_id", "claim_repeated"), _repeated(c.stages, "stage_id", "stage_repeated"), _repeated(c.stages, "order", "order_repeated"), _repeated(c.obligations, "obligation_id", "obligation_repeated"),
-        _unknown(c.claims, "evidence_refs", c.evidence, "evidence_ref", "claim_evidence_unknown"), _unknown(c.obligations, "closure_refs", c.evidence, "evidence_ref", "closure_evidence_unknown"), _unknown(c.stages, "claim_ids", c.claims, "claim_id", "stage_claim_unknown"),
-        *(_unknown(c.stages, n, c.obligations, "obligation_id", f"stage_{n}_unknown") for n in ("creates", "resolves", "rejects")),
+        _unknown(_citing(c.claims, "evidence_refs", "evidence_ref", "claim_evidence_unknown").unionByName(_citing(c.obligations, "closure_refs", "evidence_ref", "closure_evidence_unknown")), c.evidence, "evidence_ref"),
+        _unknown(_citing(c.stages, "claim_ids", "claim_id", "stage_claim_unknown"), c.claims, "claim_id"),
+        _unknown(moves.select("case_key", F.concat(F.lit("stage_"), "move", F.lit("_unknown")).alias("rule"), "obligation_id"), c.obligations, "obligation_id"),
         # a stage closes only what an earlier one created, and once
-        _issue(closed.where("created_at is null or created_at >= `order`"), "closed_before_created", "obligation_id"), _issue(ends.where("closures > 1"), "closed_twice", "obligation_id"), _issue(state.where("created_at is null"), "never_created", "obligation_id"),
-        _issue(state.where((s == "resolved") & ~F.col("resolved")), "resolved_by_no_stage", "obligation_id"), _issue(state.where((s == "rejected") & ~F.col("rejected")), "rejected_by_no_stage", "obligation_id"), _issue(state.where((s == "open") & (F.col("resolved") | F.col("rejected"))), "open_but_closed", "obligation_id"),
-        _issue(state.where((s == "resolved") & F.col("rejected")), "resolved_but_rejected", "obligation_id"), _issue(state.where((s == "rejected") & F.col("resolved")), "rejected_but_resolved", "obligation_id"),
+        _holding(told, "obligation_id", {"closed_before_created": early, "closed_twice": F.col("closures") > 1}),
+        _holding(state, "obligation_id", {
+            "never_created": F.col("created_at").isNull(), "resolved_by_no_stage": (s == "resolved") & ~resolved, "rejected_by_no_stage": (s == "rejected") & ~rejected, "open_but_closed": (s == "open") & (resolved | rejected),
+            "resolved_but_rejected": (s == "resolved") & rejected, "rejected_but_resolved": (s == "rejected") & resolved,
+        }),
     ]
-    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _digest(*parts: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}), 256)
+def case_issues(c: Cases) -> DataFrame:
+    """case_key, rule and detail of everything that speaks against a case as it stands."""
+    return reduce(DataFrame.unionByName, _issues(c)).distinct()
 
 
-def _of(rows: DataFrame, name: str) -> DataFrame:
-    """The digests of a case's rows as one, in any order of the rows; a row for each case."""
-    return rows.groupBy("case_key").agg(F.array_sort(F.collect_list("digest")).alias(name))
+def _digest(*parts: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}), 256)
 
 
 def _cited(rows: DataFrame, key: str, refs: str, leaves: DataFrame, leaf: str, name: str) -> DataFrame:
@@ -81,27 +96,32 @@ def case_identities(c: Cases) -> DataFrame:
     stage's those of its claims and obligations; so a change anywhere changes all above it.
     """
     content = lambda df: _digest(*(F.col(x) for x in sorted(df.columns)))
-    evidence = c.evidence.withColumn("digest", content(c.evidence))
-    claims = _cited(c.claims, "claim_id", "evidence_refs", evidence, "evidence_ref", "leaves").withColumn("digest", _digest(F.col("claim_id"), F.col("statement"), F.col("leaves")))
-    obligations = _cited(c.obligations, "obligation_id", "closure_refs", evidence, "evidence_ref", "leaves").withColumn("digest", _digest(F.col("obligation_id"), F.col("status"), F.col("leaves")))
-    stages = _cited(c.stages, "stage_id", "claim_ids", claims, "claim_id", "of_claims")
-    for n in ("creates", "resolves", "rejects"):
-        stages = _cited(stages, "stage_id", n, obligations, "obligation_id", f"of_{n}")
-    stages = stages.withColumn("digest", _digest(F.col("stage_id"), F.col("order"), F.col("of_claims"), F.col("of_creates"), F.col("of_resolves"), F.col("of_rejects")))
-    parts = {"e": evidence, "c": claims, "s": stages, "o": obligations}
-    out = c.cases
-    for name, rows in parts.items():
-        out = out.join(_of(rows.select("case_key", "digest"), name), "case_key", "left")
+    evidence = c.evidence.select("case_key", "evidence_ref", content(c.evidence).alias("digest"))
+    claims = _cited(c.claims, "claim_id", "evidence_refs", evidence, "evidence_ref", "leaves").withColumn("digest", _digest(F.col("claim_id"), F.col("statement"), F.col("leaves"))).select("case_key", "claim_id", "digest")
+    obligations = _cited(c.obligations, "obligation_id", "closure_refs", evidence, "evidence_ref", "leaves").withColumn("digest", _digest(F.col("obligation_id"), F.col("status"), F.col("leaves"))).select("case_key", "obligation_id", "digest")
+    # what stages cite meets its digests in one join, and so do a case's parts
+    leaves = claims.select("case_key", F.lit("claim").alias("kind"), F.col("claim_id").alias("ref"), "digest").unionByName(obligations.select("case_key", F.lit("obligation").alias("kind"), F.col("obligation_id").alias("ref"), "digest"))
     none = F.array().cast("array<string>")
+    lists = {"claim_ids": "claim", "creates": "obligation", "resolves": "obligation", "rejects": "obligation"}
+    refs = F.concat(*(F.transform(F.coalesce(n, none), lambda x: F.struct(F.lit(n).alias("list"), F.lit(kind).alias("kind"), x.alias("ref"))) for n, kind in lists.items()))
+    cited = c.stages.select("case_key", "stage_id", F.explode(refs).alias("x")).select("case_key", "stage_id", "x.*").distinct().join(leaves, ["case_key", "kind", "ref"])
+    held = cited.groupBy("case_key", "stage_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("list") == n, F.col("digest")))).alias(f"of_{n}") for n in lists))
+    stages = c.stages.select("case_key", "stage_id", "order").join(held, ["case_key", "stage_id"], "left").withColumn("digest", _digest(F.col("stage_id"), F.col("order"), *(F.coalesce(f"of_{n}", none) for n in lists)))
+    parts = {"e": evidence, "c": claims, "s": stages, "o": obligations}
+    every = reduce(DataFrame.unionByName, (rows.select("case_key", F.lit(name).alias("part"), "digest") for name, rows in parts.items()))
+    out = c.cases.join(every.groupBy("case_key").agg(*(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.col("digest")))).alias(name) for name in parts)), "case_key", "left")
     return out.select("case_key", F.concat(F.lit("research-case:"), _digest(*(F.col(x) for x in ("case_key", "title", "counterfactuals", "paper_uses", "limitations")), *(F.coalesce(n, none) for n in parts))).alias("replayed_id"))
 
 
-def corpus_issues(c: Cases) -> DataFrame:
-    """What speaks against a corpus of cases: those of ``case_issues``, identities that do not replay, thin or unfinished cases."""
-    replayed = c.cases.join(case_identities(c), "case_key")
+def corpus_issues(c: Cases, identities: DataFrame | None = None) -> DataFrame:
+    """What speaks against a corpus of cases: those of ``case_issues``, identities that do not replay, thin or unfinished cases.
+
+    identities: the cases' ``case_identities``, if they are there already.
+    """
+    replayed = c.cases.join(case_identities(c) if identities is None else identities, "case_key")
     kinds = c.cases.select("case_key").distinct().join(c.evidence.groupBy("case_key").agg(F.countDistinct("kind").alias("kinds")), "case_key", "left")
     found = [
-        case_issues(c), _repeated(c.cases.withColumn("key", F.col("case_key")), "key", "case_repeated"), _issue(replayed.where("not replayed_id <=> case_id"), "identity_does_not_replay", "case_id"), _issue(kinds.where("coalesce(kinds, 0) < 2"), "fewer_than_two_kinds_of_evidence", F.coalesce("kinds", F.lit(0))),
-        *(_issue(c.cases.where(F.coalesce(F.size(n), F.lit(0)) < 1), f"{n}_missing", F.lit("")) for n in ("counterfactuals", "paper_uses", "limitations")),
+        *_issues(c), _repeated(c.cases.withColumn("key", F.col("case_key")), "key", "case_repeated"), _issue(replayed.where("not replayed_id <=> case_id"), "identity_does_not_replay", "case_id"), _issue(kinds.where("coalesce(kinds, 0) < 2"), "fewer_than_two_kinds_of_evidence", F.coalesce("kinds", F.lit(0))),
+        _holding(c.cases.withColumn("none", F.lit("")), "none", {f"{n}_missing": F.coalesce(F.size(n), F.lit(0)) < 1 for n in ("counterfactuals", "paper_uses", "limitations")}),
     ]
     return reduce(DataFrame.unionByName, found).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import budgets, cases, loading, reachability, stages, symbols
+from lodestrata.operators.storage import settle
 from lodestrata.plans.catalogue_queries import _sql
 from lodestrata.plans.queries import query
 
@@ -195,9 +196,10 @@ def _cases(v) -> cases.Cases:
 def case_corpus_issues(v):
     """Recorded identities are those that replay, but of every ninth case."""
     c = _cases(v)
-    ids = cases.case_identities(c).select("case_key", F.when(F.substring_index("case_key", "case", -1).cast("long") % 9 == 0, "old").otherwise(F.col("replayed_id")).alias("case_id"))
+    replayed = settle(cases.case_identities(c))
+    ids = replayed.select("case_key", F.when(F.substring_index("case_key", "case", -1).cast("long") % 9 == 0, "old").otherwise(F.col("replayed_id")).alias("case_id"))
     recorded = c.cases.drop("case_id").join(ids, "case_key").select(*c.cases.columns)
-    return cases.corpus_issues(cases.Cases(recorded, c.evidence, c.claims, c.stages, c.obligations))
+    return cases.corpus_issues(cases.Cases(recorded, c.evidence, c.claims, c.stages, c.obligations), replayed)
 
 
 _sql("case_corpus_issues", """WITH o AS (SELECT 'case' || o_custkey AS case_key, o_orderkey AS n, o_orderkey % 30 AS r, substr(o_orderpriority, 1, 1) AS kind FROM orders), c AS (SELECT c_custkey AS n, 'case' || c_custkey AS case_key FROM customer),
