@@ -20,7 +20,7 @@ def innermost(points: DataFrame, spans: DataFrame, path: str, at: str, start: st
     marked = points.select(F.col(path), F.col(at)).distinct().withColumn("__bucket", bucket(F.col(at)))
     held = marked.join(covered, [path, "__bucket"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
     others = [c for c in spans.columns if c != path]
-    best = held.groupBy(path, at).agg(F.min_by(F.struct(*others), F.struct(F.col(end) - F.col(start), F.col(start), F.struct(*others))).alias("__span"))
+    best = held.groupBy(path, at).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("length"), F.col(start).alias("start"), F.struct(*others).alias("span")))["span"].alias("__span"))
     return points.join(best, [path, at], "left").select(*points.columns, *(F.col("__span")[c].alias(c) for c in others))
 
 

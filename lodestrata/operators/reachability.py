@@ -28,7 +28,7 @@ def call_graph(functions: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataF
     known = innermost(sites.join(named, ["path", "name"]), owners, "path", "at", "body_start", "body_end")
     proof = F.struct("at", "construct")
     kind = F.when(F.col("construct") == FRAMEWORK, 0).when(F.col("caller").isNull(), F.when(F.col("construct") == EVENT, 1).otherwise(2))
-    marked = known.withColumn("root", kind)
+    marked = settle(known.select("path", "at", "construct", "callee", "caller", kind.alias("root")))  # read for roots and for calls
     first = marked.where("root is not null").groupBy("path", F.col("callee").alias("function_id")).agg(F.min(F.struct("root", proof.alias("proof"))).alias("x")).select("path", "function_id", "x.root", "x.proof")
     calls = marked.where("root is null").groupBy("path", "caller", "callee").agg(F.min(proof).alias("proof"))
     return first, calls

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries and their SQL)
 
-from lodestrata.operators import cases, catalogue, correlation, evidence, loading, projection, relevance
+from lodestrata.operators import cases, catalogue, correlation, evidence, loading, projection, reachability, relevance
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import QUERIES
 from tests.oracle import TABLES, duck_rows, spark_rows
@@ -134,3 +134,11 @@ def test_cases_are_replayed_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(cases, "case_identities", lambda c: calls.append(c) or replay(c))
     same(spark, "case_corpus_issues", sf_dir)
     assert len(calls) == 1
+
+
+def test_sites_meet_functions_once_for_roots_and_calls(spark):
+    functions = spark.createDataFrame([("p", "f1", "a", 0, 100), ("p", "f2", "b", 200, 300)], "path string, function_id string, display_name string, body_start long, body_end long")
+    sites = spark.createDataFrame([("p", 10, "b", reachability.DIRECT), ("p", 150, "a", reachability.DIRECT)], "path string, at long, name string, construct string")
+    roots, calls = reachability.call_graph(functions, sites)
+    assert [(r.function_id, r.root) for r in roots.collect()] == [("f1", 2)] and [(r.caller, r.callee) for r in calls.collect()] == [("f1", "f2")]
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in (roots, calls))
