@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.storage import shared_folder
@@ -43,7 +43,7 @@ def paged_records(v):
     path = _folder(orders, "pages")
     _recorded(orders, path)
     rows = _feed(orders.sparkSession, path)
-    number = F.row_number().over(Window.partitionBy("window_start").orderBy("start_index", "place")) - 1
+    number = F.col("start_index") + F.col("place")  # an answer's offset counts the window's records before it
     id_of = F.get_json_object("record", "$.id")
     return rows.withColumn("number", number).select(id_of.alias("identifier"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.date_format("window_end", "yyyy-MM-dd").alias("window_end"), "start_index", F.col("number").cast("long").alias("number"), F.get_json_object("record", "$.vulnStatus").alias("status"))
 

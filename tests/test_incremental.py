@@ -60,6 +60,46 @@ def test_stream_goes_on_where_it_stopped(spark, changes, tmp_path):
     assert run() == sorted(r.record for r in changes.collect()) == sorted(r.record for r in feed(spark, f"{tmp_path}/p").collect())
 
 
+def test_many_pages_lie_in_few_files_and_are_few_tasks_work(spark, changes, tmp_path, monkeypatch):
+    monkeypatch.setattr(paged, "PAGES_PER_FILE", 20, raising=False)
+    monkeypatch.setattr(paged, "SLICES", 7, raising=False)
+    monkeypatch.setattr(paged, "TASKS", 10, raising=False)
+    paged.record_pages(changes, f"{tmp_path}/p", START, 1, 2)
+    files = glob.glob(f"{tmp_path}/p/window=*/start_index=*/*.txt")
+    windows = {os.path.dirname(os.path.dirname(f)) for f in files}
+    assert len(windows) == 8 and len(files) <= 2 * len(windows) < changes.count() / 10  # 30 pages of a full window
+    source = paged.RecordedPages(f"{tmp_path}/p")
+    parts = paged.page_ranges(source, source.windows(round(START.timestamp() * 1000), None), 1)
+    assert len(parts) <= 10 + len(windows)
+    want = [r.record for r in changes.orderBy("modified", "record").collect()]
+    assert [r[4] for part in parts for r in paged.read_range(source, part)] == want
+    rows = feed(spark, f"{tmp_path}/p", pages="1").collect()
+    assert [r.record for r in sorted(rows, key=lambda r: (r.window_start, r.start_index, r.place))] == want
+
+
+def test_numbering_and_pages_take_no_window_as_one_group(spark, tmp_path, monkeypatch):
+    plans, text = [], type(spark.range(1).write).text
+    same_moment = spark.range(30).select(F.lit(START).alias("modified"), F.format_string('{"id":"%02d"}', "id").alias("record"))
+    later = spark.range(30).select((F.lit(START) + F.expr("interval 50 minutes")).alias("modified"), F.format_string('{"id":"x%02d"}', "id").alias("record"))
+    monkeypatch.setattr(type(spark.range(1).write), "text", lambda w, *a, **k: plans.append(w._df._jdf.queryExecution().optimizedPlan().toString()) or text(w, *a, **k))
+    paged.record_pages(later.unionByName(same_moment), f"{tmp_path}/p", START, 1, 7)
+    ranked = [x for x in plans[0].splitlines() if "row_number" in x and "Window" in x]
+    assert len(ranked) == 1 and "slice" in ranked[0] and "LeftOuter" not in plans[0]
+    source = paged.RecordedPages(f"{tmp_path}/p")
+    assert [json.loads(r[4])["id"] for p in paged.page_ranges(source, [(round(START.timestamp() * 1000), round(START.timestamp() * 1000) + 3_600_000)], 2) for r in paged.read_range(source, p)] == [f"{i:02}" for i in range(30)] + [f"x{i:02}" for i in range(30)]
+
+
+def test_an_answer_in_a_folder_of_its_own(tmp_path):
+    for at, ids in ((0, [1, 2]), (2, [3])):
+        os.makedirs(f"{tmp_path}/p/window=0-10/start_index={at}")
+        with open(f"{tmp_path}/p/window=0-10/start_index={at}/a.json", "w") as f:
+            json.dump({"totalResults": 3, "vulnerabilities": [{"cve": i} for i in ids]}, f)
+    source = paged.RecordedPages(f"{tmp_path}/p")
+    assert [r[2:] for part in paged.page_ranges(source, source.windows(0, None), 1) for r in paged.read_range(source, part)] == [(0, 0, "1"), (0, 1, "2"), (2, 0, "3")]
+    with pytest.raises(OSError):
+        source.page((0, 10), 1)
+
+
 class Answers:
     """A source whose pages are shorter than asked for, and whose last page is empty."""
 
