@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,18 @@ def candidates_for(identifier: str, leads: DataFrame, candidates: DataFrame, sou
     return mine.join(candidates, "candidate_id").join(sources.select("source_id", "name"), "source_id").orderBy(in_order("confidence", CONFIDENCE_ORDER), F.lower("vendor"), F.lower("model"), "candidate_id")
 
 
+def least_with_lead(vulns: DataFrame, leads_of: Callable[[DataFrame], DataFrame], few: int = 1000) -> str | None:
+    """The least identifier that has a lead.
+
+    The ``few`` least vulnerabilities are looked up among the leads, which are not shuffled for it.
+    What comes after them is greater than any that is found; all are looked up if none is.
+    """
+    known = vulns.where("identifier is not null")
+    least = lambda some: leads_of(some).agg(F.min("identifier")).first()[0]
+    found = least(F.broadcast(known.orderBy("identifier").limit(few)))
+    return least(known) if found is None else found
+
+
 def lead_details(leads: DataFrame, vulns: DataFrame) -> DataFrame:
     """Leads with their vulnerability where it is known; unknown ones stay."""
     return leads.join(vulns.select("identifier", "severity", "cvss_score"), "identifier", "left")

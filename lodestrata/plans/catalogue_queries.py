@@ -10,7 +10,7 @@ from lodestrata.functions import interfaces as I
 from lodestrata.operators import catalogue, correlation, evidence, exploration, graph, history, merging, projection, review
 from lodestrata.plans.oracles import ORACLES
 from lodestrata.plans.queries import query
-from lodestrata.plans.views import with_views
+from lodestrata.plans.views import view_over, with_views
 from lodestrata.sources import feeds
 
 
@@ -396,8 +396,10 @@ UNION ALL SELECT candidate_id, 'none' FROM candidates WHERE candidate_id NOT IN
 
 @query
 def vulnerability_samples(v):
-    first = v("leads").agg(F.min("identifier")).first()[0]
-    return catalogue.candidates_for(first, v("leads"), v("candidates"), v("sources")).select("candidate_id", "name", "confidence", "match_method", "vendor", "model")
+    leads_of = lambda vulns: view_over("leads", lineitem=v("lineitem"), vulns=vulns)
+    first = catalogue.least_with_lead(v("vulns"), leads_of)
+    one = F.broadcast(v("vulns").where(F.col("identifier") == first))  # a row: it holds the key
+    return catalogue.candidates_for(first, leads_of(one), v("candidates"), v("sources")).select("candidate_id", "name", "confidence", "match_method", "vendor", "model")
 
 
 _sql("vulnerability_samples", "SELECT l.candidate_id, s.name, l.confidence, l.match_method, c.vendor, c.model FROM leads l JOIN candidates c USING (candidate_id) JOIN sources s USING (source_id) WHERE l.identifier = (SELECT min(identifier) FROM leads)", "leads", "candidates", "sources")

@@ -11,7 +11,7 @@ from lodestrata.functions import interfaces as I
 from lodestrata.functions import models
 from lodestrata.functions import versions as V
 from lodestrata.operators import catalogue, correlation, exploration, graph, history, linking, merging, paging, relevance, review, search
-from lodestrata.plans.views import view
+from lodestrata.plans.views import view, view_over
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,7 +184,8 @@ def download_hosts(v):
 @query
 def samples_of_vulnerability(v):
     top = v("vulns").agg(F.min("identifier").alias("identifier"))
-    leads = v("leads").join(top, "identifier")  # the first vulnerability's samples
+    one = F.broadcast(v("vulns").join(F.broadcast(top), "identifier"))  # a row: it holds the key
+    leads = view_over("leads", lineitem=v("lineitem"), vulns=one)  # the first vulnerability's samples
     return leads.join(v("candidates"), "candidate_id").select("candidate_id", "identifier", "confidence", catalogue.in_order("confidence", catalogue.CONFIDENCE_ORDER).alias("rank"))
 
 

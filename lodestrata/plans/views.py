@@ -184,6 +184,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
 
 
+def view_over(name: str, **tables: DataFrame) -> DataFrame:
+    """The view ``name`` over the given tables and views."""
+    return next(iter(tables.values())).sparkSession.sql(VIEWS[name], **tables)
+
+
 @lru_cache(maxsize=None)
 def _order(name: str) -> tuple[str, ...]:
     """Views that ``name`` needs, first ones first, and itself."""

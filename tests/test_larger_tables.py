@@ -114,6 +114,28 @@ def test_sources_are_counted_without_fan_out(spark):
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [1, 2, 3, 1000])
+def test_the_least_identifier_with_a_lead(spark, few):
+    vulns = spark.createDataFrame([("c", 3), ("b", 2), ("a", 1), ("a", 4), (None, 5)], "identifier string, vid long")
+    leads = spark.createDataFrame([(3,), (2,), (2,), (5,), (9,)], "vid long")
+    of = lambda leads: lambda some: leads.join(some, "vid")
+    assert catalogue.least_with_lead(vulns, of(leads), few) == "b"
+    assert catalogue.least_with_lead(vulns, of(leads.where("vid = 5")), few) is None
+
+
+@pytest.mark.parametrize("name", ["vulnerability_samples", "samples_of_vulnerability"])
+def test_samples_of_one_vulnerability_shuffle_no_leads(spark, sf_dir, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = QUERIES[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [l_orderkey" in plan and "hashpartitioning(l_orderkey" not in plan
+        assert spark_rows(df) == duck_rows(ORACLES[name], sf_dir, df.columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_filters_on_signals_do_not_search_the_texts_again(spark):
     rows = spark.range(3).select("id", *(F.concat(F.lit("router "), "id").alias(c) for c in ("title", "summary", "vendor", "product")), *(F.array(F.concat(F.lit("cpe:2.3:h:"), "id")).alias(c) for c in ("cpes", "references")))
     found = relevance.classify(rows, relevance.Policy(("firmware",), ("router",), ("one",), ("two",)))
