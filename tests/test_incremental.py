@@ -77,6 +77,14 @@ def test_many_pages_lie_in_few_files_and_are_few_tasks_work(spark, changes, tmp_
     assert [r.record for r in sorted(rows, key=lambda r: (r.window_start, r.start_index, r.place))] == want
 
 
+def test_a_batch_of_the_stream_is_few_tasks_work(changes, tmp_path, monkeypatch):
+    monkeypatch.setattr(paged, "TASKS", 10, raising=False)
+    paged.record_pages(changes, f"{tmp_path}/p", START, 1, 2)
+    stream = paged.PagedStream(paged.RecordedPages(f"{tmp_path}/p"), round(START.timestamp() * 1000), None, 1)
+    parts = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    assert len(parts) <= 10 + 8 and sum(b.num_rows for p in parts for b in stream.read(p)) == changes.count()
+
+
 def test_numbering_and_pages_take_no_window_as_one_group(spark, tmp_path, monkeypatch):
     plans, text = [], type(spark.range(1).write).text
     same_moment = spark.range(30).select(F.lit(START).alias("modified"), F.format_string('{"id":"%02d"}', "id").alias("record"))
