@@ -54,6 +54,12 @@ _sql("paged_records", """WITH o AS (SELECT 'CVE-' || o_orderkey AS identifier, s
 SELECT identifier, strftime(s, '%Y-%m-%d') AS window_start, strftime(s + 60, '%Y-%m-%d') AS window_end, CAST(number // 250 * 250 AS INTEGER) AS start_index, number, status FROM n""")
 
 
+def _identified(feed: DataFrame) -> DataFrame:
+    """Records with the number of their identifier, each parsed once: as one element to ``inline``, no filter goes below and parses it again."""
+    parsed = feed.select("window_end", F.inline(F.array(F.from_json("record", "id string, lastModified string"))))
+    return parsed.withColumn("o_orderkey", F.substring("id", len("CVE-") + 1, 20).cast("long"))
+
+
 _SYNC_SCHEMA = "identifier string, source string, title string, modified_at string, vendor string, severity string, cwes array<string>, arrived string"
 
 
@@ -62,7 +68,7 @@ def synced_records(v):
     """Two runs of the stream, the second after more windows were recorded, merged by customer."""
     orders = v("orders")
     spark, path = orders.sparkSession, _folder(orders, "sync")
-    by_id = orders.select(F.concat(F.lit("CVE-"), "o_orderkey").alias("id"), "o_custkey", "o_orderkey")
+    by_key = orders.select("o_orderkey", "o_custkey")
     table = KeyedTable(spark, f"{path}/table", _SYNC_SCHEMA, "arrived", buckets=16)
     cursors = CursorTable(spark, f"{path}/cursors")
     _recorded(orders, f"{path}/pages", until="1995-04-15")  # the end of a window
@@ -70,9 +76,9 @@ def synced_records(v):
         if since:
             # windows count from the start: those recorded already are empty here and left out
             _recorded_after(orders, f"{path}/pages", since)
-        feed = _feed(spark, f"{path}/pages", stream=True).select(F.get_json_object("record", "$.id").alias("id"), F.get_json_object("record", "$.lastModified").alias("modified_at"), F.date_format("window_end", "yyyy-MM-dd").alias("until"))
+        feed = _identified(_feed(spark, f"{path}/pages", stream=True)).select("o_orderkey", F.col("lastModified").alias("modified_at"), F.date_format("window_end", "yyyy-MM-dd").alias("until"))
         n = F.col("o_orderkey")
-        rows = feed.join(by_id, "id").select(
+        rows = feed.join(by_key, "o_orderkey").select(
             F.concat(F.lit("C"), F.col("o_custkey") % 500).alias("identifier"), F.when(n % 5 == 0, "cisa-kev").otherwise("nvd").alias("source"), F.concat(F.lit("order "), n).alias("title"), "modified_at", F.when(n % 3 == 0, "n/a").otherwise(F.concat(F.lit("v"), n % 7)).alias("vendor"),
             F.when(n % 4 != 0, F.concat(F.lit("s"), n % 3)).alias("severity"), F.array(F.concat(F.lit("CWE-"), n % 5), F.concat(F.lit("CWE-"), n % 3)).alias("cwes"), F.concat_ws(" ", "modified_at", F.lpad(n.cast("string"), 12, "0")).alias("arrived"), "until",
         )

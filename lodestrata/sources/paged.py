@@ -42,6 +42,9 @@ PAGES_PER_FILE = 50
 SLICES = 1024
 
 
+_record = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 class Exchange(Protocol):
     def windows(self, since: int, until: int | None) -> list[tuple[int, int]]:
         """(start, end) of the windows that can be asked for, without gaps from ``since`` on."""
@@ -139,7 +142,7 @@ def read_range(exchange: Exchange, part: PageRange) -> Iterator[tuple]:
         items = answer.get("vulnerabilities", [])
         most = len(items) if part.end is None else part.end - at
         for place, item in enumerate(items[:most]):
-            yield start, end, at, place, json.dumps(item.get("cve", item), ensure_ascii=False, separators=(",", ":"))
+            yield start, end, at, place, _record(item.get("cve", item))
         at += len(items)
         if not items or at >= int(answer.get("totalResults", at)):
             return

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import merging
+from lodestrata.plans import incremental_queries
 from lodestrata.sources import arrays, paged
 from lodestrata.streaming.keyed import CursorTable, KeyedTable, Summary
 
@@ -270,3 +271,11 @@ def test_cursors(spark, tmp_path):
     save("b", ("nvd", "2024-01-01T00:00:00+00:00"))
     save("b", ("nvd", "2024-01-01T00:00:00+00:00"))
     assert cursors.of("nvd") == datetime(2024, 1, 2, tzinfo=timezone.utc) and cursors.read().count() == 2
+
+
+def test_a_record_of_the_feed_is_parsed_once(spark):
+    records = spark.createDataFrame([(START, '{"id":"CVE-12","lastModified":"2024-01-01"}')], "window_end timestamp, record string")
+    rows = incremental_queries._identified(records).join(spark.range(20).withColumnRenamed("id", "o_orderkey"), "o_orderkey")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "get_json_object" not in plan  # the join's filter on the key does not parse again
+    assert [(r.o_orderkey, r.lastModified) for r in rows.collect()] == [(12, "2024-01-01")]
