@@ -1,5 +1,7 @@
 """Queries on tables that are larger, or have other keys, than the small ones: the whole job with the SQL's rows."""
 
+import hashlib
+import json
 import os
 
 import duckdb
@@ -164,3 +166,40 @@ def test_sites_meet_functions_once_for_roots_and_calls(spark):
     roots, calls = reachability.call_graph(functions, sites)
     assert [(r.function_id, r.root) for r in roots.collect()] == [("f1", 2)] and [(r.caller, r.callee) for r in calls.collect()] == [("f1", "f2")]
     assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in (roots, calls))
+
+
+def odd_cases(spark):
+    """A case with an id, an order and references twice or null, a stage without one of its lists, and one without parts."""
+    rows = lambda values, schema: spark.createDataFrame(values, schema)
+    return cases.Cases(
+        rows([("k", "t\n", "", None, ["p"], []), ("z", None, "", ["x"], ["p"], ["l"])], "case_key string, title string, case_id string, counterfactuals array<string>, paper_uses array<string>, limitations array<string>"),
+        rows([("k", "e1", "a"), ("k", "e1", "b"), ("k", None, "a"), (None, "e2", "a")], "case_key string, evidence_ref string, kind string"),
+        rows([("k", "c1", "é", ["e1", "e1", "e2", None]), ("k", "c1", None, None), ("k", None, "n", ["e1"])], "case_key string, claim_id string, statement string, evidence_refs array<string>"),
+        rows([("k", "s1", 1, ["c1"], ["o1"], None, ["o9"]), ("k", "s1", 2, ["c9"], [], ["o1", "o1"], None), ("k", None, 2, None, None, ["o1"], [])], "case_key string, stage_id string, `order` int, claim_ids array<string>, creates array<string>, resolves array<string>, rejects array<string>"),
+        rows([("k", "o1", "resolved", ["e1"]), ("k", "o2", None, [None])], "case_key string, obligation_id string, status string, closure_refs array<string>"),
+    )
+
+
+def test_identities_are_digests_from_the_leaves_up(spark):
+    digest = lambda *own: hashlib.sha256(json.dumps({f"p{i}": x for i, x in enumerate(own)}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    both = sorted([digest("k", "e1", "a"), digest("k", "e1", "b")])
+    evidence = [*both, digest("k", None, "a")]
+    claims, obligations = [digest("c1", "é", both), digest("c1", None, both)], [digest("o1", "resolved", both), digest("o2", None, [])]
+    of_s1 = sorted(claims), obligations[:1], obligations[:1], []
+    parts = evidence, [*claims, digest(None, "n", None)], [digest("s1", 1, *of_s1), digest("s1", 2, *of_s1), digest(None, 2, [], [], [], [])], obligations
+    want = {"k": digest("k", "t\n", None, ["p"], [], *map(sorted, parts)), "z": digest("z", None, ["x"], ["p"], ["l"], [], [], [], [])}
+    found = cases.case_identities(odd_cases(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {r.case_key: r.replayed_id for r in found.collect()} == {k: f"research-case:{x}" for k, x in want.items()}
+    # rows are shuffled once, by their case, and what is shuffled holds no digests
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.index("sha2(") < plan.index("Exchange")
+
+
+def test_issues_of_odd_cases(spark):
+    found = cases.case_issues(odd_cases(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([
+        ("k", "evidence_repeated", "e1"), ("k", "claim_repeated", "c1"), ("k", "stage_repeated", "s1"), ("k", "order_repeated", "2"), ("k", "claim_evidence_unknown", "e2"), ("k", "claim_evidence_unknown", None), ("k", "closure_evidence_unknown", None),
+        ("k", "stage_claim_unknown", "c9"), ("k", "stage_rejects_unknown", "o9"), ("k", "closed_before_created", "o9"), ("k", "never_created", "o2"),
+    ], key=repr)
+    assert plan.count("Exchange") <= 2 and "Join" not in plan
