@@ -38,8 +38,8 @@ def _repeated(rows: DataFrame, key: str, rule: str) -> DataFrame:
 
 
 def _holding(rows: DataFrame, detail: str, rules: dict[str, Column]) -> DataFrame:
-    """An issue for each of ``rules`` that holds of a row, told in one pass."""
-    return rows.select("case_key", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(n)) for n, x in rules.items())))).alias("rule"), F.col(detail).cast("string").alias("detail"))
+    """An issue for each of ``rules`` that holds of a row, told in one pass; a row of which none holds makes no array."""
+    return rows.where(reduce(Column.__or__, rules.values())).select("case_key", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(n)) for n, x in rules.items())))).alias("rule"), F.col(detail).cast("string").alias("detail"))
 
 
 #: What rows say of a key, by the kind of thing that the key names: it is there, or it is cited (and the rule that a citation of nothing breaks).
@@ -51,8 +51,8 @@ _KINDS = tuple(kind for kind, rule in _SAID if not rule)
 _STATUS = ("open", "resolved", "rejected")
 
 
-def _some(refs: str) -> Column:
-    return F.array_distinct(F.coalesce(refs, F.array().cast("array<string>")))
+def _some(refs: Column | str) -> Column:
+    return F.coalesce(refs, F.array().cast("array<string>"))
 
 
 def _issues(c: Cases) -> DataFrame:
@@ -63,15 +63,16 @@ def _issues(c: Cases) -> DataFrame:
     col, no_order = F.col, F.lit(None).cast(c.stages.schema["order"].dataType).alias("order")
     s = col("status")
     status = F.when(s == _STATUS[0], 1).when(s == _STATUS[1], 2).when(s == _STATUS[2], 4).otherwise(0).alias("status")
+    # arrays are made where they are exploded: a column would be made twice, once for the filter that Spark infers
     rows = [
-        c.evidence.select("case_key", F.array(said(col("evidence_ref"), "evidence")).alias("said"), F.lit(0).alias("status"), no_order),
-        c.claims.select("case_key", F.concat(F.array(said(col("claim_id"), "claim")), each("evidence_refs", "evidence", "claim_evidence_unknown")).alias("said"), F.lit(0).alias("status"), no_order),
-        c.obligations.select("case_key", F.concat(F.array(said(col("obligation_id"), "obligation")), each("closure_refs", "evidence", "closure_evidence_unknown")).alias("said"), status, no_order),
-        c.stages.select("case_key", F.concat(
+        c.evidence.select("case_key", F.explode(F.array(said(col("evidence_ref"), "evidence"))).alias("x"), F.lit(0).alias("status"), no_order),
+        c.claims.select("case_key", F.explode(F.concat(F.array(said(col("claim_id"), "claim")), each(F.array_distinct("evidence_refs"), "evidence", "claim_evidence_unknown"))).alias("x"), F.lit(0).alias("status"), no_order),
+        c.obligations.select("case_key", F.explode(F.concat(F.array(said(col("obligation_id"), "obligation")), each(F.array_distinct("closure_refs"), "evidence", "closure_evidence_unknown"))).alias("x"), status, no_order),
+        c.stages.select("case_key", F.explode(F.concat(
             F.array(said(col("stage_id"), "stage"), said(col("order"), "order")), each("claim_ids", "claim", "stage_claim_unknown"), *(each(n, "obligation", f"stage_{n}_unknown") for n in ("creates", "resolves", "rejects")),
-        ).alias("said"), F.lit(0).alias("status"), "order"),
+        )).alias("x"), F.lit(0).alias("status"), "order"),
     ]
-    told = reduce(DataFrame.unionByName, (df.select("case_key", F.explode("said").alias("x"), "status", "order").select("case_key", "x.code", "x.key", "status", "order") for df in rows))
+    told = reduce(DataFrame.unionByName, rows).select("case_key", "x.code", "x.key", "status", "order")
     moves = [code("obligation", f"stage_{n}_unknown") for n in ("creates", "resolves", "rejects")]
     kind, made, ended = reduce(lambda found, k: found.when(col("code").isin([i for i, (x, _) in enumerate(_SAID) if x == k]), _KINDS.index(k)), _KINDS, F), col("code") == moves[0], col("code").isin(moves[1:])
     told = told.withColumn("kind", kind).groupBy("case_key", "kind", "key").agg(
@@ -177,8 +178,8 @@ def case_identities(c: Cases) -> DataFrame:
 
     listed = F.concat(*(F.transform(F.array_compact(_some(n)), lambda x: F.concat(F.lit(str(i)), x)) for i, n in enumerate(_LISTS)))
     parts = [
-        rows(c.evidence, _EVIDENCE, F.col("evidence_ref"), sorted(c.evidence.columns)), rows(c.claims, _CLAIM, F.col("claim_id"), ["claim_id", "statement"], F.array_compact(_some("evidence_refs"))),
-        rows(c.obligations, _OBLIGATION, F.col("obligation_id"), ["obligation_id", "status"], F.array_compact(_some("closure_refs"))), rows(c.stages, _STAGE, F.col("stage_id"), ["stage_id", "order"], listed),
+        rows(c.evidence, _EVIDENCE, F.col("evidence_ref"), sorted(c.evidence.columns)), rows(c.claims, _CLAIM, F.col("claim_id"), ["claim_id", "statement"], F.array_compact(F.array_distinct("evidence_refs"))),
+        rows(c.obligations, _OBLIGATION, F.col("obligation_id"), ["obligation_id", "status"], F.array_compact(F.array_distinct("closure_refs"))), rows(c.stages, _STAGE, F.col("stage_id"), ["stage_id", "order"], listed),
     ]
     # what is of no case meets none
     every = reduce(DataFrame.unionByName, (x.where("case_key is not null") for x in parts)).unionByName(rows(c.cases, _CASE, F.lit(None), ["case_key", "title", "counterfactuals", "paper_uses", "limitations"]))
